@@ -6,15 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# --- fixed values -----------------------------------------------------------------------
+NUMBER = r"(?i)^\s*[-+]?(?:\d+\.?\d*(?:e[-+]?\d+)?|\.\d+(?:e[-+]?\d+)?|inf|infinity)\s*$"
+# ----------------------------------------------------------------------------------------
+
+
 def to_number(text: Column) -> Column:
-    """Number in a text cell, null for anything else (blank, ``NA``, ``NaN``).
-
-    Java would also read ``1d`` and ``2f``; those are not numbers here.
-    """
-    clean = F.btrim(text, F.lit(" \t\r\n\f\x0b\xa0"))
-    typed = F.lower(F.right(clean, F.lit(1))).isin("d", "f") & ~F.lower(clean).endswith("inf")
-    number = F.when(~typed, clean.try_cast("double"))
-    return F.when(~F.isnan(number), number)
+    """Number in a text cell, null for anything else (blank, ``NA``, ``NaN``, Java's ``1d``)."""
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def relative_baseline(value: Column, baseline: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ecolake.functions.geodesy import from_lonlat
 from ecolake.operators.crs import geometries
+from ecolake.session import computed_once
 from ecolake.sources.grids import center_x, center_y
 
 _GEOMETRY = "struct<type: string, coordinates: string>"
@@ -40,7 +41,7 @@ def parse_areas(areas: DataFrame) -> DataFrame:
     their extent in degrees."""
     points = F.flatten(F.flatten("polygons"))
     xs, ys = F.transform(points, lambda p: p[0]), F.transform(points, lambda p: p[1])
-    return areas.withColumn("polygons", polygons(F.col("geojson"))).select(
+    return computed_once(areas, polygons=polygons(F.col("geojson"))).select(
         "area", "polygons", F.size("polygons").alias("n_polygons"),
         F.size(F.flatten("polygons")).alias("n_rings"), F.size(points).alias("n_points"),
         F.array_min(xs).alias("west"), F.array_min(ys).alias("south"),
@@ -72,14 +73,13 @@ def area_windows(grids: DataFrame, areas: list[tuple[str, str]]) -> DataFrame:
     """
     named = F.array(*[F.struct(F.lit(n).alias("area"), F.lit(g).alias("geojson")) for n, g in areas])
     out = geometries(grids).select("*", F.inline(named))
-    out = out.withColumn("polygons", polygons(F.col("geojson"))).drop("geojson").withColumn(
-        "polygons", F.transform("polygons", lambda p: _edges(p, F.col("crs")))
-    )
+    out = computed_once(out, polygons=polygons(F.col("geojson"))).drop("geojson")
+    out = computed_once(out, polygons=F.transform("polygons", lambda p: _edges(p, F.col("crs"))))
     edges = F.flatten("polygons")
     cs, top = F.col("cellsize"), F.col("yll") + F.col("cellsize") * F.col("nrows")
     west, east = F.array_min(F.transform(edges, lambda e: e["x1"])), F.array_max(F.transform(edges, lambda e: e["x1"]))
     south, north = F.array_min(F.transform(edges, lambda e: e["y1"])), F.array_max(F.transform(edges, lambda e: e["y1"]))
-    return out.withColumns({
+    return computed_once(out, **{
         "col0": F.greatest(F.lit(0), F.floor((west - F.col("xll")) / cs)).cast("int"),
         "col1": F.least(F.col("ncols"), F.ceil((east - F.col("xll")) / cs)).cast("int"),
         "row0": F.greatest(F.lit(0), F.floor((top - north) / cs)).cast("int"),
@@ -111,9 +111,8 @@ def area_cells(windows: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.size("xs"), F.lit(2)),
         lambda i: F.struct(F.try_element_at("xs", i).alias("x0"), F.try_element_at("xs", i + 1).alias("x1")),
     )
-    spans = lines.select(*key, "row", "xll", "yll", "cellsize", "nrows", F.explode("polygons").alias("edges")).withColumn(
-        "xs", xs
-    ).filter(F.size("xs") > 0).withColumn("run", F.explode(runs))
+    spans = lines.select(*key, "row", "xll", "yll", "cellsize", "nrows", F.explode("polygons").alias("edges"))
+    spans = computed_once(spans, xs=xs).drop("edges").filter(F.size("xs") > 0).withColumn("run", F.explode(runs))
     at = lambda x: F.ceil((x - c("xll")) / c("cellsize") - 0.5).cast("int")
     spans = spans.withColumns({
         "from": F.greatest(c("col0"), at(x0) - 1), "to": F.least(c("col1") - 1, at(x1)),

@@ -16,11 +16,10 @@ def output_maps(files: DataFrame, run_info: DataFrame) -> DataFrame:
     known = output_names(files).filter(F.col("variable").isNotNull())
     maps = with_run_info(known, run_info)
     # directories carry the identity, so they are counted, not the maps
-    dirs = maps.select("model", "scenario", "dir").distinct().groupBy("model", "scenario").agg(
-        F.count("*").alias("n_dirs")
-    )
-    same = maps["model"].eqNullSafe(dirs["model"]) & (maps["scenario"] == dirs["scenario"])
-    runs = maps.join(dirs, same, "left").select(maps["*"], "n_dirs")
+    dirs = maps.select(F.col("model").alias("_model"), F.col("scenario").alias("_scenario"), "dir").distinct()
+    runs_per = dirs.groupBy("_model", "_scenario").agg(F.count("*").alias("n_dirs"))
+    same = F.col("model").eqNullSafe(F.col("_model")) & (F.col("scenario") == F.col("_scenario"))
+    runs = maps.join(runs_per, same, "left")
     return runs.select(
         "model", "model_name", "scenario", F.lit("output").alias("domain"), "variable",
         F.when(F.col("entity_type") == "group", F.col("entity_name")).alias("group_name"),

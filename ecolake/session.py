@@ -53,3 +53,18 @@ def small_table(spark: SparkSession, names: list[str], rows: list[tuple]) -> Dat
 
 def _literal(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add (or replace) costly columns that later steps refer to several times.
+
+    A plain ``withColumn`` may be copied into every filter and projection above it. Columns
+    that come out of a generator, here over a single row, are computed once and then read.
+    """
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(made)))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ecolake.functions.measures import to_number
 from ecolake.functions.naming import slugify, strip
 from ecolake.functions.periods import DEFAULT_START_YEAR, step_year
-from ecolake.session import small_table
+from ecolake.session import computed_once, small_table
 from ecolake.sources.model_csv import MODEL_FIELD, SCENARIO_FIELD, START_YEAR_FIELD, header_fields
 
 # --- fixed values: map exports ----------------------------------------------------------
@@ -43,7 +43,7 @@ def read_grids(files: DataFrame) -> DataFrame:
 
     body = F.substring(F.col("text"), F.length("_head") + 1, F.length("text"))
     cs = field("cellsize")
-    out = files.withColumn("_head", head).withColumns({
+    out = computed_once(computed_once(files, _head=head), **{
         "ncols": field("ncols").cast("int"),
         "nrows": field("nrows").cast("int"),
         "xll": F.coalesce(field("xllcorner"), field("xllcenter") - cs / 2),
@@ -122,7 +122,7 @@ def read_run_info(files: DataFrame) -> DataFrame:
     """What each run description says, one row per directory."""
     h = F.col("_h")
     field = lambda name: F.nullif(F.try_element_at(h, F.lit(name)), F.lit(""))
-    return files.filter(F.col("name") == RUN_INFO).withColumn("_h", header_fields(F.col("text"))).select(
+    return computed_once(files.filter(F.col("name") == RUN_INFO), _h=header_fields(F.col("text"))).select(
         "dir", field(MODEL_FIELD).alias("model_name"), field(SCENARIO_FIELD).alias("scenario_label"),
         field(START_YEAR_FIELD).try_cast("int").alias("start_year"), field(CRS_FIELD).alias("crs_wkt"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ecolake.functions.csvline import split_csv, split_lines
 from ecolake.functions.measures import to_number
 from ecolake.functions.naming import strip
+from ecolake.session import computed_once
 from ecolake.sources.grids import INPUT_YEAR, output_names
 from ecolake.sources.model_csv import (
     MAP_SCENARIO_FIELD, MODEL_FIELD, SCENARIO_FIELD, header_blocks, with_headers,
@@ -36,20 +37,17 @@ def smallest(df: DataFrame, keys: list[str], value: str, k: int, name: str) -> D
 def with_layer(files: DataFrame) -> DataFrame:
     """Add ``layer`` (deepest model layer among the header blocks; maps belong to the
     spatial one), ``model_name`` and ``scenario_name``. ``text`` may be just the head."""
-    blocks, fields = header_blocks(F.col("text"))
     readable = F.col("suffix").isin(".csv", ".txt")
-    out = files.withColumns({
-        "_blocks": F.when(readable, blocks), "_fields": F.when(readable, fields),
-    })
+    out = computed_once(files, _head=F.when(readable, header_blocks(F.col("text"))))
     layer = F.when(F.col("suffix") == ".asc", MODEL_LAYERS[0])
     for name in MODEL_LAYERS:
-        layer = layer.when(F.array_contains("_blocks", name), name)
-    field = lambda name: F.nullif(F.try_element_at("_fields", F.lit(name)), F.lit(""))
+        layer = layer.when(F.array_contains("_head.names", name), name)
+    field = lambda name: F.nullif(F.try_element_at("_head.fields", F.lit(name)), F.lit(""))
     return out.withColumn("layer", layer).withColumns({
         "model_name": field(MODEL_FIELD),
         "scenario_name": F.when(F.col("layer") == "ecospace", field(MAP_SCENARIO_FIELD))
         .when(F.col("layer") == "ecosim", field(SCENARIO_FIELD)),
-    }).drop("_blocks", "_fields")
+    }).drop("_head")
 
 
 def identify_output(files: DataFrame) -> DataFrame:
@@ -91,7 +89,7 @@ def with_input_kind(files: DataFrame) -> DataFrame:
         .when((F.col("suffix") == ".csv") & is_series_input(F.col("text")), "ecosim_timeseries")
     )
     series = F.greatest(F.lit(0), F.size(F.get(_series_rows(F.col("text")), F.lit(0))) - 1)
-    return files.withColumn("kind", kind).withColumn(
+    return computed_once(files, kind=kind).withColumn(
         "series", F.when(F.col("kind") == "ecosim_timeseries", series)
     )
 
@@ -118,7 +116,7 @@ def group_tables(files: DataFrame) -> DataFrame:
     rows = F.filter(F.transform(split_lines(F.col("text")), split_csv), lambda c: F.get(c, F.lit(0)) != "")
     at = F.array_position(F.transform("_rows", lambda c: strip(F.get(c, F.lit(0)))), "GroupNo")
     head = F.transform(F.get("_rows", F.col("_at").cast("int") - 1), strip)
-    table = static.withColumn("_rows", rows).withColumn("_at", at).filter(F.col("_at") > 0).withColumn("_head", head)
+    table = computed_once(computed_once(static, _rows=rows), _at=at).filter(F.col("_at") > 0).withColumn("_head", head)
     lines = table.select(
         "path", "model_name", "_head",
         F.explode(F.slice("_rows", F.col("_at").cast("int") + 1, F.size("_rows"))).alias("c"),

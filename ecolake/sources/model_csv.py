@@ -17,6 +17,7 @@ from ecolake.functions.measures import to_number
 from ecolake.functions.naming import file_variable, slugify, strip
 from ecolake.functions.periods import DEFAULT_START_YEAR, frequency, iso_date, year_month
 from ecolake.schema import TIDY, TIDY_COLUMNS
+from ecolake.session import computed_once, let
 
 # --- fixed values: the export format ----------------------------------------------------
 SCENARIO_FIELD = "EcosimScenario"
@@ -47,48 +48,53 @@ def _is_block(cell: Column) -> Column:
 
 def _last_wins(entries: Column) -> Column:
     """Map of an array of (k, v) structs in which a later key replaces an earlier one."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    newest = lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"]
-    return F.map_from_arrays(keys, F.transform(keys, newest))
+    def keyed(es: Column) -> Column:
+        keys = F.array_distinct(F.transform(es, lambda e: e["k"]))
+        newest = lambda k: F.element_at(F.filter(es, lambda e: e["k"] == k), -1)["v"]
+        return F.map_from_arrays(keys, F.transform(keys, newest))
+
+    return let(entries, keyed)
+
+
+def _pairs(rows: Column) -> Column:
+    kept = F.filter(rows, lambda c: (F.size(c) >= 2) & ~_is_block(F.get(c, F.lit(0))))
+    return F.transform(kept, lambda c: F.struct(
+        strip(F.get(c, F.lit(0))).alias("k"), strip(F.get(c, F.lit(1))).alias("v"),
+    ))
 
 
 def header_fields(text: Column) -> Column:
     """``key -> value`` of the header block; without an end marker the whole file is header."""
-    rows = F.transform(split_lines(F.get(F.split(text, HEADER_END_LINE, 2), F.lit(0))), split_csv)
-    pairs = F.filter(rows, lambda c: (F.size(c) >= 2) & ~_is_block(F.get(c, F.lit(0))))
-    return _last_wins(F.transform(pairs, lambda c: F.struct(
-        strip(F.get(c, F.lit(0))).alias("k"), strip(F.get(c, F.lit(1))).alias("v"),
-    )))
+    head = F.get(F.split(text, HEADER_END_LINE, 2), F.lit(0))
+    return _last_wins(_pairs(F.transform(split_lines(head), split_csv)))
 
 
-def header_blocks(text: Column) -> tuple[Column, Column]:
-    """``(block names in order, key -> value map)`` of the header blocks alone: a title above
-    the first block is not a field, and nothing after the ``end`` block is looked at."""
+def header_blocks(text: Column) -> Column:
+    """``struct(names, fields)`` of the header blocks alone: block names in order and a
+    ``key -> value`` map. A title above the first block is not a field, and nothing after the
+    ``end`` block is looked at."""
     head = F.get(F.split(text, HEADER_END_LINE, 2), F.lit(0))
-    rows = F.filter(F.transform(split_lines(head), split_csv), lambda c: F.get(c, F.lit(0)) != "")
-    names = F.transform(
-        F.filter(rows, lambda c: _is_block(F.get(c, F.lit(0)))),
-        lambda c: _block_name(F.get(c, F.lit(0))),
-    )
-    first = F.array_position(F.transform(rows, lambda c: _is_block(F.get(c, F.lit(0)))), True)
-    body = F.when(first > 0, F.slice(rows, first.cast("int"), F.size(rows)))
-    pairs = F.filter(body, lambda c: (F.size(c) >= 2) & ~_is_block(F.get(c, F.lit(0))))
-    fields = _last_wins(F.transform(pairs, lambda c: F.struct(
-        strip(F.get(c, F.lit(0))).alias("k"), strip(F.get(c, F.lit(1))).alias("v"),
-    )))
-    return names, fields
+
+    def read(rows: Column) -> Column:
+        blocks = F.filter(rows, lambda c: _is_block(F.get(c, F.lit(0))))
+        first = F.array_position(F.transform(rows, lambda c: _is_block(F.get(c, F.lit(0)))), True)
+        body = F.when(first > 0, F.slice(rows, first.cast("int"), F.size(rows)))
+        return F.struct(
+            F.transform(blocks, lambda c: _block_name(F.get(c, F.lit(0)))).alias("names"),
+            _last_wins(_pairs(body)).alias("fields"),
+        )
+
+    return let(F.filter(F.transform(split_lines(head), split_csv), lambda c: F.get(c, F.lit(0)) != ""), read)
 
 
 def with_headers(files: DataFrame) -> DataFrame:
     """Add ``headers`` (map), and the identity told by it: ``model``, ``model_name``,
     ``scenario``, ``scenario_label`` (null when the file is not a time-series export)."""
-    out = files.withColumn("headers", header_fields(F.col("text")))
+    out = computed_once(files, headers=header_fields(F.col("text")))
     given = F.nullif(F.try_element_at("headers", F.lit(MODEL_FIELD)), F.lit(""))
     scenario = F.nullif(F.try_element_at("headers", F.lit(SCENARIO_FIELD)), F.lit(""))
-    return out.withColumns({
-        "model_name": F.coalesce(given, F.lit(UNKNOWN_MODEL)),
-        "scenario_label": scenario,
-    }).withColumns({"model": slugify(F.col("model_name")), "scenario": slugify(F.col("scenario_label"))})
+    named = out.withColumns({"model_name": F.coalesce(given, F.lit(UNKNOWN_MODEL)), "scenario_label": scenario})
+    return named.withColumns({"model": slugify(F.col("model_name")), "scenario": slugify(F.col("scenario_label"))})
 
 
 def discover_output(files: DataFrame) -> DataFrame:
@@ -111,22 +117,20 @@ def with_sections(files: DataFrame) -> DataFrame:
     """Locate the data section: ``unit`` (the label behind ``Data``), ``header`` (trimmed
     cells of the first line with content after it) and ``lines`` (data lines with content).
     ``header`` is null when there is no data section."""
-    parts = F.split(F.col("text"), HEADER_END_LINE, 2)
-    body = F.when(F.size(parts) == 2, F.get(parts, F.lit(1))).otherwise(F.col("text"))
-    marked = files.withColumn("_body", body).withColumn("_data", F.split("_body", DATA_LINE, 2))
+    body = let(F.split(F.col("text"), HEADER_END_LINE, 2), lambda p: F.element_at(p, -1))
+    cut = computed_once(files, _body=body)
+    cut = computed_once(cut, _data=F.split("_body", DATA_LINE, 2))
+    marked = F.size("_data") == 2
     label = strip(F.get(split_csv(F.regexp_extract("_body", DATA_LINE, 1)), F.lit(1)))
-    after = F.when(F.size("_data") == 2, F.get("_data", F.lit(1)))
-    split = marked.withColumns({
-        "unit": F.when(F.size("_data") == 2, label),
-        "_after": after,
-    }).withColumns({
-        "_header": F.nullif(F.regexp_extract("_after", _CONTENT_LINE, 1), F.lit("")),
-        "_rest": F.get(F.split("_after", _CONTENT_LINE, 2), F.lit(1)),
-    })
-    return split.withColumns({
-        "header": F.transform(split_csv(F.col("_header")), strip),
-        "lines": F.filter(split_lines(F.coalesce("_rest", F.lit(""))), has_content),
-    }).drop("_body", "_data", "_after", "_header", "_rest")
+    cut = computed_once(
+        cut.withColumn("_after", F.when(marked, F.get("_data", F.lit(1)))), unit=F.when(marked, label),
+        _header=F.nullif(F.regexp_extract("_after", _CONTENT_LINE, 1), F.lit("")),
+        _rest=F.get(F.split("_after", _CONTENT_LINE, 2), F.lit(1)),
+    ).drop("_body", "_data", "_after")
+    return computed_once(
+        cut, header=F.transform(split_csv(F.col("_header")), strip),
+        lines=F.filter(split_lines(F.coalesce("_rest", F.lit(""))), has_content),
+    ).drop("_header", "_rest")
 
 
 def with_shapes(files: DataFrame) -> DataFrame:
@@ -153,7 +157,7 @@ def with_shapes(files: DataFrame) -> DataFrame:
     stated = F.try_element_at("headers", F.lit(START_YEAR_FIELD))
     start = F.when(stated.isNull(), F.lit(DEFAULT_START_YEAR)).otherwise(stated.try_cast("int"))
     named = file_variable(F.col("stem"))
-    out = files.withColumns({"shape": shape, "start_year": start, "_named": named}).withColumns({
+    out = computed_once(files, shape=shape, start_year=start, _named=named).withColumns({
         "variable": F.col("_named.variable"),
         "target": F.col("_named.target"),
         "freq": frequency(first, F.col("_named.freq_hint")),
@@ -166,8 +170,9 @@ def with_shapes(files: DataFrame) -> DataFrame:
         .when(F.col("shape") == "unknown", F.concat(F.lit("unrecognised layout: "), F.array_join(F.slice("header", 1, 5), ",")))
         .when(bad_time, "a time or number cell cannot be read")
     )
-    status = F.when(F.col("shape").isNull(), "unsupported").when(message.isNotNull(), "error").otherwise("ok")
-    return out.withColumns({"message": message, "status": status}).drop("_named")
+    out = computed_once(out, message=message).drop("_named")
+    status = F.when(F.col("shape").isNull(), "unsupported").when(F.col("message").isNotNull(), "error")
+    return out.withColumn("status", status.otherwise("ok"))
 
 
 def _unusable_time(shape: Column, freq: Column, start_year: Column):

@@ -1,0 +1,2 @@
+"""Nothing here: results are loaded by a full scan of a source that the user starts, never
+continuously, so the library has no streaming operators."""
