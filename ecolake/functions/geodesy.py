@@ -2,7 +2,9 @@
 
 The projections are the closed forms of Snyder, *Map Projections: A Working Manual* (1987)
 and, for transverse Mercator, Krueger's series in the third flattening (to n^4). ETRS89 and
-WGS 84 are taken as equal, as the usual null transformation between them does.
+WGS 84 are taken as equal, as the usual null transformation between them does. Points are
+structs ``(a, b)``: longitude and latitude, or x and y. Intermediate values are bound with
+``let``, which keeps the expressions short.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ecolake.session import let
+
 # --- fixed values: ellipsoids and projection parameters ---------------------------------
 GRS80 = (6378137.0, 1 / 298.257222101)
 WGS84_ELLIPSOID = (6378137.0, 1 / 298.257223563)
@@ -31,8 +35,8 @@ CANDIDATE_CRS = [
 # ----------------------------------------------------------------------------------------
 
 
-def _deg(x: Column) -> Column:
-    return F.degrees(x)
+def _point(first: Column, second: Column) -> Column:
+    return F.struct(first.cast("double").alias("a"), second.cast("double").alias("b"))
 
 
 @dataclass(frozen=True)
@@ -41,12 +45,12 @@ class Equatorial:
 
     radius: float = 6378137.0
 
-    def inverse(self, x: Column, y: Column) -> tuple[Column, Column]:
-        return _deg(x / self.radius), _deg(2 * F.atan(F.exp(y / self.radius)) - math.pi / 2)
+    def inverse(self, x: Column, y: Column) -> Column:
+        return _point(F.degrees(x / self.radius), F.degrees(2 * F.atan(F.exp(y / self.radius)) - math.pi / 2))
 
-    def forward(self, lon: Column, lat: Column) -> tuple[Column, Column]:
-        half = F.tan(math.pi / 4 + F.radians(lat) / 2)
-        return F.radians(lon) * self.radius, F.log(F.when(half > 0, half)) * self.radius
+    def forward(self, lon: Column, lat: Column) -> Column:
+        north = let(F.tan(math.pi / 4 + F.radians(lat) / 2), lambda t: F.log(F.when(t > 0, t)) * self.radius)
+        return _point(F.radians(lon) * self.radius, north)
 
 
 @dataclass(frozen=True)
@@ -81,31 +85,42 @@ class TransverseMercator:
         )
         return n, radius * self.scale, alpha, beta, delta
 
-    def inverse(self, x: Column, y: Column) -> tuple[Column, Column]:
+    def inverse(self, x: Column, y: Column) -> Column:
         _, radius, _, beta, delta = self._series()
-        xi, eta = (y - self.north0) / radius, (x - self.east0) / radius
-        xi1, eta1 = xi, eta
-        for j, b in enumerate(beta, start=1):
-            xi1 = xi1 - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-            eta1 = eta1 - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        chi = F.asin(F.sin(xi1) / F.cosh(eta1))
-        lat = chi
-        for j, d in enumerate(delta, start=1):
-            lat = lat + d * F.sin(2 * j * chi)
-        return self.lon0 + _deg(F.atan2(F.sinh(eta1), F.cos(xi1))), _deg(lat)
-
-    def forward(self, lon: Column, lat: Column) -> tuple[Column, Column]:
+
+        def sphere(p: Column) -> Column:
+            xi, eta = p["a"], p["b"]
+            for j, b in enumerate(beta, start=1):
+                xi = xi - b * F.sin(2 * j * p["a"]) * F.cosh(2 * j * p["b"])
+                eta = eta - b * F.cos(2 * j * p["a"]) * F.sinh(2 * j * p["b"])
+            return let(_point(xi, eta), ellipsoid)
+
+        def ellipsoid(p: Column) -> Column:
+            def lat(chi: Column) -> Column:
+                return sum((d * F.sin(2 * j * chi) for j, d in enumerate(delta, start=1)), chi)
+
+            lon = self.lon0 + F.degrees(F.atan2(F.sinh(p["b"]), F.cos(p["a"])))
+            return _point(lon, F.degrees(let(F.asin(F.sin(p["a"]) / F.cosh(p["b"])), lat)))
+
+        return let(_point((y - self.north0) / radius, (x - self.east0) / radius), sphere)
+
+    def forward(self, lon: Column, lat: Column) -> Column:
         n, radius, alpha, _, _ = self._series()
         e = 2 * math.sqrt(n) / (1 + n)
-        s = F.sin(F.radians(lat))
-        t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
         away = F.radians(lon - self.lon0)
-        xi, eta = F.atan2(t, F.cos(away)), F.atanh(F.sin(away) / F.sqrt(1 + t * t))
-        xi1, eta1 = xi, eta
-        for j, a in enumerate(alpha, start=1):
-            xi1 = xi1 + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-            eta1 = eta1 + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        return self.east0 + radius * eta1, self.north0 + radius * xi1
+
+        def sphere(t: Column) -> Column:
+            return let(_point(F.atan2(t, F.cos(away)), F.atanh(F.sin(away) / F.sqrt(1 + t * t))), plane)
+
+        def plane(p: Column) -> Column:
+            xi, eta = p["a"], p["b"]
+            for j, a in enumerate(alpha, start=1):
+                xi = xi + a * F.sin(2 * j * p["a"]) * F.cosh(2 * j * p["b"])
+                eta = eta + a * F.cos(2 * j * p["a"]) * F.sinh(2 * j * p["b"])
+            return _point(self.east0 + radius * eta, self.north0 + radius * xi)
+
+        conformal = let(F.sin(F.radians(lat)), lambda s: F.sinh(F.atanh(s) - e * F.atanh(e * s)))
+        return let(conformal, sphere)
 
 
 @dataclass(frozen=True)
@@ -129,36 +144,46 @@ class EqualAreaAzimuthal:
         d = a * math.cos(math.radians(self.lat0)) / math.sqrt(1 - e2 * s0 * s0) / (rq * math.cos(beta0))
         return e2, e, qp, beta0, rq, d
 
-    def inverse(self, x: Column, y: Column) -> tuple[Column, Column]:
+    def inverse(self, x: Column, y: Column) -> Column:
         e2, _, _, beta0, rq, d = self._constants()
-        dx, dy = (x - self.east0) / d, (y - self.north0) * d
-        rho = F.hypot(dx, dy)
-        c = 2 * F.asin(rho / (2 * rq))
-        near = rho < 1e-9
-        sine = F.cos(c) * math.sin(beta0) + F.when(near, 0.0).otherwise(
-            dy * F.sin(c) * math.cos(beta0) / F.when(~near, rho)
-        )
-        beta = F.asin(sine)
-        away = F.atan2(
-            dx * F.sin(c), rho * math.cos(beta0) * F.cos(c) - dy * math.sin(beta0) * F.sin(c)
-        )
         e4, e6 = e2 * e2, e2**3
-        lat = (
-            beta + (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * beta)
-            + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * beta) + 761 * e6 / 45360 * F.sin(6 * beta)
-        )
-        return self.lon0 + _deg(F.when(near, 0.0).otherwise(away)), _deg(lat)
 
-    def forward(self, lon: Column, lat: Column) -> tuple[Column, Column]:
+        def polar(p: Column) -> Column:
+            rho = F.hypot(p["a"], p["b"])
+            return let(_point(rho, 2 * F.asin(rho / (2 * rq))), lambda r: sphere(p["a"], p["b"], r["a"], r["b"]))
+
+        def sphere(dx: Column, dy: Column, rho: Column, c: Column) -> Column:
+            far = rho >= 1e-9
+            sine = F.cos(c) * math.sin(beta0) + F.when(far, dy * F.sin(c) * math.cos(beta0) / rho).otherwise(0.0)
+            away = F.atan2(dx * F.sin(c), rho * math.cos(beta0) * F.cos(c) - dy * math.sin(beta0) * F.sin(c))
+            lon = self.lon0 + F.degrees(F.when(far, away).otherwise(0.0))
+            return _point(lon, F.degrees(let(F.asin(sine), latitude)))
+
+        def latitude(beta: Column) -> Column:
+            return (
+                beta + (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * beta)
+                + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * beta) + 761 * e6 / 45360 * F.sin(6 * beta)
+            )
+
+        return let(_point((x - self.east0) / d, (y - self.north0) * d), polar)
+
+    def forward(self, lon: Column, lat: Column) -> Column:
         e2, e, qp, beta0, rq, d = self._constants()
-        s = F.sin(F.radians(lat))
-        q = (1 - e2) * (s / (1 - e2 * s * s) - F.log((1 - e * s) / (1 + e * s)) / (2 * e))
-        beta, away = F.asin(q / qp), F.radians(lon - self.lon0)
-        cosine = 1 + math.sin(beta0) * F.sin(beta) + math.cos(beta0) * F.cos(beta) * F.cos(away)
-        b = rq * F.sqrt(2 / F.when(cosine > 0, cosine))
-        x = b * d * F.cos(beta) * F.sin(away)
-        y = b / d * (math.cos(beta0) * F.sin(beta) - math.sin(beta0) * F.cos(beta) * F.cos(away))
-        return self.east0 + x, self.north0 + y
+        away = F.radians(lon - self.lon0)
+
+        def authalic(s: Column) -> Column:
+            q = (1 - e2) * (s / (1 - e2 * s * s) - F.log((1 - e * s) / (1 + e * s)) / (2 * e))
+            return let(F.asin(q / qp), plane)
+
+        def plane(beta: Column) -> Column:
+            cosine = 1 + math.sin(beta0) * F.sin(beta) + math.cos(beta0) * F.cos(beta) * F.cos(away)
+            b = let(cosine, lambda c: rq * F.sqrt(2 / F.when(c > 0, c)))
+            return _point(
+                self.east0 + b * d * F.cos(beta) * F.sin(away),
+                self.north0 + b / d * (math.cos(beta0) * F.sin(beta) - math.sin(beta0) * F.cos(beta) * F.cos(away)),
+            )
+
+        return let(F.sin(F.radians(lat)), authalic)
 
 
 @dataclass(frozen=True)
@@ -189,25 +214,29 @@ class ConformalConic:
         big = a * m(self.lat1) / (n * t(self.lat1) ** n)
         return e, n, big, big * t(self.lat0) ** n
 
-    def inverse(self, x: Column, y: Column) -> tuple[Column, Column]:
+    def inverse(self, x: Column, y: Column) -> Column:
         e, n, big, rho0 = self._constants()
-        dx, dy = x - self.east0, rho0 - (y - self.north0)
-        rho = F.hypot(dx, dy)
-        chi = math.pi / 2 - 2 * F.atan(F.pow(rho / big, F.lit(1 / n)))
-        e2 = e * e
-        lat = (
-            chi + (e2 / 2 + 5 * e2**2 / 24 + e2**3 / 12 + 13 * e2**4 / 360) * F.sin(2 * chi)
-            + (7 * e2**2 / 48 + 29 * e2**3 / 240 + 811 * e2**4 / 11520) * F.sin(4 * chi)
-            + (7 * e2**3 / 120 + 81 * e2**4 / 1120) * F.sin(6 * chi) + 4279 * e2**4 / 161280 * F.sin(8 * chi)
-        )
-        return self.lon0 + _deg(F.atan2(dx, dy)) / n, _deg(lat)
+        dx, dy, e2 = x - self.east0, rho0 - (y - self.north0), e * e
+
+        def latitude(chi: Column) -> Column:
+            return (
+                chi + (e2 / 2 + 5 * e2**2 / 24 + e2**3 / 12 + 13 * e2**4 / 360) * F.sin(2 * chi)
+                + (7 * e2**2 / 48 + 29 * e2**3 / 240 + 811 * e2**4 / 11520) * F.sin(4 * chi)
+                + (7 * e2**3 / 120 + 81 * e2**4 / 1120) * F.sin(6 * chi) + 4279 * e2**4 / 161280 * F.sin(8 * chi)
+            )
+
+        chi = math.pi / 2 - 2 * F.atan(F.pow(F.hypot(dx, dy) / big, F.lit(1 / n)))
+        return _point(self.lon0 + F.degrees(F.atan2(dx, dy)) / n, F.degrees(let(chi, latitude)))
 
-    def forward(self, lon: Column, lat: Column) -> tuple[Column, Column]:
+    def forward(self, lon: Column, lat: Column) -> Column:
         e, n, big, rho0 = self._constants()
-        s = F.sin(F.radians(lat))
-        t = F.tan(math.pi / 4 - F.radians(lat) / 2) / F.pow((1 - e * s) / (1 + e * s), F.lit(e / 2))
-        rho, theta = big * F.pow(t, F.lit(n)), n * F.radians(lon - self.lon0)
-        return self.east0 + rho * F.sin(theta), self.north0 + rho0 - rho * F.cos(theta)
+        theta = n * F.radians(lon - self.lon0)
+        t = let(F.sin(F.radians(lat)), lambda s: F.tan(math.pi / 4 - F.radians(lat) / 2) / F.pow(
+            (1 - e * s) / (1 + e * s), F.lit(e / 2)
+        ))
+        return let(big * F.pow(t, F.lit(n)), lambda rho: _point(
+            self.east0 + rho * F.sin(theta), self.north0 + rho0 - rho * F.cos(theta)
+        ))
 
 
 # --- fixed values: projection parameters ------------------------------------------------
@@ -228,22 +257,20 @@ def known_crs(crs: Column) -> Column:
     return crs.isin(*GEOGRAPHIC, *PROJECTIONS)
 
 
-def _by_crs(crs: Column, x: Column, y: Column, way: str) -> tuple[Column, Column]:
-    first = F.when(crs.isin(*GEOGRAPHIC), x)
-    second = F.when(crs.isin(*GEOGRAPHIC), y)
+def _by_crs(crs: Column, x: Column, y: Column, way: str) -> Column:
+    point = F.when(crs.isin(*GEOGRAPHIC), _point(x, y))
     for code, projection in PROJECTIONS.items():
-        a, b = getattr(projection, way)(x, y)
-        first, second = first.when(crs == code, a), second.when(crs == code, b)
+        point = point.when(crs == code, getattr(projection, way)(x.cast("double"), y.cast("double")))
     finite = lambda v: F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
-    return finite(first), finite(second)
+    return let(point, lambda p: _point(finite(p["a"]), finite(p["b"])))
 
 
-def to_lonlat(crs: Column, x: Column, y: Column) -> tuple[Column, Column]:
-    """``(lon, lat)`` in degrees of a point given in ``crs``; null for an unknown CRS or a
-    point outside the projection."""
-    return _by_crs(crs, x.cast("double"), y.cast("double"), "inverse")
+def to_lonlat(crs: Column, x: Column, y: Column) -> Column:
+    """Point ``(a=lon, b=lat)`` in degrees of a point given in ``crs``; both null for an
+    unknown CRS or a point outside the projection."""
+    return _by_crs(crs, x, y, "inverse")
 
 
-def from_lonlat(crs: Column, lon: Column, lat: Column) -> tuple[Column, Column]:
-    """``(x, y)`` in ``crs`` of a point in degrees; null for an unknown CRS."""
-    return _by_crs(crs, lon.cast("double"), lat.cast("double"), "forward")
+def from_lonlat(crs: Column, lon: Column, lat: Column) -> Column:
+    """Point ``(a=x, b=y)`` in ``crs`` of a point in degrees; both null for an unknown CRS."""
+    return _by_crs(crs, lon, lat, "forward")

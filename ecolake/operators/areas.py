@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ecolake.functions.geodesy import from_lonlat
 from ecolake.operators.crs import geometries
-from ecolake.session import computed_once
+from ecolake.session import computed_once, let
 from ecolake.sources.grids import center_x, center_y
 
 _GEOMETRY = "struct<type: string, coordinates: string>"
@@ -51,17 +51,13 @@ def parse_areas(areas: DataFrame) -> DataFrame:
 
 def _edges(polygon: Column, crs: Column) -> Column:
     """Edges ``(x1, y1, x2, y2)`` of a polygon's rings, in the grid's coordinates."""
-    def point(p: Column) -> Column:
-        x, y = from_lonlat(crs, p[0], p[1])
-        return F.struct(x.alias("x"), y.alias("y"))
-
-    def ring(r: Column) -> Column:
-        start = F.transform(r, point)
+    def joined(start: Column) -> Column:
         end = F.concat(F.slice(start, 2, F.size(start)), F.slice(start, 1, 1))  # closes an open ring
-        return F.zip_with(start, end, lambda a, b: F.struct(
-            a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"),
+        return F.zip_with(start, end, lambda p, q: F.struct(
+            p["a"].alias("x1"), p["b"].alias("y1"), q["a"].alias("x2"), q["b"].alias("y2"),
         ))
 
+    ring = lambda r: let(F.transform(r, lambda p: from_lonlat(crs, p[0], p[1])), joined)
     return F.flatten(F.transform(polygon, ring))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ecolake.functions.geodesy import CANDIDATE_CRS, GEOGRAPHIC, WGS84, from_lonlat, known_crs, to_lonlat
+from ecolake.session import computed_once
 from ecolake.sources.grids import GRID_COLUMNS, center_x, center_y
 
 # --- fixed values -----------------------------------------------------------------------
@@ -71,8 +72,8 @@ def lonlat_extents(grids: DataFrame) -> DataFrame:
     points = grids.select("geometry", "crs", *GRID_COLUMNS[:5]).distinct().withColumn(
         "i", F.explode(F.sequence(F.lit(0), F.lit(EDGE_POINTS + 1)))
     ).withColumn("p", F.explode(edges))
-    lon, lat = to_lonlat(F.col("crs"), F.col("p.x"), F.col("p.y"))
-    extent = points.select("geometry", "crs", lon.alias("lon"), lat.alias("lat")).groupBy("geometry", "crs").agg(
+    placed = computed_once(points.select("geometry", "crs", "p"), at=to_lonlat(F.col("crs"), F.col("p.x"), F.col("p.y")))
+    extent = placed.select("geometry", "crs", F.col("at.a").alias("lon"), F.col("at.b").alias("lat")).groupBy("geometry", "crs").agg(
         F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"),
         F.bool_and(F.col("lon").isNotNull() & F.col("lat").isNotNull()).alias("placed"),
     )
@@ -102,8 +103,8 @@ def geometry_lonlat(grids: DataFrame) -> DataFrame:
     """Longitude and latitude of every cell centre, once per (geometry, crs)."""
     rows = geometries(grids).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("nrows") - 1)))
     cells = rows.withColumn("col", F.explode(F.sequence(F.lit(0), F.col("ncols") - 1)))
-    lon, lat = to_lonlat(F.col("crs"), center_x(F.col("col")), center_y(F.col("row")))
-    return cells.select("geometry", "crs", "row", "col", lon.alias("lon"), lat.alias("lat"))
+    cells = computed_once(cells, at=to_lonlat(F.col("crs"), center_x(F.col("col")), center_y(F.col("row"))))
+    return cells.select("geometry", "crs", "row", "col", F.col("at.a").alias("lon"), F.col("at.b").alias("lat"))
 
 
 def cells_lonlat(cells: DataFrame, positions: DataFrame) -> DataFrame:
@@ -131,11 +132,10 @@ def regrid_lookup(grids: DataFrame) -> DataFrame:
         "lon": F.col("west") + F.col("res") * (F.col("out_col") + 0.5),
         "lat": F.col("north") - F.col("res") * (F.col("out_row") + 0.5),
     })
-    x, y = from_lonlat(F.col("crs"), F.col("lon"), F.col("lat"))
     top = F.col("yll") + F.col("cellsize") * F.col("nrows")
-    placed = target.withColumns({"_x": x, "_y": y}).withColumns({
-        "col": F.floor((F.col("_x") - F.col("xll")) / F.col("cellsize")).cast("int"),
-        "row": F.floor((top - F.col("_y")) / F.col("cellsize")).cast("int"),
+    placed = computed_once(target, at=from_lonlat(F.col("crs"), F.col("lon"), F.col("lat"))).withColumns({
+        "col": F.floor((F.col("at.a") - F.col("xll")) / F.col("cellsize")).cast("int"),
+        "row": F.floor((top - F.col("at.b")) / F.col("cellsize")).cast("int"),
     })
     inside = F.col("col").between(0, F.col("ncols") - 1) & F.col("row").between(0, F.col("nrows") - 1)
     return placed.filter(inside).select("geometry", "crs", "row", "col", "out_row", "out_col", "lon", "lat")
