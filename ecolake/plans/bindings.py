@@ -8,7 +8,7 @@ before it moves; a file text holds one calendar of one series or the 64 cells of
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +25,9 @@ DEGREES_WKT = "GEOGCS['WGS 84',DATUM['WGS_1984'],AUTHORITY['EPSG','4326']]"
 METRES_WKT = "PROJCS['ETRS89 / LAEA Europe',GEOGCS['ETRS89'],AUTHORITY['EPSG','3035']]"
 
 
+@lru_cache(maxsize=256)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table; the folder is listed and the schema read once per session."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -322,7 +324,8 @@ def map_names(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
 
 
 def map_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_path_parts(map_names(spark, sf_dir).select("path"), "/raw")
+    """The names as a folder listing: each path once."""
+    return with_path_parts(map_names(spark, sf_dir).select("path").distinct(), "/raw")
 
 
 def run_info_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,16 +212,6 @@ multi AS (SELECT model, scenario, count(DISTINCT dir) AS n FROM runs GROUP BY mo
 ORACLE["assign_run_id"] = f"""WITH {RUN} SELECT model, scenario, CASE WHEN n > 1 THEN dir END AS run_id, year, group_id, sum(l_quantity) AS value
 FROM runs JOIN multi USING (model, scenario) GROUP BY model, scenario, n, dir, year, group_id"""
 
-ORACLE["scan_report"] = FILES + """, outcome AS (SELECT 'csv' AS kind, status, split_part(name, '/', -1) AS name, CASE status WHEN 'unsupported' THEN 'no data section'
-  WHEN 'error' THEN 'a time or number cell cannot be read' END AS message FROM files WHERE status <> 'none'
- UNION ALL SELECT 'map', 'unrecognised', 'biodiv_ind-Label 9-' || lpad(CAST((vec_id % 8) * 12 + vec_id // 8 % 12 + 1 AS VARCHAR), 5, '0') || '.asc', NULL FROM embeddings WHERE label = 9)
-SELECT kind, status, count(*) AS files, array_to_string(list_sort(list(DISTINCT name))[1:3], '; ') AS examples, min(name || ': ' || message) AS first_message
-FROM outcome GROUP BY kind, status"""
-ORACLE["scan_warnings"] = ORACLE["scan_report"].replace("SELECT kind, status, count(*)", ", rep AS (SELECT kind, status, count(*)") + """)
-SELECT kind, status, CASE status WHEN 'unrecognised' THEN files || ' map files were not loaded: their names match no known map (e.g. ' || replace(examples, '; ', ', ') || ')'
- WHEN 'unsupported' THEN files || ' CSV files have no time-series table and were skipped'
- ELSE files || ' ' || kind || ' files could not be loaded. First: ' || first_message END AS warning FROM rep WHERE status <> 'ok'"""
-
 # --- trends and charts -------------------------------------------------------------------
 
 ORACLE["moving_average"] = f"""{B} SELECT model, scenario, group_id, year,
@@ -253,7 +243,7 @@ ORACLE["analysis_per_series"] = f"{B} SELECT model, scenario, group_id, round(re
 
 # --- maps --------------------------------------------------------------------------------
 
-NAMES = """m AS (SELECT vec_id, label, vec_id % 3 AS scn, CASE WHEN vec_id % 3 = 1 THEN 'Sample_' || (vec_id % 2) ELSE 'single' END AS run,
+NAMES = """m AS (SELECT DISTINCT label, vec_id % 3 AS scn, CASE WHEN vec_id % 3 = 1 THEN 'Sample_' || (vec_id % 2) ELSE 'single' END AS run,
   (vec_id % 8) * 12 + vec_id // 8 % 12 + 1 AS step, CASE WHEN label <= 4 THEN 'EcospaceMapBiomass' WHEN label <= 6 THEN 'EcospaceMapCatch'
   WHEN label = 7 THEN 'LayerHabitatCapacity' WHEN label = 8 THEN 'EcospaceMapEffort' ELSE 'biodiv_ind' END AS prefix,
   CASE WHEN label <= 4 THEN 'biomass' WHEN label <= 6 THEN 'catch' WHEN label = 7 THEN 'habitat_capacity' WHEN label = 8 THEN 'effort' END AS variable FROM embeddings),
@@ -274,6 +264,16 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dir, name) AS r
   first(name) OVER (PARTITION BY id ORDER BY dir, name) AS kept_name FROM ided),
 idx AS (SELECT id, model, model_name, scenario, domain, variable, group_name, fleet_name, year, run_id,
   'scenario=' || scenario || '/domain=' || domain || '/variable=' || variable AS path, path AS source_path FROM ranked WHERE rn = 1)"""
+ORACLE["scan_report"] = FILES + f", {NAMES}" + """, outcome AS (SELECT 'csv' AS kind, status, split_part(name, '/', -1) AS name, CASE status WHEN 'unsupported' THEN 'no data section'
+  WHEN 'error' THEN 'a time or number cell cannot be read' END AS message FROM files WHERE status <> 'none'
+ UNION ALL SELECT 'map', 'unrecognised', name, NULL FROM n WHERE variable IS NULL)
+SELECT kind, status, count(*) AS files, array_to_string(list_sort(list(DISTINCT name))[1:3], '; ') AS examples, min(name || ': ' || message) AS first_message
+FROM outcome GROUP BY kind, status"""
+ORACLE["scan_warnings"] = ORACLE["scan_report"].replace("SELECT kind, status, count(*)", ", rep AS (SELECT kind, status, count(*)") + """)
+SELECT kind, status, CASE status WHEN 'unrecognised' THEN files || ' map files were not loaded: their names match no known map (e.g. ' || replace(examples, '; ', ', ') || ')'
+ WHEN 'unsupported' THEN files || ' CSV files have no time-series table and were skipped'
+ ELSE files || ' ' || kind || ' files could not be loaded. First: ' || first_message END AS warning FROM rep WHERE status <> 'ok'"""
+
 ORACLE["raster_names_output"] = f"""WITH {NAMES} SELECT dir || '/' || name AS rel, variable, CASE WHEN label = 8 THEN 'fleet' WHEN label < 8 THEN 'group' END AS entity_type,
  CASE WHEN variable IS NOT NULL THEN 'Label ' || label END AS entity_name, CASE WHEN variable IS NOT NULL THEN step END AS step,
  CASE WHEN variable IS NOT NULL THEN CAST(1998 + (step - 1) // 12 AS INT) END AS year FROM n"""
