@@ -260,7 +260,7 @@ def _indexed_grids(spark, sf_dir):
 @query
 def export_ascii(spark, sf_dir):
     maps = _indexed_grids(spark, sf_dir)
-    cells = areas.area_cells(areas.area_windows(maps, AREAS))
+    cells = areas.area_cells(areas.area_windows(_grids_ok(spark, sf_dir), AREAS))
     windows = written(export.area_windows_as_arrays(cells), "windows")
     out = export.ascii_grids(maps, windows).unionByName(export.ascii_grids(maps))
     return out.filter(F.col("text").isNotNull()).select("folder", "file", "text")
@@ -654,7 +654,7 @@ def raster_collisions(spark, sf_dir):
 
 @query
 def grid_meta(spark, sf_dir):
-    return grids.grid_meta(_parsed_grids(spark, sf_dir), "raster_id")
+    return grids.grid_meta(grids.grid_headers(bindings.grid_files(spark, sf_dir)), "raster_id")
 
 
 def _cells(spark, sf_dir):
@@ -673,22 +673,26 @@ def raster_range_all(spark, sf_dir):
 
 @query
 def grid_crs(spark, sf_dir):
-    return crs.with_crs(_parsed_grids(spark, sf_dir)).select("raster_id", "crs", "crs_status")
+    return _headers(spark, sf_dir).select("raster_id", "crs", "crs_status")
 
 
 @query
 def crs_mismatch(spark, sf_dir):
-    return crs.crs_mismatches(crs.with_crs(_parsed_grids(spark, sf_dir))).select("raster_id", "crs", "reason")
+    return crs.crs_mismatches(_headers(spark, sf_dir)).select("raster_id", "crs", "reason")
 
 
 @query
 def crs_candidates(spark, sf_dir):
-    bad = crs.crs_mismatches(crs.with_crs(_parsed_grids(spark, sf_dir)))
+    bad = crs.crs_mismatches(_headers(spark, sf_dir))
     return crs.crs_candidates(bad)
 
 
+def _headers(spark, sf_dir):
+    return crs.with_crs(grids.grid_headers(bindings.grid_files(spark, sf_dir)))
+
+
 def _grids_ok(spark, sf_dir):
-    return crs.with_crs(_parsed_grids(spark, sf_dir)).filter(F.col("crs_status") == "ok")
+    return _headers(spark, sf_dir).filter(F.col("crs_status") == "ok")
 
 
 @query

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ecolake.functions.naming import file_stem, name_part
 from ecolake.sources.files import open_path
@@ -34,7 +35,7 @@ def area_windows_as_arrays(area: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _grid_text(
     cells: pd.Series, ncols: pd.Series, nrows: pd.Series, xll: pd.Series, yll: pd.Series, cellsize: pd.Series,
     nodata: pd.Series, row0: pd.Series, col0: pd.Series, rows: pd.Series, cols: pd.Series, inside: pd.Series,

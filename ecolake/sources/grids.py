@@ -25,39 +25,37 @@ INPUT_YEAR = r"((?:19|20)\d{2})"
 RUN_INFO = "Ecospace RunInfo.txt"
 CRS_FIELD = "CoordinateSystemWKT"
 DEFAULT_NODATA = -9999.0
-GRID_KEYWORDS = "ncols|nrows|xllcorner|yllcorner|xllcenter|yllcenter|cellsize|nodata_value"
+HEADER_LINES = r"(?i)^(?:\s*(?:ncols|nrows|xllcorner|yllcorner|xllcenter|yllcenter|cellsize|nodata_value)\s+\S+)+"
 # ----------------------------------------------------------------------------------------
 
 GRID_COLUMNS = ["ncols", "nrows", "xll", "yll", "cellsize", "nodata"]
 
 
-def read_grids(files: DataFrame) -> DataFrame:
-    """Parse grid texts: header columns (``ncols, nrows, xll, yll, cellsize, nodata``),
-    ``geometry`` (a key shared by all maps on the same grid), ``cells`` (array of numbers,
-    rows north to south) and ``status``. One row per file, no shuffle."""
-    head_pattern = rf"(?i)^(?:\s*(?:{GRID_KEYWORDS})\s+\S+)+"
-    head = F.regexp_extract(F.col("text"), head_pattern, 0)
+def grid_headers(files: DataFrame) -> DataFrame:
+    """Header columns of grid texts (``ncols, nrows, xll, yll, cellsize, nodata``) and
+    ``geometry``, a key shared by all maps on the same grid. ``text`` may be just the head."""
+    head = F.regexp_extract(F.col("text"), HEADER_LINES, 0)
 
     def field(name: str) -> Column:
         return to_number(F.regexp_extract(F.col("_head"), rf"(?i)(?:^|\s){name}\s+(\S+)", 1))
 
-    body = F.substring(F.col("text"), F.length("_head") + 1, F.length("text"))
     cs = field("cellsize")
-    out = computed_once(computed_once(files, _head=head), **{
-        "ncols": field("ncols").cast("int"),
-        "nrows": field("nrows").cast("int"),
-        "xll": F.coalesce(field("xllcorner"), field("xllcenter") - cs / 2),
-        "yll": F.coalesce(field("yllcorner"), field("yllcenter") - cs / 2),
-        "cellsize": cs,
-        "nodata": F.coalesce(field("nodata_value"), F.lit(DEFAULT_NODATA)),
-        "cells": F.transform(F.split(strip(body), r"\s+"), to_number),
-    }).drop("_head")
+    out = computed_once(
+        computed_once(files, _head=head), ncols=field("ncols").cast("int"), nrows=field("nrows").cast("int"),
+        xll=F.coalesce(field("xllcorner"), field("xllcenter") - cs / 2),
+        yll=F.coalesce(field("yllcorner"), field("yllcenter") - cs / 2),
+        cellsize=cs, nodata=F.coalesce(field("nodata_value"), F.lit(DEFAULT_NODATA)), _skip=F.length("_head"),
+    ).drop("_head")
+    return out.withColumn("geometry", F.concat_ws("|", *[F.col(c).cast("string") for c in GRID_COLUMNS[:5]]))
+
+
+def read_grids(files: DataFrame) -> DataFrame:
+    """:func:`grid_headers` with ``cells`` (array of numbers, rows north to south) and
+    ``status``. One row per file, no shuffle."""
+    body = F.substring(F.col("text"), F.col("_skip") + 1, F.length("text"))
+    out = computed_once(grid_headers(files), cells=F.transform(F.split(strip(body), r"\s+"), to_number))
     whole = F.size("cells") == F.col("ncols") * F.col("nrows")
-    geometry = F.concat_ws("|", *[F.col(c).cast("string") for c in GRID_COLUMNS[:5]])
-    return out.withColumns({
-        "geometry": geometry,
-        "status": F.when(F.coalesce(whole, F.lit(False)), "ok").otherwise("error"),
-    })
+    return out.withColumn("status", F.when(F.coalesce(whole, F.lit(False)), "ok").otherwise("error")).drop("_skip")
 
 
 def center_x(col: Column) -> Column:
