@@ -10,29 +10,29 @@ from ecolake.plans.report import scan_report
 from ecolake.schema import MODELS, RASTER_INDEX, SCENARIOS
 from ecolake.session import written
 from ecolake.sinks.store import conform, dim_models, dim_scenarios, replace_source
-from ecolake.sources.files import list_files, read_texts, with_heads
+from ecolake.sources.files import WHOLE_FILE_BYTES, list_files, read_texts, with_heads
 from ecolake.sources.grids import RUN_INFO, read_run_info
 from ecolake.sources.model_csv import (
-    assign_run_id, discover_input, parsed_files, read_trends, run_directories, values, with_headers,
+    HEADER_END, assign_run_id, discover_input, large_files, parsed_files, read_trends, run_directories, values, with_headers,
 )
 
-_HEADER_STOP = r'(?m)^[ \t]*"?[ \t]*<HEADER[^\r\n]*end'
-
-
 def _save(df: DataFrame, root: str, table: str, source_id: str) -> None:
     df.write.mode("overwrite").parquet(f"{root}/{table}/source_id={source_id}")
 
 
-def ingest_output(spark: SparkSession, folder: str, root: str, source_id: str) -> DataFrame:
+def ingest_output(
+    spark: SparkSession, folder: str, root: str, source_id: str, whole_file_bytes: int = WHOLE_FILE_BYTES,
+) -> DataFrame:
     """Load model output below ``folder`` into the store; returns the scan report.
 
     1. Headers only: which runs are there (each file is read to the end of its header).
     2. Values: one map-only pass from text to tidy rows, joined to the small table of runs
-       written by step 1, straight into the store.
+       written by step 1, straight into the store. Files above ``whole_file_bytes`` are split
+       over many tasks instead.
     3. Maps: index rows from file names and run descriptions; no map is opened.
     """
     listed = list_files(spark, folder, "*.csv")
-    heads = with_heads(listed, limit=None, until=_HEADER_STOP)
+    heads = with_heads(listed, limit=None, until=HEADER_END)
     found = written(
         with_headers(heads).filter(F.col("scenario").isNotNull()).select(
             "path", "dir", "model", "model_name", "scenario", "scenario_label",
@@ -40,8 +40,13 @@ def ingest_output(spark: SparkSession, folder: str, root: str, source_id: str) -
     )
     directories = written(run_directories(found), "run-directories")
 
-    parsed = parsed_files(read_texts(spark, folder, "*.csv"))
-    replace_source(assign_run_id(values(parsed), directories), root, source_id)
+    parsed = parsed_files(read_texts(spark, folder, "*.csv", whole_file_bytes))
+    rows, statuses = values(parsed), parsed.select("status", "name", "message")
+    if not listed.filter(F.col("bytes") > whole_file_bytes).isEmpty():
+        large_rows, large_statuses = large_files(spark, folder, whole_file_bytes)
+        rows = rows.unionByName(large_rows)
+        statuses = statuses.unionByName(large_statuses.select("status", "name", "message"))
+    replace_source(assign_run_id(rows, directories), root, source_id)
 
     names = list_files(spark, folder, "*.asc")
     info = read_run_info(with_heads(list_files(spark, folder, RUN_INFO), limit=None))
@@ -57,7 +62,7 @@ def ingest_output(spark: SparkSession, folder: str, root: str, source_id: str) -
     collisions = raster_collisions(maps)
     indexed = maps.join(collisions.select("path"), "path", "left_anti")
     outcomes = (
-        parsed.select(F.lit("csv").alias("kind"), "status", "name", "message")
+        statuses.select(F.lit("csv").alias("kind"), "status", "name", "message")
         .unionByName(indexed.select(F.lit("map").alias("kind"), F.lit("ok").alias("status"), "name", none.alias("message")))
         .unionByName(collisions.select(F.lit("map").alias("kind"), F.lit("error").alias("status"), "name", "message"))
         .unionByName(unrecognised_maps(names).select(

@@ -20,6 +20,8 @@ from ecolake.functions.naming import stem
 
 # --- fixed values -----------------------------------------------------------------------
 HEAD_BYTES = 4096
+WHOLE_FILE_BYTES = 256 << 20  # far below the 2 GB a single text may have
+HEADER_BYTES_MAX = 64 << 20  # no header is searched for beyond
 # ----------------------------------------------------------------------------------------
 
 
@@ -68,13 +70,15 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return with_path_parts(listed, root)
 
 
-def read_texts(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
-    """Whole files below ``root`` as one text each."""
+def read_texts(spark: SparkSession, root: str, glob: str = "*.csv", max_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+    """Files below ``root`` of at most ``max_bytes`` as one text each. Larger ones are read by
+    lines (:func:`read_lines`)."""
     root = _root(root)
     texts = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .text(root, wholetext=True)
+        .filter(F.col("_metadata.file_size") <= max_bytes)
         .select(
             _decoded(F.col("_metadata.file_path")).alias("path"),
             F.regexp_replace("value", "^﻿", "").alias("text"),
@@ -83,9 +87,24 @@ def read_texts(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame
     return with_path_parts(texts, root)
 
 
+def read_lines(spark: SparkSession, root: str, glob: str = "*.csv", larger_than: int = WHOLE_FILE_BYTES) -> DataFrame:
+    """Lines of the files larger than ``larger_than`` bytes, each file split over many tasks.
+    ``block`` is where in the file a task began and ``position`` rises with the lines of a
+    block, so the two order the lines of a file."""
+    root = _root(root)
+    lines = (
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
+        .filter(F.col("_metadata.file_size") > larger_than)
+    )
+    return lines.select(
+        _decoded(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("position"), F.col("value").alias("line"),
+    )
+
+
 def with_heads(files: DataFrame, limit: int | None = HEAD_BYTES, until: str | None = None) -> DataFrame:
     """Add ``text`` to listed files, reading only what is asked for: the first ``limit``
-    bytes, or up to the first line matching ``until``, or (both None) the whole file."""
+    bytes, or up to the end of the first match of ``until``, or (both None) the whole file."""
     columns = [f for f in files.schema.fields if f.name != "text"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in columns] + ["text string"])
 
@@ -115,9 +134,9 @@ def _head(path: str, limit: int | None, until: str | None) -> str:
             data = stream.read()
         else:
             stop, data = re.compile(until.encode()), b""
-            while chunk := stream.read(65536):
-                overlap = max(0, len(data) - 4096)
+            while (chunk := stream.read(1 << 20)) and len(data) < HEADER_BYTES_MAX:
                 data += chunk
-                if stop.search(data, overlap):
+                if found := stop.search(data):
+                    data = data[:found.end()]
                     break
     return data.decode("utf-8-sig", errors="replace")

@@ -7,7 +7,7 @@ shuffle, no Python.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ecolake.functions.csvline import (
@@ -17,7 +17,8 @@ from ecolake.functions.measures import to_number
 from ecolake.functions.naming import file_variable, slugify, strip
 from ecolake.functions.periods import DEFAULT_START_YEAR, frequency, iso_date, year_month
 from ecolake.schema import TIDY, TIDY_COLUMNS
-from ecolake.session import computed_once, let
+from ecolake.session import computed_once, let, written
+from ecolake.sources.files import WHOLE_FILE_BYTES, list_files, read_lines, with_heads
 
 # --- fixed values: the export format ----------------------------------------------------
 SCENARIO_FIELD = "EcosimScenario"
@@ -29,7 +30,10 @@ BLOCK_START, BLOCK_END = "<HEADER", "/>"
 HEADER_END_LINE = (
     r'(?m)^(?:"\s*<HEADER[^"\r\n]*end[^"\r\n]*/>\s*"|[ \t]*<HEADER[^",\r\n]*end[^",\r\n]*/>[ \t]*)(?:,.*)?$'
 )
+HEADER_END = r'(?m)^[ \t]*"?[ \t]*<HEADER[^\r\n]*end[^\r\n]*'
 DATA_LINE = r'(?m)^([ \t]*"?[ \t]*Data[ \t]*"?[ \t]*(?:,.*)?)$'
+# everything up to and with the line that names the columns
+TABLE_HEAD = r'(?m)^[ \t]*"?[ \t]*Data[ \t]*"?[ \t]*(?:,[^\r\n]*)?(?:\r\n|\r|\n)(?:[\s,"]*[\r\n])?[^\r\n]*[^,\s"][^\r\n]*(?:\r\n|\r|\n)'
 LONG_COLUMNS = ["fleet", "group", "value"]
 # ----------------------------------------------------------------------------------------
 
@@ -133,11 +137,12 @@ def with_sections(files: DataFrame) -> DataFrame:
     ).drop("_header", "_rest")
 
 
-def with_shapes(files: DataFrame) -> DataFrame:
+def with_shapes(files: DataFrame, head_only: bool = False) -> DataFrame:
     """Add ``shape``, ``freq``, ``start_year``, ``variable``, ``target`` and the file's
     ``status`` (``ok``, ``unsupported`` or ``error``) with a ``message``.
 
-    Needs the columns of :func:`with_headers` and :func:`with_sections`.
+    Needs the columns of :func:`with_headers` and :func:`with_sections`. With ``head_only`` the
+    data lines were not read, so having none means nothing.
     """
     first = F.lower(F.get("header", F.lit(0)))
     width = F.size("header")
@@ -147,7 +152,7 @@ def with_shapes(files: DataFrame) -> DataFrame:
     )
     shape = (
         F.when(F.col("header").isNull(), F.lit(None).cast("string"))
-        .when(F.size("lines") == 0, "empty")
+        .when((F.size("lines") == 0) & ~F.lit(head_only), "empty")
         .when(first.isin("year", "timestep") & (F.slice("header", 2, 3) == F.array(*map(F.lit, LONG_COLUMNS))), "long")
         .when((width == 2) & (F.lower(F.get("header", F.lit(1))) == "value"), "single")
         .when(first.endswith("\\group") & digits, "wide_by_id")
@@ -207,10 +212,18 @@ def values(parsed: DataFrame) -> DataFrame:
     Short lines are padded and long ones cut to the header's width. The wide layouts drop
     empty cells, the long and single ones keep them as null values.
     """
-    lines = parsed.filter(F.col("status") == "ok").filter(F.col("shape") != "empty").select(
-        "path", "dir", "model", "model_name", "scenario", "variable", "freq", "unit", "target",
-        "start_year", "shape", "header", F.explode("lines").alias("line"),
-    ).withColumn("cells", split_csv(F.col("line")))
+    usable = parsed.filter(F.col("status") == "ok").filter(F.col("shape") != "empty")
+    return line_values(usable.select(*_PER_FILE, F.explode("lines").alias("line")))
+
+
+_PER_FILE = [
+    "path", "dir", "model", "model_name", "scenario", "variable", "freq", "unit", "target", "start_year", "shape", "header",
+]
+
+
+def line_values(lines: DataFrame) -> DataFrame:
+    """Tidy rows of single data lines (``line``) that carry what is known of their file."""
+    lines = lines.withColumn("cells", split_csv(F.col("line")))
 
     def cell(col: Column, i: int) -> Column:
         return to_number(F.get(col, F.lit(i)))
@@ -266,6 +279,38 @@ def read_layout(files: DataFrame, *shapes: str) -> DataFrame:
     return values(parsed).select(*TIDY_COLUMNS)
 
 
+def large_files(spark: SparkSession, root: str, larger_than: int = WHOLE_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """``(rows, files)`` of the exports too large to be one text: tidy rows as from
+    :func:`values`, and a status per file as from :func:`parsed_files`.
+
+    Only the head of each file is read whole. Its lines are then read by many tasks, and those
+    behind the head are told by their position; no file passes through a single task.
+    """
+    big = list_files(spark, root, "*.csv").filter(F.col("bytes") > larger_than)
+    heads = with_headers(with_heads(big, limit=None, until=TABLE_HEAD)).filter(F.col("scenario").isNotNull())
+    known = with_shapes(with_sections(heads), head_only=True).withColumn("head_lines", F.size(split_lines(F.col("text"))) - 1)
+    known = written(known.select(*_PER_FILE, "name", "status", "message", "head_lines"), "large-heads")
+
+    lines = read_lines(spark, root, "*.csv", larger_than)
+    # number of the first line of each block: the lines of the blocks before it
+    blocks = lines.groupBy("path", "block").agg(F.min("position").alias("begin"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = written(blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n"), "large-blocks")
+    per_block = known.filter(F.col("status") == "ok").join(blocks, "path").drop("name", "status", "message")
+    number = F.col("before") + F.col("position") - F.col("begin")
+    data = lines.join(per_block, ["path", "block"]).filter((number >= F.col("head_lines")) & has_content(F.col("line")))
+
+    unusable = _unusable_time(F.col("shape"), F.col("freq"), F.col("start_year"))
+    faulty = written(data.filter(broken_quotes(F.col("line")) | unusable(F.col("line"))).select("path").distinct(), "large-faulty")
+    rows = line_values(data.join(faulty, "path", "left_anti").select(*_PER_FILE, "line"))
+    marked = known.join(faulty.withColumn("faulty", F.lit(True)), "path", "left")
+    files = marked.withColumns({
+        "status": F.when(F.col("faulty"), "error").otherwise(F.col("status")),
+        "message": F.when(F.col("faulty"), "a time or number cell cannot be read").otherwise(F.col("message")),
+    }).drop("faulty", "head_lines")
+    return rows, files
+
+
 def run_directories(parsed: DataFrame) -> DataFrame:
     """Number of directories each (model, scenario) was found in."""
     return (

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ecolake.sources.files import list_files, read_texts, with_heads
 from ecolake.sources.model_csv import (
-    assign_run_id, discover_output, parsed_files, read_layout, read_trends, run_directories, values, with_headers,
+    HEADER_END, assign_run_id, discover_output, large_files, parsed_files, read_layout, read_trends, run_directories, values, with_headers,
 )
 
 
@@ -74,7 +74,7 @@ def test_a_file_with_an_unreadable_period_gives_no_rows(spark, folder):
 
 def test_head_only_reading_finds_the_same_runs(spark, folder):
     listed = list_files(spark, folder, "*.csv")
-    heads = with_heads(listed, limit=None, until=r'(?m)^[ \t]*"?[ \t]*<HEADER[^\r\n]*end')
+    heads = with_heads(listed, limit=None, until=HEADER_END)
     whole = rows(discover_output(read_texts(spark, folder)), "model", "scenario", "n_files", "n_dirs")
     assert rows(discover_output(heads), "model", "scenario", "n_files", "n_dirs") == whole == [("test_model", "test_scenario", 11, 2)]
 
@@ -111,3 +111,21 @@ def test_trends_skip_line_one_and_unusable_lines(spark, tmp_path):
 def test_parsing_needs_no_shuffle(spark, folder):
     plan = values(parsed_files(read_texts(spark, folder)))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_large_files_are_split_and_give_the_same(spark, folder):
+    """With a few bytes per task every file falls into many blocks."""
+    parsed = parsed_files(read_texts(spark, folder))
+    shown = ("path", "year", "month", "group_id", "group_name", "fleet_id", "partner_name", "value", "unit", "freq", "variable")
+    key = lambda df: sorted(str([r[c] for c in shown]) for r in df.collect())
+    want, states = key(values(parsed)), {(r["name"], r["status"]) for r in parsed.filter("shape <> 'empty' or shape is null").collect()}
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        rows_, files = large_files(spark, folder, larger_than=0)
+        assert key(rows_) == want
+        assert {(r["name"], r["status"]) for r in files.collect() if r["name"] != "empty.csv"} == states
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
