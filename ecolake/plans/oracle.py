@@ -397,3 +397,56 @@ texts AS (SELECT raster_id, area, 'ncols ' || cols || chr(10) || 'nrows ' || row
   FROM lines GROUP BY raster_id, area, rows, cols, col0, row1, crs)
 SELECT {_PART.format('area')} AS folder, {_PART.format('area')} || '__Model-' || (CAST(raster_id AS INT) % 2) || '__s' || (CAST(raster_id AS INT) % 3) || '__biomass__Label-no.-' || raster_id
  || '__' || (1998 + CAST(raster_id AS INT) % 50) || '.asc' AS file, text FROM texts WHERE k > 0 OR area = 'full-area'"""
+
+# --- where a metric grid would lie under each candidate system, by the textbook formulas --------
+
+def _transverse(code: str, lon0: float, k: float, north0: float, f: float) -> str:
+    """Rows (crs, x, y, lon, lat) of every edge point read as transverse Mercator."""
+    n = f / (2 - f)
+    r = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * k
+    b = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280]
+    d = [2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630]
+    xi = "xi" + "".join(f" - {c!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, c in enumerate(b, 1))
+    eta = "eta" + "".join(f" - {c!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(b, 1))
+    lat = "chi" + "".join(f" + {c!r}::DOUBLE * sin({2 * j} * chi)" for j, c in enumerate(d, 1))
+    return (
+        f"SELECT '{code}' AS crs, {lon0} + degrees(atan2(sinh(e1), cos(x1))) AS lon, degrees({lat}) AS lat FROM (SELECT *, asin(sin(x1) / cosh(e1)) AS chi FROM "
+        f"(SELECT {xi} AS x1, {eta} AS e1 FROM (SELECT (y - ({north0}))::DOUBLE / {r!r}::DOUBLE AS xi, (x - 500000)::DOUBLE / {r!r}::DOUBLE AS eta FROM pts)))"
+    )
+
+
+_F80, _F84 = 1 / 298.257222101, 1 / 298.257223563
+_E80 = (_F80 * (2 - _F80)) ** 0.5
+_T = lambda lat: f"(tan(pi() / 4 - radians({lat}) / 2) / power((1 - {_E80!r} * sin(radians({lat}))) / (1 + {_E80!r} * sin(radians({lat}))), {_E80 / 2!r}))"
+_M = lambda lat: f"(cos(radians({lat})) / sqrt(1 - power({_E80!r} * sin(radians({lat})), 2)))"
+_STEP = f"(pi() / 2 - 2 * atan(t * power((1 - {_E80!r} * sin(p)) / (1 + {_E80!r} * sin(p)), {_E80 / 2!r})))"
+CONIC = f"""cn AS (SELECT ln({_M(35)} / {_M(65)}) / ln({_T(35)} / {_T(65)}) AS n),
+cb AS (SELECT n, 6378137 * {_M(35)} / (n * power({_T(35)}, n)) AS big FROM cn),
+cr AS (SELECT x - 4000000 AS dx, big * power({_T(52)}, n) - (y - 2800000) AS dy, n, big FROM pts, cb),
+it0 AS (SELECT *, power(sqrt(dx * dx + dy * dy) / big, 1 / n) AS t FROM cr), it1 AS (SELECT *, pi() / 2 - 2 * atan(t) AS p FROM it0),
+it2 AS (SELECT * REPLACE ({_STEP} AS p) FROM it1), it3 AS (SELECT * REPLACE ({_STEP} AS p) FROM it2), it4 AS (SELECT * REPLACE ({_STEP} AS p) FROM it3),
+it5 AS (SELECT * REPLACE ({_STEP} AS p) FROM it4), it6 AS (SELECT * REPLACE ({_STEP} AS p) FROM it5)"""
+_POINTS = """pts AS (SELECT CASE s WHEN 0 THEN i WHEN 1 THEN i WHEN 2 THEN 0 ELSE 1 END * 32000 + 4535378::DOUBLE AS x,
+ CASE s WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE i END * 32000 + 3432716::DOUBLE AS y
+ FROM (SELECT unnest(range(23)) / 22 AS i), (SELECT unnest(range(4)) AS s) WHERE (SELECT count(*) FROM embeddings WHERE vec_id % 4 = 1) > 0)"""
+ORACLE["crs_candidates"] = f"""WITH {_POINTS}, {LAEA}, {_laea('pts')}, {CONIC}, all_points AS (
+ SELECT 'EPSG:3035' AS crs, lon, lat FROM ll
+ UNION ALL SELECT 'EPSG:3034', 10 + degrees(atan2(dx, dy)) / n, degrees(p) FROM it6
+ UNION ALL SELECT 'EPSG:3857', degrees(x / 6378137), degrees(2 * atan(exp(y / 6378137)) - pi() / 2) FROM pts
+ UNION ALL {_transverse('EPSG:32633', 15, 0.9996, 0, _F84)} UNION ALL {_transverse('EPSG:32634', 21, 0.9996, 0, _F84)}
+ UNION ALL {_transverse('EPSG:32635', 27, 0.9996, 0, _F84)} UNION ALL {_transverse('EPSG:2180', 19, 0.9993, -5300000, _F80)}
+ UNION ALL {_transverse('EPSG:3006', 15, 0.9996, 0, _F80)}),
+ext AS (SELECT crs, min(lon) AS w, min(lat) AS s, max(lon) AS e, max(lat) AS n, bool_and(isfinite(lon) AND isfinite(lat)) AS ok FROM all_points GROUP BY crs),
+good AS (SELECT crs, CASE WHEN ok AND w >= -180 AND e <= 180 AND s >= -90 AND n <= 90 THEN true ELSE false END AS fits FROM ext)
+SELECT '8|8|4535378.0|3432716.0|4000.0' AS geometry, crs, c.name AS crs_name, CASE WHEN fits THEN round(w, 2) END AS west, CASE WHEN fits THEN round(s, 2) END AS south,
+ CASE WHEN fits THEN round(e, 2) END AS east, CASE WHEN fits THEN round(n, 2) END AS north
+FROM ext JOIN good USING (crs) JOIN (VALUES {', '.join(f"('{code}', {_q(name)})" for code, name in CANDIDATE_CRS)}) c(crs, name) USING (crs)"""
+
+ORACLE["regrid_nearest"] = f"""WITH {CELLS}, {LAEA}, {_POINTS}, {_laea('pts')},
+ext AS (SELECT min(lon) AS w, min(lat) AS s, max(lon) AS e, max(lat) AS n FROM ll),
+size AS (SELECT *, sqrt(power(e - w, 2) + power(n - s, 2)) / sqrt(128) AS res FROM ext),
+target AS (SELECT CAST(r AS INT) AS out_row, CAST(c AS INT) AS out_col, w + res * (c + 0.5) AS lon, n - res * (r + 0.5) AS lat
+ FROM size, (SELECT unnest(range(100)) AS r), (SELECT unnest(range(100)) AS c) WHERE r < round((n - s) / res) AND c < round((e - w) / res)),
+u AS (SELECT *, 0 AS n, 0 AS area FROM target), {_FORWARD},
+look AS (SELECT out_row, out_col, lon, lat, CAST(floor((3464716 - py) / 4000) AS INT) AS row, CAST(floor((px - 4535378) / 4000) AS INT) AS col FROM xy)
+SELECT raster_id, out_row, out_col, round(lon, 6) AS lon, round(lat, 6) AS lat, value FROM look JOIN cells USING (row, col) WHERE crs = 'EPSG:3035'"""
