@@ -13,7 +13,7 @@ from ecolake.sinks.store import conform, dim_models, dim_scenarios, replace_sour
 from ecolake.sources.files import WHOLE_FILE_BYTES, list_files, read_texts, with_heads
 from ecolake.sources.grids import RUN_INFO, read_run_info
 from ecolake.sources.model_csv import (
-    HEADER_END, assign_run_id, discover_input, large_files, parsed_files, read_trends, run_directories, values, with_headers,
+    assign_run_id, discover_input, large_files, parsed_files, read_trends, run_directories, staged,
 )
 
 def _save(df: DataFrame, root: str, table: str, source_id: str) -> None:
@@ -25,27 +25,16 @@ def ingest_output(
 ) -> DataFrame:
     """Load model output below ``folder`` into the store; returns the scan report.
 
-    1. Headers only: which runs are there (each file is read to the end of its header).
-    2. Values: one map-only pass from text to tidy rows, joined to the small table of runs
-       written by step 1, straight into the store. Files above ``whole_file_bytes`` are split
-       over many tasks instead.
+    1. Texts: one map-only pass over the raw files, written down as rows and file outcomes.
+       Files above ``whole_file_bytes`` are split over many tasks instead.
+    2. Values: the rows, joined to the small table of runs, go into the store.
     3. Maps: index rows from file names and run descriptions; no map is opened.
     """
-    listed = list_files(spark, folder, "*.csv")
-    heads = with_heads(listed, limit=None, until=HEADER_END)
-    found = written(
-        with_headers(heads).filter(F.col("scenario").isNotNull()).select(
-            "path", "dir", "model", "model_name", "scenario", "scenario_label",
-        ), "runs",
-    )
+    rows, found = staged(parsed_files(read_texts(spark, folder, "*.csv", whole_file_bytes)))
+    if not list_files(spark, folder, "*.csv").filter(F.col("bytes") > whole_file_bytes).isEmpty():
+        large_rows, large_found = large_files(spark, folder, whole_file_bytes)
+        rows, found = rows.unionByName(large_rows), written(found.unionByName(large_found), "files")
     directories = written(run_directories(found), "run-directories")
-
-    parsed = parsed_files(read_texts(spark, folder, "*.csv", whole_file_bytes))
-    rows, statuses = values(parsed), parsed.select("status", "name", "message")
-    if not listed.filter(F.col("bytes") > whole_file_bytes).isEmpty():
-        large_rows, large_statuses = large_files(spark, folder, whole_file_bytes)
-        rows = rows.unionByName(large_rows)
-        statuses = statuses.unionByName(large_statuses.select("status", "name", "message"))
     replace_source(assign_run_id(rows, directories), root, source_id)
 
     names = list_files(spark, folder, "*.asc")
@@ -62,7 +51,7 @@ def ingest_output(
     collisions = raster_collisions(maps)
     indexed = maps.join(collisions.select("path"), "path", "left_anti")
     outcomes = (
-        statuses.select(F.lit("csv").alias("kind"), "status", "name", "message")
+        found.select(F.lit("csv").alias("kind"), "status", "name", "message")
         .unionByName(indexed.select(F.lit("map").alias("kind"), F.lit("ok").alias("status"), "name", none.alias("message")))
         .unionByName(collisions.select(F.lit("map").alias("kind"), F.lit("error").alias("status"), "name", "message"))
         .unionByName(unrecognised_maps(names).select(

@@ -125,7 +125,7 @@ def dim_models(runs: DataFrame) -> DataFrame:
 def materialise_cells(wanted: DataFrame, stored: DataFrame, parse) -> DataFrame:
     """Cells of the wanted maps that are not stored yet. ``wanted`` are index rows (``id``,
     ``source_path``); ``parse(missing)`` reads those files and returns cells."""
-    have = stored.select(F.col("raster_id").alias("id")).distinct()
+    have = stored.filter((F.col("row") == 0) & (F.col("col") == 0)).select(F.col("raster_id").alias("id"))  # one per map
     return parse(wanted.join(have, "id", "left_anti"))
 
 

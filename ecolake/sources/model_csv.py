@@ -221,8 +221,9 @@ _PER_FILE = [
 ]
 
 
-def line_values(lines: DataFrame) -> DataFrame:
-    """Tidy rows of single data lines (``line``) that carry what is known of their file."""
+def line_values(lines: DataFrame, *keep: str, outer: bool = False) -> DataFrame:
+    """Tidy rows of single data lines (``line``) that carry what is known of their file. With
+    ``outer`` a line without values still gives one row."""
     lines = lines.withColumn("cells", split_csv(F.col("line")))
 
     def cell(col: Column, i: int) -> Column:
@@ -254,7 +255,8 @@ def line_values(lines: DataFrame) -> DataFrame:
     by_name = F.col("shape") == "wide_by_name"
     return lines.select(
         "path", "dir", "model", "model_name", "scenario", "variable", "freq", "unit", "target",
-        "start_year", "shape", cell(F.col("cells"), 0).alias("t"), F.explode(entries).alias("e"),
+        "start_year", "shape", *keep, cell(F.col("cells"), 0).alias("t"),
+        (F.explode_outer(entries) if outer else F.explode(entries)).alias("e"),
     ).withColumns({"year": year, "month": month}).select(
         "model", "model_name", "scenario", F.lit("output").alias("domain"), "variable", "freq",
         iso_date(F.col("year"), F.col("month")).alias("date"), "year", "month",
@@ -266,10 +268,30 @@ def line_values(lines: DataFrame) -> DataFrame:
         F.lit(None).cast("int").alias("partner_id"),
         F.when(by_name, F.col("e.column")).alias("partner_name"),
         F.col("e.value").alias("value"), "unit", F.lit(None).cast("string").alias("run_id"),
-        "path", "dir", "shape",
+        "path", "dir", "shape", *keep,
     )
 
 
+def staged(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(rows, files)``: tidy rows as from :func:`values`, and one row per file with its run,
+    ``status`` and ``message``. The raw texts are read once; both come from one written table
+    in which each file has a row of its own before those of its values."""
+    ready = (F.col("status") == "ok") & (F.col("shape") != "empty")
+    lines = F.when(ready, F.col("lines")).otherwise(F.array().cast("array<string>"))
+    marked = parsed.select(
+        *_PER_FILE, "name", "scenario_label", "status", "message",
+        F.explode(F.concat(F.array(F.lit(None).cast("string")), lines)).alias("line"),
+    )
+    is_file = F.col("line").isNull()
+    marked = marked.withColumns({"is_file": is_file, "message": F.when(is_file, F.col("message"))})
+    table = written(line_values(marked, "name", "scenario_label", "status", "message", "is_file", outer=True), "staged")
+    files = table.filter("is_file").select(
+        "path", "dir", "name", "model", "model_name", "scenario", "scenario_label", "shape", "status", "message",
+    )
+    kept = ~F.col("is_file") & (~F.col("shape").startswith("wide") | F.col("value").isNotNull())
+    return table.filter(kept).drop("name", "scenario_label", "status", "message", "is_file"), files
+
+
 def read_layout(files: DataFrame, *shapes: str) -> DataFrame:
     """Tidy rows of the files in the given layouts (``wide_by_id``, ``wide_by_name``,
     ``long``, ``single``; none given = all)."""
@@ -289,14 +311,14 @@ def large_files(spark: SparkSession, root: str, larger_than: int = WHOLE_FILE_BY
     big = list_files(spark, root, "*.csv").filter(F.col("bytes") > larger_than)
     heads = with_headers(with_heads(big, limit=None, until=TABLE_HEAD)).filter(F.col("scenario").isNotNull())
     known = with_shapes(with_sections(heads), head_only=True).withColumn("head_lines", F.size(split_lines(F.col("text"))) - 1)
-    known = written(known.select(*_PER_FILE, "name", "status", "message", "head_lines"), "large-heads")
+    known = written(known.select(*_PER_FILE, "name", "scenario_label", "status", "message", "head_lines"), "large-heads")
 
     lines = read_lines(spark, root, "*.csv", larger_than)
     # number of the first line of each block: the lines of the blocks before it
     blocks = lines.groupBy("path", "block").agg(F.min("position").alias("begin"), F.count("*").alias("n"))
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = written(blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n"), "large-blocks")
-    per_block = known.filter(F.col("status") == "ok").join(blocks, "path").drop("name", "status", "message")
+    per_block = known.filter(F.col("status") == "ok").join(blocks, "path").drop("name", "scenario_label", "status", "message")
     number = F.col("before") + F.col("position") - F.col("begin")
     data = lines.join(per_block, ["path", "block"]).filter((number >= F.col("head_lines")) & has_content(F.col("line")))
 
@@ -307,7 +329,7 @@ def large_files(spark: SparkSession, root: str, larger_than: int = WHOLE_FILE_BY
     files = marked.withColumns({
         "status": F.when(F.col("faulty"), "error").otherwise(F.col("status")),
         "message": F.when(F.col("faulty"), "a time or number cell cannot be read").otherwise(F.col("message")),
-    }).drop("faulty", "head_lines")
+    }).select("path", "dir", "name", "model", "model_name", "scenario", "scenario_label", "shape", "status", "message")
     return rows, files
 
 

@@ -63,6 +63,21 @@ def test_loaded_series_and_dimensions(spark, loaded):
     ]
 
 
+def test_large_and_small_files_load_alike(spark, loaded, tmp_path):
+    """The same folder with every file above the size for whole reading."""
+    raw, root = tmp_path / "raw", str(tmp_path / "store")
+    for sample in ("one", "two"):
+        write(raw / sample / "biomass_annual.csv", head() + BODY)
+        write(raw / sample / "broken_annual.csv", head() + "Data,X\n\nyear,value\n?,1\n")
+    small = ingest_output(spark, str(raw), root, "small")
+    large = ingest_output(spark, str(raw), root, "large", whole_file_bytes=0)
+    shown = ("run_id", "variable", "year", "group_id", "value")
+    loaded_rows = {s: rows(store.scan_sources(spark, root, [s]), *shown) for s in ("small", "large")}
+    assert loaded_rows["small"] == loaded_rows["large"] and len(loaded_rows["small"]) == 48
+    assert {r[0] for r in loaded_rows["large"]} == {"one", "two"}
+    assert rows(small, "kind", "status", "files") == rows(large, "kind", "status", "files") == [("csv", "error", 2), ("csv", "ok", 2)]
+
+
 def test_catalog_and_dimensions(spark, loaded):
     series = tidy(spark, loaded[0])
     found = {r["variable"]: (r["n_rows"], r["n_groups"], r["n_fleets"], r["category"]) for r in catalog.catalog_datasets(series).collect()}
@@ -165,7 +180,7 @@ def test_cells_are_read_once_and_cleared_by_domain(spark, tmp_path):
 
     def parse(missing):
         asked.append({r["id"] for r in missing.collect()})
-        return missing.select(F.lit("s").alias("scenario"), "domain", F.lit("v").alias("variable"), F.col("id").alias("raster_id"), F.lit(1.5).alias("value"))
+        return missing.select(F.lit("s").alias("scenario"), "domain", F.lit("v").alias("variable"), F.col("id").alias("raster_id"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(1.5).alias("value"))
 
     for wanted in (maps.filter("id <> 'c'"), maps):
         store.append_cells(store.materialise_cells(wanted, store.read_cells(spark, root, "x"), parse), root, "x")
