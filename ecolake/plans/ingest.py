@@ -12,6 +12,7 @@ from ecolake.session import written
 from ecolake.sinks.store import conform, dim_models, dim_scenarios, replace_source
 from ecolake.sources.files import WHOLE_FILE_BYTES, list_files, read_texts, with_heads
 from ecolake.sources.grids import RUN_INFO, read_run_info
+from ecolake.sources.identify import group_tables, identify_input, identify_output, with_layer
 from ecolake.sources.model_csv import (
     assign_run_id, discover_input, large_files, parsed_files, read_trends, run_directories, staged,
 )
@@ -20,6 +21,23 @@ def _save(df: DataFrame, root: str, table: str, source_id: str) -> None:
     df.write.mode("overwrite").parquet(f"{root}/{table}/source_id={source_id}")
 
 
+def folder_heads(spark: SparkSession, folder: str) -> DataFrame:
+    """All files below ``folder`` with the head of those that can be told by it (CSV and text);
+    maps and other files are listed only."""
+    listed = list_files(spark, folder)
+    readable = F.col("suffix").isin(".csv", ".txt")
+    rest = listed.filter(~readable).withColumn("text", F.lit(None).cast("string"))
+    return with_heads(listed.filter(readable)).unionByName(rest)
+
+
+def read_group_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Group tables of the static model below ``folder``. Heads tell which files have one, and
+    only those are read to the end."""
+    heads = with_layer(with_heads(list_files(spark, folder, "*.csv")))
+    static = heads.filter((F.col("layer") == "ecopath") & F.contains(F.col("text"), F.lit("GroupNo")))
+    return group_tables(with_heads(static.drop("text", "layer", "model_name", "scenario_name"), limit=None))
+
+
 def ingest_output(
     spark: SparkSession, folder: str, root: str, source_id: str, whole_file_bytes: int = WHOLE_FILE_BYTES,
 ) -> DataFrame:
@@ -29,6 +47,7 @@ def ingest_output(
        Files above ``whole_file_bytes`` are split over many tasks instead.
     2. Values: the rows, joined to the small table of runs, go into the store.
     3. Maps: index rows from file names and run descriptions; no map is opened.
+    4. What is there: files per model layer, and the static model's group tables.
     """
     rows, found = staged(parsed_files(read_texts(spark, folder, "*.csv", whole_file_bytes)))
     if not list_files(spark, folder, "*.csv").filter(F.col("bytes") > whole_file_bytes).isEmpty():
@@ -47,6 +66,9 @@ def ingest_output(
     _save(conform(dim_scenarios(runs), SCENARIOS), root, "scenarios", source_id)
     _save(conform(dim_models(runs), MODELS), root, "models", source_id)
 
+    _save(identify_output(folder_heads(spark, folder)), root, "layers", source_id)
+    _save(read_group_tables(spark, folder), root, "groups", source_id)
+
     none = F.lit(None).cast("string")
     collisions = raster_collisions(maps)
     indexed = maps.join(collisions.select("path"), "path", "left_anti")
@@ -63,7 +85,8 @@ def ingest_output(
 
 
 def ingest_input(spark: SparkSession, folder: str, root: str, source_id: str) -> None:
-    """Load driver trends and the index of driver maps below ``folder``."""
+    """Load driver trends, the index of driver maps and the kinds of input below ``folder``."""
+    _save(identify_input(folder_heads(spark, folder)), root, "kinds", source_id)
     trends = read_texts(spark, folder, "trend_*.csv")
     replace_source(read_trends(trends), root, source_id)
     drivers = discover_input(list_files(spark, folder, "trend_*.csv"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ecolake.functions.geodesy import CANDIDATE_CRS
-from ecolake.plans.bindings import DEGREES_WKT, METRES_WKT
+from ecolake.plans.bindings import DEGREES_WKT
 from ecolake.plans.queries import AREAS
 
 ORACLE: dict[str, str] = {}

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ecolake.functions.naming import name_part, slugify
 from ecolake.operators import catalog, charts, selection, trends
+from ecolake.operators.enrich import annotate_names, group_names
 from ecolake.plans import analysis
 from ecolake.plans.ingest import ingest_input, ingest_output
 from ecolake.plans.report import scan_warnings
@@ -26,6 +27,7 @@ def loaded(spark, tmp_path_factory):
     write(raw / "run" / "broken_annual.csv", head() + "Data,X\n\nyear,value\n?,1\n")
     write(raw / "run" / "map.csv", head() + "Variable,M\n1,2\n")
     write(raw / "run" / "asc" / "Ecospace RunInfo.txt", RUN)
+    write(raw / "basic_estimates.csv", '"<HEADER ecopath/>"\nModelName,"Test Model"\n"<HEADER end/>"\nGroupNo,Group,B\n2,"Cod, juvenile",1.9\n')
     for step in ("00001", "00002", "00013"):
         write(raw / "run" / "asc" / f"EcospaceMapBiomass-Cod-{step}.asc", "ncols 1\n")
     write(raw / "run" / "asc" / "biodiv_ind_x-00001.asc", "ncols 1\n")
@@ -78,6 +80,16 @@ def test_large_and_small_files_load_alike(spark, loaded, tmp_path):
     assert rows(small, "kind", "status", "files") == rows(large, "kind", "status", "files") == [("csv", "error", 2), ("csv", "ok", 2)]
 
 
+def test_identification_is_stored(spark, loaded):
+    root, _ = loaded
+    layers = spark.read.parquet(f"{root}/layers/source_id=out")
+    assert rows(layers, "layer", "files", "maps") == [("ecopath", 1, 0), ("ecosim", 6, 0), ("ecospace", 4, 4)]
+    assert rows(spark.read.parquet(f"{root}/kinds/source_id=in"), "kind", "files") == [("driver_trends", 1), ("ecospace_maps", 1)]
+    tables = spark.read.parquet(f"{root}/groups")
+    named = annotate_names(selection.query_timeseries(tidy(spark, root), "catch", group_id=[2]), group_names(tables))
+    assert {r["group_name"] for r in named.collect()} == {"Cod, juvenile"}
+
+
 def test_catalog_and_dimensions(spark, loaded):
     series = tidy(spark, loaded[0])
     found = {r["variable"]: (r["n_rows"], r["n_groups"], r["n_fleets"], r["category"]) for r in catalog.catalog_datasets(series).collect()}
