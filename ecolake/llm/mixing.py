@@ -124,7 +124,8 @@ def mix(sized: DataFrame, share: float = 1.5, repeats: float = 2.0, block_words:
     rows = rows.withColumn("__bucket", F.shiftrightunsigned("__h", 64 - bits) if bits else F.lit(0).cast("long"))
     keys = ["source_no", "__bucket"]
     per_bucket = rows.groupBy(*keys).agg(F.sum("size").alias("n"))
-    offsets = per_bucket.select(*keys, (F.sum("n").over(Window.partitionBy("source_no").orderBy("__bucket")) - F.col("n")).alias("__base"))
+    # written, or Spark would deal the documents as the window deals the sums: by source alone
+    offsets = written(per_bucket.select(*keys, (F.sum("n").over(Window.partitionBy("source_no").orderBy("__bucket")) - F.col("n")).alias("__base")), "offsets")
     in_bucket = Window.partitionBy(*keys).orderBy("__h", "doc_id", "size", "row_id").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.join(offsets, keys).withColumn("at", F.col("__base") + F.sum("size").over(in_bucket) - F.col("size"))
     b = F.lit(block_words)
