@@ -27,31 +27,31 @@ SAMPLE_ROWS = 20_000
 BLOCK = 2_048
 
 
-def learn_rotations(sample: np.ndarray, bits: int = CODE_BITS, rounds: int = 30, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection d x bits) by iterative quantisation: signs and the rotation that fits
-    them best, in turn, on the centred principal directions. Vectors with fewer dimensions than
-    bits get several rotations from different starts."""
+def learn_rotations(sample: np.ndarray, bits: int = CODE_BITS, rounds: int = 30, seed: int = 3) -> np.ndarray:
+    """Projection (d x bits) by iterative quantisation: signs and the rotation that fits them
+    best, in turn, on the principal directions. The rotation spreads the variance evenly over
+    the bits. The cosine is about the origin, so the vectors are not centred: in a table of
+    one dense cone, centred codes would tell its noise apart. Vectors with fewer dimensions
+    than bits get several rotations from different starts."""
     rng = np.random.default_rng(seed)
-    mean = sample.mean(axis=0)
-    centred = sample - mean
-    d = centred.shape[1]
-    _, _, axes = np.linalg.svd(centred, full_matrices=False) if len(centred) >= d else (None, None, np.eye(d))
+    d = sample.shape[1]
+    axes = np.linalg.svd(sample, full_matrices=False)[2] if len(sample) >= d else np.eye(d)
     parts = []
     while sum(p.shape[1] for p in parts) < bits:
         width = min(d, bits - sum(p.shape[1] for p in parts))
         first = axes[:d].T
-        v = centred @ first
+        v = sample @ first
         r = np.linalg.qr(rng.normal(size=(d, d)))[0]
         for _ in range(rounds):
             u, _, wt = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
             r = (u @ wt).T
         parts.append((first @ r)[:, :width])
-    return mean, np.concatenate(parts, axis=1)
+    return np.concatenate(parts, axis=1)
 
 
-def binary_codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
+def binary_codes(x: np.ndarray, projection: np.ndarray) -> np.ndarray:
     """(rows, bits/64) codes as signed longs."""
-    bits = ((x - mean) @ projection) >= 0
+    bits = (x @ projection) >= 0
     return np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view("<i8")
 
 
@@ -129,13 +129,13 @@ def _linked(classes: DataFrame, threshold: float, sample_rows: int) -> DataFrame
     spanning forest of the links (links null)."""
     spark = classes.sparkSession
     sample = classes.select("v").orderBy(F.xxhash64("v"), "class").limit(sample_rows).toArrow()
-    mean, projection = learn_rotations(_unit(_matrix(sample.column(0).combine_chunks())))
+    projection = learn_rotations(_unit(_matrix(sample.column(0).combine_chunks())))
     names = [f"c{k}" for k in range(CODE_BITS // 64)]
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                codes = binary_codes(_unit(_matrix(batch.column(1))), mean, projection)
+                codes = binary_codes(_unit(_matrix(batch.column(1))), projection)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(codes[:, k]) for k in range(codes.shape[1]))], names=["class", *names])
 
     codes = written(classes.select("class", "v").mapInArrow(encode, "class long, " + ", ".join(f"{c} long" for c in names)), "codes")
