@@ -19,7 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ecolake.llm.common import bucket_edges, components, extended, utf8, words, written
+from ecolake.llm.common import bucket_edges, components, extended, mixed, utf8, words, written
+from ecolake.llm.decontamination import shingle_hashes
+from ecolake.llm.embeddings import near_codes
 
 BLOCKS = (13, 13, 13, 13, 12)  # bits of the fingerprint, from the lowest
 
@@ -130,3 +132,136 @@ def simhash_classes(docs: DataFrame, width: int = 3) -> DataFrame:
     linked = written(linked.join(lowest, "component").select("fp", "low"), "linked")
     labels = classes.join(linked, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id"))
     return found.join(labels, "fp").select("doc_id", "fp", "component_id")
+
+
+# --- near copies by the similarity of their shingles ------------------------------------
+
+WORDS_LONG = 4  # 64-bit words of a long fingerprint
+TABLES_LONG = [(i, (i + 1) % 32) for i in range(32)] + [(i, (i + 7) % 32) for i in range(32)]  # pairs of bytes
+NEAR_LONG = 58  # of 256 bits; texts that share 0.8 of their shingles differ in 36 on average
+PART = 256  # texts of a group that are compared in one task
+
+
+def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """256 bits, as signed longs: the SimHash of the shingle hashes and of three remixes of them."""
+    out = np.zeros(WORDS_LONG, np.int64)
+    for k in range(WORDS_LONG):
+        set_ = np.zeros(64, np.int64)
+        for lo in range(0, len(hashes), 1 << 16):
+            h = hashes[lo : lo + (1 << 16)]
+            h = mixed(h ^ np.uint64(0x9E3779B97F4A7C15 * k & (2**64 - 1))) if k else h
+            set_ += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(2 * set_ > len(hashes), bitorder="little").view("<i8")[0]
+    return out
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def text_shingles(tokens: list[bytes], width: int, word_hashes: _WordHashes) -> np.ndarray:
+    """Hashes of the shingles of ``width`` words; fewer words are one shingle, none give none."""
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(word_hashes.__getitem__, tokens), np.uint64, len(tokens))
+    return shingle_hashes(h, min(width, len(tokens)))
+
+
+def near_copy_classes(rows: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(row_id, first): for every row of ``rows`` (row_id, doc_id, text) the smallest doc_id of
+    its group. Texts are linked whose sets of ``width``-word shingles have a Jaccard similarity
+    of ``similarity`` or more; texts of equal words (none too) are one class before.
+
+    Long fingerprints are filed in tables keyed by 16 of their bits, those that meet in a table
+    within ``NEAR_LONG`` bits become candidates, and the texts of connected candidates meet once,
+    ``PART`` by ``PART``, to have their shingles compared. Fingerprints are probabilistic: of
+    pairs just above 0.8 about one in ten is not seen, of pairs above 0.85 fewer than one in a
+    hundred, and a group stays whole if its members are linked in another way.
+    """
+    names = [f"c{k}" for k in range(WORDS_LONG)]
+
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _WordHashes()
+        for batch in batches:
+            digests, codes = [], []
+            for t in utf8(batch.column(1)):
+                tokens = words(t)
+                digests.append(xxhash.xxh3_128_digest(b" ".join(tokens)))
+                codes.append(long_fingerprint(text_shingles(tokens, width, seen)))
+            d, c = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2), np.array(codes, np.int64).reshape(-1, WORDS_LONG)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in (*d.T.copy(), *c.T.copy()))], names=["row_id", "d0", "d1", *names])
+
+    coded = rows.select("row_id", "text").mapInArrow(encode, "row_id long, d0 long, d1 long, " + ", ".join(f"{c} long" for c in names))
+    coded = written(coded, "fingerprints")
+    classes = written(coded.groupBy("d0", "d1").agg(F.min("row_id").alias("id"), *(F.min(c).alias(c) for c in names)), "classes")
+
+    byte = lambda i: F.shiftrightunsigned(names[i // 8], 8 * (i % 8)).bitwiseAND(F.lit(255))
+    keys = [F.lit(t << 16).cast("long") + F.shiftleft(byte(i), 8) + byte(j) for t, (i, j) in enumerate(TABLES_LONG)]
+    filed = classes.select(F.explode(F.array(*keys)).alias("bucket"), "id", *names)
+    meet = components(written(bucket_edges(filed, names, lambda c, g: near_codes(c, g, NEAR_LONG)), "candidates"))
+    sizes = meet.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    placed = written(meet.join(sizes, "component"), "meetings")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = placed.select("component", F.col("node").alias("id"), part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select(F.col("component").alias("meet"), F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id")
+    dealt = dealt.join(rows.select("row_id", "text"), F.col("id") == F.col("row_id")).select("meet", "lo", "hi", "part", "id", "text")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(n, "meet", "lo", "hi").sortWithinPartitions("meet", "lo", "hi")
+
+    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _WordHashes()
+        for key, group in itertools.groupby(_streamed(batches), key=lambda r: r[:3]):
+            ids, parts, sets = [], [], []
+            for *_, p, i, text in group:
+                ids.append(i), parts.append(p), sets.append(np.unique(text_shingles(words((text or "").encode()), width, seen)))
+            label = _similar(sets, np.array(parts), key[1] != key[2], similarity)
+            linked = [k for k, r in enumerate(label) if r != k]
+            if linked:
+                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in linked], pa.int64()), pa.array([ids[label[k]] for k in linked], pa.int64())], names=["a", "b"])
+
+    linked = components(written(dealt.mapInArrow(verify, "a long, b long"), "links"))
+    ordered = coded.join(classes.select("d0", "d1", "id"), ["d0", "d1"]).join(linked, F.col("id") == F.col("node"), "left")
+    ordered = ordered.select("row_id", F.coalesce("component", "id").alias("component"))
+    ordered = written(ordered.join(rows.select("row_id", "doc_id"), "row_id"), "members")
+    lowest = ordered.groupBy("component").agg(F.min("doc_id").alias("first"))
+    return ordered.join(lowest, "component").select("row_id", "first")
+
+
+def _streamed(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)))
+
+
+def _similar(sets: list[np.ndarray], parts: np.ndarray, across: bool, similarity: float) -> list[int]:
+    """Smallest linked index of each set. Pairs of nearest fingerprints come first and pairs that
+    are connected already are passed over. ``across``: pairs inside a part meet elsewhere."""
+    n = len(sets)
+    label = list(range(n))
+    if n < 2:
+        return label
+
+    def root(k: int) -> int:
+        while label[k] != k:
+            label[k] = label[label[k]]
+            k = label[k]
+        return k
+
+    size = np.array([len(s) for s in sets])
+    codes = np.stack([long_fingerprint(s) for s in sets])
+    i, j = np.triu_indices(n, 1)
+    apart = sum(np.bitwise_count(codes[i, k] ^ codes[j, k]).astype(np.int64) for k in range(WORDS_LONG))
+    small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    maybe = np.flatnonzero((small >= similarity * large - 1e-9) & (small > 0) & (apart <= 2 * NEAR_LONG) & ((parts[i] != parts[j]) | (not across)))
+    for p in maybe[np.argsort(apart[maybe], kind="stable")]:
+        a, b = root(int(i[p])), root(int(j[p]))
+        if a == b:
+            continue
+        x, y = sets[i[p]], sets[j[p]]
+        common = np.isin(x, y, assume_unique=True).sum() if len(x) * 16 < len(y) else len(x) + len(y) - len(np.union1d(x, y))
+        if common >= similarity * (len(x) + len(y) - common) - 1e-9:
+            label[max(a, b)] = min(a, b)
+    return [root(k) for k in range(n)]

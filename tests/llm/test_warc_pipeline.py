@@ -6,7 +6,7 @@ import hashlib
 import pytest
 
 import corpus_pipeline
-from ecolake.llm import simhash, warc
+from ecolake.llm import warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -87,7 +87,52 @@ def test_odd_rows_pass_all_stages(spark):
 
 
 def test_near_copies_leave_one(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()}
-    classes = simhash.simhash_classes(docs, 5).collect()
-    assert kept == {r["component_id"] for r in classes}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    ids = sorted(texts)
+    sets = {}
+    for d, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[d] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    root = {d: d for d in ids}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    pairs = 0
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            small, large = sorted((len(sets[a]), len(sets[b])))
+            if small >= 0.8 * large and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                pairs += sets[a] != sets[b]
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    want = {find(d) for d in ids}
+    assert pairs >= 10 and want <= kept and len(kept - want) <= 0.1 * pairs
+
+
+def test_near_copies_at_every_similarity(spark):
+    """Groups of edited copies, larger than a part, with a third of all rows equal."""
+    import random
+
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(300)] for _ in range(30)]
+    rows = []
+    for g, tokens in enumerate(base):
+        rows.append((g * 1000, " ".join(tokens)))
+        for k in range(1, 20 if g else 400):
+            own = list(tokens)
+            for _ in range(k % 4):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            rows.append((g * 1000 + k, " ".join(own)))
+        near = list(tokens)
+        for at in range(0, 300, 10):  # every shingle differs in a tenth of the words: similarity below 0.5
+            near[at] = "other"
+        rows.append((g * 1000 + 999, " ".join(near)))
+    rows += [(50_000 + k, " ".join(base[1])) for k in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, SF).collect())
+    assert kept == sorted([g * 1000 for g in range(30)] + [g * 1000 + 999 for g in range(30)])
