@@ -96,7 +96,7 @@ def schedule(spark, blocks: np.ndarray) -> DataFrame:
     return ranked.mapInPandas(settle, "slot long, source_no long, rank long")
 
 
-def mix(sized: DataFrame, share: float = 1.5, repeats: float = 2.0, block_words: int = 4096, seed: int = 17, bucket_rows: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def mix(sized: DataFrame, share: float = 1.5, repeats: float = 2.0, block_words: int = 4096, seed: int = 17, bucket_rows: int = 2_000) -> tuple[DataFrame, DataFrame]:
     """(documents, segments) of the mix of ``sized`` (doc_id, source, size; other columns stay).
 
     documents: the rows with a unique ``row_id``, ``source_size`` and ``target``. segments:
