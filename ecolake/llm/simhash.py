@@ -143,7 +143,7 @@ PART = 256  # texts of a group that are compared in one task
 
 
 def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """256 bits, as signed longs: the SimHash of the shingle hashes and of three remixes of them."""
+    """256 bits, as signed longs: the SimHash of a set of shingle hashes and of three remixes."""
     out = np.zeros(WORDS_LONG, np.int64)
     for k in range(WORDS_LONG):
         set_ = np.zeros(64, np.int64)
@@ -191,7 +191,7 @@ def near_copy_classes(rows: DataFrame, width: int = 5, similarity: float = 0.8)
             for t in utf8(batch.column(1)):
                 tokens = words(t)
                 digests.append(xxhash.xxh3_128_digest(b" ".join(tokens)))
-                codes.append(long_fingerprint(text_shingles(tokens, width, seen)))
+                codes.append(long_fingerprint(np.unique(text_shingles(tokens, width, seen))))
             d, c = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2), np.array(codes, np.int64).reshape(-1, WORDS_LONG)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in (*d.T.copy(), *c.T.copy()))], names=["row_id", "d0", "d1", *names])
 
