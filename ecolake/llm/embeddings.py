@@ -57,7 +57,7 @@ def binary_codes(x: np.ndarray, projection: np.ndarray) -> np.ndarray:
 
 def near_codes(codes: np.ndarray, group: np.ndarray, most: int = NEAR_BITS, cells: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i < j, same group) of codes that differ in at most ``most`` bits."""
-    n = len(codes)
+    n, codes = len(codes), codes.view(np.uint64)  # of signed numbers numpy counts the absolute value
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     ends = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n]))
     after = ends - np.arange(n) - 1

@@ -251,7 +251,7 @@ def _similar(sets: list[np.ndarray], parts: np.ndarray, across: bool, similarity
         return k
 
     size = np.array([len(s) for s in sets])
-    codes = np.stack([long_fingerprint(s) for s in sets])
+    codes = np.stack([long_fingerprint(s) for s in sets]).view(np.uint64)
     i, j = np.triu_indices(n, 1)
     apart = sum(np.bitwise_count(codes[i, k] ^ codes[j, k]).astype(np.int64) for k in range(WORDS_LONG))
     small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])

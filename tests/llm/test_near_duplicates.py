@@ -104,6 +104,12 @@ def test_embeddings_against_brute_force(spark):
     assert embeddings.embedding_classes(frame.limit(0)).count() == 0
 
 
+def test_distances_of_codes_with_the_sign_bit():
+    codes = np.array([[0, 5], [-1, 5], [-(1 << 63), 5], [1, 4], [-1, 4]])
+    got = {(int(i), int(j)) for a, b in embeddings.near_codes(codes, np.zeros(5, int), 2) for i, j in zip(a, b)}
+    assert got == {(0, 2), (0, 3), (1, 4)}
+
+
 def test_dense_group_larger_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 50)
     rng = np.random.default_rng(4)
