@@ -62,11 +62,13 @@ def name_part(text: Column) -> Column:
 
 
 def file_stem(
-    area: Column, model: Column, scenario: Column, variable: Column, entity: Column, years: Column
+    area: Column, model: Column, scenario: Column, variable: Column, entity: Column, years: Column,
+    run: Column | None = None,
 ) -> Column:
-    """Export file stem that spells out the whole selection, fields joined by ``__``."""
+    """Export file stem that spells out the whole selection, fields joined by ``__``; a run
+    follows its scenario, and a null one is left out."""
     parts = [
-        area, F.coalesce(F.nullif(model, F.lit("")), F.lit("no-model")), scenario, variable,
+        area, F.coalesce(F.nullif(model, F.lit("")), F.lit("no-model")), scenario, *([] if run is None else [run]), variable,
         F.coalesce(F.nullif(entity, F.lit("")), F.lit("all")), years,
     ]
     return F.concat_ws("__", *[name_part(p.cast("string")) for p in parts])

@@ -15,7 +15,7 @@ def catalog_datasets(tidy: DataFrame) -> DataFrame:
     Rows are first counted per combination of dimension members, which map-side combining
     shrinks to a handful per task; distinct members are then counted on that small table.
     """
-    keys = ["model", *SLICE]
+    keys = SLICE
     members = tidy.groupBy(*keys, "group_id", "fleet_id", "partner_id").agg(
         F.min("model_name").alias("model_name"), F.min("unit").alias("label"),
         F.count("*").alias("n_rows"), F.min("year").alias("year_min"), F.max("year").alias("year_max"),
@@ -132,19 +132,20 @@ def list_dimension(
 
 
 def raster_layers(rasters: DataFrame) -> DataFrame:
-    """Map layers per (scenario, domain, variable); members counted by id or else by name."""
-    keys = ["scenario", "domain", "variable"]
+    """Map layers per (model, scenario, domain, variable); members counted by id or else by
+    name."""
+    keys = ["model", "scenario", "domain", "variable"]
     rows = rasters.select(
-        *keys, "model", "model_name", "year",
+        *keys, "model_name", "year",
         F.coalesce(F.col("group_id").cast("string"), "group_name").alias("_group"),
         F.coalesce(F.col("fleet_id").cast("string"), "fleet_name").alias("_fleet"),
     )
     members = rows.groupBy(*keys, "_group", "_fleet").agg(
-        F.min("model").alias("model"), F.min("model_name").alias("model_name"),
+        F.min("model_name").alias("model_name"),
         F.min("year").alias("year_min"), F.max("year").alias("year_max"), F.count("*").alias("n_rasters"),
     )
     return members.groupBy(*keys).agg(
-        F.min("model").alias("model"), F.min("model_name").alias("model_name"),
+        F.min("model_name").alias("model_name"),
         F.count_distinct("_group").alias("n_groups"), F.count_distinct("_fleet").alias("n_fleets"),
         F.min("year_min").alias("year_min"), F.max("year_max").alias("year_max"),
         F.sum("n_rasters").alias("n_rasters"),

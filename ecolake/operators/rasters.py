@@ -57,12 +57,12 @@ def _identified(maps: DataFrame) -> DataFrame:
 
 
 def raster_index(maps: DataFrame) -> DataFrame:
-    """Index rows, one per id. Of several maps with one id (more than one map a year) the
+    """Index rows, one per model and id. Of several maps with one id (more than one map a year) the
     first in (directory, name) order is kept; see :func:`raster_collisions` for the rest."""
     rest = [c for c in maps.columns if c not in ("dir", "name", "path")]
-    kept = _identified(maps).groupBy("id").agg(F.min_by(F.struct("path", *rest), "_order").alias("m"))
+    kept = _identified(maps).groupBy(F.col("model").alias("_model"), "id").agg(F.min_by(F.struct("path", *rest), "_order").alias("m"))
     folder = F.concat(
-        F.lit("scenario="), F.col("m.scenario"), F.lit("/domain="), F.col("m.domain"),
+        F.lit("model="), F.coalesce("m.model", F.lit("__HIVE_DEFAULT_PARTITION__")), F.lit("/scenario="), F.col("m.scenario"), F.lit("/domain="), F.col("m.domain"),
         F.lit("/variable="), F.col("m.variable"),
     )
     made = {"id": F.col("id"), "path": folder, "source_path": F.col("m.path"), "source_crs_wkt": F.col("m.crs_wkt")}
@@ -79,12 +79,14 @@ def raster_index(maps: DataFrame) -> DataFrame:
 
 
 def raster_collisions(maps: DataFrame) -> DataFrame:
-    """Maps left out of the index because an earlier one has their id, with a message."""
+    """Maps left out of the index because an earlier one of their model has their id, with a
+    message."""
     all_maps = _identified(maps)
-    shared = all_maps.groupBy("id").agg(
+    shared = all_maps.groupBy(F.col("model").alias("_model"), F.col("id").alias("_id")).agg(
         F.count("*").alias("n"), F.min("_order").alias("first"),
     ).filter(F.col("n") > 1)
-    later = all_maps.join(shared, "id").filter(F.col("_order") > F.col("first"))
+    same = (F.col("id") == F.col("_id")) & F.col("model").eqNullSafe(F.col("_model"))
+    later = all_maps.join(shared, same).filter(F.col("_order") > F.col("first"))
     message = F.concat(
         F.lit("duplicate map id "), F.col("id"), F.lit(": "), F.col("name"), F.lit(" and "),
         F.col("first.name"), F.lit(" are both of the same year"),
@@ -108,6 +110,19 @@ def raster_range_all(cells: DataFrame) -> DataFrame:
     )
 
 
+def undated_maps(files: DataFrame) -> DataFrame:
+    """Driver maps whose name holds no year."""
+    return input_names(files).filter(F.col("year").isNull()).select("path", "name")
+
+
+def mirrored_maps(files: DataFrame) -> DataFrame:
+    """Driver maps left out because an earlier path holds the same scenario, variable and year."""
+    dated = input_names(files).filter(F.col("year").isNotNull())
+    keys = ["scenario", "variable", "year"]
+    first = dated.groupBy(*keys).agg(F.min("path").alias("kept_path"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return dated.join(first, keys).filter(F.col("path") != F.col("kept_path")).select("path", "name", "kept_path")
+
+
 def unrecognised_maps(files: DataFrame) -> DataFrame:
     """Map files whose name is no known output map."""
     return output_names(files).filter(F.col("variable").isNull()).select("path", "name")

@@ -110,10 +110,13 @@ def require_rows(rows: DataFrame) -> DataFrame:
 
 def list_rasters(
     rasters: DataFrame, scenario: str, variable: str,
-    group: str | None = None, fleet: str | None = None, year: int | None = None,
+    group: str | None = None, fleet: str | None = None, year: int | None = None, model: str | None = None,
 ) -> DataFrame:
-    """Maps of one scenario and variable, without their long source columns."""
+    """Maps of one scenario and variable (of one ``model`` if given), without their long source
+    columns; ``run_id`` tells the runs of an ensemble apart."""
     wanted = [F.col("scenario") == scenario, F.col("variable") == variable]
+    if model is not None:
+        wanted.append(F.col("model") == model)
     if group:
         wanted.append(F.lower("group_name") == group.lower())
     if fleet:
@@ -122,13 +125,15 @@ def list_rasters(
         wanted.append(F.col("year") == year)
     return rasters.filter(reduce(Column.__and__, wanted)).select(
         "id", "model", "model_name", "scenario", "domain", "variable",
-        "group_id", "group_name", "fleet_id", "fleet_name", "year",
+        "group_id", "group_name", "fleet_id", "fleet_name", "year", "run_id",
     )
 
 
-def get_raster(rasters: DataFrame, raster_id: str) -> DataFrame:
-    """The index row of one map (no row if unknown)."""
-    return rasters.filter(F.col("id") == raster_id)
+def get_raster(rasters: DataFrame, raster_id: str, model: str | None = None) -> DataFrame:
+    """The index rows with one id (none if unknown): a row per model that has it, or that of
+    ``model``."""
+    found = rasters.filter(F.col("id") == raster_id)
+    return found if model is None else found.filter(F.col("model") == model)
 
 
 @dataclass
@@ -141,11 +146,13 @@ class MapItem:
     entities: list[str] = field(default_factory=list)
 
 
-def select_maps(rasters: DataFrame, scenario: str, items: list[MapItem]) -> DataFrame:
+def select_maps(rasters: DataFrame, scenario: str, items: list[MapItem], model: str | None = None) -> DataFrame:
     """Maps chosen for export, tagged with the position ``item`` of the choice that took
     them; maps without an entity need only the year range."""
     entity = F.coalesce(F.nullif("group_name", F.lit("")), F.nullif("fleet_name", F.lit("")))
     rows = rasters.filter(F.col("scenario") == scenario).withColumn("entity", entity)
+    if model is not None:
+        rows = rows.filter(F.col("model") == model)
     conditions = [
         (F.col("variable") == i.variable) & F.col("year").between(i.year_from, i.year_to)
         & (F.col("entity").isNull() | (F.col("entity").isin(i.entities) if i.entities else F.lit(False)))

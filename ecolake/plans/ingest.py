@@ -5,72 +5,80 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ecolake.operators.rasters import input_maps, output_maps, raster_collisions, raster_index, unrecognised_maps
+from ecolake.operators.catalog import catalog_datasets
+from ecolake.operators.rasters import (
+    input_maps, mirrored_maps, output_maps, raster_collisions, raster_index, undated_maps, unrecognised_maps,
+)
 from ecolake.plans.report import scan_report
 from ecolake.schema import MODELS, RASTER_INDEX, SCENARIOS
 from ecolake.session import written
-from ecolake.sinks.store import conform, dim_models, dim_scenarios, replace_source
-from ecolake.sources.files import WHOLE_FILE_BYTES, list_files, read_texts, with_heads
+from ecolake.sinks.store import clear_cells, conform, dim_models, dim_scenarios, replace_source, scan_sources
+from ecolake.sources.files import SPLIT_BYTES, list_files, with_heads
 from ecolake.sources.grids import RUN_INFO, read_run_info
 from ecolake.sources.identify import group_tables, identify_input, identify_output, with_layer
-from ecolake.sources.model_csv import (
-    assign_run_id, discover_input, large_files, parsed_files, read_trends, run_directories, staged,
-)
+from ecolake.sources.model_csv import assign_run_id, discover_input, run_directories, series_files, trend_files
+
 
 def _save(df: DataFrame, root: str, table: str, source_id: str) -> None:
-    df.write.mode("overwrite").parquet(f"{root}/{table}/source_id={source_id}")
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{root}/{table}/source_id={source_id}")
 
 
-def folder_heads(spark: SparkSession, folder: str) -> DataFrame:
-    """All files below ``folder`` with the head of those that can be told by it (CSV and text);
-    maps and other files are listed only."""
-    listed = list_files(spark, folder)
+def _save_catalog(spark: SparkSession, root: str, source_id: str) -> None:
+    """The catalog of a source's series, stored so that menus need not read the values again."""
+    _save(catalog_datasets(scan_sources(spark, root, [source_id])), root, "catalog", source_id)
+
+
+def folder_heads(listed: DataFrame) -> DataFrame:
+    """Listed files with the head of those that can be told by it (CSV and text); maps and other
+    files have none."""
     readable = F.col("suffix").isin(".csv", ".txt")
-    rest = listed.filter(~readable).withColumn("text", F.lit(None).cast("string"))
+    none = F.lit(None).cast("string")
+    rest = listed.filter(~readable).withColumns({"text": none, "head_bytes": F.lit(None).cast("long"), "read_error": none})
     return with_heads(listed.filter(readable)).unionByName(rest)
 
 
-def read_group_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """Group tables of the static model below ``folder``. Heads tell which files have one, and
-    only those are read to the end."""
-    heads = with_layer(with_heads(list_files(spark, folder, "*.csv")))
-    static = heads.filter((F.col("layer") == "ecopath") & F.contains(F.col("text"), F.lit("GroupNo")))
-    return group_tables(with_heads(static.drop("text", "layer", "model_name", "scenario_name"), limit=None))
+def read_group_tables(heads: DataFrame) -> DataFrame:
+    """Group tables of the static model. Heads tell which files may have one, and only those are
+    read to the end."""
+    static = with_layer(heads.filter(F.col("suffix") == ".csv")).filter(F.col("layer") == "ecopath")
+    return group_tables(with_heads(static.drop("layer", "model_name", "scenario_name"), "whole"))
 
 
 def ingest_output(
-    spark: SparkSession, folder: str, root: str, source_id: str, whole_file_bytes: int = WHOLE_FILE_BYTES,
+    spark: SparkSession, folder: str, root: str, source_id: str, split_bytes: int = SPLIT_BYTES,
 ) -> DataFrame:
     """Load model output below ``folder`` into the store; returns the scan report.
 
-    1. Texts: one map-only pass over the raw files, written down as rows and file outcomes.
-       Files above ``whole_file_bytes`` are split over many tasks instead.
-    2. Values: the rows, joined to the small table of runs, go into the store.
-    3. Maps: index rows from file names and run descriptions; no map is opened.
-    4. What is there: files per model layer, and the static model's group tables.
+    The folder is listed once and everything is told from that table.
+
+    1. Series: heads of the CSV files, then their lines by ranges, into the store.
+    2. Maps: index rows from file names and run descriptions; no map is opened. Cells stored
+       from an earlier scan are cleared, for the files may have changed.
+    3. What is there: files per model layer, the static model's group tables, and the catalog.
     """
-    rows, found = staged(parsed_files(read_texts(spark, folder, "*.csv", whole_file_bytes)))
-    if not list_files(spark, folder, "*.csv").filter(F.col("bytes") > whole_file_bytes).isEmpty():
-        large_rows, large_found = large_files(spark, folder, whole_file_bytes)
-        rows, found = rows.unionByName(large_rows), written(found.unionByName(large_found), "files")
-    directories = written(run_directories(found), "run-directories")
+    listed = written(list_files(spark, folder), "listed")
+    rows, found = series_files(listed.filter(F.col("suffix") == ".csv"), split_bytes)
+    directories = written(run_directories(found.filter("scenario is not null")), "run-directories")
     replace_source(assign_run_id(rows, directories), root, source_id)
+    clear_cells(spark, root, source_id)
 
-    names = list_files(spark, folder, "*.asc")
-    info = read_run_info(with_heads(list_files(spark, folder, RUN_INFO), limit=None))
-    maps = output_maps(names, info)
+    names = listed.filter(F.col("suffix") == ".asc")
+    info = read_run_info(with_heads(listed.filter(F.col("name") == RUN_INFO), "whole"))
+    maps = written(output_maps(names, info), "maps")
     _save(raster_index(maps), root, "rasters", source_id)
 
-    runs = found.groupBy("model", "scenario").agg(F.min(F.struct("path", "model_name", "scenario_label")).alias("f"))
+    runs = found.filter("scenario is not null").groupBy("model", "scenario").agg(F.min(F.struct("path", "model_name", "scenario_label")).alias("f"))
     runs = runs.select("model", "scenario", "f.model_name", "f.scenario_label")
     _save(conform(dim_scenarios(runs), SCENARIOS), root, "scenarios", source_id)
     _save(conform(dim_models(runs), MODELS), root, "models", source_id)
 
-    _save(identify_output(folder_heads(spark, folder)), root, "layers", source_id)
-    _save(read_group_tables(spark, folder), root, "groups", source_id)
+    heads = written(folder_heads(listed), "folder-heads")
+    _save(identify_output(heads), root, "layers", source_id)
+    _save(read_group_tables(heads), root, "groups", source_id)
+    _save_catalog(spark, root, source_id)
 
     none = F.lit(None).cast("string")
-    collisions = raster_collisions(maps)
+    collisions = written(raster_collisions(maps).select("path", "name", "message"), "collisions")
     indexed = maps.join(collisions.select("path"), "path", "left_anti")
     outcomes = (
         found.select(F.lit("csv").alias("kind"), "status", "name", "message")
@@ -84,16 +92,33 @@ def ingest_output(
     return spark.read.parquet(f"{root}/reports/source_id={source_id}")
 
 
-def ingest_input(spark: SparkSession, folder: str, root: str, source_id: str) -> None:
-    """Load driver trends, the index of driver maps and the kinds of input below ``folder``."""
-    _save(identify_input(folder_heads(spark, folder)), root, "kinds", source_id)
-    trends = read_texts(spark, folder, "trend_*.csv")
-    replace_source(read_trends(trends), root, source_id)
-    drivers = discover_input(list_files(spark, folder, "trend_*.csv"))
+def ingest_input(
+    spark: SparkSession, folder: str, root: str, source_id: str, split_bytes: int = SPLIT_BYTES,
+) -> DataFrame:
+    """Load driver trends, the index of driver maps and the kinds of input below ``folder``;
+    returns the scan report: trends and maps that were loaded, that could not be, maps without a
+    year, and mirrored copies."""
+    listed = written(list_files(spark, folder), "listed")
+    _save(identify_input(folder_heads(listed)), root, "kinds", source_id)
+    rows, trends = trend_files(listed, split_bytes)
+    replace_source(rows, root, source_id)
+    clear_cells(spark, root, source_id)
     none = F.lit(None).cast("string")
-    scenarios = drivers.select("scenario").distinct().select(
+    scenarios = discover_input(listed).select("scenario").distinct().select(
         F.col("scenario").alias("id"), F.upper("scenario").alias("label"), F.lit("input").alias("domain"),
         none.alias("model"), none.alias("model_name"),
     )
     _save(conform(scenarios, SCENARIOS), root, "scenarios", source_id)
-    _save(conform(raster_index(input_maps(list_files(spark, folder, "*.asc"))), RASTER_INDEX), root, "rasters", source_id)
+    names = listed.filter(F.col("suffix") == ".asc")
+    maps = written(input_maps(names), "maps")
+    _save(conform(raster_index(maps), RASTER_INDEX), root, "rasters", source_id)
+    _save_catalog(spark, root, source_id)
+    copies = F.concat(F.lit("a copy of "), "kept_path")
+    outcomes = (
+        trends.select(F.lit("trend").alias("kind"), "status", "name", "message")
+        .unionByName(maps.select(F.lit("map").alias("kind"), F.lit("ok").alias("status"), "name", none.alias("message")))
+        .unionByName(undated_maps(names).select(F.lit("map").alias("kind"), F.lit("undated").alias("status"), "name", none.alias("message")))
+        .unionByName(mirrored_maps(names).select(F.lit("map").alias("kind"), F.lit("copy").alias("status"), "name", copies.alias("message")))
+    )
+    _save(scan_report(outcomes), root, "reports", source_id)
+    return spark.read.parquet(f"{root}/reports/source_id={source_id}")

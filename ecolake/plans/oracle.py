@@ -260,10 +260,10 @@ INDEX = f"""WITH {NAMES}, {INPUTS}, maps AS (
  FROM n WHERE variable IS NOT NULL
  UNION ALL SELECT NULL, NULL, scenario, 'input', variable, NULL, NULL, year, NULL, NULL, split_part(min(rel), '/', -1), '/raw/' || min(rel), 'none' FROM i GROUP BY scenario, variable, year),
 ided AS (SELECT *, concat_ws('|', scenario, domain, variable, slug, year, run_id) AS id FROM maps),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dir, name) AS rn, first(path) OVER (PARTITION BY id ORDER BY dir, name) AS kept,
-  first(name) OVER (PARTITION BY id ORDER BY dir, name) AS kept_name FROM ided),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY model, id ORDER BY dir, name) AS rn, first(path) OVER (PARTITION BY model, id ORDER BY dir, name) AS kept,
+  first(name) OVER (PARTITION BY model, id ORDER BY dir, name) AS kept_name FROM ided),
 idx AS (SELECT id, model, model_name, scenario, domain, variable, group_name, fleet_name, year, run_id,
-  'scenario=' || scenario || '/domain=' || domain || '/variable=' || variable AS path, path AS source_path FROM ranked WHERE rn = 1)"""
+  'model=' || coalesce(model, '__HIVE_DEFAULT_PARTITION__') || '/scenario=' || scenario || '/domain=' || domain || '/variable=' || variable AS path, path AS source_path FROM ranked WHERE rn = 1)"""
 ORACLE["scan_report"] = FILES + f", {NAMES}" + """, outcome AS (SELECT 'csv' AS kind, status, split_part(name, '/', -1) AS name, CASE status WHEN 'unsupported' THEN 'no data section'
   WHEN 'error' THEN 'a time or number cell cannot be read' END AS message FROM files WHERE status <> 'none'
  UNION ALL SELECT 'map', 'unrecognised', name, NULL FROM n WHERE variable IS NULL)
@@ -283,7 +283,7 @@ ORACLE["raster_runinfo"] = f"""WITH {NAMES} SELECT dir || '/' || name AS rel, CA
 ORACLE["raster_index"] = f"{INDEX} SELECT * FROM idx"
 ORACLE["raster_collisions"] = f"""{INDEX} SELECT id, path, kept AS kept_path, 'duplicate map id ' || id || ': ' || name || ' and ' || kept_name || ' are both of the same year' AS message FROM ranked WHERE rn > 1"""
 ORACLE["dedupe_input_maps"] = f"WITH {INPUTS} SELECT scenario, variable, year, '/raw/' || min(rel) AS path FROM i GROUP BY scenario, variable, year"
-ORACLE["list_rasters"] = f"""{INDEX} SELECT id, model, model_name, scenario, domain, variable, CAST(NULL AS INT) AS group_id, group_name, CAST(NULL AS INT) AS fleet_id, fleet_name, year
+ORACLE["list_rasters"] = f"""{INDEX} SELECT id, model, model_name, scenario, domain, variable, CAST(NULL AS INT) AS group_id, group_name, CAST(NULL AS INT) AS fleet_id, fleet_name, year, run_id
 FROM idx WHERE scenario = 'scn_0' AND variable = 'biomass' AND group_name = 'Label 3'"""
 ORACLE["get_raster"] = f"{INDEX} SELECT id, scenario, domain, variable, year, source_path FROM idx WHERE id = 'scn_0|output|biomass|label_3|2004'"
 PICK = f"""{INDEX}, items AS (SELECT * FROM (VALUES (0, 'biomass', 'Label 1', 2003, 2030), (0, 'biomass', 'Label 4', 2003, 2030), (1, 'effort', 'Label 8', 2001, 2050),
@@ -292,20 +292,20 @@ picked AS (SELECT item, id, coalesce(group_name, fleet_name) AS entity, year FRO
 ORACLE["select_maps"] = f"{PICK} SELECT item, id, entity, year FROM picked"
 ORACLE["select_maps_summary"] = f"""{PICK}, asked AS (SELECT item, v AS variable, string_agg(e, ', ' ORDER BY e) AS entities, y0 || '-' || y1 AS years FROM items GROUP BY item, v, y0, y1)
 SELECT a.item, variable, entities, years, count(p.id) AS maps, count(p.id) = 0 AS missing FROM asked a LEFT JOIN picked p ON a.item = p.item GROUP BY ALL"""
-ORACLE["raster_layers"] = f"""{INDEX} SELECT scenario, domain, variable, min(model) AS model, min(model_name) AS model_name, count(DISTINCT group_name) AS n_groups,
- count(DISTINCT fleet_name) AS n_fleets, min(year) AS year_min, max(year) AS year_max, count(*) AS n_rasters FROM idx GROUP BY scenario, domain, variable"""
+ORACLE["raster_layers"] = f"""{INDEX} SELECT scenario, domain, variable, model, min(model_name) AS model_name, count(DISTINCT group_name) AS n_groups,
+ count(DISTINCT fleet_name) AS n_fleets, min(year) AS year_min, max(year) AS year_max, count(*) AS n_rasters FROM idx GROUP BY model, scenario, domain, variable"""
 ORACLE["source_kind"] = f"""{INDEX}, {RUN} SELECT CAST(greatest((SELECT max(n) FROM multi), (SELECT max(r) FROM (SELECT count(DISTINCT run_id) AS r FROM idx GROUP BY model, scenario)), 1) AS BIGINT) AS run_count,
  true AS has_series, true AS has_maps, 'montecarlo' AS kind"""
 ORACLE["identify_output"] = FILES + f""", {NAMES.replace('n AS (', 'nn AS (')} SELECT * FROM (
- SELECT 'ecosim' AS layer, count(*) AS files, CAST(0 AS BIGINT) AS maps, array_to_string(list_sort(list(DISTINCT model_name)), '; ') AS models, array_to_string(list_sort(list(DISTINCT upper(scenario))), '; ') AS scenarios
+ SELECT 'ecosim' AS layer, count(*) AS files, CAST(0 AS BIGINT) AS maps, count(DISTINCT model_name) AS n_models, count(DISTINCT scenario) AS n_scenarios, array_to_string(list_sort(list(DISTINCT model_name)), '; ') AS models, array_to_string(list_sort(list(DISTINCT upper(scenario))), '; ') AS scenarios
  FROM files WHERE status <> 'none'
- UNION ALL SELECT 'ecopath', count(DISTINCT (l_linestatus, l_returnflag)), 0, array_to_string(list_sort(list(DISTINCT 'Model ' || l_linestatus)), '; '), '' FROM lineitem JOIN nation ON l_linenumber = n_nationkey
- UNION ALL SELECT 'ecospace', count(*) + (SELECT count(DISTINCT dir) FROM nn WHERE scn < 2), count(*), 'Model E',
+ UNION ALL SELECT 'ecopath', count(DISTINCT (l_linestatus, l_returnflag)), 0, count(DISTINCT l_linestatus), 0, array_to_string(list_sort(list(DISTINCT 'Model ' || l_linestatus)), '; '), '' FROM lineitem JOIN nation ON l_linenumber = n_nationkey
+ UNION ALL SELECT 'ecospace', count(*) + (SELECT count(DISTINCT dir) FROM nn WHERE scn < 2), count(*), 1, (SELECT count(DISTINCT scn) FROM nn WHERE scn < 2), 'Model E',
   (SELECT string_agg(s, '; ' ORDER BY s) FROM (SELECT DISTINCT 'Scn ' || scn || ' space' AS s FROM nn WHERE scn < 2)) FROM nn)"""
-ORACLE["identify_input"] = """SELECT 'driver_trends' AS kind, count(DISTINCT event_type) AS files, CAST(0 AS BIGINT) AS shapefiles, CAST(0 AS BIGINT) AS series, '' AS names FROM events
-UNION ALL SELECT 'ecospace_maps', 2 * count(*), 0, 0, '' FROM embeddings
-UNION ALL SELECT 'ecopath_model', count(*), 0, 0, string_agg(r_name || '.ewemdb', '; ' ORDER BY r_name) FROM region
-UNION ALL SELECT 'ecosim_timeseries', count(DISTINCT n_regionkey), 0, count(*), '' FROM nation"""
+ORACLE["identify_input"] = """SELECT 'driver_trends' AS kind, count(DISTINCT event_type) AS files, CAST(0 AS BIGINT) AS shapefiles, CAST(0 AS BIGINT) AS series, CAST(0 AS BIGINT) AS n_names, '' AS names FROM events
+UNION ALL SELECT 'ecospace_maps', 2 * count(*), 0, 0, 0, '' FROM embeddings
+UNION ALL SELECT 'ecopath_model', count(*), 0, 0, count(DISTINCT r_name), string_agg(r_name || '.ewemdb', '; ' ORDER BY r_name) FROM region
+UNION ALL SELECT 'ecosim_timeseries', count(DISTINCT n_regionkey), 0, count(*), 0, '' FROM nation"""
 
 CELLS = f"""g AS (SELECT CAST(vec_id AS VARCHAR) AS raster_id, vec_id, label, vec_id % 2 = 0 AS deg,
   CASE WHEN vec_id % 4 = 3 THEN 'EPSG:3035' ELSE 'EPSG:4326' END AS crs, CASE WHEN vec_id % 4 = 1 THEN 'mismatch' ELSE 'ok' END AS crs_status, embedding FROM embeddings),
@@ -315,7 +315,7 @@ cells AS (SELECT raster_id, vec_id, label, deg, crs, crs_status, CAST(pos // 8 A
   CASE WHEN deg THEN 54 + 0.5::DOUBLE * (7 - pos // 8 + 0.5::DOUBLE) ELSE 3432716 + 4000 * (7 - pos // 8 + 0.5::DOUBLE) END AS y,
   CASE WHEN vec_id % 97 = 0 OR (vec_id % 5 = 0 AND pos % 8 = 0) THEN NULL ELSE CAST(embedding[pos + 1] AS DOUBLE) END AS value FROM e)"""
 ORACLE["read_grid_cells"] = f"""WITH {CELLS} SELECT raster_id, CASE WHEN deg THEN '8|8|10.0|54.0|0.5' ELSE '8|8|4535378.0|3432716.0|4000.0' END AS geometry, row, col, x, y, value FROM cells"""
-ORACLE["materialize_cells"] = f"""WITH {CELLS} SELECT 's' || (vec_id % 3) AS scenario, 'output' AS domain, 'v' || label AS variable, raster_id, row, col, x, y, value FROM cells"""
+ORACLE["materialize_cells"] = f"""WITH {CELLS} SELECT 'm' || (vec_id % 2) AS model, 's' || (vec_id % 3) AS scenario, 'output' AS domain, 'v' || label AS variable, raster_id, row, col, x, y, value FROM cells"""
 ORACLE["grid_meta"] = f"""WITH {CELLS} SELECT raster_id, 8 AS width, 8 AS height, CASE WHEN deg THEN 0.5::DOUBLE ELSE 4000 END AS cellsize, CASE WHEN deg THEN 10::DOUBLE ELSE 4535378 END AS xmin,
  CASE WHEN deg THEN 54::DOUBLE ELSE 3432716 END AS ymin, CASE WHEN deg THEN 14::DOUBLE ELSE 4535378 + 32000 END AS xmax, CASE WHEN deg THEN 58::DOUBLE ELSE 3432716 + 32000 END AS ymax FROM g"""
 ORACLE["raster_range"] = f"WITH {CELLS} SELECT raster_id, coalesce(min(value), 0) AS min, coalesce(max(value), 0) AS max FROM cells GROUP BY raster_id"

@@ -145,7 +145,7 @@ def identify_output(spark, sf_dir):
         bindings.map_files(spark, sf_dir).select("path", F.lit("").alias("text"))
     )
     out = identify.identify_output(raw_files.with_path_parts(found, "/raw"))
-    return out.select("layer", "files", "maps", _text(F.col("models")).alias("models"), _text(F.col("scenarios")).alias("scenarios"))
+    return out.select("layer", "files", "maps", "n_models", "n_scenarios", _text(F.col("models")).alias("models"), _text(F.col("scenarios")).alias("scenarios"))
 
 
 @query
@@ -213,15 +213,15 @@ def materialize_cells(spark, sf_dir):
     maps = written(bindings.grid_files(spark, sf_dir).select(
         F.col("raster_id").alias("id"), "text", F.concat(F.lit("s"), (F.col("vec_id") % 3).cast("string")).alias("scenario"),
         F.lit("output").alias("domain"), F.concat(F.lit("v"), F.col("label").cast("string")).alias("variable"),
+        F.concat(F.lit("m"), (F.col("vec_id") % 2).cast("string")).alias("model"),
     ), "maps")
 
     def parse(missing):
         parsed = grids.read_grids(missing.withColumnRenamed("id", "raster_id"))
-        return grids.grid_cells(parsed, "raster_id", "scenario", "domain", "variable")
+        return grids.grid_cells(parsed, "raster_id", "model", "scenario", "domain", "variable")
 
     for wanted in (maps.filter(F.col("variable") < "v5"), maps):  # the second request finds half of it stored
-        stored = store.read_cells(spark, root, "e")
-        store.append_cells(store.materialise_cells(wanted, stored, parse), root, "e")
+        store.materialise_cells(wanted, root, "e", parse)
     return store.read_cells(spark, root, "e").select(*[f for f in CELLS.fieldNames() if f != "geometry"])
 
 

@@ -27,22 +27,18 @@ RASTER_INDEX = _schema(
     ("fleet_name", _S), ("year", _I), ("run_id", _S), ("path", _S),
     ("source_path", _S), ("source_crs_wkt", _S),
 )
-RASTER_COLUMNS = RASTER_INDEX.fieldNames()
 
 SCENARIOS = _schema(("id", _S), ("label", _S), ("domain", _S), ("model", _S), ("model_name", _S))
 MODELS = _schema(("id", _S), ("name", _S))
 
 # One row per grid cell of a stored map.
 CELLS = _schema(
-    ("scenario", _S), ("domain", _S), ("variable", _S), ("raster_id", _S), ("geometry", _S),
+    ("model", _S), ("scenario", _S), ("domain", _S), ("variable", _S), ("raster_id", _S), ("geometry", _S),
     ("row", _I), ("col", _I), ("x", _D), ("y", _D), ("value", _D),
 )
 
-# A catalog entry is one of these slices.
-SLICE = ["scenario", "domain", "variable", "freq"]
+# One row per map whose cells are stored.
+LEDGER = _schema(("model", _S), ("raster_id", _S), ("domain", _S))
 
-# Columns that together name one series; with ``year``/``month`` they name one value.
-SERIES = [
-    "model", "scenario", "variable", "freq", "group_id", "group_name",
-    "fleet_id", "fleet_name", "partner_id", "partner_name", "run_id",
-]
+# A catalog entry is one of these slices.
+SLICE = ["model", "scenario", "domain", "variable", "freq"]

@@ -42,6 +42,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, wherever Spark's file systems reach; nothing if it is not there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def small_table(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
     """A table of literals inside the plan (a user's selection, a lookup list). Its size is
     known when planning, so joins with it need no hint."""

@@ -60,6 +60,15 @@ def _grid_text(
     return pd.Series(texts, dtype="object")
 
 
+def _stem(maps: DataFrame):
+    """Name of a map's file; the run of an ensemble is part of it."""
+    run = F.col("run_id") if "run_id" in maps.columns else F.lit(None).cast("string")
+    return file_stem(
+        F.col("area"), F.coalesce("model_name", "model"), F.col("scenario"), F.col("variable"),
+        F.coalesce(F.nullif("group_name", F.lit("")), F.nullif("fleet_name", F.lit(""))), F.col("year").cast("string"), run,
+    )
+
+
 def ascii_grids(grids: DataFrame, windows: DataFrame | None = None) -> DataFrame:
     """One row per (map, area): ``folder``, ``file`` and ``text``; ``text`` is null when the
     area holds no value of the map.
@@ -75,10 +84,7 @@ def ascii_grids(grids: DataFrame, windows: DataFrame | None = None) -> DataFrame
         })
     else:
         full = grids.join(windows, ["geometry", "crs"])
-    stem = file_stem(
-        F.col("area"), F.coalesce("model_name", "model"), F.col("scenario"), F.col("variable"),
-        F.coalesce(F.nullif("group_name", F.lit("")), F.nullif("fleet_name", F.lit(""))), F.col("year").cast("string"),
-    )
+    stem = _stem(full)
     text = _grid_text(*[F.col(c) for c in (
         "cells", "ncols", "nrows", "xll", "yll", "cellsize", "nodata", "row0", "col0", "rows", "cols", "inside",
     )])
@@ -110,8 +116,12 @@ def write_named_texts(texts: DataFrame, target: str) -> DataFrame:
 
 def export_ascii(grids: DataFrame, target: str, windows: DataFrame | None = None, areas: list[str] | None = None) -> dict[str, int]:
     """Write maps as grid files; returns the number of files and of skipped (map, area) pairs,
-    and leaves the lists themselves beside the files as ``_manifest/written`` and ``/skipped``."""
+    and leaves the lists themselves beside the files as ``_manifest/written`` and ``/skipped``.
+    Two maps that would get one name are an error, told before anything is written."""
     texts = ascii_grids(grids, windows)
+    twice = texts.groupBy("folder", "file").count().filter("count > 1").first()
+    if twice is not None:
+        raise ValueError(f"{twice['count']} maps would be written as {twice['folder']}/{twice['file']}")
     done = write_named_texts(texts, target)
     done.write.mode("overwrite").parquet(f"{target}/_manifest/written")
     spark = grids.sparkSession
@@ -119,13 +129,10 @@ def export_ascii(grids: DataFrame, target: str, windows: DataFrame | None = None
     if areas is None:
         return {"files": wrote.count(), "skipped": 0}
     asked = grids.withColumn("area", F.explode(F.array(*map(F.lit, areas))))
-    stem = file_stem(
-        F.col("area"), F.coalesce("model_name", "model"), F.col("scenario"), F.col("variable"),
-        F.coalesce(F.nullif("group_name", F.lit("")), F.nullif("fleet_name", F.lit(""))), F.col("year").cast("string"),
-    )
+    stem = _stem(asked)
     asked = asked.select(
         name_part(F.col("area")).alias("folder"), F.concat(stem, F.lit(".asc")).alias("file"),
     )
-    missing = asked.join(wrote, ["folder", "file"], "left_anti").withColumn("reason", F.lit("no model cells inside the area"))
+    missing = asked.join(wrote, ["folder", "file"], "left_anti").withColumn("reason", F.lit("the area holds no value of this map"))
     missing.write.mode("overwrite").parquet(f"{target}/_manifest/skipped")
     return {"files": wrote.count(), "skipped": spark.read.parquet(f"{target}/_manifest/skipped").count()}

@@ -1,8 +1,8 @@
 """The store: partitioned Parquet tables, one folder per source.
 
-``<root>/timeseries/source_id=<id>/scenario=/domain=/variable=/freq=`` holds the series and
-``<root>/cells/source_id=<id>/scenario=/domain=/variable=`` the map cells. A source is
-rewritten or removed without touching any other.
+``<root>/timeseries/source_id=<id>/model=/scenario=/domain=/variable=/freq=`` holds the series
+and ``<root>/cells/source_id=<id>/model=/scenario=/domain=/variable=`` the map cells. A source
+is rewritten or removed without touching any other.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ecolake.schema import CELLS, SLICE, TIDY
-from ecolake.session import written
+from ecolake.schema import CELLS, LEDGER, SLICE, TIDY
+from ecolake.session import delete_path, written
 
-CELL_SLICE = ["scenario", "domain", "variable"]
+CELL_SLICE = ["model", "scenario", "domain", "variable"]
+TABLES = ["timeseries", "cells", "cells_ledger", "rasters", "scenarios", "models", "layers", "groups", "reports", "kinds", "catalog"]
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -29,10 +30,9 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 def _write(df: DataFrame, path: str, keys: list[str], mode: str, dynamic: bool = False) -> None:
     # Rebalancing gives each slice few files, and splits the slices too big for one task.
+    # The mode is stated, so that no setting of the session changes what an overwrite replaces.
     writer = df.hint("rebalance", *keys).write.partitionBy(*keys).mode(mode)
-    if dynamic:
-        writer = writer.option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
+    writer.option("partitionOverwriteMode", "dynamic" if dynamic else "static").parquet(path)
 
 
 def write_slices(rows: DataFrame, path: str) -> None:
@@ -53,10 +53,10 @@ def replace_source(rows: DataFrame, root: str, source_id: str) -> None:
 
 
 def remove_source(spark: SparkSession, root: str, source_id: str) -> None:
-    """Empty one source; the store stays readable, even when nothing is left."""
-    for table, schema, keys in (("timeseries", TIDY, SLICE), ("cells", CELLS, CELL_SLICE)):
-        empty = spark.createDataFrame([], schema)
-        empty.write.partitionBy(*keys).mode("overwrite").parquet(source_path(root, table, source_id))
+    """Remove one source from every table; the store stays readable, even when nothing is left."""
+    for table in TABLES:
+        delete_path(spark, source_path(root, table, source_id))
+        spark.catalog.refreshByPath(f"{root}/{table}")
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -122,11 +122,24 @@ def dim_models(runs: DataFrame) -> DataFrame:
     return runs.groupBy(F.col("model").alias("id")).agg(F.min("model_name").alias("name"))
 
 
-def materialise_cells(wanted: DataFrame, stored: DataFrame, parse) -> DataFrame:
-    """Cells of the wanted maps that are not stored yet. ``wanted`` are index rows (``id``,
-    ``source_path``); ``parse(missing)`` reads those files and returns cells."""
-    have = stored.filter((F.col("row") == 0) & (F.col("col") == 0)).select(F.col("raster_id").alias("id"))  # one per map
-    return parse(wanted.join(have, "id", "left_anti"))
+def unstored_maps(wanted: DataFrame, spark: SparkSession, root: str, source_id: str) -> DataFrame:
+    """Those of the wanted index rows (``model``, ``id``) whose cells are not stored. Which maps
+    are is told by a ledger with a row per map, never by the cells."""
+    ledger = read_table(spark, source_path(root, "cells_ledger", source_id), LEDGER)
+    same = F.col("id").eqNullSafe(F.col("_id")) & F.col("model").eqNullSafe(F.col("_model"))
+    return wanted.join(ledger.select(F.col("model").alias("_model"), F.col("raster_id").alias("_id")), same, "left_anti")
+
+
+def materialise_cells(wanted: DataFrame, root: str, source_id: str, parse) -> None:
+    """Store the cells of the wanted maps that are not stored yet. ``wanted`` are index rows
+    (``model``, ``id``, ``source_path``); ``parse(missing)`` reads those files and returns cells.
+    The cells are written first and the ledger after them, so a call that failed between the two
+    is made good by clearing the source's cells."""
+    spark = wanted.sparkSession
+    missing = written(unstored_maps(wanted, spark, root, source_id).select(*wanted.columns), "missing")
+    append_cells(parse(missing), root, source_id)
+    ledger = missing.select("model", F.col("id").alias("raster_id"), "domain")
+    conform(ledger, LEDGER).write.mode("append").parquet(source_path(root, "cells_ledger", source_id))
 
 
 def append_cells(cells: DataFrame, root: str, source_id: str) -> None:
@@ -137,8 +150,20 @@ def read_cells(spark: SparkSession, root: str, source_id: str) -> DataFrame:
     return read_table(spark, source_path(root, "cells", source_id), CELLS)
 
 
-def clear_cells(spark: SparkSession, root: str, source_id: str, domain: str) -> None:
-    """Drop the stored cells of one domain (its coordinate system changed), keep the rest."""
-    path = source_path(root, "cells", source_id)
-    kept = read_cells(spark, root, source_id).filter(F.col("domain") != domain)
-    _write(written(kept, "cells-kept"), path, CELL_SLICE, "overwrite")
+def clear_cells(spark: SparkSession, root: str, source_id: str, domain: str | None = None) -> None:
+    """Drop the stored cells of a source, or of one domain of it (its coordinate system
+    changed). Cells are partitioned by domain, so folders are deleted and nothing is rewritten."""
+    cells, ledger = source_path(root, "cells", source_id), source_path(root, "cells_ledger", source_id)
+    if domain is None:
+        delete_path(spark, ledger)
+        delete_path(spark, cells)
+    else:
+        entries = read_table(spark, ledger, LEDGER)
+        kept = written(entries.filter(~F.col("domain").eqNullSafe(domain)), "ledger")
+        folders = read_cells(spark, root, source_id).filter(F.col("domain").eqNullSafe(domain))
+        gone = {f.rsplit("/variable=", 1)[0] for f in folders.inputFiles() if f"/domain={domain}/" in f}
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(ledger)
+        for folder in gone:
+            delete_path(spark, folder)
+    for path in (cells, ledger):
+        spark.catalog.refreshByPath(path)

@@ -1,28 +1,38 @@
 """Folders of raw files as DataFrames.
 
 Every reader works on a *files* DataFrame: one row per file with ``path``, the parts of the
-path, and ``text`` where the content is needed. Readers never look at row order and never
-shuffle ``text``, so a folder of any number of files is one map-only stage.
+path, and ``text`` where content is needed. Heads are read line by line to where they end, and
+the lines behind them by byte ranges, so neither the number nor the size of files matters.
 """
 
 from __future__ import annotations
 
+import io
+import itertools
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from urllib.parse import urlparse
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ecolake.functions.naming import stem
 
 # --- fixed values -----------------------------------------------------------------------
-HEAD_BYTES = 4096
-WHOLE_FILE_BYTES = 256 << 20  # far below the 2 GB a single text may have
-HEADER_BYTES_MAX = 64 << 20  # no header is searched for beyond
+FIRST_LINES = 6  # of a file without a header block, with content
+BLOCK_MARK = "<HEADER"
+SCENARIO_MARK = "EcosimScenario"
+END_MARK = re.compile(r"<HEADER[^\r\n]*end")
+DATA_MARK = re.compile(r'[ \t]*"?[ \t]*Data[ \t]*"?[ \t]*(?:,|\r|\n|$)')
+EOL_BYTES = re.compile(rb"\r\n|\n|\r")
 # ----------------------------------------------------------------------------------------
+TEXTS_AT_ONCE = 64
+READ_BYTES = 1 << 20
+SPLIT_BYTES = 64 << 20
 
 
 def _decoded(path: Column) -> Column:
@@ -70,73 +80,155 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return with_path_parts(listed, root)
 
 
-def read_texts(spark: SparkSession, root: str, glob: str = "*.csv", max_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """Files below ``root`` of at most ``max_bytes`` as one text each. Larger ones are read by
-    lines (:func:`read_lines`)."""
+def read_texts(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
+    """Files below ``root`` as one text each, for files that are known to be small. Folders of
+    any size go through :func:`with_heads` and :func:`with_lines`."""
     root = _root(root)
     texts = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .text(root, wholetext=True)
-        .filter(F.col("_metadata.file_size") <= max_bytes)
-        .select(
-            _decoded(F.col("_metadata.file_path")).alias("path"),
-            F.regexp_replace("value", "^﻿", "").alias("text"),
-        )
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
+        .select(_decoded(F.col("_metadata.file_path")).alias("path"), F.regexp_replace("value", "^﻿", "").alias("text"))
     )
     return with_path_parts(texts, root)
 
 
-def read_lines(spark: SparkSession, root: str, glob: str = "*.csv", larger_than: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """Lines of the files larger than ``larger_than`` bytes, each file split over many tasks.
-    ``block`` is where in the file a task began and ``position`` rises with the lines of a
-    block, so the two order the lines of a file."""
-    root = _root(root)
-    lines = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
-        .filter(F.col("_metadata.file_size") > larger_than)
-    )
-    return lines.select(
-        _decoded(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("position"), F.col("value").alias("line"),
-    )
-
-
-def with_heads(files: DataFrame, limit: int | None = HEAD_BYTES, until: str | None = None) -> DataFrame:
-    """Add ``text`` to listed files, reading only what is asked for: the first ``limit``
-    bytes, or up to the end of the first match of ``until``, or (both None) the whole file."""
-    columns = [f for f in files.schema.fields if f.name != "text"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in columns] + ["text string"])
+def with_heads(files: DataFrame, part: str = "header") -> DataFrame:
+    """Add ``text``, a part of each listed file read line by line: ``whole``; ``line``, the first
+    one; ``header``, a header block to its end, and of a file that does not begin with one the
+    first six lines with content; or ``table``, everything up to and with the line that names
+    the columns. ``head_bytes`` is where it ends. A file that cannot be opened or read has a null
+    ``text`` and its fault in ``read_error``."""
+    columns = [f for f in files.schema.fields if f.name not in ("text", "head_bytes", "read_error")]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in columns] + ["text string", "head_bytes long", "read_error string"])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(text=[_head(p, limit, until) for p in pdf["path"]])
+            for start in range(0, len(pdf), TEXTS_AT_ONCE):
+                some = pdf.iloc[start:start + TEXTS_AT_ONCE]
+                found = [_head(p, part) for p in some["path"]]
+                yield some.assign(text=[f[0] for f in found], head_bytes=[f[1] for f in found], read_error=[f[2] for f in found])
 
     return files.select(*[f.name for f in columns]).mapInPandas(read, schema)
 
 
+def with_lines(heads: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """The lines behind the head of each file (``path``, ``bytes``, ``head_bytes``; the other
+    columns are repeated) as ``line``. Files are cut into ranges of ``split_bytes`` that any task
+    may read: a range has the lines that begin in it, so no file needs a task of its own.
+    ``heads`` should be a written table."""
+    cut = heads.filter(F.col("head_bytes") < F.col("bytes")).withColumn(
+        "_start", F.explode(F.sequence(F.col("head_bytes"), F.col("bytes") - 1, F.lit(split_bytes).cast("long")))
+    )
+    schema = StructType([*heads.schema.fields, StructField("line", StringType())])
+    names = heads.columns
+    total = heads.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(int(-(-total // max(split_bytes, 16 << 20))), heads.sparkSession.sparkContext.defaultParallelism)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {n: k for k, n in enumerate(batch.schema.names)}
+            cells = [batch.column(at[n]).to_pylist() for n in ("path", "bytes", "head_bytes", "_start")]
+            for i, (path, size, head, start) in enumerate(zip(*cells)):
+                filesystem, inner = open_path(path)
+                with filesystem.open_input_file(inner) as stream:
+                    for lines in _range_lines(stream, start, min(start + split_bytes, size), size, start > head):
+                        of = batch.take(pa.array([i] * len(lines), pa.int32()))
+                        yield pa.RecordBatch.from_arrays([*(of.column(at[n]) for n in names), pa.array(lines, pa.string())], names=[*names, "line"])
+
+    return cut.repartition(tasks).mapInArrow(read, schema)
+
+
+def _range_lines(stream, start: int, end: int, size: int, inside: bool) -> Iterator[list[str]]:
+    """Lists of the lines that begin in [start, end). ``inside``: a line may run over start."""
+    at = start - 1 if inside else start
+    stream.seek(at)
+    held, skip = b"", inside
+    while at < end:
+        more = stream.read(READ_BYTES)
+        held += more
+        done = at + len(held) >= size
+        lines = []
+        begin = 0
+        for m in EOL_BYTES.finditer(held):
+            if m.end() == len(held) and not done:
+                break  # the rest of a line end may follow
+            if at + begin >= end:
+                break
+            if skip:
+                skip = False
+            else:
+                lines.append(held[begin:m.start()])
+            begin = m.end()
+        if done and not skip and begin < len(held) and at + begin < end:
+            lines.append(held[begin:])
+        at, held = at + begin, held[begin:]
+        if lines:
+            yield [x.decode("utf-8", "replace") for x in lines]
+        if done:
+            return
+
+
+_clients: dict[tuple[str, str], object] = {}
+
+
 def open_path(path: str):
-    """(filesystem, path inside it) for a plain path or a URI; works inside tasks."""
+    """(filesystem, path inside it) for a plain path or a URI; works inside tasks, which keep
+    one client per scheme and host."""
     from pyarrow import fs
 
-    scheme = urlparse(path).scheme
-    if not scheme or scheme == "file":
-        return fs.LocalFileSystem(), urlparse(path).path if scheme else path
-    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
-
-
-def _head(path: str, limit: int | None, until: str | None) -> str:
-    filesystem, inner = open_path(path)
-    with filesystem.open_input_stream(inner) as stream:
-        if limit is not None:
-            data = stream.read(limit)
-        elif until is None:
-            data = stream.read()
-        else:
-            stop, data = re.compile(until.encode()), b""
-            while (chunk := stream.read(1 << 20)) and len(data) < HEADER_BYTES_MAX:
-                data += chunk
-                if found := stop.search(data):
-                    data = data[:found.end()]
-                    break
-    return data.decode("utf-8-sig", errors="replace")
+    parts = urlparse(path)
+    if not parts.scheme or parts.scheme == "file":
+        return fs.LocalFileSystem(), parts.path if parts.scheme else path
+    key = (parts.scheme, parts.netloc)
+    if key not in _clients:
+        _clients[key] = fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", f"{parts.scheme}://{parts.netloc}/"))[0]
+    return _clients[key], parts.path if parts.scheme == "hdfs" else f"{parts.netloc}{parts.path}"
+
+
+def _head(path: str, part: str) -> tuple[str | None, int | None, str | None]:
+    try:
+        filesystem, inner = open_path(path)
+        with filesystem.open_input_file(inner) as stream:
+            lines = io.TextIOWrapper(stream, encoding="utf-8", errors="surrogateescape", newline="")
+            taken = lines.read() if part == "whole" else "".join(_STOPS[part](lines))
+    except OSError as fault:
+        return None, None, str(fault)
+    data = taken.encode("utf-8", "surrogateescape")
+    return data.decode("utf-8", "replace").removeprefix("\ufeff"), len(data), None
+
+
+def _has_content(line: str) -> bool:
+    return bool(line.strip(" \t\r\n,\"\ufeff"))
+
+
+def _first_line(lines: Iterable[str]) -> Iterator[str]:
+    yield from itertools.islice(lines, 1)
+
+
+def _header_lines(lines: Iterable[str]) -> Iterator[str]:
+    block, contents = False, 0
+    for line in lines:
+        yield line
+        block = block or BLOCK_MARK in line
+        contents += _has_content(line)
+        if (block and END_MARK.search(line)) or (not block and contents >= FIRST_LINES):
+            return
+
+
+def _table_lines(lines: Iterable[str]) -> Iterator[str]:
+    """To the first line with content behind the data mark. The mark counts behind the header's
+    end, or where no header block has begun. A file whose first lines hold neither a block nor
+    the scenario's name is no export."""
+    block = ended = marked = named = False
+    contents = 0
+    for line in lines:
+        yield line
+        if marked and _has_content(line):
+            return
+        contents += _has_content(line)
+        block, ended, named = block or BLOCK_MARK in line, ended or bool(END_MARK.search(line)), named or SCENARIO_MARK in line
+        marked = marked or ((ended or not block) and DATA_MARK.match(line) is not None)
+        if contents >= FIRST_LINES and not (block or named or marked):
+            return
+
+
+_STOPS = {"line": _first_line, "header": _header_lines, "table": _table_lines}

@@ -1,4 +1,4 @@
-"""What kind of files a folder holds, told by names and the first few KB of each file."""
+"""What kind of files a folder holds, told by names and the head of each file."""
 
 from __future__ import annotations
 
@@ -18,8 +18,6 @@ from ecolake.sources.model_csv import (
 MODEL_LAYERS = ["ecospace", "ecosim", "ecopath"]  # deepest first
 MODEL_FILE_SUFFIXES = [".ewemdb", ".eweaccdb"]
 SERIES_LABELS = ["title", "weight", "pool code", "pool code 2", "type"]
-NAMES_KEPT = 20
-EXAMPLES_KEPT = 3
 # ----------------------------------------------------------------------------------------
 
 
@@ -50,22 +48,38 @@ def with_layer(files: DataFrame) -> DataFrame:
     }).drop("_head")
 
 
-def identify_output(files: DataFrame) -> DataFrame:
-    """Per model layer: number of files and maps, and the (first 20) model and scenario names."""
+def identify_output(files: DataFrame, names: int = 20) -> DataFrame:
+    """Per model layer: number of files and maps, how many model and scenario names there are
+    (``n_models``, ``n_scenarios``), and the first ``names`` of each; :func:`layer_names` has all."""
     layered = with_layer(files).filter(F.col("layer").isNotNull()).select(
         "layer", "suffix", "model_name", "scenario_name",
     )
-    counts = layered.groupBy("layer").agg(
+    per_name = layered.groupBy("layer", "model_name", "scenario_name").agg(
         F.count("*").alias("files"), F.count_if(F.col("suffix") == ".asc").alias("maps"),
     )
-    models = smallest(layered, ["layer"], "model_name", NAMES_KEPT, "models")
-    scenarios = smallest(layered, ["layer"], "scenario_name", NAMES_KEPT, "scenarios")
+    counts = per_name.groupBy("layer").agg(
+        F.sum("files").alias("files"), F.sum("maps").alias("maps"),
+        F.count_distinct("model_name").alias("n_models"), F.count_distinct("scenario_name").alias("n_scenarios"),
+    )
+    models = smallest(layered, ["layer"], "model_name", names, "models")
+    scenarios = smallest(layered, ["layer"], "scenario_name", names, "scenarios")
     return counts.join(models, "layer", "left").join(scenarios, "layer", "left").withColumns({
         "models": F.coalesce("models", F.array().cast("array<string>")),
         "scenarios": F.coalesce("scenarios", F.array().cast("array<string>")),
     })
 
 
+def layer_names(files: DataFrame) -> DataFrame:
+    """Every model and scenario name per layer: ``layer``, ``kind`` (model or scenario), ``name``
+    and number of files."""
+    layered = with_layer(files).filter(F.col("layer").isNotNull())
+    named = layered.select("layer", F.inline(F.array(
+        F.struct(F.lit("model").alias("kind"), F.col("model_name").alias("name")),
+        F.struct(F.lit("scenario").alias("kind"), F.col("scenario_name").alias("name")),
+    )))
+    return named.filter(F.col("name").isNotNull()).groupBy("layer", "kind", "name").agg(F.count("*").alias("files"))
+
+
 def _series_rows(text: Column) -> Column:
     return F.filter(F.transform(split_lines(text), split_csv), lambda c: (F.size(c) > 1) | (F.get(c, F.lit(0)) != ""))
 
@@ -94,15 +108,17 @@ def with_input_kind(files: DataFrame) -> DataFrame:
     )
 
 
-def identify_input(files: DataFrame) -> DataFrame:
-    """Per kind of model input: files (shape files apart), series, and model file names."""
+def identify_input(files: DataFrame, names_kept: int = 20) -> DataFrame:
+    """Per kind of model input: files (shape files apart), series, how many names model files
+    have and the first ``names_kept`` of them."""
     found = with_input_kind(files).filter(F.col("kind").isNotNull()).select("kind", "suffix", "name", "series")
     counts = found.groupBy("kind").agg(
         F.count_if(F.col("suffix") != ".shp").alias("files"),
         F.count_if(F.col("suffix") == ".shp").alias("shapefiles"),
         F.coalesce(F.sum("series"), F.lit(0)).alias("series"),
+        F.count_distinct(F.when(F.col("kind") == "ecopath_model", F.col("name"))).alias("n_names"),
     )
-    names = smallest(found.filter(F.col("kind") == "ecopath_model"), ["kind"], "name", NAMES_KEPT, "names")
+    names = smallest(found.filter(F.col("kind") == "ecopath_model"), ["kind"], "name", names_kept, "names")
     return counts.join(names, "kind", "left").withColumn(
         "names", F.coalesce("names", F.array().cast("array<string>"))
     )
@@ -133,8 +149,10 @@ def group_tables(files: DataFrame) -> DataFrame:
 
 
 def _any(df: DataFrame, check: str) -> DataFrame:
-    """One row telling whether ``df`` has a row; reading stops at the first one."""
-    return df.limit(1).agg(F.lit(check).alias("check"), (F.count("*") > 0).alias("found"))
+    """One row telling whether ``df`` has a row. Partitions are tried a few at a time and reading
+    stops at the first row."""
+    found = not df.isEmpty()
+    return df.sparkSession.range(1).select(F.lit(check).alias("check"), F.lit(found).alias("found"))
 
 
 def validate_output(files: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ shuffle, no Python.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ecolake.functions.csvline import (
@@ -18,7 +18,7 @@ from ecolake.functions.naming import file_variable, slugify, strip
 from ecolake.functions.periods import DEFAULT_START_YEAR, frequency, iso_date, year_month
 from ecolake.schema import TIDY, TIDY_COLUMNS
 from ecolake.session import computed_once, let, written
-from ecolake.sources.files import WHOLE_FILE_BYTES, list_files, read_lines, with_heads
+from ecolake.sources.files import SPLIT_BYTES, with_heads, with_lines
 
 # --- fixed values: the export format ----------------------------------------------------
 SCENARIO_FIELD = "EcosimScenario"
@@ -30,11 +30,12 @@ BLOCK_START, BLOCK_END = "<HEADER", "/>"
 HEADER_END_LINE = (
     r'(?m)^(?:"\s*<HEADER[^"\r\n]*end[^"\r\n]*/>\s*"|[ \t]*<HEADER[^",\r\n]*end[^",\r\n]*/>[ \t]*)(?:,.*)?$'
 )
-HEADER_END = r'(?m)^[ \t]*"?[ \t]*<HEADER[^\r\n]*end[^\r\n]*'
 DATA_LINE = r'(?m)^([ \t]*"?[ \t]*Data[ \t]*"?[ \t]*(?:,.*)?)$'
-# everything up to and with the line that names the columns
-TABLE_HEAD = r'(?m)^[ \t]*"?[ \t]*Data[ \t]*"?[ \t]*(?:,[^\r\n]*)?(?:\r\n|\r|\n)(?:[\s,"]*[\r\n])?[^\r\n]*[^,\s"][^\r\n]*(?:\r\n|\r|\n)'
 LONG_COLUMNS = ["fleet", "group", "value"]
+TREND_NAME = r"^trend_.*\.csv$"
+NO_START = "start year is not a number"
+BROKEN_CELL = "a quoted cell runs over its line"
+BAD_CELL = "a time or number cell cannot be read"
 # ----------------------------------------------------------------------------------------
 
 _CONTENT_LINE = r'(?m)^(.*[^,\s"].*)$'
@@ -170,10 +171,10 @@ def with_shapes(files: DataFrame, head_only: bool = False) -> DataFrame:
     bad_time = F.exists("lines", _unusable_time(F.col("shape"), F.col("freq"), F.col("start_year")))
     message = (
         F.when(F.col("shape").isNull(), "no data section")
-        .when(F.exists("lines", broken_quotes), "a quoted cell runs over its line")
-        .when(F.col("start_year").isNull(), "start year is not a number")
-        .when(F.col("shape") == "unknown", F.concat(F.lit("unrecognised layout: "), F.array_join(F.slice("header", 1, 5), ",")))
-        .when(bad_time, "a time or number cell cannot be read")
+        .when(F.col("start_year").isNull(), NO_START)
+        .when(F.col("shape") == "unknown", F.concat(F.lit("unrecognised layout: "), F.array_join("header", ",")))
+        .when(F.exists("lines", broken_quotes), BROKEN_CELL)
+        .when(bad_time, BAD_CELL)
     )
     out = computed_once(out, message=message).drop("_named")
     status = F.when(F.col("shape").isNull(), "unsupported").when(F.col("message").isNotNull(), "error")
@@ -272,26 +273,6 @@ def line_values(lines: DataFrame, *keep: str, outer: bool = False) -> DataFrame:
     )
 
 
-def staged(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(rows, files)``: tidy rows as from :func:`values`, and one row per file with its run,
-    ``status`` and ``message``. The raw texts are read once; both come from one written table
-    in which each file has a row of its own before those of its values."""
-    ready = (F.col("status") == "ok") & (F.col("shape") != "empty")
-    lines = F.when(ready, F.col("lines")).otherwise(F.array().cast("array<string>"))
-    marked = parsed.select(
-        *_PER_FILE, "name", "scenario_label", "status", "message",
-        F.explode(F.concat(F.array(F.lit(None).cast("string")), lines)).alias("line"),
-    )
-    is_file = F.col("line").isNull()
-    marked = marked.withColumns({"is_file": is_file, "message": F.when(is_file, F.col("message"))})
-    table = written(line_values(marked, "name", "scenario_label", "status", "message", "is_file", outer=True), "staged")
-    files = table.filter("is_file").select(
-        "path", "dir", "name", "model", "model_name", "scenario", "scenario_label", "shape", "status", "message",
-    )
-    kept = ~F.col("is_file") & (~F.col("shape").startswith("wide") | F.col("value").isNotNull())
-    return table.filter(kept).drop("name", "scenario_label", "status", "message", "is_file"), files
-
-
 def read_layout(files: DataFrame, *shapes: str) -> DataFrame:
     """Tidy rows of the files in the given layouts (``wide_by_id``, ``wide_by_name``,
     ``long``, ``single``; none given = all)."""
@@ -301,36 +282,41 @@ def read_layout(files: DataFrame, *shapes: str) -> DataFrame:
     return values(parsed).select(*TIDY_COLUMNS)
 
 
-def large_files(spark: SparkSession, root: str, larger_than: int = WHOLE_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
-    """``(rows, files)`` of the exports too large to be one text: tidy rows as from
-    :func:`values`, and a status per file as from :func:`parsed_files`.
+def series_files(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> tuple[DataFrame, DataFrame]:
+    """``(rows, files)`` of the time-series exports among listed CSV files of any size: tidy rows
+    as from :func:`values`, and one row per file with its run, ``shape``, ``status`` and
+    ``message`` as from :func:`parsed_files`. Files that cannot be read are there with status
+    ``error``.
 
-    Only the head of each file is read whole. Its lines are then read by many tasks, and those
-    behind the head are told by their position; no file passes through a single task.
+    The head of each file tells its layout. All other lines are read once, by ranges, parsed
+    once and written once, with a mark on those that cannot be used; a file with such a line is
+    an error and gives no rows.
     """
-    big = list_files(spark, root, "*.csv").filter(F.col("bytes") > larger_than)
-    heads = with_headers(with_heads(big, limit=None, until=TABLE_HEAD)).filter(F.col("scenario").isNotNull())
-    known = with_shapes(with_sections(heads), head_only=True).withColumn("head_lines", F.size(split_lines(F.col("text"))) - 1)
-    known = written(known.select(*_PER_FILE, "name", "scenario_label", "status", "message", "head_lines"), "large-heads")
-
-    lines = read_lines(spark, root, "*.csv", larger_than)
-    # number of the first line of each block: the lines of the blocks before it
-    blocks = lines.groupBy("path", "block").agg(F.min("position").alias("begin"), F.count("*").alias("n"))
-    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = written(blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n"), "large-blocks")
-    per_block = known.filter(F.col("status") == "ok").join(blocks, "path").drop("name", "scenario_label", "status", "message")
-    number = F.col("before") + F.col("position") - F.col("begin")
-    data = lines.join(per_block, ["path", "block"]).filter((number >= F.col("head_lines")) & has_content(F.col("line")))
+    heads = with_headers(with_heads(files, "table"))
+    unread = heads.filter(F.col("read_error").isNotNull())
+    known = with_shapes(with_sections(heads.filter(F.col("scenario").isNotNull())), head_only=True)
+    per_file = [*_PER_FILE, "name", "scenario_label", "message", "bytes", "head_bytes"]
+    known = written(known.select(*per_file), "heads")
 
+    lines = with_lines(known.filter("shape is not null"), split_bytes).filter(has_content(F.col("line")))
     unusable = _unusable_time(F.col("shape"), F.col("freq"), F.col("start_year"))
-    faulty = written(data.filter(broken_quotes(F.col("line")) | unusable(F.col("line"))).select("path").distinct(), "large-faulty")
-    rows = line_values(data.join(faulty, "path", "left_anti").select(*_PER_FILE, "line"))
-    marked = known.join(faulty.withColumn("faulty", F.lit(True)), "path", "left")
-    files = marked.withColumns({
-        "status": F.when(F.col("faulty"), "error").otherwise(F.col("status")),
-        "message": F.when(F.col("faulty"), "a time or number cell cannot be read").otherwise(F.col("message")),
-    }).select("path", "dir", "name", "model", "model_name", "scenario", "scenario_label", "shape", "status", "message")
-    return rows, files
+    fault = F.when(broken_quotes(F.col("line")), BROKEN_CELL).when(unusable(F.col("line")), BAD_CELL)
+    parsed = written(line_values(lines.withColumn("fault", fault), "fault", outer=True), "staged")
+    seen = parsed.groupBy("path").agg(F.count("*").alias("n"), F.max(F.col("fault") == BROKEN_CELL).alias("broken"), F.max(F.col("fault") == BAD_CELL).alias("bad"))
+    empty = F.col("n").isNull() & F.col("shape").isNotNull()
+    found = known.join(written(seen, "seen"), "path", "left").withColumn(
+        "message", F.when(empty, F.when(F.col("start_year").isNull(), NO_START)).when(F.col("message").isNotNull(), F.col("message"))
+        .when(F.col("broken"), BROKEN_CELL).when(F.col("bad"), BAD_CELL)
+    ).withColumn("shape", F.when(empty, "empty").otherwise(F.col("shape")))
+    status = F.when(F.col("shape").isNull(), "unsupported").when(F.col("message").isNotNull(), "error").otherwise("ok")
+    outcome = ["path", "dir", "name", "model", "model_name", "scenario", "scenario_label", "shape", "status", "message"]
+    none = F.lit(None).cast("string")
+    lost = unread.select("path", "dir", "name", *[none.alias(c) for c in outcome[3:8]], F.lit("error").alias("status"), F.col("read_error").alias("message"))
+    found = written(found.withColumn("status", status).select(*outcome).unionByName(lost), "files")
+
+    faulty = written(found.filter("status <> 'ok'").select("path"), "faulty")
+    kept = parsed.join(faulty, "path", "left_anti").drop("fault")
+    return kept.filter(~F.col("shape").startswith("wide") | F.col("value").isNotNull()), found
 
 
 def run_directories(parsed: DataFrame) -> DataFrame:
@@ -352,14 +338,31 @@ def assign_run_id(rows: DataFrame, directories: DataFrame) -> DataFrame:
 
 
 def read_trends(files: DataFrame) -> DataFrame:
-    """Driver trends (``trend_*.csv``): scenario and variable come from the folders above
-    the file, the year from the first four digits of a line's label. Line 1 is always a
-    header; lines without a year or a number are skipped."""
-    lines = files.filter(F.col("name").rlike(r"^trend_.*\.csv$")).select(
-        slugify(F.col("grandparent")).alias("scenario"), F.col("parent").alias("unit"),
-        F.explode(F.slice(split_lines(F.col("text")), 2, F.length("text") + 1)).alias("line"),
-    ).withColumn("cells", split_csv(F.col("line")))
-    rows = lines.select(
+    """Driver trends (``trend_*.csv``) of whole texts; see :func:`trend_values`."""
+    return trend_values(files.filter(F.col("name").rlike(TREND_NAME)).select(
+        "grandparent", "parent", F.explode(F.slice(split_lines(F.col("text")), 2, F.length("text") + 1)).alias("line"),
+    ))
+
+
+def trend_files(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> tuple[DataFrame, DataFrame]:
+    """``(rows, files)`` of the driver trends among listed files of any size: tidy rows, and one
+    row per file (``path``, ``name``, ``status``, ``message``)."""
+    heads = written(with_heads(files.filter(F.col("name").rlike(TREND_NAME)), "line"), "trend-heads")
+    usable = heads.filter("read_error is null").select("path", "bytes", "head_bytes", "grandparent", "parent")
+    found = heads.select(
+        "path", "name", F.when(F.col("read_error").isNull(), "ok").otherwise("error").alias("status"), F.col("read_error").alias("message"),
+    )
+    return trend_values(with_lines(usable, split_bytes)), found
+
+
+def trend_values(lines: DataFrame) -> DataFrame:
+    """Tidy rows of trend lines behind the first: scenario and variable come from the folders
+    above the file, the year from the first four digits of a line's label. Lines without a year
+    or a number are skipped."""
+    cells = lines.select(
+        slugify(F.col("grandparent")).alias("scenario"), F.col("parent").alias("unit"), split_csv(F.col("line")).alias("cells"),
+    )
+    rows = cells.select(
         "scenario", "unit",
         F.regexp_extract(F.get("cells", F.lit(0)), r"(\d{4})", 1).try_cast("int").alias("year"),
         to_number(F.get("cells", F.lit(1))).alias("value"),
@@ -376,6 +379,6 @@ def read_trends(files: DataFrame) -> DataFrame:
 
 def discover_input(files: DataFrame) -> DataFrame:
     """Driver trend files with the scenario and driver their folders name (no content read)."""
-    return files.filter(F.col("name").rlike(r"^trend_.*\.csv$")).select(
+    return files.filter(F.col("name").rlike(TREND_NAME)).select(
         slugify(F.col("grandparent")).alias("scenario"), F.col("parent").alias("driver"), "path",
     )

@@ -2,9 +2,10 @@ import pytest
 from conftest import head, rows, write
 from pyspark.sql import functions as F
 
+from ecolake.session import written
 from ecolake.sources.files import list_files, read_texts, with_heads
 from ecolake.sources.model_csv import (
-    HEADER_END, assign_run_id, discover_output, large_files, parsed_files, read_layout, read_trends, run_directories, values, with_headers,
+    assign_run_id, discover_output, parsed_files, read_layout, read_trends, run_directories, series_files, values, with_headers,
 )
 
 
@@ -74,7 +75,7 @@ def test_a_file_with_an_unreadable_period_gives_no_rows(spark, folder):
 
 def test_head_only_reading_finds_the_same_runs(spark, folder):
     listed = list_files(spark, folder, "*.csv")
-    heads = with_heads(listed, limit=None, until=HEADER_END)
+    heads = with_heads(listed)
     whole = rows(discover_output(read_texts(spark, folder)), "model", "scenario", "n_files", "n_dirs")
     assert rows(discover_output(heads), "model", "scenario", "n_files", "n_dirs") == whole == [("test_model", "test_scenario", 11, 2)]
 
@@ -113,19 +114,35 @@ def test_parsing_needs_no_shuffle(spark, folder):
     assert "Exchange" not in plan and "Python" not in plan
 
 
-def test_large_files_are_split_and_give_the_same(spark, folder):
-    """With a few bytes per task every file falls into many blocks."""
+@pytest.mark.parametrize("split_bytes", [7, 150, 64 << 20])
+def test_ranges_of_any_size_give_the_same(spark, folder, split_bytes):
+    """Rows, shapes and messages do not depend on how files are cut."""
     parsed = parsed_files(read_texts(spark, folder))
     shown = ("path", "year", "month", "group_id", "group_name", "fleet_id", "partner_name", "value", "unit", "freq", "variable")
     key = lambda df: sorted(str([r[c] for c in shown]) for r in df.collect())
-    want, states = key(values(parsed)), {(r["name"], r["status"]) for r in parsed.filter("shape <> 'empty' or shape is null").collect()}
-    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
-    try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
-        spark.conf.set("spark.sql.files.openCostInBytes", "0")
-        rows_, files = large_files(spark, folder, larger_than=0)
-        assert key(rows_) == want
-        assert {(r["name"], r["status"]) for r in files.collect() if r["name"] != "empty.csv"} == states
-    finally:
-        for k, v in kept.items():
-            spark.conf.set(k, v)
+    outcome = lambda df: sorted((r["name"], str(r["shape"]), r["status"], str(r["message"])) for r in df.collect())
+    rows_, files = series_files(list_files(spark, folder, "*.csv"), split_bytes)
+    assert key(rows_) == key(values(parsed))
+    assert outcome(files) == outcome(parsed)
+
+
+@pytest.mark.parametrize("eol", ["\n", "\r\n", "\r"])
+def test_line_ends_and_long_heads(spark, tmp_path, eol):
+    """A head longer than any buffer, blank lines before the columns, every kind of line end."""
+    notes = "".join(f"Note {k},{'x' * 200}\n" for k in range(400))
+    text = head().replace("StartYear", notes + "StartYear") + "Data,Biomass\n\n,,\n\nyear\\group,1,2\n1998,1,2\n\n1999,3,4"
+    (tmp_path / "biomass_annual.csv").write_bytes(b"\xef\xbb\xbf" + text.replace("\n", eol).encode())
+    for split_bytes in (3, 5, 1 << 20):
+        rows_, files = series_files(list_files(spark, str(tmp_path), "*.csv"), split_bytes)
+        assert rows(rows_, "year", "group_id", "value") == [(1998, 1, 1.0), (1998, 2, 2.0), (1999, 1, 3.0), (1999, 2, 4.0)]
+        assert rows(files, "shape", "status") == [("wide_by_id", "ok")]
+
+
+def test_a_file_that_cannot_be_read_stops_nothing(spark, tmp_path):
+    body = "Data,Biomass\n\nyear\\group,1\n1998,1\n"
+    write(tmp_path / "biomass_annual.csv", head() + body)
+    gone = write(tmp_path / "catch_annual.csv", head() + body)
+    listed = written(list_files(spark, str(tmp_path), "*.csv"), "listed")
+    gone.unlink()
+    rows_, files = series_files(listed)
+    assert rows_.count() == 1 and rows(files, "name", "status") == [("biomass_annual.csv", "ok"), ("catch_annual.csv", "error")]

@@ -13,7 +13,7 @@ from ecolake.schema import CELLS, SCENARIOS, TIDY
 from ecolake.session import shared_folder
 from ecolake.sinks import store
 
-BODY = "Data,Biomass\n\nyear\\group,1,2,3\n" + "".join(f"{y},{1 + y % 7},{2 + y % 5},{3 + y % 3}\n" for y in range(1998, 2006))
+BODY = "Data,Biomass\n\nyear\\group,1,2,3\n" + "".join(f"{y},{y % 4 + 0.5},{10 - y % 6},{y % 9 * 2 + 1}\n" for y in range(1998, 2006))
 RUN = '"<HEADER ecopath/>"\nModelName,"Test Model"\n"<HEADER ecosim/>"\nEcosimScenario,"test_scenario"\nStartYear,1998\n"<HEADER end/>"\n'
 
 
@@ -35,7 +35,11 @@ def loaded(spark, tmp_path_factory):
     drivers = base / "drivers"
     write(drivers / "test_scenario" / "Bottom o2" / "trend_b.csv", '"","m"\n"b_1998",0.5\n"b_1999",0.6\n')
     write(drivers / "BAU" / "sst" / "sst_1998.asc", "ncols 1\n")
-    ingest_input(spark, str(drivers), root, "in")
+    write(drivers / "BAU" / "sst" / "average.asc", "ncols 1\n")
+    write(base / "drivers" / "mirror" / "BAU" / "sst" / "sst_1998.asc", "ncols 1\n")
+    found = ingest_input(spark, str(drivers), root, "in")
+    assert rows(found, "kind", "status", "files") == [("map", "copy", 1), ("map", "ok", 1), ("map", "undated", 1), ("trend", "ok", 1)]
+    assert scan_warnings(found).count() == 2
     return root, report
 
 
@@ -66,13 +70,13 @@ def test_loaded_series_and_dimensions(spark, loaded):
 
 
 def test_large_and_small_files_load_alike(spark, loaded, tmp_path):
-    """The same folder with every file above the size for whole reading."""
+    """The same folder read in ranges of a few lines and of whole files."""
     raw, root = tmp_path / "raw", str(tmp_path / "store")
     for sample in ("one", "two"):
         write(raw / sample / "biomass_annual.csv", head() + BODY)
         write(raw / sample / "broken_annual.csv", head() + "Data,X\n\nyear,value\n?,1\n")
     small = ingest_output(spark, str(raw), root, "small")
-    large = ingest_output(spark, str(raw), root, "large", whole_file_bytes=0)
+    large = ingest_output(spark, str(raw), root, "large", split_bytes=40)
     shown = ("run_id", "variable", "year", "group_id", "value")
     loaded_rows = {s: rows(store.scan_sources(spark, root, [s]), *shown) for s in ("small", "large")}
     assert loaded_rows["small"] == loaded_rows["large"] and len(loaded_rows["small"]) == 48
@@ -84,7 +88,7 @@ def test_identification_is_stored(spark, loaded):
     root, _ = loaded
     layers = spark.read.parquet(f"{root}/layers/source_id=out")
     assert rows(layers, "layer", "files", "maps") == [("ecopath", 1, 0), ("ecosim", 6, 0), ("ecospace", 4, 4)]
-    assert rows(spark.read.parquet(f"{root}/kinds/source_id=in"), "kind", "files") == [("driver_trends", 1), ("ecospace_maps", 1)]
+    assert rows(spark.read.parquet(f"{root}/kinds/source_id=in"), "kind", "files") == [("driver_trends", 1), ("ecospace_maps", 3)]
     tables = spark.read.parquet(f"{root}/groups")
     named = annotate_names(selection.query_timeseries(tidy(spark, root), "catch", group_id=[2]), group_names(tables))
     assert {r["group_name"] for r in named.collect()} == {"Cod, juvenile"}
@@ -131,7 +135,7 @@ def test_manifest(spark, loaded):
 def test_shipped_analysis(spark, loaded):
     series = tidy(spark, loaded[0])
     out = analysis.run_analysis(series, "biomass_trend_compare", selection.Manifest(["biomass"], filters={"group_id": [2, 3]}))
-    value = lambda g, y: {2: 2 + y % 5, 3: 3 + y % 3}[g]
+    value = lambda g, y: {2: 10 - y % 6, 3: y % 9 * 2 + 1}[g]
     smoothed = {(r["group_id"], r["year"]): r["smoothed"] for r in out["trends"].collect()}
     for g in (2, 3):
         assert smoothed[(g, 1998)] is None and smoothed[(g, 2005)] is None
@@ -188,15 +192,17 @@ def test_removing_sources_leaves_a_readable_store(spark, tmp_path, loaded):
 
 def test_cells_are_read_once_and_cleared_by_domain(spark, tmp_path):
     root, asked = str(tmp_path / "cells"), []
-    maps = spark.createDataFrame([("a", "output"), ("b", "input"), ("c", "output")], "id string, domain string")
+    maps = spark.createDataFrame([("a", "output"), ("b", "input"), ("c", "output")], "id string, domain string").withColumn("model", F.lit("m"))
 
     def parse(missing):
         asked.append({r["id"] for r in missing.collect()})
-        return missing.select(F.lit("s").alias("scenario"), "domain", F.lit("v").alias("variable"), F.col("id").alias("raster_id"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(1.5).alias("value"))
+        return missing.select("model", F.lit("s").alias("scenario"), "domain", F.lit("v").alias("variable"), F.col("id").alias("raster_id"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(1.5).alias("value"))
 
     for wanted in (maps.filter("id <> 'c'"), maps):
-        store.append_cells(store.materialise_cells(wanted, store.read_cells(spark, root, "x"), parse), root, "x")
+        store.materialise_cells(wanted, root, "x", parse)
     assert asked == [{"a", "b"}, {"c"}]
+    other = maps.filter("id = 'a'").withColumn("model", F.lit("n"))
+    assert rows(store.unstored_maps(other, spark, root, "x"), "id", "model") == [("a", "n")]
     store.clear_cells(spark, root, "x", "output")
     left = store.read_cells(spark, root, "x")
     assert rows(left, "raster_id", "domain") == [("b", "input")] and left.schema == CELLS
@@ -220,3 +226,35 @@ def test_names(spark):
 
 def test_scratch_is_local_only_in_local_mode(spark):
     assert shared_folder(spark) == shared_folder(spark)
+
+
+def test_models_that_share_a_scenario_keep_their_slices(spark, tmp_path):
+    path = str(tmp_path / "slices")
+    row = lambda model, value: spark.createDataFrame([(model, "s", "output", "biomass", "annual", 2001, value)], "model string, scenario string, domain string, variable string, freq string, year int, value double")
+    store.write_slices(row("north", 1.0), path)
+    store.write_slices(row("south", 2.0), path)
+    store.write_slices(row("north", 3.0), path)
+    assert rows(store.read_table(spark, path, TIDY), "model", "value") == [("north", 3.0), ("south", 2.0)]
+
+
+def test_session_settings_do_not_change_what_is_replaced(spark, tmp_path):
+    root = str(tmp_path / "store")
+    row = lambda variable: spark.createDataFrame([("m", "s", "output", variable, "annual", 2001, 1.0)], "model string, scenario string, domain string, variable string, freq string, year int, value double")
+    kept = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        store.replace_source(row("catch").union(row("biomass")), root, "x")
+        store.replace_source(row("catch"), root, "x")
+        assert rows(store.scan_sources(spark, root), "variable") == [("catch",)]
+        store.remove_source(spark, root, "x")
+        assert store.scan_sources(spark, root).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", kept)
+
+
+def test_a_removed_source_leaves_no_table(spark, tmp_path):
+    raw, root = tmp_path / "raw", str(tmp_path / "store")
+    write(raw / "biomass_annual.csv", head() + BODY)
+    ingest_output(spark, str(raw), root, "gone")
+    store.remove_source(spark, root, "gone")
+    assert not list((tmp_path / "store").rglob("source_id=gone"))
