@@ -16,6 +16,7 @@ from ecolake.sources.grids import GRID_COLUMNS, center_x, center_y
 # --- fixed values -----------------------------------------------------------------------
 EDGE_POINTS = 21  # points added to each edge before it is projected
 EPSG_IN_WKT = r'AUTHORITY\["EPSG","(\d+)"\]\]\s*$'
+DEGREES_OF_WGS84 = r'(?i)^GEOGCS\["[^"]*WGS[ _]*(?:19)?84'  # without an authority of its own
 # ----------------------------------------------------------------------------------------
 
 
@@ -36,7 +37,10 @@ def with_crs(grids: DataFrame, map_crs: str | None = None, wkt: str = "crs_wkt")
     library has no projection for (never guessed)."""
     clean = F.replace(F.col(wkt), F.lit("'"), F.lit('"'))
     code = F.nullif(F.regexp_extract(clean, EPSG_IN_WKT, 1), F.lit(""))
-    declared = F.when(clean.isNull(), WGS84).when(code.isNotNull(), F.concat(F.lit("EPSG:"), code))
+    geographic = clean.startswith("GEOGCS") & clean.rlike(DEGREES_OF_WGS84)
+    declared = (
+        F.when(clean.isNull(), WGS84).when(code.isNotNull(), F.concat(F.lit("EPSG:"), code)).when(geographic, WGS84)
+    )
     crs = F.lit(map_crs) if map_crs else declared
     in_degrees = F.coalesce(crs.isin(*GEOGRAPHIC), F.lit(False))
     if not map_crs:
@@ -48,6 +52,22 @@ def with_crs(grids: DataFrame, map_crs: str | None = None, wkt: str = "crs_wkt")
     return grids.withColumns({"crs": crs, "crs_status": status})
 
 
+def map_outcomes(grids: DataFrame) -> DataFrame:
+    """One row per parsed map with its coordinate system: ``outcome`` (``ok``, ``error``,
+    ``unknown``, ``mismatch``) and the ``reason`` why it is not used."""
+    xmin, ymin, xmax, ymax = bounds()
+    span = lambda a, b: F.concat(F.format_number(a, 0), F.lit(" to "), F.format_number(b, 0))
+    outcome = F.when(F.col("status") != "ok", "error").otherwise(F.col("crs_status"))
+    reason = (
+        F.when(outcome == "error", F.concat(
+            F.size("cells").cast("string"), F.lit(" numbers for a grid of "), F.coalesce(F.col("ncols").cast("string"), F.lit("?")),
+            F.lit(" by "), F.coalesce(F.col("nrows").cast("string"), F.lit("?")),
+        )).when(outcome == "unknown", F.concat(F.lit("no projection for "), F.coalesce("crs", F.lit("the declared system"))))
+        .when(outcome == "mismatch", F.concat(F.lit("not degrees: x "), span(xmin, xmax), F.lit(", y "), span(ymin, ymax)))
+    )
+    return grids.withColumns({"outcome": outcome, "reason": reason})
+
+
 def crs_mismatches(grids: DataFrame) -> DataFrame:
     """Grids whose coordinates are impossible in their coordinate system, with the reason."""
     xmin, ymin, xmax, ymax = bounds()

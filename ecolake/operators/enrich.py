@@ -20,6 +20,19 @@ def merge_per_model(tables: DataFrame, value: str) -> DataFrame:
     return per_group.drop("_max").join(disputed, "model_name", "left_anti")
 
 
+def disputed(tables: DataFrame) -> DataFrame:
+    """Models that :func:`merge_per_model` drops: ``what`` (name or baseline), ``model_name``, on
+    how many groups their files disagree (``n_groups``) and the first of them."""
+    values = tables.filter(F.col("model_name").isNotNull()).select("model_name", "group_id", F.inline(F.array(
+        F.struct(F.lit("name").alias("what"), F.col("name").alias("value")),
+        F.struct(F.lit("baseline").alias("what"), F.col("baseline").cast("string").alias("value")),
+    ))).filter(F.col("value").isNotNull())
+    per_group = values.groupBy("what", "model_name", "group_id").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    return per_group.filter(F.col("low") != F.col("high")).groupBy("what", "model_name").agg(
+        F.count("*").alias("n_groups"), F.min("group_id").alias("first_group"),
+    )
+
+
 def group_names(tables: DataFrame) -> DataFrame:
     return merge_per_model(tables, "name")
 

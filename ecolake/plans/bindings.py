@@ -20,7 +20,6 @@ from ecolake.sinks.store import conform
 from ecolake.sources.files import with_path_parts
 
 START_YEAR = 1995
-GROUPS = range(1, 8)  # line numbers of the test tables
 DEGREES_WKT = "GEOGCS['WGS 84',DATUM['WGS_1984'],AUTHORITY['EPSG','4326']]"
 METRES_WKT = "PROJCS['ETRS89 / LAEA Europe',GEOGCS['ETRS89'],AUTHORITY['EPSG','3035']]"
 
@@ -173,23 +172,31 @@ def _head(model_name: Column, scenario: Column) -> Column:
     )
 
 
-def _text(lines: DataFrame, keys: list[str], label: str, header: str) -> DataFrame:
-    """One text per key from ``(order, line)`` rows; ordered inside the file."""
+def _text(lines: DataFrame, keys: list[str], label: str, header: str | None = None) -> DataFrame:
+    """One text per key from ``(order, line)`` rows, with the given header or that of the rows;
+    ordered inside the file."""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", "line"))), lambda s: s["line"]), "\n")
-    return lines.groupBy(*keys).agg(body.alias("_body")).withColumn(
-        "text", F.concat(_head(F.col("model_name"), F.upper("scenario")), F.lit(f"Data,{label}\n\n{header}\n"), F.col("_body"), F.lit("\n")),
+    head = F.lit(header) if header is not None else F.min("header")
+    return lines.groupBy(*keys).agg(body.alias("_body"), head.alias("_header")).withColumn(
+        "text", F.concat(
+            _head(F.col("model_name"), F.upper("scenario")), F.lit(f"Data,{label}\n\n"), "_header", F.lit("\n"), "_body", F.lit("\n"),
+        ),
     )
 
 
-def _cell(value: Column) -> Column:
-    return F.coalesce(value.cast("string"), F.lit(""))
+def _members(rows: DataFrame, member: str) -> Column:
+    """The distinct members of a dimension in order, as a one-value subquery: few, whatever the
+    number of rows."""
+    return rows.select(member).distinct().agg(F.array_sort(F.collect_list(member)).alias("members")).scalar()
 
 
-def _wide_lines(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    columns = [F.sum(F.when(F.col("group_id") == g, F.col("value"))).alias(f"g{g}") for g in GROUPS]
-    wide = rows.groupBy(*keys, order.alias("order")).agg(*columns)
-    line = F.concat_ws(",", F.col("order").cast("string"), *[_cell(F.col(f"g{g}")) for g in GROUPS])
-    return wide.select(*keys, "order", line.alias("line"))
+def _wide_lines(rows: DataFrame, keys: list[str], order: Column, member: str, first: str, name=lambda m: m.cast("string")) -> DataFrame:
+    """``(keys, order, line, header)`` with a column for each member that the data have."""
+    held = rows.groupBy(*keys, order.alias("order")).agg(F.map_from_entries(F.collect_list(F.struct(member, "value"))).alias("_values"))
+    wide = held.withColumn("_members", _members(rows, member))
+    cells = F.transform("_members", lambda m: F.coalesce(F.try_element_at("_values", m).cast("string"), F.lit("")))
+    header = F.concat_ws(",", F.lit(first), F.array_join(F.transform("_members", name), ","))
+    return wide.select(*keys, "order", F.concat_ws(",", F.col("order").cast("string"), F.array_join(cells, ",")).alias("line"), header.alias("header"))
 
 
 _RUN = ["model_name", "scenario"]
@@ -203,10 +210,9 @@ def _files(texts: DataFrame, *path: Column | str) -> DataFrame:
 def wide_by_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annual and monthly biomass in the wide layout with group numbers. The monthly file has
     no frequency in its name; its ``timestep`` column tells."""
-    groups = ",".join(map(str, GROUPS))
-    annual = _text(_wide_lines(biomass(spark, sf_dir), _RUN, F.col("year")), _RUN, "Biomass", f"year\\group,{groups}")
+    annual = _text(_wide_lines(biomass(spark, sf_dir), _RUN, F.col("year"), "group_id", "year\\group"), _RUN, "Biomass")
     step = (F.col("year") - START_YEAR) * 12 + F.col("month")
-    monthly = _text(_wide_lines(biomass(spark, sf_dir, "monthly"), _RUN, step), _RUN, "Biomass", f"timestep\\group,{groups}")
+    monthly = _text(_wide_lines(biomass(spark, sf_dir, "monthly"), _RUN, step, "group_id", "timestep\\group"), _RUN, "Biomass")
     return _files(annual, F.col("model_name"), F.col("scenario"), "biomass_annual.csv").unionByName(
         _files(monthly, F.col("model_name"), F.col("scenario"), "Biomass.csv")
     )
@@ -214,17 +220,11 @@ def wide_by_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wide_by_name_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predation in the wide layout with (quoted) partner names that hold a comma."""
-    rows = predation(spark, sf_dir)
-    names = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
     keys = [*_RUN, "group_name"]
-    wide = rows.groupBy(*keys, F.col("year").alias("order")).agg(
-        *[F.sum(F.when(F.col("partner_name") == n, F.col("value"))).alias(n) for n in names]
-    )
-    line = F.concat_ws(",", F.col("order").cast("string"), *[_cell(F.col(n)) for n in names])
-    header = "year\\group," + ",".join(f'"{n}, adult"' for n in names)
-    texts = _text(wide.select(*keys, "order", line.alias("line")), keys, "Predation", header)
+    quoted = lambda m: F.concat(F.lit('"'), m, F.lit(', adult"'))
+    lines = _wide_lines(predation(spark, sf_dir), keys, F.col("year"), "partner_name", "year\\group", quoted)
     name = F.concat(F.lit("predation_"), F.col("group_name"), F.lit("_annual.csv"))
-    return _files(texts, F.col("model_name"), F.col("scenario"), name)
+    return _files(_text(lines, keys, "Predation"), F.col("model_name"), F.col("scenario"), name)
 
 
 def long_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,9 +72,9 @@ FILES = RUNS + f""", yrs AS (SELECT model_name, scenario, count(DISTINCT year) A
 tyrs AS (SELECT model_name, scenario, p_type, count(DISTINCT year) AS n FROM {_RELATIONS} GROUP BY ALL),
 lyrs AS (SELECT model_name, scenario, count(DISTINCT (year, s_nationkey, g)) AS n FROM {_FLEETS} GROUP BY ALL),
 files AS (
- SELECT model_name, scenario, 'biomass_annual.csv' AS name, 'Biomass' AS unit, 'year\\group|1|2|3|4|5|6|7' AS header, n AS n_lines, 'wide_by_id' AS shape, 'annual' AS freq, 'biomass' AS variable, NULL AS target, 'ok' AS status FROM yrs
- UNION ALL SELECT model_name, scenario, 'Biomass.csv', 'Biomass', 'timestep\\group|1|2|3|4|5|6|7', nm, 'wide_by_id', 'monthly', 'biomass', NULL, 'ok' FROM yrs
- UNION ALL SELECT model_name, scenario, 'predation_' || p_type || '_annual.csv', 'Predation', 'year\\group|AUTOMOBILE, adult|BUILDING, adult|FURNITURE, adult|HOUSEHOLD, adult|MACHINERY, adult', n, 'wide_by_name', 'annual', 'predation', p_type, 'ok' FROM tyrs
+ SELECT model_name, scenario, 'biomass_annual.csv' AS name, 'Biomass' AS unit, 'year\\group|' || (SELECT string_agg(DISTINCT g, '|' ORDER BY g) FROM lines) AS header, n AS n_lines, 'wide_by_id' AS shape, 'annual' AS freq, 'biomass' AS variable, NULL AS target, 'ok' AS status FROM yrs
+ UNION ALL SELECT model_name, scenario, 'Biomass.csv', 'Biomass', 'timestep\\group|' || (SELECT string_agg(DISTINCT g, '|' ORDER BY g) FROM lines), nm, 'wide_by_id', 'monthly', 'biomass', NULL, 'ok' FROM yrs
+ UNION ALL SELECT model_name, scenario, 'predation_' || p_type || '_annual.csv', 'Predation', 'year\\group|' || (SELECT string_agg(DISTINCT c_mktsegment || ', adult', '|' ORDER BY c_mktsegment || ', adult') FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey)), n, 'wide_by_name', 'annual', 'predation', p_type, 'ok' FROM tyrs
  UNION ALL SELECT model_name, scenario, 'catch-fleet-group_annual.csv', 'CatchFleetGroup', 'year|fleet|group|value', n, 'long', 'annual', 'catch_fleet_group', NULL, 'ok' FROM lyrs
  UNION ALL SELECT model_name, scenario, 'totalcatch_annual.csv', 'Total catch', 'year|value', n, 'single', 'annual', 'totalcatch', NULL, 'ok' FROM yrs
  UNION ALL SELECT model_name, scenario, 'odd/map.csv', NULL, NULL, 0, NULL, 'annual', 'map', NULL, 'unsupported' FROM runs
@@ -132,13 +132,16 @@ ORACLE["ecopath_tables"] = f"WITH {TABLE_ROWS} SELECT '/raw/' || model_name || '
 ORACLE["ecopath_names"] = f"WITH {TABLE_ROWS} {_merged('name')}"
 ORACLE["ecopath_baseline"] = f"WITH {TABLE_ROWS} {_merged('baseline')}"
 NAMED = f"{B}, {TABLE_ROWS}, names AS ({_merged('name')}), bases AS ({_merged('baseline')})"
-ORACLE["annotate_names"] = f"""{NAMED} SELECT {FLAT.replace('model_name', 'b.model_name').replace('group_id', 'b.group_id').replace('group_name', 'coalesce(b.group_name, n.name) AS group_name')}
-FROM biomass b LEFT JOIN names n ON b.model_name = n.model_name AND b.group_id = n.group_id"""
-ORACLE["annotate_baseline"] = f"""WITH {LINES}, t AS ({BIOMASS} UNION ALL {CATCH}), {TABLE_ROWS}, bases AS ({_merged('baseline')})
+NAMED_TIDY = f"{TIDY}, {TABLE_ROWS}, names AS ({_merged('name')}), bases AS ({_merged('baseline')})"
+ORACLE["annotate_names"] = f"""{NAMED_TIDY} SELECT {FLAT.replace('model_name', 'b.model_name').replace('group_id', 'b.group_id').replace('group_name', 'coalesce(b.group_name, n.name) AS group_name')}
+FROM tidy b LEFT JOIN names n ON b.model_name = n.model_name AND b.group_id = n.group_id"""
+ORACLE["ecopath_conflicts"] = f"""WITH {TABLE_ROWS}, v AS (SELECT 'name' AS what, model_name, group_id, name AS value FROM tables UNION ALL SELECT 'baseline', model_name, group_id, CAST(baseline AS VARCHAR) FROM tables),
+d AS (SELECT what, model_name, group_id FROM v GROUP BY ALL HAVING count(DISTINCT value) > 1) SELECT what, model_name, count(*) AS n_groups, min(group_id) AS first_group FROM d GROUP BY ALL"""
+ORACLE["annotate_baseline"] = f"""{NAMED_TIDY}
 SELECT {FLAT.replace('model_name', 't.model_name').replace('group_id', 't.group_id')}, CASE WHEN variable = 'biomass' THEN baseline END AS baseline
-FROM t LEFT JOIN bases b ON t.model_name = b.model_name AND t.group_id = b.group_id"""
-ORACLE["relative_baseline"] = f"""{NAMED} SELECT model, scenario, year, t.group_id, round(value / nullif(baseline, 0), 6) AS ratio
-FROM biomass t LEFT JOIN bases b ON t.model_name = b.model_name AND t.group_id = b.group_id"""
+FROM tidy t LEFT JOIN bases b ON t.model_name = b.model_name AND t.group_id = b.group_id"""
+ORACLE["relative_baseline"] = f"""{NAMED_TIDY} SELECT model, scenario, freq, date, t.group_id, round(value / nullif(baseline, 0), 6) AS ratio
+FROM (SELECT * FROM tidy WHERE variable = 'biomass') t LEFT JOIN bases b ON t.model_name = b.model_name AND t.group_id = b.group_id"""
 ORACLE["validate_source"] = """SELECT c AS "check", f AS found FROM (VALUES ('output_csv', true), ('output_map', false), ('trend_csv', false),
  ('input_map', false), ('recognised_input', false), ('trends: trend_csv', true), ('trends: input_map', false), ('trends: recognised_input', true)) v(c, f)
 WHERE (SELECT count(*) FROM lineitem) > 0 AND (SELECT count(*) FROM events) > 0"""
@@ -223,7 +226,7 @@ f AS (SELECT model, scenario, group_id, arg_min(value, year) FILTER (value IS NO
 SELECT model, scenario, group_id, year, round(value / base * 100, 6) AS relative FROM v JOIN f USING (model, scenario, group_id)"""
 ORACLE["trend_summary"] = f"""{B} SELECT model, scenario, group_id, arg_min(value, year) AS start, arg_max(value, year) AS "end",
  round((arg_max(value, year) - arg_min(value, year)) / arg_min(value, year) * 100, 6) AS change_pct FROM biomass WHERE year < 2001 GROUP BY ALL"""
-ORACLE["label_order"] = """SELECT CAST(f AS INT) AS id, 'Fleet ' || f AS label, CAST(row_number() OVER (ORDER BY f) AS INT) AS position
+ORACLE["label_order"] = """SELECT CAST(f AS INT) AS id, 'Fleet ' || f AS label
 FROM (SELECT DISTINCT s_nationkey AS f FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"""
 ORACLE["pivot_series"] = f"""{B} SELECT CAST(year AS VARCHAR) AS x, """ + ", ".join(
     f"max(value) FILTER (scenario = '{s}' AND group_id = {g}) AS \"{s} · Group {g}\"" for s in "an" for g in (1, 2)
@@ -450,3 +453,22 @@ target AS (SELECT CAST(r AS INT) AS out_row, CAST(c AS INT) AS out_col, w + res
 u AS (SELECT *, 0 AS n, 0 AS area FROM target), {_FORWARD},
 look AS (SELECT out_row, out_col, lon, lat, CAST(floor((3464716 - py) / 4000) AS INT) AS row, CAST(floor((px - 4535378) / 4000) AS INT) AS col FROM xy)
 SELECT raster_id, out_row, out_col, round(lon, 6) AS lon, round(lat, 6) AS lat, value FROM look JOIN cells USING (row, col) WHERE crs = 'EPSG:3035'"""
+
+# --- whole folders -----------------------------------------------------------------------
+
+ORACLE["discover_files"] = ORACLE["discover_output"]
+_ADULT = VALUES.replace("partner_name", "'' || partner_name || ', adult' AS partner_name")
+ORACLE["ingest_output"] = f"""WITH {LINES}, t AS ({BIOMASS} UNION ALL {BIOMASS_MONTHLY} UNION ALL {CATCH} UNION ALL {TOTAL}), p AS ({PREDATION})
+SELECT {VALUES} FROM t UNION ALL SELECT {_ADULT} FROM p"""
+ORACLE["stored_catalog"] = f"""WITH {LINES}, t AS ({BIOMASS} UNION ALL {BIOMASS_MONTHLY} UNION ALL {CATCH} UNION ALL {TOTAL} UNION ALL {PREDATION})
+SELECT model, scenario, variable, freq, count(*) AS n_rows, min(year) AS year_min, max(year) AS year_max, count(DISTINCT group_id) AS n_groups, count(DISTINCT fleet_id) AS n_fleets FROM t GROUP BY model, scenario, variable, freq"""
+ORACLE["ingest_report"] = FILES + f""", {NAMES}, kept AS (SELECT * FROM n WHERE variable IS NOT NULL),
+ same AS (SELECT count(*) AS k FROM kept GROUP BY scn, variable, label, start_year + (step - 1) // 12, CASE WHEN scn = 1 THEN dir END),
+ outcome AS (SELECT 'csv' AS kind, status, count(*) AS files FROM files WHERE status <> 'none' GROUP BY status
+ UNION ALL SELECT 'map', 'ok', count(*) FROM same UNION ALL SELECT 'map', 'error', CAST(sum(k - 1) AS BIGINT) FROM same UNION ALL SELECT 'map', 'unrecognised', count(*) FROM n WHERE variable IS NULL)
+SELECT kind, status, files FROM outcome WHERE files > 0"""
+ORACLE["ingest_input"] = f"""WITH {INPUTS}, g AS (SELECT count(*) AS k FROM i GROUP BY scenario, variable, year), outcome AS (
+ SELECT 'trend' AS kind, 'ok' AS status, count(DISTINCT event_type) AS files FROM events UNION ALL SELECT 'map', 'ok', count(*) FROM g UNION ALL SELECT 'map', 'copy', CAST(sum(k - 1) AS BIGINT) FROM g)
+SELECT kind, status, files FROM outcome WHERE files > 0"""
+ORACLE["export_ascii_files"] = ORACLE["export_ascii"]
+ORACLE["map_outcomes"] = f"""WITH {CELLS} SELECT raster_id, crs_status AS outcome, CASE WHEN crs_status = 'mismatch' THEN 'not degrees: x 4,535,378 to 4,567,378, y 3,432,716 to 3,464,716' END AS reason FROM g"""

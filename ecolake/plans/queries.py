@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ecolake.functions import measures, naming, periods
 from ecolake.operators import areas, catalog, charts, crs, enrich, rasters, selection, trends
-from ecolake.plans import analysis, bindings, report
+from ecolake.plans import analysis, bindings, ingest, report
 from ecolake.schema import CELLS, SCENARIOS, TIDY
 from ecolake.session import scratch, written
 from ecolake.sinks import export, store
@@ -180,6 +180,59 @@ def validate_source(spark, sf_dir):
     ))
 
 
+# --- whole folders, written as files and read back ---------------------------------------
+
+def _folder(spark, files: DataFrame) -> str:
+    """``files`` (path below /raw, text) as real files in the shared folder, blanks, ``+`` and
+    ``%`` in the name of it."""
+    root = scratch(spark, "raw data + 100%")
+    parts = files.select(
+        F.regexp_replace(F.substring_index("path", "/raw/", -1), "/[^/]*$", "").alias("folder"), F.substring_index("path", "/", -1).alias("file"), "text",
+    )
+    export.write_named_texts(parts.repartition(spark.sparkContext.defaultParallelism), root).write.format("noop").mode("overwrite").save()
+    return root
+
+
+def _output_folder(spark, sf_dir) -> str:
+    texts = [m(spark, sf_dir).select("path", "text") for m in (bindings.series_files, bindings.group_table_files, bindings.run_info_files)]
+    maps = bindings.map_files(spark, sf_dir).select("path", F.lit("ncols 1\n").alias("text"))
+    return _folder(spark, texts[0].unionByName(texts[1]).unionByName(texts[2]).unionByName(maps))
+
+
+@query
+def discover_files(spark, sf_dir):
+    listed = raw_files.list_files(spark, _folder(spark, bindings.series_files(spark, sf_dir)), "*.csv")
+    return model_csv.discover_output(raw_files.with_heads(listed))
+
+
+@query
+def ingest_output(spark, sf_dir):
+    root = scratch(spark, "store")
+    ingest.ingest_output(spark, _output_folder(spark, sf_dir), root, "one", split_bytes=100_000)
+    return store.scan_sources(spark, root).select(*VALUES)
+
+
+@query
+def ingest_report(spark, sf_dir):
+    found = ingest.ingest_output(spark, _output_folder(spark, sf_dir), scratch(spark, "store"), "one")
+    return found.select("kind", "status", "files")
+
+
+@query
+def ingest_input(spark, sf_dir):
+    maps = bindings.input_map_files(spark, sf_dir).select("path", F.lit("ncols 1\n").alias("text"))
+    folder = _folder(spark, bindings.trend_files(spark, sf_dir).select("path", "text").unionByName(maps))
+    return ingest.ingest_input(spark, folder, scratch(spark, "store"), "drivers").select("kind", "status", "files")
+
+
+@query
+def stored_catalog(spark, sf_dir):
+    root = scratch(spark, "store")
+    ingest.ingest_output(spark, _output_folder(spark, sf_dir), root, "one")
+    entries = spark.read.parquet(f"{root}/catalog/source_id=one")
+    return entries.select("model", "scenario", "variable", "freq", "n_rows", "year_min", "year_max", "n_groups", "n_fleets")
+
+
 # --- sinks -------------------------------------------------------------------------------
 
 @query
@@ -193,13 +246,13 @@ def store_roundtrip(spark, sf_dir):
 
 @query
 def dim_scenarios(spark, sf_dir):
-    runs = model_csv.discover_output(raw_files.with_path_parts(bindings.single_files(spark, sf_dir), "/raw"))
+    runs = model_csv.discover_output(bindings.series_files(spark, sf_dir))
     return store.dim_scenarios(runs, model_csv.discover_input(bindings.trend_files(spark, sf_dir)))
 
 
 @query
 def dim_models(spark, sf_dir):
-    runs = model_csv.discover_output(raw_files.with_path_parts(bindings.single_files(spark, sf_dir), "/raw"))
+    runs = model_csv.discover_output(bindings.series_files(spark, sf_dir))
     return store.dim_models(runs)
 
 
@@ -266,6 +319,20 @@ def export_ascii(spark, sf_dir):
     return out.filter(F.col("text").isNotNull()).select("folder", "file", "text")
 
 
+@query
+def export_ascii_files(spark, sf_dir):
+    maps, target = written(_indexed_grids(spark, sf_dir), "maps"), scratch(spark, "export + 1%")
+    cells = areas.area_cells(areas.area_windows(_grids_ok(spark, sf_dir), AREAS))
+    export.export_ascii(maps, target, written(export.area_windows_as_arrays(cells), "windows"), [n for n, _ in AREAS])
+    export.export_ascii(maps, target)
+    return raw_files.read_texts(spark, target, "*.asc").select(F.col("parent").alias("folder"), F.col("name").alias("file"), "text")
+
+
+@query
+def map_outcomes(spark, sf_dir):
+    return crs.map_outcomes(crs.with_crs(_parsed_grids(spark, sf_dir))).select("raster_id", "outcome", "reason")
+
+
 # --- scalar functions --------------------------------------------------------------------
 
 @query
@@ -423,13 +490,18 @@ def ecopath_baseline(spark, sf_dir):
 
 @query
 def annotate_names(spark, sf_dir):
-    rows = selection.query_timeseries(bindings.tidy(spark, sf_dir), "biomass")
-    return enrich.annotate_names(rows, _names(spark, sf_dir)).select(*FLAT)
+    names = written(_names(spark, sf_dir), "names")
+    return enrich.annotate_names(bindings.tidy(spark, sf_dir), names).select(*FLAT)
+
+
+@query
+def ecopath_conflicts(spark, sf_dir):
+    return enrich.disputed(bindings.group_table_rows(spark, sf_dir))
 
 
-def _with_baseline(spark, sf_dir, variables=("biomass", "catch_fleet_group")):
-    tidy = bindings.tidy(spark, sf_dir).filter(F.col("variable").isin(*variables) & (F.col("freq") == "annual"))
-    return enrich.annotate_baseline(tidy, _baselines(spark, sf_dir))
+def _with_baseline(spark, sf_dir):
+    baselines = written(_baselines(spark, sf_dir), "baselines")
+    return enrich.annotate_baseline(bindings.tidy(spark, sf_dir), baselines)
 
 
 @query
@@ -439,9 +511,9 @@ def annotate_baseline(spark, sf_dir):
 
 @query
 def relative_baseline(spark, sf_dir):
-    rows = _with_baseline(spark, sf_dir, ("biomass",))
+    rows = _with_baseline(spark, sf_dir).filter(F.col("variable") == "biomass")
     ratio = measures.relative_baseline(F.col("value"), F.col("baseline"))
-    return rows.select("model", "scenario", "year", "group_id", F.round(ratio, 6).alias("ratio"))
+    return rows.select("model", "scenario", "freq", "date", "group_id", F.round(ratio, 6).alias("ratio"))
 
 
 # --- catalog -----------------------------------------------------------------------------
@@ -575,8 +647,7 @@ def trend_summary(spark, sf_dir):
 @query
 def label_order(spark, sf_dir):
     rows = bindings.catch_fleet_group(spark, sf_dir)
-    out = charts.label_order(rows, "fleet")
-    return out.withColumn("position", F.row_number().over(Window.orderBy("id")))
+    return charts.label_order(rows, "fleet")
 
 
 def _chart_rows(spark, sf_dir):
@@ -597,7 +668,7 @@ def chart_points(spark, sf_dir):
 
 @query
 def baseline_lines(spark, sf_dir):
-    rows = _with_baseline(spark, sf_dir, ("biomass",)).filter(F.col("scenario") == "a")
+    rows = _with_baseline(spark, sf_dir).filter((F.col("variable") == "biomass") & (F.col("freq") == "annual") & (F.col("scenario") == "a"))
     return charts.baseline_points(rows)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -42,6 +44,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to executors that do not have it installed, as a zip file."""
+    import ecolake
+
+    home = os.path.dirname(os.path.abspath(ecolake.__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="ecolake-"), "ecolake"), "zip", os.path.dirname(home), "ecolake")
+    spark.sparkContext.addPyFile(archive)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a file or folder, wherever Spark's file systems reach; nothing if it is not there."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
