@@ -83,12 +83,24 @@ def area_windows(grids: DataFrame, areas: list[tuple[str, str]]) -> DataFrame:
     }).filter((F.col("row0") < F.col("row1")) & (F.col("col0") < F.col("col1")))
 
 
-def _crossings(edges: Column, y: Column) -> Column:
-    """Sorted x of the points where edges cross the horizontal line at ``y`` (half-open: an
-    edge counts at its lower end, not at its upper one)."""
-    hit = F.filter(edges, lambda e: (e["y1"] > y) != (e["y2"] > y))
-    x = lambda e: e["x1"] + F.try_divide((y - e["y1"]) * (e["x2"] - e["x1"]), e["y2"] - e["y1"])
-    return F.array_sort(F.transform(hit, x))
+def _row_crossings(windows: DataFrame, key: list[str]) -> DataFrame:
+    """``xs`` per (window, polygon, row): sorted x of the points where edges cross the line
+    through the row's cell centres. An edge is given only the rows that it crosses; it counts at
+    its lower end, not at its upper one."""
+    c = F.col
+    polygons = windows.select(*key, "xll", "yll", "cellsize", "nrows", F.posexplode("polygons").alias("polygon", "edges"))
+    edges = polygons.withColumn("e", F.explode("edges")).drop("edges")
+    row_at = lambda y: c("nrows") - 0.5 - (y - c("yll")) / c("cellsize")
+    low, high = F.least("e.y1", "e.y2"), F.greatest("e.y1", "e.y2")
+    first = F.greatest(c("row0"), F.floor(row_at(high)).cast("int"))
+    last = F.least(c("row1") - 1, F.ceil(row_at(low)).cast("int"))
+    crossed = edges.withColumns({"first": first, "last": last}).filter(c("first") <= c("last")).withColumn(
+        "row", F.explode(F.sequence(c("first"), c("last")))
+    )
+    y = center_y(c("row"))
+    crossed = crossed.filter((c("e.y1") > y) != (c("e.y2") > y))
+    x = c("e.x1") + F.try_divide((y - c("e.y1")) * (c("e.x2") - c("e.x1")), c("e.y2") - c("e.y1"))
+    return crossed.groupBy(*key, "xll", "yll", "cellsize", "nrows", "polygon", "row").agg(F.array_sort(F.collect_list(x)).alias("xs"))
 
 
 def area_cells(windows: DataFrame) -> DataFrame:
@@ -99,16 +111,14 @@ def area_cells(windows: DataFrame) -> DataFrame:
     """
     c = F.col
     key = ["geometry", "crs", "area", "row0", "col0", "row1", "col1"]
-    lines = windows.withColumn("row", F.explode(F.sequence(c("row0"), c("row1") - 1)))
+    lines = windows.select(*key, F.explode(F.sequence(c("row0"), c("row1") - 1)).alias("row")).repartition("geometry", "area", "row")
     x0, x1 = c("run.x0"), c("run.x1")
-    xs = _crossings(c("edges"), center_y(c("row")))
     # crossings pair up: the cells between the 1st and 2nd, 3rd and 4th, ... are inside
     runs = F.transform(
         F.sequence(F.lit(1), F.size("xs"), F.lit(2)),
         lambda i: F.struct(F.try_element_at("xs", i).alias("x0"), F.try_element_at("xs", i + 1).alias("x1")),
     )
-    spans = lines.select(*key, "row", "xll", "yll", "cellsize", "nrows", F.explode("polygons").alias("edges"))
-    spans = computed_once(spans, xs=xs).drop("edges").filter(F.size("xs") > 0).withColumn("run", F.explode(runs))
+    spans = _row_crossings(windows, key).withColumn("run", F.explode(runs))
     at = lambda x: F.ceil((x - c("xll")) / c("cellsize") - 0.5).cast("int")
     spans = spans.withColumns({
         "from": F.greatest(c("col0"), at(x0) - 1), "to": F.least(c("col1") - 1, at(x1)),

@@ -119,34 +119,30 @@ def geometries(grids: DataFrame) -> DataFrame:
     return grids.select("geometry", "crs", *GRID_COLUMNS[:5]).distinct()
 
 
-def geometry_lonlat(grids: DataFrame) -> DataFrame:
-    """Longitude and latitude of every cell centre, once per (geometry, crs)."""
-    rows = geometries(grids).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("nrows") - 1)))
-    cells = rows.withColumn("col", F.explode(F.sequence(F.lit(0), F.col("ncols") - 1)))
-    cells = computed_once(cells, at=to_lonlat(F.col("crs"), center_x(F.col("col")), center_y(F.col("row"))))
-    return cells.select("geometry", "crs", "row", "col", F.col("at.a").alias("lon"), F.col("at.b").alias("lat"))
-
-
-def cells_lonlat(cells: DataFrame, positions: DataFrame) -> DataFrame:
-    """Cells with ``lon, lat``; ``cells`` need ``geometry`` and ``crs``. ``positions`` is
-    :func:`geometry_lonlat`."""
-    return cells.join(positions, ["geometry", "crs", "row", "col"])
+def cells_lonlat(cells: DataFrame) -> DataFrame:
+    """Cells with ``lon, lat``, projected where they are: ``cells`` need ``x``, ``y`` and ``crs``
+    and are not shuffled."""
+    placed = computed_once(cells, _at=to_lonlat(F.col("crs"), F.col("x"), F.col("y")))
+    return placed.withColumns({"lon": F.col("_at.a"), "lat": F.col("_at.b")}).drop("_at")
 
 
 def regrid_lookup(grids: DataFrame) -> DataFrame:
-    """Which source cell each cell of a regular lon/lat grid takes, once per (geometry, crs).
+    """Which source cell each cell of a regular lon/lat grid takes, once per (geometry, crs) that
+    is not in degrees already. The rows of the target are spread over the tasks.
 
     The target covers the extent in degrees with square cells that keep the number of cells
     along the diagonal. A target cell whose centre lies outside the source grid is left out.
     """
-    g = geometries(grids).join(lonlat_extents(grids), ["geometry", "crs"]).filter(F.col("west").isNotNull())
+    metric = grids.filter(~F.col("crs").isin(*GEOGRAPHIC))
+    g = geometries(metric).join(lonlat_extents(metric), ["geometry", "crs"]).filter(F.col("west").isNotNull())
     width, height = F.col("east") - F.col("west"), F.col("north") - F.col("south")
     res = F.hypot(width, height) / F.hypot(F.col("ncols"), F.col("nrows"))
     g = g.withColumn("res", res).withColumns({
         "out_cols": F.greatest(F.lit(1), F.round(width / F.col("res")).cast("int")),
         "out_rows": F.greatest(F.lit(1), F.round(height / F.col("res")).cast("int")),
     })
-    target = g.withColumn("out_row", F.explode(F.sequence(F.lit(0), F.col("out_rows") - 1))).withColumn(
+    rows = g.withColumn("out_row", F.explode(F.sequence(F.lit(0), F.col("out_rows") - 1))).repartition("geometry", "crs", "out_row")
+    target = rows.withColumn(
         "out_col", F.explode(F.sequence(F.lit(0), F.col("out_cols") - 1))
     ).withColumns({
         "lon": F.col("west") + F.col("res") * (F.col("out_col") + 0.5),
@@ -163,5 +159,9 @@ def regrid_lookup(grids: DataFrame) -> DataFrame:
 
 def regrid_nearest(cells: DataFrame, lookup: DataFrame) -> DataFrame:
     """Maps on the regular lon/lat grid: every value is copied from the source cell under the
-    target's centre, none is interpolated. ``lookup`` is :func:`regrid_lookup`."""
-    return cells.drop("x", "y").join(lookup, ["geometry", "crs", "row", "col"]).drop("row", "col")
+    target's centre, none is interpolated. Maps in degrees are on one and stay as they are.
+    ``lookup`` is :func:`regrid_lookup`."""
+    degrees = F.col("crs").isin(*GEOGRAPHIC)
+    copied = cells.filter(~degrees).drop("x", "y").join(lookup, ["geometry", "crs", "row", "col"]).drop("row", "col")
+    same = cells.filter(degrees).withColumnsRenamed({"row": "out_row", "col": "out_col", "x": "lon", "y": "lat"})
+    return copied.unionByName(same)

@@ -11,7 +11,7 @@ from ecolake.operators.rasters import (
 )
 from ecolake.plans.report import scan_report
 from ecolake.schema import MODELS, RASTER_INDEX, SCENARIOS
-from ecolake.session import written
+from ecolake.session import scratch_space, written
 from ecolake.sinks.store import clear_cells, conform, dim_models, dim_scenarios, replace_source, scan_sources
 from ecolake.sources.files import SPLIT_BYTES, list_files, with_heads
 from ecolake.sources.grids import RUN_INFO, read_run_info
@@ -56,6 +56,12 @@ def ingest_output(
        from an earlier scan are cleared, for the files may have changed.
     3. What is there: files per model layer, the static model's group tables, and the catalog.
     """
+    with scratch_space(spark):
+        _load_output(spark, folder, root, source_id, split_bytes)
+    return spark.read.parquet(f"{root}/reports/source_id={source_id}")
+
+
+def _load_output(spark: SparkSession, folder: str, root: str, source_id: str, split_bytes: int) -> None:
     listed = written(list_files(spark, folder), "listed")
     rows, found = series_files(listed.filter(F.col("suffix") == ".csv"), split_bytes)
     directories = written(run_directories(found.filter("scenario is not null")), "run-directories")
@@ -89,7 +95,6 @@ def ingest_output(
         ))
     )
     _save(scan_report(outcomes), root, "reports", source_id)
-    return spark.read.parquet(f"{root}/reports/source_id={source_id}")
 
 
 def ingest_input(
@@ -98,6 +103,12 @@ def ingest_input(
     """Load driver trends, the index of driver maps and the kinds of input below ``folder``;
     returns the scan report: trends and maps that were loaded, that could not be, maps without a
     year, and mirrored copies."""
+    with scratch_space(spark):
+        _load_input(spark, folder, root, source_id, split_bytes)
+    return spark.read.parquet(f"{root}/reports/source_id={source_id}")
+
+
+def _load_input(spark: SparkSession, folder: str, root: str, source_id: str, split_bytes: int) -> None:
     listed = written(list_files(spark, folder), "listed")
     _save(identify_input(folder_heads(listed)), root, "kinds", source_id)
     rows, trends = trend_files(listed, split_bytes)
@@ -121,4 +132,3 @@ def ingest_input(
         .unionByName(mirrored_maps(names).select(F.lit("map").alias("kind"), F.lit("copy").alias("status"), "name", copies.alias("message")))
     )
     _save(scan_report(outcomes), root, "reports", source_id)
-    return spark.read.parquet(f"{root}/reports/source_id={source_id}")

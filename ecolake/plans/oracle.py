@@ -452,7 +452,8 @@ target AS (SELECT CAST(r AS INT) AS out_row, CAST(c AS INT) AS out_col, w + res
  FROM size, (SELECT unnest(range(100)) AS r), (SELECT unnest(range(100)) AS c) WHERE r < round((n - s) / res) AND c < round((e - w) / res)),
 u AS (SELECT *, 0 AS n, 0 AS area FROM target), {_FORWARD},
 look AS (SELECT out_row, out_col, lon, lat, CAST(floor((3464716 - py) / 4000) AS INT) AS row, CAST(floor((px - 4535378) / 4000) AS INT) AS col FROM xy)
-SELECT raster_id, out_row, out_col, round(lon, 6) AS lon, round(lat, 6) AS lat, value FROM look JOIN cells USING (row, col) WHERE crs = 'EPSG:3035'"""
+SELECT raster_id, out_row, out_col, round(lon, 6) AS lon, round(lat, 6) AS lat, value FROM look JOIN cells USING (row, col) WHERE crs = 'EPSG:3035'
+UNION ALL SELECT raster_id, row, col, round(x, 6), round(y, 6), value FROM cells WHERE crs = 'EPSG:4326' AND crs_status = 'ok'"""
 
 # --- whole folders -----------------------------------------------------------------------
 

@@ -407,9 +407,14 @@ def query_seasonal(spark, sf_dir):
     return rows.select(*FLAT)
 
 
+def _stored_catalog(spark, sf_dir):
+    """The catalog as ingest stores it; menus read this small table, never the values."""
+    return written(catalog.catalog_datasets(bindings.tidy(spark, sf_dir)), "catalog")
+
+
 @query
 def list_datasets(spark, sf_dir):
-    return catalog.list_datasets(catalog.catalog_datasets(bindings.tidy(spark, sf_dir)), "a")
+    return catalog.list_datasets(_stored_catalog(spark, sf_dir), "a")
 
 
 @query
@@ -461,7 +466,7 @@ def select_maps_summary(spark, sf_dir):
 
 @query
 def gate_scenarios(spark, sf_dir):
-    index = catalog.variable_index(catalog.catalog_datasets(bindings.tidy(spark, sf_dir)))
+    index = catalog.variable_index(_stored_catalog(spark, sf_dir))
     gated = selection.gate_scenarios(
         index, ["model_f"], ["a", "n"], {("output", "biomass", "annual"): ["n", "r"], ("input", "click", "annual"): []},
     )
@@ -526,14 +531,14 @@ def catalog_datasets(spark, sf_dir):
 @query
 def list_scenarios(spark, sf_dir):
     return catalog.list_scenarios(
-        catalog.catalog_datasets(bindings.tidy(spark, sf_dir)), store.merge_scenarios(bindings.scenarios(spark, sf_dir))
+        _stored_catalog(spark, sf_dir), store.merge_scenarios(bindings.scenarios(spark, sf_dir))
     )
 
 
 @query
 def list_models(spark, sf_dir):
     out = catalog.list_models(
-        catalog.catalog_datasets(bindings.tidy(spark, sf_dir)), store.merge_scenarios(bindings.scenarios(spark, sf_dir))
+        _stored_catalog(spark, sf_dir), store.merge_scenarios(bindings.scenarios(spark, sf_dir))
     )
     nested = F.transform("scenarios", lambda s: F.concat(s["scenario"], F.lit("="), s["label"]))
     return out.withColumn("scenarios", _text(nested))
@@ -541,7 +546,7 @@ def list_models(spark, sf_dir):
 
 @query
 def scenario_tree(spark, sf_dir):
-    tree = catalog.scenario_tree(catalog.catalog_datasets(bindings.tidy(spark, sf_dir)))
+    tree = catalog.scenario_tree(_stored_catalog(spark, sf_dir))
     return tree.select("model", "model_name", "scenario", F.explode("domains").alias("d")).select(
         "model", "model_name", "scenario", F.col("d.domain").alias("domain"),
         _text(F.transform("d.variables", lambda v: F.concat_ws(
@@ -552,7 +557,7 @@ def scenario_tree(spark, sf_dir):
 
 @query
 def variable_index(spark, sf_dir):
-    index = catalog.variable_index(catalog.catalog_datasets(bindings.tidy(spark, sf_dir)))
+    index = catalog.variable_index(_stored_catalog(spark, sf_dir))
     combos = F.transform("combos", lambda c: F.concat_ws("/", c["scenario"], c["model"]))
     return index.withColumns({"combos": _text(combos), "scenarios": _text(F.col("scenarios"))})
 
@@ -768,15 +773,13 @@ def _grids_ok(spark, sf_dir):
 
 @query
 def cells_lonlat(spark, sf_dir):
-    positions = written(crs.geometry_lonlat(_grids_ok(spark, sf_dir)), "positions")
-    out = crs.cells_lonlat(_cells(spark, sf_dir), positions)
+    out = crs.cells_lonlat(_cells(spark, sf_dir))
     return out.select("raster_id", "crs", "row", "col", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "value")
 
 
 @query
 def regrid_nearest(spark, sf_dir):
-    metric = _grids_ok(spark, sf_dir).filter(F.col("crs") == "EPSG:3035")
-    lookup = written(crs.regrid_lookup(metric), "lookup")
+    lookup = written(crs.regrid_lookup(_grids_ok(spark, sf_dir)), "lookup")
     out = crs.regrid_nearest(_cells(spark, sf_dir), lookup)
     return out.select("raster_id", "out_row", "out_col", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "value")
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +33,34 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_base
 
 
+_space: contextvars.ContextVar[str | None] = contextvars.ContextVar("space", default=None)
+
+
+@contextlib.contextmanager
+def scratch_in(folder: str) -> Iterator[None]:
+    """Scratch tables made inside go below ``folder``, which stays."""
+    before = _space.set(folder)
+    try:
+        yield
+    finally:
+        _space.reset(before)
+
+
+@contextlib.contextmanager
+def scratch_space(spark: SparkSession) -> Iterator[None]:
+    """Everything written to scratch inside is deleted at the end, so results must have been
+    saved elsewhere by then."""
+    folder = f"{_space.get() or shared_folder(spark)}/space-{uuid.uuid4().hex[:12]}"
+    try:
+        with scratch_in(folder):
+            yield
+    finally:
+        delete_path(spark, folder)
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new, not yet existing folder for one written table."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    return f"{_space.get() or shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
