@@ -55,10 +55,10 @@ class Equatorial:
 
 @dataclass(frozen=True)
 class TransverseMercator:
-    lon0: float
+    lon0: float | Column
     scale: float
     east0: float
-    north0: float
+    north0: float | Column
     ellipsoid: tuple[float, float]
 
     def _series(self):
@@ -244,23 +244,31 @@ PROJECTIONS = {
     "EPSG:3035": EqualAreaAzimuthal(10, 52, 4321000, 3210000, GRS80),
     "EPSG:3034": ConformalConic(10, 52, 35, 65, 4000000, 2800000, GRS80),
     "EPSG:3857": Equatorial(),
-    "EPSG:32633": TransverseMercator(15, 0.9996, 500000, 0, WGS84_ELLIPSOID),
-    "EPSG:32634": TransverseMercator(21, 0.9996, 500000, 0, WGS84_ELLIPSOID),
-    "EPSG:32635": TransverseMercator(27, 0.9996, 500000, 0, WGS84_ELLIPSOID),
     "EPSG:2180": TransverseMercator(19, 0.9993, 500000, -5300000, GRS80),
     "EPSG:3006": TransverseMercator(15, 0.9996, 500000, 0, GRS80),
 }
+# UTM: WGS 84 north (326..) and south (327..), ETRS89 north (258..), by zone
+UTM_CODE = r"^EPSG:(326|327|258)(0[1-9]|[1-5][0-9]|60)$"
+UTM_SCALE, UTM_EAST0, UTM_SOUTH_NORTH0 = 0.9996, 500000, 10_000_000
 # ----------------------------------------------------------------------------------------
 
 
 def known_crs(crs: Column) -> Column:
-    return crs.isin(*GEOGRAPHIC, *PROJECTIONS)
+    return crs.isin(*GEOGRAPHIC, *PROJECTIONS) | crs.rlike(UTM_CODE)
+
+
+def _utm(crs: Column) -> TransverseMercator:
+    """The projection of any UTM zone; its centre follows from the code's last two digits."""
+    zone = F.regexp_extract(crs, UTM_CODE, 2).try_cast("int")
+    south = F.regexp_extract(crs, UTM_CODE, 1) == "327"
+    return TransverseMercator(zone * 6 - 183, UTM_SCALE, UTM_EAST0, F.when(south, UTM_SOUTH_NORTH0).otherwise(0), WGS84_ELLIPSOID)
 
 
 def _by_crs(crs: Column, x: Column, y: Column, way: str) -> Column:
     point = F.when(crs.isin(*GEOGRAPHIC), _point(x, y))
     for code, projection in PROJECTIONS.items():
         point = point.when(crs == code, getattr(projection, way)(x.cast("double"), y.cast("double")))
+    point = point.when(crs.rlike(UTM_CODE), getattr(_utm(crs), way)(x.cast("double"), y.cast("double")))
     finite = lambda v: F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
     return let(point, lambda p: _point(finite(p["a"]), finite(p["b"])))
 

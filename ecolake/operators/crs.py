@@ -16,6 +16,7 @@ from ecolake.sources.grids import GRID_COLUMNS, center_x, center_y
 # --- fixed values -----------------------------------------------------------------------
 EDGE_POINTS = 21  # points added to each edge before it is projected
 EPSG_IN_WKT = r'AUTHORITY\["EPSG","(\d+)"\]\]\s*$'
+UTM_IN_WKT = r'(?i)^PROJCS\["[^"]*(?:WGS|ETRS)[^"]*UTM[ _]*zone[ _]*(\d{1,2})([NS])"'
 DEGREES_OF_WGS84 = r'(?i)^GEOGCS\["[^"]*WGS[ _]*(?:19)?84'  # without an authority of its own
 # ----------------------------------------------------------------------------------------
 
@@ -40,6 +41,10 @@ def with_crs(grids: DataFrame, map_crs: str | None = None, wkt: str = "crs_wkt")
     geographic = clean.startswith("GEOGCS") & clean.rlike(DEGREES_OF_WGS84)
     declared = (
         F.when(clean.isNull(), WGS84).when(code.isNotNull(), F.concat(F.lit("EPSG:"), code)).when(geographic, WGS84)
+        .when(clean.rlike(UTM_IN_WKT), F.concat(
+            F.when(F.upper(F.regexp_extract(clean, UTM_IN_WKT, 2)) == "S", "EPSG:327").otherwise("EPSG:326"),
+            F.lpad(F.regexp_extract(clean, UTM_IN_WKT, 1), 2, "0"),
+        ))
     )
     crs = F.lit(map_crs) if map_crs else declared
     in_degrees = F.coalesce(crs.isin(*GEOGRAPHIC), F.lit(False))

@@ -12,13 +12,28 @@ from ecolake.operators.rasters import (
 from ecolake.plans.report import scan_report
 from ecolake.schema import MODELS, RASTER_INDEX, SCENARIOS
 from ecolake.session import scratch_space, written
-from ecolake.sinks.store import clear_cells, conform, dim_models, dim_scenarios, replace_source, scan_sources
+from ecolake.sinks.store import (
+    clear_cells, conform, dim_models, dim_scenarios, materialise_cells, replace_source, scan_sources,
+)
 from ecolake.sources.files import SPLIT_BYTES, list_files, with_heads
-from ecolake.sources.grids import RUN_INFO, read_run_info
+from ecolake.sources.grids import RUN_INFO, grid_cells, read_grids, read_run_info
 from ecolake.sources.identify import group_tables, identify_input, identify_output, with_layer
 from ecolake.sources.model_csv import assign_run_id, discover_input, run_directories, series_files, trend_files
 
 
+def open_maps(index: DataFrame) -> DataFrame:
+    """The files of index rows, opened by their ``source_path`` and parsed; those that cannot be
+    read or are no whole grid have status ``error``."""
+    read = with_heads(index.withColumn("path", F.col("source_path")), "whole")
+    return read_grids(read.withColumn("raster_id", F.col("id")))
+
+
+def materialise_maps(wanted: DataFrame, root: str, source_id: str) -> None:
+    """Store the cells of the wanted index rows, opening only files that are not stored yet."""
+    keys = ["model", "scenario", "domain", "variable"]
+    materialise_cells(wanted, root, source_id, lambda missing: grid_cells(open_maps(missing), "raster_id", *keys))
+
+
 def _save(df: DataFrame, root: str, table: str, source_id: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{root}/{table}/source_id={source_id}")
 

@@ -83,7 +83,7 @@ files AS (
 
 ORACLE["discover_output"] = FILES + """
 SELECT 'model_' || lower(model_name[7:]) AS model, model_name, scenario, upper(scenario) AS scenario_label,
-       CAST(count(*) AS BIGINT) AS n_files, CAST(2 AS BIGINT) AS n_dirs
+       CAST(count(*) AS BIGINT) AS n_files, count(DISTINCT CASE WHEN name LIKE '%/%' THEN split_part(name, '/', 1) ELSE '.' END) AS n_dirs
 FROM files WHERE status <> 'none' GROUP BY model_name, scenario"""
 
 ORACLE["csv_headers"] = FILES + """
@@ -298,7 +298,8 @@ SELECT a.item, variable, entities, years, count(p.id) AS maps, count(p.id) = 0 A
 ORACLE["raster_layers"] = f"""{INDEX} SELECT scenario, domain, variable, model, min(model_name) AS model_name, count(DISTINCT group_name) AS n_groups,
  count(DISTINCT fleet_name) AS n_fleets, min(year) AS year_min, max(year) AS year_max, count(*) AS n_rasters FROM idx GROUP BY model, scenario, domain, variable"""
 ORACLE["source_kind"] = f"""{INDEX}, {RUN} SELECT CAST(greatest((SELECT max(n) FROM multi), (SELECT max(r) FROM (SELECT count(DISTINCT run_id) AS r FROM idx GROUP BY model, scenario)), 1) AS BIGINT) AS run_count,
- true AS has_series, true AS has_maps, 'montecarlo' AS kind"""
+ (SELECT count(*) > 0 FROM lineitem) AS has_series, (SELECT count(*) > 0 FROM idx) AS has_maps,
+ CASE WHEN (SELECT max(n) FROM multi) > 1 OR (SELECT max(r) FROM (SELECT count(DISTINCT run_id) AS r FROM idx GROUP BY model, scenario)) > 1 THEN 'montecarlo' ELSE 'mixed' END AS kind"""
 ORACLE["identify_output"] = FILES + f""", {NAMES.replace('n AS (', 'nn AS (')} SELECT * FROM (
  SELECT 'ecosim' AS layer, count(*) AS files, CAST(0 AS BIGINT) AS maps, count(DISTINCT model_name) AS n_models, count(DISTINCT scenario) AS n_scenarios, array_to_string(list_sort(list(DISTINCT model_name)), '; ') AS models, array_to_string(list_sort(list(DISTINCT upper(scenario))), '; ') AS scenarios
  FROM files WHERE status <> 'none'
@@ -471,5 +472,6 @@ SELECT kind, status, files FROM outcome WHERE files > 0"""
 ORACLE["ingest_input"] = f"""WITH {INPUTS}, g AS (SELECT count(*) AS k FROM i GROUP BY scenario, variable, year), outcome AS (
  SELECT 'trend' AS kind, 'ok' AS status, count(DISTINCT event_type) AS files FROM events UNION ALL SELECT 'map', 'ok', count(*) FROM g UNION ALL SELECT 'map', 'copy', CAST(sum(k - 1) AS BIGINT) FROM g)
 SELECT kind, status, files FROM outcome WHERE files > 0"""
+ORACLE["materialize_files"] = ORACLE["materialize_cells"]
 ORACLE["export_ascii_files"] = ORACLE["export_ascii"]
 ORACLE["map_outcomes"] = f"""WITH {CELLS} SELECT raster_id, crs_status AS outcome, CASE WHEN crs_status = 'mismatch' THEN 'not degrees: x 4,535,378 to 4,567,378, y 3,432,716 to 3,464,716' END AS reason FROM g"""

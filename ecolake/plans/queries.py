@@ -256,6 +256,23 @@ def dim_models(spark, sf_dir):
     return store.dim_models(runs)
 
 
+@query
+def materialize_files(spark, sf_dir):
+    """Pixels on demand from files named by the index; the second request opens only new ones."""
+    given = bindings.grid_files(spark, sf_dir)
+    folder = _folder(spark, given.select(F.concat(F.lit("/raw/grids/"), "raster_id", F.lit(".asc")).alias("path"), "text"))
+    named = given.select(F.concat("raster_id", F.lit(".asc")).alias("name"), "raster_id", "vec_id", "label")
+    index = written(raw_files.list_files(spark, folder, "*.asc").select("name", F.col("path").alias("source_path")).join(named, "name").select(
+        F.col("raster_id").alias("id"), F.concat(F.lit("m"), (F.col("vec_id") % 2).cast("string")).alias("model"),
+        F.concat(F.lit("s"), (F.col("vec_id") % 3).cast("string")).alias("scenario"), F.lit("output").alias("domain"),
+        F.concat(F.lit("v"), F.col("label").cast("string")).alias("variable"), "source_path",
+    ), "index")
+    root = scratch(spark, "cells")
+    for wanted in (index.filter(F.col("variable") < "v5"), index):
+        ingest.materialise_maps(wanted, root, "e")
+    return store.read_cells(spark, root, "e").select(*[f for f in CELLS.fieldNames() if f != "geometry"])
+
+
 def _parsed_grids(spark, sf_dir):
     return grids.read_grids(bindings.grid_files(spark, sf_dir))
 
@@ -584,14 +601,15 @@ def raster_layers(spark, sf_dir):
 @query
 def assign_run_id(spark, sf_dir):
     rows = bindings.ensemble(spark, sf_dir)
-    out = model_csv.assign_run_id(rows, model_csv.run_directories(rows))
+    out = model_csv.assign_run_id(rows, written(model_csv.run_directories(rows), "run-directories"))
     return out.select("model", "scenario", "run_id", "year", "group_id", "value")
 
 
 @query
 def source_kind(spark, sf_dir):
     rows = bindings.ensemble(spark, sf_dir)
-    return catalog.source_kind(model_csv.assign_run_id(rows, model_csv.run_directories(rows)), _index(spark, sf_dir))
+    directories = written(model_csv.run_directories(rows), "run-directories")
+    return catalog.source_kind(model_csv.assign_run_id(rows, directories), _index(spark, sf_dir))
 
 
 def _outcomes(spark, sf_dir):
