@@ -242,8 +242,8 @@ ORACLE["biomass_trend_compare"] = f"""{B}, {SMOOTH}, f AS (SELECT model, scenari
 SELECT model, scenario, group_id, 'Group ' || group_id AS "group", year, round(v / base * 100, 6) AS smoothed FROM s JOIN f USING (model, scenario, group_id)"""
 ORACLE["analysis_plugin"] = f"""{B} SELECT model, scenario, group_id, 'Group ' || group_id AS "group", arg_min(value, year) AS start, arg_max(value, year) AS "end",
  round((arg_max(value, year) - arg_min(value, year)) / arg_min(value, year) * 100, 6) AS change_pct FROM biomass WHERE scenario IN ('a', 'r') GROUP BY ALL"""
-ORACLE["analysis_per_series"] = f"{B} SELECT model, scenario, group_id, round(regr_slope(value, year), 6) AS slope FROM biomass GROUP BY ALL"
-
+ORACLE["analysis_per_series"] = f"""{B} SELECT a.model, a.scenario, a.group_id, round(median((b.value - a.value) / (b.year - a.year)), 6) AS slope
+FROM biomass a LEFT JOIN biomass b ON a.model = b.model AND a.scenario = b.scenario AND a.group_id = b.group_id AND a.year < b.year GROUP BY ALL"""
 # --- maps --------------------------------------------------------------------------------
 
 NAMES = """m AS (SELECT DISTINCT label, vec_id % 3 AS scn, CASE WHEN vec_id % 3 = 1 THEN 'Sample_' || (vec_id % 2) ELSE 'single' END AS run,

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -714,11 +715,11 @@ def analysis_plugin(spark, sf_dir):
 @query
 def analysis_per_series(spark, sf_dir):
     def slope(rows):
-        x, y = rows["year"].astype("float64"), rows["value"]
-        dx = x - x.mean()
-        spread = float((dx * dx).sum())
+        """Median of the slopes between every two years of a series, which no outlier moves."""
+        x, y = rows["year"].to_numpy("float64"), rows["value"].to_numpy("float64")
+        i, j = np.triu_indices(len(x), 1)
         line = rows.iloc[:1][["model", "scenario", "group_id"]].copy()
-        line["slope"] = float((dx * (y - y.mean())).sum()) / spread if spread else None
+        line["slope"] = float(np.median((y[j] - y[i]) / (x[j] - x[i]))) if len(i) else None
         return line
 
     rows = bindings.biomass(spark, sf_dir)

@@ -18,6 +18,7 @@ from ecolake.sources.files import open_path
 # --- fixed values -----------------------------------------------------------------------
 FULL_AREA = "full-area"
 NUMBER_FORMAT = "%.15g"
+KEY_PARTS = 16
 # ----------------------------------------------------------------------------------------
 
 
@@ -74,7 +75,7 @@ def ascii_grids(grids: DataFrame, windows: DataFrame | None = None) -> DataFrame
     area holds no value of the map.
 
     ``grids`` are parsed maps with the columns of the index; each is formatted whole in its
-    own row, so maps are never shuffled. ``windows`` is :func:`area_windows_as_arrays` (one
+    own row. ``windows`` is :func:`area_windows_as_arrays` (one
     row per grid geometry and area); without it the full grid is written.
     """
     if windows is None:
@@ -83,7 +84,10 @@ def ascii_grids(grids: DataFrame, windows: DataFrame | None = None) -> DataFrame
             "cols": F.col("ncols"), "inside": F.lit(None).cast("array<boolean>"),
         })
     else:
-        full = grids.join(windows, ["geometry", "crs"])
+        # all maps of a model share one grid, so the key is split and the few windows are repeated
+        dealt = windows.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(KEY_PARTS - 1))))
+        part = F.pmod(F.xxhash64("raster_id"), F.lit(KEY_PARTS)).cast("int")
+        full = grids.withColumn("_part", part).join(dealt, ["geometry", "crs", "_part"]).drop("_part")
     stem = _stem(full)
     text = _grid_text(*[F.col(c) for c in (
         "cells", "ncols", "nrows", "xll", "yll", "cellsize", "nodata", "row0", "col0", "rows", "cols", "inside",
