@@ -32,10 +32,10 @@ def plain_words(text: str) -> list[str]:
 
 
 class _Hashes(dict):
-    """Hash of each word, remembered for up to a million words."""
+    """Hash of each word, remembered for up to 100,000 words."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
