@@ -74,6 +74,17 @@ QUERIES = {
     for f in (op1_sharding, op2_decontamination, op3_lm_scoring, op4_warc, op5_toxicity, op6_embedding_dedup, op7_simhash, op8_token_counts, op9_mixing, op10_html)
 }
 
-# SQL can express none of these: random draws, learnt models, hashes that DuckDB lacks (XXH64),
-# gzip files, tokenizers or HTML trees. They are tested against brute force in tests/llm.
-ORACLE: dict[str, str] = {}
+# SQL can express these two. The others draw at random, learn, or need hashes, tokenizers or trees
+# that DuckDB lacks, and are tested against brute force in tests/llm.
+_SHINGLES = """SELECT DISTINCT id, array_to_string(w[i : i + 4], ' ') AS s
+ FROM (SELECT {key} AS id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM {table}), unnest(range(1, len(w) - 3)) AS u(i)"""
+ORACLE: dict[str, str] = {
+    "op2_decontamination": f"""WITH d AS ({_SHINGLES.format(key="doc_id", table="documents")}), b AS ({_SHINGLES.format(key="item_id", table="benchmark")}),
+n AS (SELECT id, count(*) AS n FROM b GROUP BY id),
+c AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS shared FROM d JOIN b USING (s) GROUP BY d.id, b.id)
+SELECT doc_id, item_id, shared, n AS n_shingles, CAST(shared AS DOUBLE) / n AS containment FROM c JOIN n ON item_id = id WHERE shared >= 0.8 * n - 1e-9""",
+    "op4_warc": """WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN page_id > first THEN first END AS refers_to FROM p LEFT JOIN f USING (payload_digest)""",
+}
