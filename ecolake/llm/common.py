@@ -106,8 +106,14 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 
 
+def few_files(df: DataFrame, label: str) -> DataFrame:
+    """``written`` in a few files per core at most: a table read once more in full gains nothing
+    from a file per shuffle partition."""
+    return written(df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism), label)
+
+
 def _stars(df: DataFrame) -> DataFrame:
-    return written(df, "stars")
+    return few_files(df, "stars")
 
 
 def _mark(df: DataFrame):
@@ -124,7 +130,7 @@ def bucket_edges(rows: DataFrame, codes: list[str], near: Callable[[np.ndarray,
     parts. Only a spanning forest of what is near leaves a task: fewer links than rows.
     """
     large = rows.groupBy("bucket").count().filter(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).cast("int").alias("parts"))
-    large = written(large, "buckets")
+    large = few_files(large, "buckets")
     rows = rows.join(large, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
@@ -180,4 +186,4 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], id_name: st
         count = len(table) - end
 
 
-__all__ = ["bucket_edges", "components", "drop_written", "local_labels", "mixed", "numbered", "scratch", "task_number", "utf8", "whole_groups", "words", "written"]
+__all__ = ["bucket_edges", "components", "drop_written", "few_files", "local_labels", "mixed", "numbered", "scratch", "task_number", "utf8", "whole_groups", "words", "written"]
