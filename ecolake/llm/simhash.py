@@ -19,9 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ecolake.llm.common import bucket_edges, components, extended, mixed, utf8, words, written
-from ecolake.llm.decontamination import shingle_hashes
-from ecolake.llm.embeddings import near_codes
+from ecolake.llm.common import bucket_edges, components, drop_written, extended, mixed, utf8, words, written
+from ecolake.llm.decontamination import needed, shingle_hashes
 
 BLOCKS = (13, 13, 13, 13, 12)  # bits of the fingerprint, from the lowest
 
@@ -140,6 +139,8 @@ WORDS_LONG = 4  # 64-bit words of a long fingerprint
 TABLES_LONG = [(i, (i + 1) % 32) for i in range(32)] + [(i, (i + 7) % 32) for i in range(32)]  # pairs of bytes
 NEAR_LONG = 58  # of 256 bits; texts that share 0.8 of their shingles differ in 36 on average
 PART = 256  # texts of a group that are compared in one task
+PARITY_WORDS = 16  # 64-bit words of a set's parities
+SLOTS = 1 << 20  # counters of common shingles
 
 
 def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
@@ -155,6 +156,115 @@ def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def near_planes(codes: np.ndarray, group: np.ndarray, radius: int, rows: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``near_lanes`` for codes of any number of words and any radius: the vertical counters have
+    as many bits as the radius needs and start so high that a carry out of the last one means
+    that a lane has passed it. Whole groups of about ``rows`` rows are stored as planes at once."""
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    n = len(group)
+    at = 0
+    while at < n:
+        k = np.searchsorted(starts, at + rows, "right") - 1
+        end = int(starts[k]) if k >= 0 and starts[k] > at else int(np.r_[starts, n][np.searchsorted(starts, at, "right")])
+        if n - at <= rows:
+            end = n
+        for i, j in _plane_pairs(codes[at:end].view(np.uint64), group[at:end], radius):
+            yield i + at, j + at
+        at = end
+
+
+def _plane_pairs(codes: np.ndarray, group: np.ndarray, radius: int, cells: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    n, one, full = len(codes), np.uint64(1), ~np.uint64(0)
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    size = np.diff(np.r_[starts, n])
+    lane = ((np.arange(n) - np.repeat(starts, size)) % 64).astype(np.uint64)
+    word_starts = np.flatnonzero(lane == 0)
+    word_of = np.cumsum(lane == 0) - 1
+    bits = 64 * codes.shape[1]
+    planes = np.empty((bits, len(word_starts)), np.uint64)
+    for b in range(bits):
+        planes[b] = np.bitwise_or.reduceat(((codes[:, b // 64] >> np.uint64(b % 64)) & one) << lane, word_starts)
+    filled = np.bitwise_or.reduceat(one << lane, word_starts)
+    per_query = word_of[np.repeat(starts + size - 1, size)] - word_of + 1  # the query's own word and those after it
+    ends = np.cumsum(per_query)
+    width = radius.bit_length()
+    done = 0
+    while done < n:
+        before = ends[done - 1] if done else 0
+        upto = max(done + 1, int(np.searchsorted(ends, before + cells, "right")))
+        q = np.repeat(np.arange(done, upto), per_query[done:upto])
+        w = word_of[q] + np.arange(len(q)) - np.repeat(ends[done:upto] - per_query[done:upto] - before, per_query[done:upto])
+        over = ~(np.where(w == word_of[q], ~((one << lane[q]) | ((one << lane[q]) - one)), full) & filled[w])
+        counters = [np.full(len(q), full if ((1 << width) - 1 - radius) >> k & 1 else 0, np.uint64) for k in range(width)]
+        for b in range(bits):
+            if b % 16 == 0:
+                open_ = np.flatnonzero(over != full)
+                if len(open_) < len(q):
+                    q, w, over = q[open_], w[open_], over[open_]
+                    counters = [c[open_] for c in counters]
+                if not len(q):
+                    break
+            carry = planes[b][w] ^ (np.uint64(0) - ((codes[q, b // 64] >> np.uint64(b % 64)) & one))
+            for c in counters:
+                out = c & carry
+                c ^= carry
+                carry = out
+            over |= carry
+        near = ~over
+        for bit in range(64 if near.any() else 0):
+            hit = np.flatnonzero((near >> np.uint64(bit)) & one)
+            if len(hit):
+                yield q[hit], word_starts[w[hit]] + bit
+        done = upto
+
+
+def parities(hashes: np.ndarray, n_words: int = PARITY_WORDS) -> np.ndarray:
+    """Bits, as signed longs, that tell whether an odd number of the set's hashes falls on each.
+    Two sets differ in at least as many members as their parities in bits."""
+    bits = 64 * n_words
+    count = np.bincount((hashes >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
+def may_be_similar(size: np.ndarray, odd: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Those of the pairs (i, j), as places in them, whose sizes and parities allow the similarity:
+    sets with a Jaccard similarity of s differ in at most (1-s)/(1+s) of their added sizes. No
+    similar pair is lost."""
+    small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    left = np.flatnonzero((small >= similarity * large - 1e-9) & (small > 0))
+    most = (small + large)[left] * ((1 - similarity) / (1 + similarity)) + 1e-6
+    apart = np.zeros(len(left), np.int64)
+    for k in range(odd.shape[1]):
+        apart += np.bitwise_count(odd[i[left], k] ^ odd[j[left], k])
+        if k % 4 == 3:
+            near = apart <= most
+            left, most, apart = left[near], most[near], apart[near]
+    return left[apart <= most]
+
+
+def near_sets(codes: np.ndarray, group: np.ndarray, similarity: float, cells: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j, same group) of sets that may be similar; ``codes``: size, parities."""
+    size, odd, n = codes[:, 0], np.ascontiguousarray(codes[:, 1:]).view(np.uint64), len(codes)
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    ends = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n]))
+    after = ends - np.arange(n) - 1
+    sums = np.cumsum(after)
+    done = 0
+    while done < n:
+        before = sums[done - 1] if done else 0
+        upto = max(done + 1, int(np.searchsorted(sums, before + cells, "right")))
+        i = np.repeat(np.arange(done, upto), after[done:upto])
+        j = i + 1 + np.arange(len(i)) - np.repeat(sums[done:upto] - after[done:upto] - before, after[done:upto])
+        left = may_be_similar(size, odd, i, j, similarity)
+        if len(left):
+            yield i[left], j[left]
+        done = upto
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 100_000:
@@ -176,33 +286,50 @@ def near_copy_classes(rows: DataFrame, width: int = 5, similarity: float = 0.8)
     its group. Texts are linked whose sets of ``width``-word shingles have a Jaccard similarity
     of ``similarity`` or more; texts of equal words (none too) are one class before.
 
-    Long fingerprints are filed in tables keyed by 16 of their bits, those that meet in a table
-    within ``NEAR_LONG`` bits become candidates, and the texts of connected candidates meet once,
-    ``PART`` by ``PART``, to have their shingles compared. Fingerprints are probabilistic: of
-    pairs just above 0.8 about one in ten is not seen, of pairs above 0.85 fewer than one in a
-    hundred, and a group stays whole if its members are linked in another way.
+    Long fingerprints are filed in tables keyed by 16 of their bits, and those that meet in a
+    table within ``NEAR_LONG`` bits become candidates. What they miss is found by an equi-join:
+    of n shingles at most floor(0.2 n) are not in a similar text, so of the first
+    floor(0.2 n) + 1 in one order of all shingles two similar texts share one. The order is by
+    counted slots of hashes, the rare first; any order would do for the result. Texts that share
+    such a shingle and may be similar by size and parities are candidates too. The texts of
+    connected candidates meet once, ``PART`` by ``PART``, to have their shingles compared, so no
+    pair is lost and none is linked below the similarity.
     """
     names = [f"c{k}" for k in range(WORDS_LONG)]
+    odd = [f"p{k}" for k in range(PARITY_WORDS)]
+    columns = ["row_id", "d0", "d1", "n", *names, *odd]
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _WordHashes()
+        seen, counts = _WordHashes(), np.zeros(SLOTS, np.int64)
         for batch in batches:
             digests, codes = [], []
             for t in utf8(batch.column(1)):
                 tokens = words(t)
                 digests.append(xxhash.xxh3_128_digest(b" ".join(tokens)))
-                codes.append(long_fingerprint(np.unique(text_shingles(tokens, width, seen))))
-            d, c = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2), np.array(codes, np.int64).reshape(-1, WORDS_LONG)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in (*d.T.copy(), *c.T.copy()))], names=["row_id", "d0", "d1", *names])
-
-    coded = rows.select("row_id", "text").mapInArrow(encode, "row_id long, d0 long, d1 long, " + ", ".join(f"{c} long" for c in names))
-    coded = written(coded, "fingerprints")
-    classes = written(coded.groupBy("d0", "d1").agg(F.min("row_id").alias("id"), *(F.min(c).alias(c) for c in names)), "classes")
+                shingles = np.unique(text_shingles(tokens, width, seen))
+                np.add.at(counts, _slots(shingles), 1)
+                codes.append(np.r_[len(shingles), long_fingerprint(shingles), parities(shingles)])
+            d, c = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2), np.array(codes, np.int64).reshape(-1, 1 + WORDS_LONG + PARITY_WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in (*d.T.copy(), *c.T.copy()))], names=columns)
+        common = np.flatnonzero(counts > max(8.0, 4 * counts.mean()))  # rows without a row_id: slot and count
+        none = pa.nulls(len(common), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array(common), pa.array(counts[common]), *[none] * (len(columns) - 3)], names=columns)
+
+    coded = written(rows.select("row_id", "text").mapInArrow(encode, ", ".join(f"{c} long" for c in columns)), "fingerprints")
+    common = coded.filter("row_id is null").groupBy("d0").agg(F.sum("d1").alias("count")).toArrow()
+    level = np.zeros(SLOTS, np.uint8)
+    level[common.column("d0").to_numpy()] = np.log2(common.column("count").to_numpy()) + 1
+    coded = coded.filter("row_id is not null")
+    codes = [F.min(c).alias(c) for c in ("n", *names, *odd)]
+    classes = written(coded.groupBy("d0", "d1").agg(F.min("row_id").alias("id"), *codes), "classes")
 
     byte = lambda i: F.shiftrightunsigned(names[i // 8], 8 * (i % 8)).bitwiseAND(F.lit(255))
     keys = [F.lit(t << 16).cast("long") + F.shiftleft(byte(i), 8) + byte(j) for t, (i, j) in enumerate(TABLES_LONG)]
-    filed = classes.select(F.explode(F.array(*keys)).alias("bucket"), "id", *names)
-    meet = components(written(bucket_edges(filed, names, lambda c, g: near_codes(c, g, NEAR_LONG)), "candidates"))
+    tabled = classes.select(F.explode(F.array(*keys)).alias("bucket"), "id", *names)
+    first = written(bucket_edges(tabled, names, lambda c, g: near_planes(c, g, NEAR_LONG)), "candidates")
+    shared = _shared_rare(rows, classes.select("id"), width, similarity, level).join(classes.select("id", "n", *odd), "id")
+    rest = written(bucket_edges(shared, ["n", *odd], lambda c, g: near_sets(c, g, similarity)), "candidates")
+    meet = components(first.union(rest))
     sizes = meet.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     placed = written(meet.join(sizes, "component"), "meetings")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
@@ -231,6 +358,32 @@ def near_copy_classes(rows: DataFrame, width: int = 5, similarity: float = 0.8)
     return ordered.join(lowest, "component").select("row_id", "first")
 
 
+def _shared_rare(rows: DataFrame, classes: DataFrame, width: int, similarity: float, level: np.ndarray) -> DataFrame:
+    """(bucket, id): the rarest shingles of each text of ``classes``, as many as a similar text
+    must share one of, where another text has it among its own. ``level`` orders the slots."""
+    levels = rows.sparkSession.sparkContext.broadcast(level)
+
+    def rarest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, rank = _WordHashes(), levels.value
+        for batch in batches:
+            keys, ends = [np.zeros(0, np.uint64)], [0]
+            for t in utf8(batch.column(1)):
+                shingles = np.unique(text_shingles(words(t), width, seen))
+                if len(shingles):
+                    most = len(shingles) - needed(len(shingles), similarity) + 1
+                    keys.append(shingles[np.argsort(rank[_slots(shingles)], kind="stable")[:most]])
+                ends.append(ends[-1] + (most if len(shingles) else 0))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "keys"])
+
+    found = rows.select("row_id", "text").mapInArrow(rarest, "id long, keys array<long>").join(classes, "id", "left_semi")
+    filed = written(found.select(F.explode("keys").alias("bucket"), "id"), "filed")
+    several = filed.groupBy("bucket").count().filter("count > 1").select("bucket")
+    shared = written(filed.join(several, "bucket", "left_semi"), "shared")
+    drop_written(filed)
+    return shared
+
+
 def _streamed(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         yield from zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)))
@@ -253,10 +406,13 @@ def _similar(sets: list[np.ndarray], parts: np.ndarray, across: bool, similarity
     size = np.array([len(s) for s in sets])
     codes = np.stack([long_fingerprint(s) for s in sets]).view(np.uint64)
     i, j = np.triu_indices(n, 1)
+    if across:
+        i, j = i[parts[i] != parts[j]], j[parts[i] != parts[j]]
+    n_words = min(256, max(PARITY_WORDS, 1 << (int(size.max()) // 16).bit_length()))
+    maybe = may_be_similar(size, np.stack([parities(s, n_words) for s in sets]).view(np.uint64), i, j, similarity)
+    i, j = i[maybe], j[maybe]
     apart = sum(np.bitwise_count(codes[i, k] ^ codes[j, k]).astype(np.int64) for k in range(WORDS_LONG))
-    small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-    maybe = np.flatnonzero((small >= similarity * large - 1e-9) & (small > 0) & (apart <= 2 * NEAR_LONG) & ((parts[i] != parts[j]) | (not across)))
-    for p in maybe[np.argsort(apart[maybe], kind="stable")]:
+    for p in np.argsort(apart, kind="stable"):
         a, b = root(int(i[p])), root(int(j[p]))
         if a == b:
             continue

@@ -153,3 +153,33 @@ def test_containment_against_brute_force(spark, block_bytes):
     assert sorted(key(r["doc_id"]) for r in kept.collect()) == sorted(key(d) for d, _ in docs if key(d) not in hit)
     assert decontamination.contained_items(frame.limit(0), bench).count() == 0
     assert decontamination.contained_items(frame, bench.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("radius", [3, 58])
+def test_bit_planes_find_every_near_code(radius):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(-(2**63), 2**63, (40, 4))
+    codes = base[rng.integers(0, 40, 700)].copy()
+    for row in codes.view(np.uint8).reshape(700, 32):
+        for bit in rng.integers(0, 256, rng.integers(0, radius + 2)):
+            row[bit // 8] ^= 1 << (bit % 8)
+    group = np.sort(rng.integers(0, 9, 700))
+    group[:300] = 0
+    apart = np.bitwise_count(codes.view(np.uint64)[:, None] ^ codes.view(np.uint64)[None]).sum(axis=2)
+    i, j = np.nonzero(np.triu((apart <= radius) & (group[:, None] == group[None]), 1))
+    for rows in (100, 1 << 14):
+        got = [(int(a), int(b)) for x, y in simhash.near_planes(codes, group, radius, rows) for a, b in zip(x, y)]
+        assert len(i) > 300 and sorted(got) == list(zip(i.tolist(), j.tolist()))
+
+
+def test_no_similar_pair_is_passed_over():
+    """Sizes and parities may let other pairs pass, but never hold back a similar one."""
+    rng = np.random.default_rng(8)
+    for n in (5, 40, 900, 6000):
+        for n_words in (16, 64):
+            x = rng.integers(0, 2**64, n, np.uint64)
+            y = np.r_[x[: n - n // 9], rng.integers(0, 2**64, n // 9, np.uint64)]  # similarity 0.8 or a little more
+            sets = [x, y, x[: int(np.ceil(0.8 * n))]]
+            odd = np.stack([simhash.parities(s, n_words) for s in sets]).view(np.uint64)
+            got = simhash.may_be_similar(np.array([len(s) for s in sets]), odd, np.array([0, 0]), np.array([1, 2]), 0.8)
+            assert got.tolist() == [0, 1]

@@ -136,3 +136,40 @@ def test_near_copies_at_every_similarity(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, SF).collect())
     assert kept == sorted([g * 1000 for g in range(30)] + [g * 1000 + 999 for g in range(30)])
+
+
+def test_no_near_copy_is_lost(spark):
+    """Pairs at 0.8 exactly that no third text connects: short ones, where fingerprints find fewest,
+    and longer ones that share a frequent passage with all others."""
+    import random
+
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    rows = []
+    for k in range(0, 800, 2):
+        tokens = [word() for _ in range(9)]  # five shingles, and four of them
+        rows += [(k, " ".join(tokens)), (k + 1, " ".join(tokens[:8]))]
+    passage = [word() for _ in range(12)]
+    for k in range(1000, 1200, 2):
+        tokens = passage + [word() for _ in range(92)]  # a hundred shingles, eighty of them and seventy-nine
+        rows += [(k, " ".join(tokens)), (k + 1, " ".join(tokens[: 84 if k < 1150 else 83]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, SF).collect())
+    assert kept == sorted([*range(0, 800, 2), *range(1000, 1200, 2), *range(1151, 1200, 2)])
+
+
+def test_every_near_copy_of_the_documents(spark):
+    """The documents kept are those of brute force, without a pair lost."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()}
+    sets = {}
+    for r in docs.collect():
+        w = (r["text"] or "").encode().lower().split()
+        sets[r["doc_id"]] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    first = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            x, y = first[a], first[b]
+            if a < b and x != y and 0.8 * max(len(sets[a]), len(sets[b])) <= min(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                first = {d: min(x, y) if f in (x, y) else f for d, f in first.items()}
+    assert kept == set(first.values())
