@@ -22,7 +22,7 @@ from ecolake.llm.common import extended, written
 # --- fixed values -----------------------------------------------------------------------
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes".split())
-LEFT_OUT = frozenset("head nav header footer aside form menu dialog button select datalist svg math object canvas audio video map fieldset script style noscript template iframe textarea title noembed noframes".split())
+LEFT_OUT = frozenset("head nav header footer aside form menu dialog button select datalist svg annotation annotation-xml object canvas audio video map fieldset script style noscript template iframe textarea title noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CONTAINERS = frozenset("html body main article section div td table tbody tr center blockquote".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -33,13 +33,15 @@ NOISE = frozenset(
     "sidebar aside footer masthead topbar toolbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login "
     "comment comments commentlist disqus reply replies respond related recommended share sharing social widget pagination pager search form alert".split()
 )
+LAYOUT = frozenset("site page container wrapper wrap box bar list block area section posts links buttons".split())  # may stand beside a word of NOISE in a name
+NAMED = frozenset("div section aside ul ol dl table".split())  # elements that their names can leave out
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 KEPT_TAGS = frozenset("html body main article".split())
 # ----------------------------------------------------------------------------------------
 _TAG = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?][^>]*+>")
-_ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none", re.I)
-_PIECES = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+_PARTS = re.compile(r"[^\W_]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -52,19 +54,31 @@ class Node:
         self.size = 0
 
 
-def _names(attributes: str) -> tuple[str, set[str], str]:
-    """Generalised class for the path, the name pieces of class and id, and the role."""
+def _names(attributes: str) -> tuple[str, bool, str, bool]:
+    """Generalised class for the path, whether a class or the id as a whole names noise, the role,
+    and whether the element is hidden."""
     css = role = ""
-    pieces: set[str] = set()
+    named = hidden = False
     for name, *values in _ATTRIBUTE.findall(attributes):
-        value = next((v for v in values if v), "")
-        if name.lower() == "role":
+        name, value = name.lower(), next((v for v in values if v), "")
+        if name == "role":
             role = value.strip().lower()
-            continue
-        pieces |= set(_PIECES.findall(_CAMEL.sub(" ", value).lower()))
-        if name.lower() == "class" and not css:
-            css = ".".join(sorted({re.sub(r"\d+", "#", c.lower()) for c in value.split()}))
-    return css, pieces, role
+        elif name == "hidden":
+            hidden = True
+        elif name == "style":
+            hidden = hidden or _UNSEEN.search(value) is not None
+        elif name in ("class", "id"):
+            named = named or any(map(_is_noise, value.split()))
+            if name == "class" and not css:
+                css = ".".join(sorted({re.sub(r"\d+", "#", c.lower()) for c in value.split()}))
+    return css, named, role, hidden
+
+
+def _is_noise(token: str) -> bool:
+    """A word of NOISE, alone or with others of NOISE and LAYOUT: cookie-notice and site-footer,
+    but not related-work or form-2."""
+    parts = set(_PARTS.findall(_CAMEL.sub(" ", token).lower()))
+    return bool(parts & NOISE) and parts <= NOISE | LAYOUT
 
 
 def parsed(html: str) -> Node:
@@ -118,8 +132,8 @@ def parsed(html: str) -> Node:
                     if tag != "tr" or not any(s.tag == "tr" for s in stack[k - 1 :]):
                         break
         top = stack[-1]
-        css, pieces, role = _names(attributes) if attributes else ("", set(), "")
-        noise = top.noise or tag in LEFT_OUT or (tag not in KEPT_TAGS and (bool(pieces & NOISE) or role in ROLES or (bool(attributes) and _HIDDEN.search(attributes) is not None)))
+        css, named, role, hidden = _names(attributes) if attributes else ("", False, "", False)
+        noise = top.noise or tag in LEFT_OUT or (tag not in KEPT_TAGS and ((named and tag in NAMED) or role in ROLES or hidden))
         node = Node(tag, f"{top.path}>{tag}{'.' + css if css else ''}" if tag in CONTAINERS else top.path, noise)
         top.children.append(node)
         if tag in RAW:

@@ -207,3 +207,12 @@ def test_synthetic_pages_are_their_articles(spark):
     for r in pages.collect():
         inner = r["html"].split("<article>")[1].split("</article>")[0]
         assert got[r["page_id"]] == " ".join(unescape(re.sub(r"<[^>]+>", " ", re.sub(r"</?b>", "", inner))).split())
+
+
+def test_names_and_titles_do_not_cut_the_article():
+    html = (
+        "<body><article><h2 id='search'>Search</h2><section id='related-work'><p>Related work</p></section><ol><li id='form-2'>Item</ol>"
+        "<p><span class='ad-hoc'>Ad hoc</span> <a title='The hidden forest' href=x>forest</a> <math><mi>x</mi></math></p>"
+        "<div class='cookie-notice'>no</div><ul class='share'><li>no</ul><p hidden>no</p><p style='display: none'>no</p></article></body>"
+    )
+    assert html_extract.text_of([html_extract.parsed(html)]) == "Search Related work Item Ad hoc forest x"
