@@ -1,9 +1,10 @@
 """Main text of web pages by paths that the pages of a host agree on.
 
-Each page names the container that holds nearly all of its text outside menus, notices and
-the like. The containers' paths, as tags with generalised classes, are votes: Spark counts
-them per host, and every page is then read again along the paths its host has chosen. A page
-whose host's paths are not in it keeps its own container.
+Each page names the smallest container that holds all of its text outside menus, notices and
+the like, or its article. The containers' paths, as tags with generalised classes, are votes:
+Spark counts them per host, and every page is then read again along the paths its host has
+chosen. A page that has other text than its host's paths hold, and its host does not leave out
+beside them, keeps its own container.
 """
 
 from __future__ import annotations
@@ -157,17 +158,50 @@ def _measure(root: Node) -> None:
 
 
 def own_container(root: Node, share: float = 0.9) -> Node:
-    """Walk down while one container holds ``share`` of the text; an article is not entered."""
+    """Walk down to an article with ``share`` of the text, which is not entered, or else while
+    one container holds all words: what lies beside it are marks of one character, as x or |."""
     _measure(root)
     node = root
     while node.tag != "article":
-        inner = [c for c in _containers_below(node) if c.size >= share * node.size and c.size]
+        inner = [c for c in _containers_below(node) if c.size and (c.size >= share * node.size if c.tag == "article" else c.size == node.size or (2 * c.size > node.size and not _words_beside([node], [c])))]
         if not inner:
             break
         node = inner[0]
     return node
 
 
+def _words_beside(nodes: list[Node], taken: list[Node], paths: frozenset[str] = frozenset()) -> bool:
+    """Whether a word of two characters or more lies below the nodes, but not in ``taken`` or in
+    containers with one of these paths."""
+    return any(len(w) > 1 for w in text_of(nodes, {id(n) for n in taken}, paths).split())
+
+
+def beside(root: Node, taken: Node) -> set[str]:
+    """Paths of the outermost containers with text that hold nothing of ``taken``."""
+    found: set[str] = set()
+    above = set()
+    todo: list[tuple[Node, tuple]] = [(root, ())]
+    while todo:
+        node, line = todo.pop()
+        if node is taken:
+            while line:
+                above.add(id(line[0]))
+                line = line[1]
+            break
+        todo += [(c, (node, line)) for c in node.children if isinstance(c, Node) and not c.noise]
+    nodes = [root]
+    while nodes:
+        node = nodes.pop()
+        if node is taken or node.noise:
+            continue
+        if node.tag in CONTAINERS and id(node) not in above:
+            if node.size:
+                found.add(node.path)
+        else:
+            nodes += [c for c in node.children if isinstance(c, Node)]
+    return found
+
+
 def _containers_below(node: Node) -> Iterator[Node]:
     todo = list(reversed(node.children))
     while todo:
@@ -193,16 +227,16 @@ def on_path(root: Node, path: str) -> list[Node]:
     return found
 
 
-def text_of(nodes: list[Node]) -> str:
+def text_of(nodes: list[Node], without: set[int] = frozenset(), paths: frozenset[str] = frozenset()) -> str:
     """The text below the nodes in page order, blocks joined and white space turned into single
-    spaces."""
+    spaces; nodes with their id in ``without`` and containers with one of the paths hold none."""
     out: list[str] = []
     todo: list[Node | str] = list(reversed(nodes))
     while todo:
         c = todo.pop()
         if isinstance(c, str):
             out.append(c)
-        elif not c.noise:
+        elif not c.noise and id(c) not in without and not (c.path in paths and c.tag in CONTAINERS):
             gap = [] if c.tag in INLINE else [" "]
             todo += [*gap, *reversed(c.children), *gap]
         elif c.tag not in INLINE:
@@ -216,28 +250,33 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame, share: float = 0.1) -> DataFrame:
-    """(host, paths): the paths with at least ``share`` of a host's votes, most first (ten at
-    most by that share). Tasks count their own votes before the shuffle."""
+    """(host, paths, left): the paths with at least ``share`` of a host's votes, most first (ten
+    at most by that share), and those that most of its pages leave out beside their containers.
+    Tasks count their own votes before the shuffle."""
 
     def vote(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
+            votes: dict[tuple[str, str, bool], list[int]] = defaultdict(lambda: [0, 0])
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = own_container(parsed(html or ""))
+                root = parsed(html or "")
+                own = own_container(root)
                 if own.size:
-                    v = votes[host, own.path]
-                    v[0], v[1] = v[0] + 1, v[1] + own.size
+                    for path, out, size in [(own.path, False, own.size), *((p, True, 0) for p in (beside(root, own) if own.size < root.size else ()))]:
+                        v = votes[host, path, out]
+                        v[0], v[1] = v[0] + 1, v[1] + size
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in votes], pa.string()), pa.array([k[1] for k in votes], pa.string()),
+                [pa.array([k[0] for k in votes], pa.string()), pa.array([k[1] for k in votes], pa.string()), pa.array([k[2] for k in votes], pa.bool_()),
                  pa.array([v[0] for v in votes.values()], pa.int64()), pa.array([v[1] for v in votes.values()], pa.int64())],
-                names=["host", "path", "votes", "size"],
+                names=["host", "path", "out", "votes", "size"],
             )
 
-    votes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(vote, "host string, path string, votes long, size long")
-    votes = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("size").alias("size"))
-    votes = votes.withColumn("of", F.sum("votes").over(Window.partitionBy("host"))).filter(F.col("votes") >= share * F.col("of"))
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), (-F.col("size")).alias("s"), "path")))
-    return written(votes.groupBy("host").agg(F.transform(ranked, lambda r: r["path"]).alias("paths")), "paths")
+    votes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(vote, "host string, path string, out boolean, votes long, size long")
+    votes = votes.groupBy("host", "path", "out").agg(F.sum("votes").alias("votes"), F.sum("size").alias("size"))
+    votes = votes.withColumn("of", F.sum(F.when(F.col("out"), 0).otherwise(F.col("votes"))).over(Window.partitionBy("host")))
+    votes = votes.filter(F.col("votes") >= F.when(F.col("out"), 0.5).otherwise(share) * F.col("of"))
+    ranked = F.array_sort(F.collect_list(F.when(~F.col("out"), F.struct((-F.col("votes")).alias("v"), (-F.col("size")).alias("s"), "path"))))
+    left = F.array_sort(F.collect_list(F.when(F.col("out"), F.col("path"))))
+    return written(votes.groupBy("host").agg(F.transform(ranked, lambda r: r["path"]).alias("paths"), left.alias("left")), "paths")
 
 
 def main_texts(pages: DataFrame, share: float = 0.1) -> DataFrame:
@@ -249,17 +288,19 @@ def main_texts(pages: DataFrame, share: float = 0.1) -> DataFrame:
     paths are one short row per host, which Spark broadcasts or splits.
     """
     picked = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    joined = picked.join(host_paths(pages, share), "host", "left").select("page_id", "url", "html", "paths")
+    joined = picked.join(host_paths(pages, share), "host", "left").select("page_id", "url", "html", "paths", "left")
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for html, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for html, paths, left in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
                 root, text = parsed(html or ""), ""
                 for path in paths or []:
-                    text = text_of(on_path(root, path))
-                    if text:
+                    nodes = on_path(root, path)
+                    text = text_of(nodes)
+                    if text and (all(n.tag == "article" for n in nodes) or not _words_beside([root], nodes, frozenset(left or ()))):
                         break
+                    text = ""
                 texts.append(text or text_of([own_container(root)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -216,3 +216,17 @@ def test_names_and_titles_do_not_cut_the_article():
         "<div class='cookie-notice'>no</div><ul class='share'><li>no</ul><p hidden>no</p><p style='display: none'>no</p></article></body>"
     )
     assert html_extract.text_of([html_extract.parsed(html)]) == "Search Related work Item Ad hoc forest x"
+
+
+def test_blocks_beside_the_body_stay(spark):
+    """Pages without an article keep title, lead and closing block, however long the body, and a
+    page of a minority template on the host keeps its text."""
+    page = "<body><nav>Menu</nav><div id=main><div class=title><h1>Title {0}</h1></div><div class=lead><p>Lead</div><div class=body><p>{1}</p></div><div class=end>End</div></div></body>"
+    rows = [(k, "http://h/", page.format(k, "long text " * 400)) for k in range(9)] + [(9, "http://h/", page.format(9, "short"))]
+    rows += [(10, "http://h/", "<body><div class=body><p>teaser</p></div><div class=story><p>" + "other text " * 50 + "</p></div></body>")]
+    rows += [(20 + k, "http://g/", "<body><div class=body><p>" + "words " * 50 + "</p></div></body>") for k in range(9)]
+    rows += [(30, "http://g/", "<body><div class=body><p>teaser</p></div><div class=story><p>" + "other text " * 50 + "</p></div></body>")]
+    got = {r["page_id"]: r["text"] for r in html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(10):
+        assert got[k] == f"Title {k} Lead " + ("long text " * 400 if k < 9 else "short ") + "End"
+    assert got[10] == got[30] == "teaser " + ("other text " * 50).strip() and got[20] == ("words " * 50).strip()
