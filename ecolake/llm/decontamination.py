@@ -117,6 +117,18 @@ def _blocks(spark: SparkSession, items: DataFrame, id_col: str, block_bytes: int
         yield [r["id"] for r in rows], [r["text"] for r in rows]
 
 
+def unsearched_items(items: DataFrame, width: int = 5) -> DataFrame:
+    """The rows of ``items`` with fewer than ``width`` words: they have no shingle, so no document
+    is found to hold them."""
+    at = items.columns.index("text")
+
+    def short(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([len(plain_words(t or "")) < width for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return items.mapInArrow(short, items.schema)
+
+
 def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, item_id, shared, n_shingles, containment) for each document and item of which it
     holds a share of ``threshold`` or more of the distinct shingles of five words.

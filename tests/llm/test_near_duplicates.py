@@ -183,3 +183,10 @@ def test_no_similar_pair_is_passed_over():
             odd = np.stack([simhash.parities(s, n_words) for s in sets]).view(np.uint64)
             got = simhash.may_be_similar(np.array([len(s) for s in sets]), odd, np.array([0, 0]), np.array([1, 2]), 0.8)
             assert got.tolist() == [0, 1]
+
+
+def test_items_without_a_shingle_are_told(spark):
+    rows = [(1, "one two three four"), (2, "one, two: three four five!"), (3, None), (4, ""), (None, "a-b")]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    assert sorted(((r["item_id"] or 0), r["text"]) for r in decontamination.unsearched_items(items).collect() if r["text"]) == [(0, "a-b"), (1, "one two three four")]
+    assert decontamination.unsearched_items(items).count() == 4
