@@ -73,7 +73,7 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
                 words = list(counts)
                 numbers = _Numbers(lang, seed)
                 ids = np.array([numbers[w] for w in words], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), pa.array(words, pa.binary()), pa.array(ids), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.binary()), pa.array(ids), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "id", "n"])
             held.clear()
 
         for batch in batches:
