@@ -23,9 +23,10 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ecolake.functions.naming import stem
 
 # --- fixed values -----------------------------------------------------------------------
-FIRST_LINES = 6  # of a file without a header block, with content
+FIRST_LINES = 6  # with content, that tell a table of fitting series
 BLOCK_MARK = "<HEADER"
-SCENARIO_MARK = "EcosimScenario"
+FIELD_MARK = re.compile(r"ModelName|StartYear|EcosimScenario|EcospaceScenario|CoordinateSystemWKT")
+GRID_FIELDS = ("ncols", "nrows", "xllcorner", "yllcorner", "xllcenter", "yllcenter", "cellsize", "nodata_value")
 END_MARK = re.compile(r"<HEADER[^\r\n]*end")
 DATA_MARK = re.compile(r'[ \t]*"?[ \t]*Data[ \t]*"?[ \t]*(?:,|\r|\n|$)')
 EOL_BYTES = re.compile(rb"\r\n|\n|\r")
@@ -93,19 +94,26 @@ def read_texts(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame
 
 def with_heads(files: DataFrame, part: str = "header") -> DataFrame:
     """Add ``text``, a part of each listed file read line by line: ``whole``; ``line``, the first
-    one; ``header``, a header block to its end, and of a file that does not begin with one the
-    first six lines with content; or ``table``, everything up to and with the line that names
-    the columns. ``head_bytes`` is where it ends. A file that cannot be opened or read has a null
-    ``text`` and its fault in ``read_error``."""
-    columns = [f for f in files.schema.fields if f.name not in ("text", "head_bytes", "read_error")]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in columns] + ["text string", "head_bytes long", "read_error string"])
+    one; ``top``, the first six with content; ``grid``, the lines of a map grid's header; ``header``, everything to the end mark of the
+    header block; or ``table``, everything up to and with the line that names the columns.
+
+    A file without an end mark, or without a table, is read through once, as its fields may stand
+    anywhere; of ``header`` and ``table`` only lines that can matter are kept (the first six with
+    content, marks, known fields, the line of columns), so no file's size is held in memory.
+    ``head_bytes`` is where the part ends, ``bytes`` the size of the file. A file that cannot be
+    opened or read has a null ``text`` and its fault in ``read_error``.
+    """
+    columns = [f for f in files.schema.fields if f.name not in ("text", "bytes", "head_bytes", "read_error")]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in columns] + ["text string", "bytes long", "head_bytes long", "read_error string"])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for start in range(0, len(pdf), TEXTS_AT_ONCE):
                 some = pdf.iloc[start:start + TEXTS_AT_ONCE]
                 found = [_head(p, part) for p in some["path"]]
-                yield some.assign(text=[f[0] for f in found], head_bytes=[f[1] for f in found], read_error=[f[2] for f in found])
+                size = pd.Series([f[1] for f in found], index=some.index, dtype="Int64")
+                ends = pd.Series([f[2] for f in found], index=some.index, dtype="Int64")
+                yield some.assign(text=[f[0] for f in found], bytes=size, head_bytes=ends, read_error=[f[3] for f in found])
 
     return files.select(*[f.name for f in columns]).mapInPandas(read, schema)
 
@@ -141,14 +149,13 @@ def _range_lines(stream, start: int, end: int, size: int, inside: bool) -> Itera
     """Lists of the lines that begin in [start, end). ``inside``: a line may run over start."""
     at = start - 1 if inside else start
     stream.seek(at)
-    held, skip = b"", inside
+    held, skip, searched = bytearray(), inside, 0
     while at < end:
-        more = stream.read(READ_BYTES)
-        held += more
+        held += stream.read(READ_BYTES)
         done = at + len(held) >= size
         lines = []
         begin = 0
-        for m in EOL_BYTES.finditer(held):
+        for m in EOL_BYTES.finditer(held, searched):
             if m.end() == len(held) and not done:
                 break  # the rest of a line end may follow
             if at + begin >= end:
@@ -156,11 +163,13 @@ def _range_lines(stream, start: int, end: int, size: int, inside: bool) -> Itera
             if skip:
                 skip = False
             else:
-                lines.append(held[begin:m.start()])
+                lines.append(bytes(held[begin:m.start()]))
             begin = m.end()
         if done and not skip and begin < len(held) and at + begin < end:
-            lines.append(held[begin:])
-        at, held = at + begin, held[begin:]
+            lines.append(bytes(held[begin:]))
+        at += begin
+        del held[:begin]
+        searched = max(0, len(held) - 1)  # a line longer than a read is searched once
         if lines:
             yield [x.decode("utf-8", "replace") for x in lines]
         if done:
@@ -184,51 +193,82 @@ def open_path(path: str):
     return _clients[key], parts.path if parts.scheme == "hdfs" else f"{parts.netloc}{parts.path}"
 
 
-def _head(path: str, part: str) -> tuple[str | None, int | None, str | None]:
+def _head(path: str, part: str) -> tuple[str | None, int | None, int | None, str | None]:
     try:
         filesystem, inner = open_path(path)
         with filesystem.open_input_file(inner) as stream:
+            size = stream.size()
             lines = io.TextIOWrapper(stream, encoding="utf-8", errors="surrogateescape", newline="")
-            taken = lines.read() if part == "whole" else "".join(_STOPS[part](lines))
+            taken, end = [], 0
+            for line, kept in [(lines.read(), True)] if part == "whole" else _PARTS[part](lines):
+                end += len(line.encode("utf-8", "surrogateescape"))
+                if kept:
+                    taken.append(line)
     except OSError as fault:
-        return None, None, str(fault)
-    data = taken.encode("utf-8", "surrogateescape")
-    return data.decode("utf-8", "replace").removeprefix("\ufeff"), len(data), None
+        return None, None, None, str(fault)
+    text = "".join(taken).encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+    return text.removeprefix("\ufeff"), size, end, None
 
 
 def _has_content(line: str) -> bool:
     return bool(line.strip(" \t\r\n,\"\ufeff"))
 
 
-def _first_line(lines: Iterable[str]) -> Iterator[str]:
-    yield from itertools.islice(lines, 1)
+def _first_line(lines: Iterable[str]) -> Iterator[tuple[str, bool]]:
+    for line in itertools.islice(lines, 1):
+        yield line, True
 
 
-def _header_lines(lines: Iterable[str]) -> Iterator[str]:
-    block, contents = False, 0
+def _grid_lines(lines: Iterable[str]) -> Iterator[tuple[str, bool]]:
+    """Lines that begin with a field of a grid's header, and blank ones before the last of them."""
+    blank = []
     for line in lines:
-        yield line
-        block = block or BLOCK_MARK in line
-        contents += _has_content(line)
-        if (block and END_MARK.search(line)) or (not block and contents >= FIRST_LINES):
+        first = line.removeprefix("\ufeff").split(maxsplit=1)[:1]
+        if not first:
+            blank.append(line)
+        elif first[0].lower() in GRID_FIELDS:
+            for b in blank:
+                yield b, True
+            blank = []
+            yield line, True
+        else:
             return
 
 
-def _table_lines(lines: Iterable[str]) -> Iterator[str]:
-    """To the first line with content behind the data mark. The mark counts behind the header's
-    end, or where no header block has begun. A file whose first lines hold neither a block nor
-    the scenario's name is no export."""
-    block = ended = marked = named = False
+def _top_lines(lines: Iterable[str]) -> Iterator[tuple[str, bool]]:
     contents = 0
     for line in lines:
-        yield line
-        if marked and _has_content(line):
+        contents += _has_content(line)
+        yield line, True
+        if contents == FIRST_LINES:
             return
+
+
+def _header_lines(lines: Iterable[str]) -> Iterator[tuple[str, bool]]:
+    contents = 0
+    for line in lines:
         contents += _has_content(line)
-        block, ended, named = block or BLOCK_MARK in line, ended or bool(END_MARK.search(line)), named or SCENARIO_MARK in line
-        marked = marked or ((ended or not block) and DATA_MARK.match(line) is not None)
-        if contents >= FIRST_LINES and not (block or named or marked):
+        yield line, contents <= FIRST_LINES or BLOCK_MARK in line or FIELD_MARK.search(line) is not None
+        if END_MARK.search(line):
+            return
+
+
+def _table_lines(lines: Iterable[str]) -> Iterator[tuple[str, bool]]:
+    """To the first line with content behind the data mark. The mark counts behind the header's
+    end, or where no header block has begun."""
+    block = ended = marked = False
+    contents = 0
+    for line in lines:
+        content = _has_content(line)
+        contents += content
+        if marked and content:
+            yield line, True
             return
+        starts = BLOCK_MARK in line
+        block, ended = block or starts, ended or bool(END_MARK.search(line))
+        now = (ended or not block) and DATA_MARK.match(line) is not None
+        marked = marked or now
+        yield line, contents <= FIRST_LINES or starts or now or (not ended and FIELD_MARK.search(line) is not None)
 
 
-_STOPS = {"line": _first_line, "header": _header_lines, "table": _table_lines}
+_PARTS = {"line": _first_line, "top": _top_lines, "grid": _grid_lines, "header": _header_lines, "table": _table_lines}

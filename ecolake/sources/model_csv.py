@@ -284,7 +284,8 @@ def read_layout(files: DataFrame, *shapes: str) -> DataFrame:
 
 def series_files(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> tuple[DataFrame, DataFrame]:
     """``(rows, files)`` of the time-series exports among listed CSV files of any size: tidy rows
-    as from :func:`values`, and one row per file with its run, ``shape``, ``status`` and
+    (or given with their heads to the line of columns, ``with_heads(.., "table")``) as from
+    :func:`values`, and one row per file with its run, ``shape``, ``status`` and
     ``message`` as from :func:`parsed_files`. Files that cannot be read are there with status
     ``error``.
 
@@ -292,7 +293,7 @@ def series_files(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> tuple[Data
     once and written once, with a mark on those that cannot be used; a file with such a line is
     an error and gives no rows.
     """
-    heads = with_headers(with_heads(files, "table"))
+    heads = with_headers(files if "text" in files.columns else with_heads(files, "table"))
     unread = heads.filter(F.col("read_error").isNotNull())
     known = with_shapes(with_sections(heads.filter(F.col("scenario").isNotNull())), head_only=True)
     per_file = [*_PER_FILE, "name", "scenario_label", "message", "bytes", "head_bytes"]

@@ -1,8 +1,12 @@
+import io
+
 import pytest
 from conftest import head, rows, write
 from pyspark.sql import functions as F
 
 from ecolake.session import written
+from ecolake.sources import files
+from ecolake.sources.files import EOL_BYTES as EOL
 from ecolake.sources.files import list_files, read_texts, with_heads
 from ecolake.sources.model_csv import (
     assign_run_id, discover_output, parsed_files, read_layout, read_trends, run_directories, series_files, values, with_headers,
@@ -146,3 +150,38 @@ def test_a_file_that_cannot_be_read_stops_nothing(spark, tmp_path):
     gone.unlink()
     rows_, files = series_files(listed)
     assert rows_.count() == 1 and rows(files, "name", "status") == [("biomass_annual.csv", "ok"), ("catch_annual.csv", "error")]
+
+
+def test_headers_behind_a_long_preamble(spark, tmp_path):
+    """The end mark ends a header, not a number of lines; what is no export is gone through and left."""
+    body = "Data,Biomass\n\nyear\\group,1\n1998,1\n"
+    notes = lambda n: "".join(f"note {k},{k}\n" for k in range(n))
+    for k, n in enumerate((0, 7, 5000)):
+        write(tmp_path / f"{k}" / "biomass_annual.csv", notes(n) + head(scenario=f"s{k}") + body)
+    write(tmp_path / "notes.csv", notes(3000))
+    write(tmp_path / "late.csv", notes(50) + "ModelName,Late\nEcosimScenario,late\n" + notes(20))
+    listed = list_files(spark, str(tmp_path), "*.csv")
+    rows_, files = series_files(listed, 4000)
+    assert rows(rows_, "scenario", "value") == [("s0", 1.0), ("s1", 1.0), ("s2", 1.0)]
+    assert rows(files, "name", "scenario", "status") == [("biomass_annual.csv", f"s{k}", "ok") for k in range(3)] + [("late.csv", "late", "unsupported")]
+    heads = with_heads(listed, "table").collect()
+    assert max(len(r["text"]) for r in heads) < 1000 and {r["head_bytes"] for r in heads if r["name"] == "notes.csv"} == {len(notes(3000))}
+    assert rows(discover_output(with_heads(listed)), "scenario") == [("late",), ("s0",), ("s1",), ("s2",)]
+
+
+def test_a_line_longer_than_a_read_is_searched_once(monkeypatch):
+    """Lines of many reads, cut anywhere, come whole; what was searched is not searched again."""
+    monkeypatch.setattr(files, "READ_BYTES", 1 << 10)
+    data = b"a" * 300_000 + b"\r\n" + b"b" * 5 + b"\r" + b"c" * 200_000 + b"\n\n" + b"d" * 70_000
+    searched = []
+
+    class Counting:
+        def finditer(self, held, begin):
+            searched.append(len(held) - begin)
+            return EOL.finditer(held, begin)
+
+    monkeypatch.setattr(files, "EOL_BYTES", Counting())
+    for cut in (1, 299_999, 300_001, 300_002, 300_003, 400_000, len(data) - 1):
+        got = [line for start, end in ((0, cut), (cut, len(data))) for lines in files._range_lines(io.BytesIO(data), start, end, len(data), start > 0) for line in lines]
+        assert [len(x) for x in got] == [300_000, 5, 200_000, 0, 70_000]
+    assert sum(searched) < 7 * 3 * len(data)
