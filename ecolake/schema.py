@@ -40,5 +40,8 @@ CELLS = _schema(
 # One row per map whose cells are stored.
 LEDGER = _schema(("model", _S), ("raster_id", _S), ("domain", _S))
 
+# One row per map that was opened: ``ok``, or ``error`` with the reason.
+MAP_OUTCOMES = _schema(("model", _S), ("raster_id", _S), ("domain", _S), ("outcome", _S), ("reason", _S))
+
 # A catalog entry is one of these slices.
 SLICE = ["model", "scenario", "domain", "variable", "freq"]

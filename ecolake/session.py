@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _local_base: str | None = None
@@ -72,6 +72,34 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, rows: int = 256) -> DataFrame:
+    """``df`` dealt evenly to tasks of about ``rows`` rows, however few partitions it has: for
+    small tables whose rows stand for much work."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(n)
+
+
+def dealt_by_weight(df: DataFrame, weight: str, most: int) -> DataFrame:
+    """``df``, a written table, dealt to tasks whose rows weigh about ``most`` together, or less
+    so that every core has a task. Rows are hashed to buckets of some 4,096, each bucket is laid out
+    by running sums, the buckets' totals by running sums over the few buckets, and a row goes to
+    the task its place falls in."""
+    spark = df.sparkSession
+    rows, total = df.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
+    cores = spark.sparkContext.defaultParallelism
+    share = max(1, min(most, -(-total // cores)))
+    tasks = max(1, -(-total // share))
+    bucket = F.pmod(F.xxhash64(*df.columns), F.lit(max(1, -(-rows // 4096))))
+    keyed = df.withColumns({"_bucket": bucket, "_order": F.xxhash64(F.lit(1), *df.columns)})
+    upto = Window.partitionBy("_bucket").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.withColumn("_place", F.coalesce(F.sum(weight).over(upto), F.lit(0)))
+    totals = keyed.groupBy("_bucket").agg(F.sum(weight).alias("_total"))
+    before = F.sum("_total").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select("_bucket", F.coalesce(before, F.lit(0)).alias("_offset"))
+    placed = placed.join(offsets, "_bucket").withColumn("_task", F.least(F.floor((F.col("_place") + F.col("_offset")) / share), F.lit(tasks - 1)).cast("int"))
+    return placed.repartitionById(int(tasks), F.col("_task")).drop("_bucket", "_order", "_place", "_offset", "_task")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Hand this package to executors that do not have it installed, as a zip file."""
     import ecolake

@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ecolake.schema import CELLS, LEDGER, SLICE, TIDY
+from ecolake.schema import CELLS, LEDGER, MAP_OUTCOMES, SLICE, TIDY
 from ecolake.session import delete_path, written
 
 CELL_SLICE = ["model", "scenario", "domain", "variable"]
-TABLES = ["timeseries", "cells", "cells_ledger", "rasters", "scenarios", "models", "layers", "groups", "reports", "kinds", "catalog"]
+TABLES = ["timeseries", "cells", "cells_ledger", "map_outcomes", "rasters", "scenarios", "models", "layers", "groups", "reports", "kinds", "members", "catalog"]
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -43,6 +43,16 @@ def write_slices(rows: DataFrame, path: str) -> None:
     _write(tidy, path, SLICE, "overwrite", dynamic=True)
 
 
+def replace_slices(rows: DataFrame, root: str, source_id: str) -> DataFrame:
+    """Replace exactly the slices of one source that ``rows`` contain; returns these slices."""
+    tidy = conform(rows, TIDY)
+    if tidy.isEmpty():
+        raise ValueError("refusing to write an empty dataset")
+    slices = written(tidy.select(*SLICE).distinct(), "slices")
+    _write(tidy, source_path(root, "timeseries", source_id), SLICE, "overwrite", dynamic=True)
+    return slices
+
+
 def source_path(root: str, table: str, source_id: str) -> str:
     return f"{root}/{table}/source_id={source_id}"
 
@@ -132,14 +142,31 @@ def unstored_maps(wanted: DataFrame, spark: SparkSession, root: str, source_id:
 
 def materialise_cells(wanted: DataFrame, root: str, source_id: str, parse) -> None:
     """Store the cells of the wanted maps that are not stored yet. ``wanted`` are index rows
-    (``model``, ``id``, ``source_path``); ``parse(missing)`` reads those files and returns cells.
-    The cells are written first and the ledger after them, so a call that failed between the two
-    is made good by clearing the source's cells."""
+    (``model``, ``id``, ``source_path``); ``parse(missing)`` reads those files and returns cells, or
+    cells and an outcome per map (``model``, ``id``, ``domain``, ``outcome``, ``reason``). Maps that
+    are not ``ok`` have an outcome in the store (:func:`read_outcomes`), stay out of the ledger and
+    are tried again by the next call. The cells are written first and the ledger after them, so a
+    call that failed between the two is made good by clearing the source's cells."""
     spark = wanted.sparkSession
     missing = written(unstored_maps(wanted, spark, root, source_id).select(*wanted.columns), "missing")
-    append_cells(parse(missing), root, source_id)
-    ledger = missing.select("model", F.col("id").alias("raster_id"), "domain")
-    conform(ledger, LEDGER).write.mode("append").parquet(source_path(root, "cells_ledger", source_id))
+    parsed = parse(missing)
+    cells, outcomes = parsed if isinstance(parsed, tuple) else (parsed, missing.withColumns({"outcome": F.lit("ok"), "reason": F.lit(None).cast("string")}))
+    append_cells(cells, root, source_id)
+    tried = conform(outcomes.withColumn("raster_id", F.col("id")), MAP_OUTCOMES)
+    same = F.col("raster_id").eqNullSafe(F.col("_id")) & F.col("model").eqNullSafe(F.col("_model"))
+    now = tried.select(F.col("raster_id").alias("_id"), F.col("model").alias("_model"))
+    kept = read_outcomes(spark, root, source_id).join(now, same, "left_anti")
+    tried = written(kept.unionByName(tried), "outcomes")
+    good = tried.filter("outcome = 'ok'").join(now, same, "left_semi")
+    conform(good, LEDGER).write.mode("append").parquet(source_path(root, "cells_ledger", source_id))
+    path = source_path(root, "map_outcomes", source_id)
+    tried.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+    spark.catalog.refreshByPath(path)
+
+
+def read_outcomes(spark: SparkSession, root: str, source_id: str) -> DataFrame:
+    """What became of every map that was opened on demand (``outcome``, ``reason``)."""
+    return read_table(spark, source_path(root, "map_outcomes", source_id), MAP_OUTCOMES)
 
 
 def append_cells(cells: DataFrame, root: str, source_id: str) -> None:
@@ -154,16 +181,19 @@ def clear_cells(spark: SparkSession, root: str, source_id: str, domain: str | No
     """Drop the stored cells of a source, or of one domain of it (its coordinate system
     changed). Cells are partitioned by domain, so folders are deleted and nothing is rewritten."""
     cells, ledger = source_path(root, "cells", source_id), source_path(root, "cells_ledger", source_id)
+    outcomes = source_path(root, "map_outcomes", source_id)
     if domain is None:
-        delete_path(spark, ledger)
-        delete_path(spark, cells)
+        for path in (ledger, cells, outcomes):
+            delete_path(spark, path)
     else:
         entries = read_table(spark, ledger, LEDGER)
         kept = written(entries.filter(~F.col("domain").eqNullSafe(domain)), "ledger")
         folders = read_cells(spark, root, source_id).filter(F.col("domain").eqNullSafe(domain))
         gone = {f.rsplit("/variable=", 1)[0] for f in folders.inputFiles() if f"/domain={domain}/" in f}
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(ledger)
+        tried = written(read_outcomes(spark, root, source_id).filter(~F.col("domain").eqNullSafe(domain)), "outcomes")
+        for table, path in ((kept, ledger), (tried, outcomes)):
+            table.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
         for folder in gone:
             delete_path(spark, folder)
-    for path in (cells, ledger):
+    for path in (cells, ledger, outcomes):
         spark.catalog.refreshByPath(path)

@@ -1,14 +1,28 @@
-"""ESRI ASCII map grids: contents, file names, and the run description beside them."""
+"""ESRI ASCII map grids: contents, file names, and the run description beside them.
+
+Grids given as texts are parsed in their own row. Grids in files go through :func:`measured_grids`
+and :func:`grid_rows`: files are cut into byte ranges, dealt to tasks by bytes, and the numbers in
+each range are counted; running sums per file then tell which cells a range holds, and a second
+reading gives the cells, a grid row (or the part of it in a range) at a time. No grid needs to
+fit a task.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ecolake.functions.measures import to_number
 from ecolake.functions.naming import slugify, strip
 from ecolake.functions.periods import DEFAULT_START_YEAR, step_year
-from ecolake.session import computed_once, small_table
+from ecolake.session import computed_once, dealt_by_weight, small_table, spread, written
+from ecolake.sources.files import READ_BYTES, SPLIT_BYTES, open_path, with_heads
 from ecolake.sources.model_csv import MODEL_FIELD, SCENARIO_FIELD, START_YEAR_FIELD, header_fields
 
 # --- fixed values: map exports ----------------------------------------------------------
@@ -25,9 +39,18 @@ INPUT_YEAR = r"((?:19|20)\d{2})"
 RUN_INFO = "Ecospace RunInfo.txt"
 CRS_FIELD = "CoordinateSystemWKT"
 DEFAULT_NODATA = -9999.0
+MISSING = "nan"
 HEADER_LINES = r"(?i)^(?:\s*(?:ncols|nrows|xllcorner|yllcorner|xllcenter|yllcenter|cellsize|nodata_value)\s+\S+)+"
 # ----------------------------------------------------------------------------------------
 
+ROW_PART = 1 << 16  # cells of one array at most
+LONGEST_TOKEN = 1 << 22
+TASK_BYTES = 16 << 20
+_SPACES = [b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c"]
+_SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
+_PLAIN = re.compile(rb"[0-9eE+\-. \t\n\r\x0b\x0c]*")
+_NUMBER = re.compile(rb"(?i)[-+]?(?:\d+\.?\d*(?:e[-+]?\d+)?|\.\d+(?:e[-+]?\d+)?|inf|infinity)")
+
 GRID_COLUMNS = ["ncols", "nrows", "xll", "yll", "cellsize", "nodata"]
 
 
@@ -50,12 +73,187 @@ def grid_headers(files: DataFrame) -> DataFrame:
 
 
 def read_grids(files: DataFrame) -> DataFrame:
-    """:func:`grid_headers` with ``cells`` (array of numbers, rows north to south) and
-    ``status``. One row per file, no shuffle."""
+    """:func:`grid_headers` with ``cells`` (array of numbers, rows north to south; ``nan`` is a
+    missing one), ``status`` and, where that is ``error``, the ``fault``. One row per file, no
+    shuffle. For texts at hand; files go through :func:`measured_grids`."""
     body = F.substring(F.col("text"), F.col("_skip") + 1, F.length("text"))
-    out = computed_once(grid_headers(files), cells=F.transform(F.split(strip(body), r"\s+"), to_number))
-    whole = F.size("cells") == F.col("ncols") * F.col("nrows")
-    return out.withColumn("status", F.when(F.coalesce(whole, F.lit(False)), "ok").otherwise("error")).drop("_skip")
+    out = computed_once(grid_headers(files), _tokens=F.split(strip(body), r"\s+"))
+    odd = F.get(F.filter("_tokens", lambda t: to_number(t).isNull() & (F.lower(t) != MISSING) & (t != "")), F.lit(0))
+    out = computed_once(out, cells=F.transform("_tokens", to_number), _odd=odd)
+    numbers = F.when(F.get("_tokens", F.lit(0)) == "", 0).otherwise(F.size("cells"))
+    fault = grid_fault(numbers, F.col("_odd"))
+    return computed_once(out, fault=fault).withColumn("status", F.when(F.col("fault").isNull(), "ok").otherwise("error")).drop("_skip", "_tokens", "_odd")
+
+
+def grid_fault(numbers: Column, odd: Column) -> Column:
+    """What makes a grid unusable, null if nothing does: a part of its header is not there, a token
+    is no number, or there are not as many numbers as cells."""
+    of = [F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in ("ncols", "nrows")]
+    placed = F.col("xll").isNotNull() & F.col("yll").isNotNull() & (F.col("cellsize") > 0)
+    whole = (numbers == F.col("ncols").cast("long") * F.col("nrows")) & (F.col("ncols") > 0) & (F.col("nrows") > 0)
+    return (
+        F.when(odd.isNotNull(), F.concat(F.lit("'"), odd, F.lit("' is not a number")))
+        .when(~F.coalesce(whole, F.lit(False)), F.concat(numbers.cast("string"), F.lit(" numbers for a grid of "), of[0], F.lit(" by "), of[1]))
+        .when(~F.coalesce(placed, F.lit(False)), "no corner or cell size")
+    )
+
+
+@dataclass(frozen=True)
+class MeasuredGrids:
+    """``maps``: a row per file with header columns, ``geometry``, ``status`` and ``fault``;
+    ``ranges``: the byte ranges of the good ones and the number of their first cell."""
+
+    maps: DataFrame
+    ranges: DataFrame
+    split_bytes: int
+
+
+_RANGE = ["path", "_map", "_start", "_end", "bytes", "_skip"]
+
+
+def measured_grids(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> MeasuredGrids:
+    """Headers and outcomes of grid files (``path`` and columns of the caller's), whatever their
+    size and however few partitions ``files`` has. Files that cannot be read, that hold a token
+    that is no number, or not as many numbers as cells, have status ``error`` and a ``fault``."""
+    heads = grid_headers(with_heads(spread(files), "grid"))
+    # a byte order mark is in the file, not in the text
+    in_bytes = lambda text: F.octet_length(F.encode(text, "utf-8"))
+    skip = in_bytes(F.substring("text", F.lit(1), F.col("_skip"))) + F.col("head_bytes") - in_bytes(F.col("text"))
+    heads = heads.withColumn("_skip", skip).drop("text")
+    heads = written(heads.withColumn("_map", F.monotonically_increasing_id()), "grid-heads")
+    begin = F.coalesce("_skip", F.lit(0)).cast("long")
+    cut = heads.filter(F.col("read_error").isNull() & (F.col("bytes") > 0)).withColumn("_skip", begin).withColumn(
+        "_start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long")))
+    )
+    cut = cut.withColumn("_end", F.least(F.col("_start") + split_bytes, F.col("bytes"))).filter(F.col("_end") > F.col("_skip"))
+    ranges = written(cut.select(*_RANGE, (F.col("_end") - F.col("_start")).alias("_bytes")), "grid-ranges")
+    dealt = dealt_by_weight(ranges, "_bytes", max(split_bytes, TASK_BYTES))
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_counted(*r) for r in zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("path", "_start", "_end", "bytes", "_skip")))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(batch.schema.names.index("_map")), batch.column(batch.schema.names.index("_start")), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.string())],
+                names=["_map", "_start", "numbers", "odd", "lost"],
+            )
+
+    counted = written(dealt.mapInArrow(count, "_map long, _start long, numbers long, odd string, lost string"), "grid-counts")
+    sums = counted.groupBy("_map").agg(F.sum("numbers").alias("numbers"), F.min("odd").alias("odd"), F.min("lost").alias("lost"))
+    maps = heads.join(sums, "_map", "left")
+    fault = F.coalesce("read_error", "lost", grid_fault(F.coalesce("numbers", F.lit(0)), F.col("odd")))
+    maps = maps.withColumn("fault", fault).withColumn("status", F.when(F.col("fault").isNull(), "ok").otherwise("error"))
+    maps = written(maps.drop("_skip", "numbers", "odd", "lost", "read_error", "head_bytes"), "grids")
+    before = F.sum("numbers").over(Window.partitionBy("_map").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))
+    first = counted.select("_map", "_start", F.coalesce(before, F.lit(0)).alias("_first"))
+    good = maps.filter("status = 'ok'").select("_map")
+    return MeasuredGrids(maps, written(ranges.join(first, ["_map", "_start"]).join(good, "_map", "left_semi"), "grid-ranges"), split_bytes)
+
+
+def grid_rows(grids: MeasuredGrids, *keep: str) -> DataFrame:
+    """The cells of the good grids as arrays: ``row``, ``col`` of the first value and ``values``
+    (null for NODATA), with ``geometry``, the header columns and the ``keep`` columns of the map.
+    A grid row is in one array, or in several where a range or ``ROW_PART`` cells end inside."""
+    dealt = dealt_by_weight(grids.ranges.join(grids.maps.select("_map", "ncols", "nodata"), "_map"), "_bytes", max(grids.split_bytes, TASK_BYTES))
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [batch.column(batch.schema.names.index(c)).to_pylist() for c in ("_map", "_first", "ncols", "nodata", "path", "_start", "_end", "bytes", "_skip")]
+            for map_, first, ncols, nodata, *where in zip(*cells):
+                for values, _ in _range_numbers(*where):
+                    yield from _row_parts(map_, first, ncols, nodata, values)
+                    first += len(values)
+
+    parts = dealt.mapInArrow(read, "_map long, row int, col int, values array<double>")
+    return parts.join(grids.maps.select("_map", "geometry", *GRID_COLUMNS, *keep), "_map").drop("_map")
+
+
+def array_rows(grids: DataFrame, *keep: str) -> DataFrame:
+    """:func:`grid_rows` of grids parsed from texts (:func:`read_grids`)."""
+    good = grids.filter(F.col("status") == "ok").withColumn("row", F.explode(F.sequence(F.lit(0), F.col("nrows") - 1)))
+    values = F.slice("cells", F.col("row") * F.col("ncols") + 1, F.col("ncols"))
+    known = F.transform(values, lambda v: F.when(v != F.col("nodata"), v))
+    return good.select("row", F.lit(0).alias("col"), known.alias("values"), "geometry", *GRID_COLUMNS, *keep)
+
+
+def row_cells(rows: DataFrame, *keep: str) -> DataFrame:
+    """:func:`grid_cells` of arrays of cells."""
+    cells = rows.select(*keep, "geometry", *GRID_COLUMNS, "row", F.col("col").alias("_first"), F.posexplode("values").alias("_at", "value"))
+    cells = cells.withColumn("col", F.col("_first") + F.col("_at"))
+    return cells.select(*keep, "geometry", "row", "col", center_x(F.col("col")).alias("x"), center_y(F.col("row")).alias("y"), "value")
+
+
+def _row_parts(map_: int, first: int, ncols: int, nodata: float, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Consecutive cells from number ``first`` on, cut where a grid row or ``ROW_PART`` ends."""
+    known = pa.array(values, mask=np.isnan(values) | (values == nodata))
+    ends = np.union1d(np.arange(ncols - first % ncols, len(values), ncols), np.arange(ROW_PART, len(values), ROW_PART))
+    bounds = np.r_[0, ends, len(values)].astype(np.int64)
+    at = first + bounds[:-1]
+    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), known)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(at), map_)), pa.array((at // ncols).astype(np.int32)), pa.array((at % ncols).astype(np.int32)), lists], names=["_map", "row", "col", "values"],
+    )
+
+
+def _counted(path: str, start: int, end: int, size: int, skip: int) -> tuple[int, str | None, str | None]:
+    """How many numbers begin in a range, a token among them that is none, and a fault in reading."""
+    n, odd = 0, None
+    try:
+        for values, bad in _range_numbers(path, start, end, size, skip):
+            n, odd = n + len(values), odd or bad
+    except OSError as fault:
+        return n, odd, str(fault)
+    return n, odd, None
+
+
+def _range_numbers(path: str, start: int, end: int, size: int, skip: int) -> Iterator[tuple[np.ndarray, str | None]]:
+    """(numbers, a token that is none or null) of the tokens that begin in [start, end) and behind
+    the first ``skip`` bytes, some at a time; NaN for ``nan`` and for what is no number."""
+    filesystem, inner = open_path(path)
+    with filesystem.open_input_file(inner) as stream:
+        for block in _token_blocks(stream, max(start, skip), end, size, start > skip):
+            tokens = block.split()
+            if not tokens:
+                continue
+            try:
+                if _PLAIN.fullmatch(block):
+                    yield np.array(tokens).astype(np.float64), None
+                    continue
+            except ValueError:
+                pass
+            fits = [_NUMBER.fullmatch(t) is not None for t in tokens]
+            odd = next((t for t, f in zip(tokens, fits) if not f and t.lower() != MISSING.encode()), None)
+            values = np.array([float(t) if f else np.nan for t, f in zip(tokens, fits)])
+            yield values, odd and odd[:40].decode("utf-8", "replace")
+
+
+def _token_blocks(stream, start: int, end: int, size: int, inside: bool) -> Iterator[bytes]:
+    """Bytes whose tokens are those that begin in [start, end). ``inside``: one may run over start."""
+    at = start - 1 if inside else start
+    stream.seek(at)
+    held, skip = bytearray(), inside
+    while at < end:
+        held += stream.read(READ_BYTES)
+        done = at + len(held) >= size
+        stop = len(held) if done else _last_space(held) + 1
+        if not stop and len(held) <= LONGEST_TOKEN:
+            continue
+        stop = stop or len(held)
+        if at + stop > end:  # up to the end of the token that holds the range's last byte
+            tail = _SPACE.search(held, end - at - 1, stop)
+            stop = tail.start() if tail else stop
+        block = bytes(held[:stop])
+        if skip:
+            gap = _SPACE.search(block)
+            block, skip = (block[gap.start():], False) if gap else (b"", True)
+        yield block
+        at += stop
+        del held[:stop]
+        if done:
+            return
+
+
+def _last_space(held: bytearray) -> int:
+    return max(held.rfind(c) for c in _SPACES)
 
 
 def center_x(col: Column) -> Column:
