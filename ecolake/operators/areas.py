@@ -1,20 +1,28 @@
 """Areas of interest: polygons in lon/lat against the cells of maps.
 
-A polygon is filled once per grid geometry, row by row: the crossings of a row's centre line
-with the polygon's edges bound the cells inside. Maps then meet the result in one equi-join
-on (geometry, row, col), which no single map or area can make hot.
+Areas are a table. Their polygons become a table of edges, which meet the grids they may touch in
+an equi-join on tiles of ten degrees, are projected once per coordinate system, and are cut by the
+rows of a grid: each crossing of a row's centre line switches the cells from some column on between
+outside and inside. Switches are counted per (row, column) and runs are read off in column order,
+so no group is larger than a row of a grid, however many vertices an area has.
+
+Maps meet the result once per row of cells (geometry, crs, row), which no single map or area can
+make hot, and keep the row's values as arrays until the very end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ecolake.functions.geodesy import from_lonlat
-from ecolake.operators.crs import geometries
-from ecolake.session import computed_once, let
-from ecolake.sources.grids import center_x, center_y
+from ecolake.operators.crs import geometries, lonlat_extents
+from ecolake.session import computed_once, written
+from ecolake.sources.grids import GRID_COLUMNS, center_x, center_y
 
+# --- fixed values -----------------------------------------------------------------------
+TILE_DEGREES = 10
+# ----------------------------------------------------------------------------------------
 _GEOMETRY = "struct<type: string, coordinates: string>"
 _FEATURES = f"struct<type: string, geometry: {_GEOMETRY}, features: array<struct<geometry: {_GEOMETRY}>>>"
 _POLYGON = "array<array<array<double>>>"
@@ -49,99 +57,177 @@ def parse_areas(areas: DataFrame) -> DataFrame:
     )
 
 
-def _edges(polygon: Column, crs: Column) -> Column:
-    """Edges ``(x1, y1, x2, y2)`` of a polygon's rings, in the grid's coordinates."""
-    def joined(start: Column) -> Column:
-        end = F.concat(F.slice(start, 2, F.size(start)), F.slice(start, 1, 1))  # closes an open ring
-        return F.zip_with(start, end, lambda p, q: F.struct(
-            p["a"].alias("x1"), p["b"].alias("y1"), q["a"].alias("x2"), q["b"].alias("y2"),
-        ))
+def area_table(spark: SparkSession, areas: list[tuple[str, str]]) -> DataFrame:
+    """(name, GeoJSON) pairs of a request as a table (``area``, ``geojson``)."""
+    return spark.createDataFrame(areas, "area string, geojson string")
 
-    ring = lambda r: let(F.transform(r, lambda p: from_lonlat(crs, p[0], p[1])), joined)
-    return F.flatten(F.transform(polygon, ring))
 
+def area_edges(areas: DataFrame) -> DataFrame:
+    """Every edge of the areas (``area``, ``geojson``): ``polygon`` it belongs to and its ends in
+    degrees. Rings that are open are closed."""
+    rings = computed_once(areas.select("area", "geojson"), polygons=polygons(F.col("geojson"))).select("area", F.posexplode("polygons").alias("polygon", "rings"))
+    rings = rings.select("area", "polygon", F.explode("rings").alias("ring"))
+    ends = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
+    edges = computed_once(rings.withColumn("ends", ends), e=F.arrays_zip("ring", "ends")).select("area", "polygon", F.explode("e").alias("e"))
+    at = lambda end, k: F.get(F.col(f"e.{end}"), F.lit(k))
+    return edges.select("area", "polygon", at("ring", 0).alias("lon1"), at("ring", 1).alias("lat1"), at("ends", 0).alias("lon2"), at("ends", 1).alias("lat2"))
 
-def area_windows(grids: DataFrame, areas: list[tuple[str, str]]) -> DataFrame:
-    """Per (geometry, crs, area): the edges of its polygons in grid coordinates and the window
-    of rows and columns its bounding box touches. Areas that touch no cell have no row.
 
-    ``areas`` are the (name, GeoJSON) pairs of one request; they enter the plan as literals.
+def _tiles(west: Column, south: Column, east: Column, north: Column) -> Column:
+    """Tiles that a box touches; a box with a null side touches all of them."""
+    most = 360 // TILE_DEGREES - 1
+    tile = lambda v, half, missing, last: F.least(F.greatest(F.floor((F.coalesce(v, F.lit(missing)) + half) / TILE_DEGREES), F.lit(0)), F.lit(last)).cast("int")
+    xs = F.sequence(tile(west, 180, -180, most), tile(east, 180, 180, most))
+    ys = F.sequence(tile(south, 90, -90, most // 2), tile(north, 90, 90, most // 2))
+    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: x * 100 + y)))
+
+
+def area_windows(grids: DataFrame, areas: DataFrame | list[tuple[str, str]]) -> DataFrame:
+    """Per (geometry, crs, area) the window of rows and columns the area's bounding box touches
+    (``row0, row1, col0, col1``, half-open), repeated on each edge of its polygons, in the grid's
+    coordinates. Areas that touch no cell have no row. A written table.
+
+    Straight edges in degrees may bend beyond their box in other coordinates, so areas meet grids
+    in tiles of their box widened by its own size; the windows are exact.
     """
-    named = F.array(*[F.struct(F.lit(n).alias("area"), F.lit(g).alias("geojson")) for n, g in areas])
-    out = geometries(grids).select("*", F.inline(named))
-    out = computed_once(out, polygons=polygons(F.col("geojson"))).drop("geojson")
-    out = computed_once(out, polygons=F.transform("polygons", lambda p: _edges(p, F.col("crs"))))
-    edges = F.flatten("polygons")
-    cs, top = F.col("cellsize"), F.col("yll") + F.col("cellsize") * F.col("nrows")
-    west, east = F.array_min(F.transform(edges, lambda e: e["x1"])), F.array_max(F.transform(edges, lambda e: e["x1"]))
-    south, north = F.array_min(F.transform(edges, lambda e: e["y1"])), F.array_max(F.transform(edges, lambda e: e["y1"]))
-    return computed_once(out, **{
-        "col0": F.greatest(F.lit(0), F.floor((west - F.col("xll")) / cs)).cast("int"),
-        "col1": F.least(F.col("ncols"), F.ceil((east - F.col("xll")) / cs)).cast("int"),
-        "row0": F.greatest(F.lit(0), F.floor((top - north) / cs)).cast("int"),
-        "row1": F.least(F.col("nrows"), F.ceil((top - south) / cs)).cast("int"),
-    }).filter((F.col("row0") < F.col("row1")) & (F.col("col0") < F.col("col1")))
-
-
-def _row_crossings(windows: DataFrame, key: list[str]) -> DataFrame:
-    """``xs`` per (window, polygon, row): sorted x of the points where edges cross the line
-    through the row's cell centres. An edge is given only the rows that it crosses; it counts at
-    its lower end, not at its upper one."""
+    if isinstance(areas, list):
+        areas = area_table(grids.sparkSession, areas)
+    edges = written(area_edges(areas), "area-edges")
+    box = edges.groupBy("area").agg(
+        F.least(F.min("lon1"), F.min("lon2")).alias("w"), F.least(F.min("lat1"), F.min("lat2")).alias("s"),
+        F.greatest(F.max("lon1"), F.max("lon2")).alias("e"), F.greatest(F.max("lat1"), F.max("lat2")).alias("n"),
+    )
+    wide, high = F.greatest(F.lit(1.0), F.col("e") - F.col("w")), F.greatest(F.lit(1.0), F.col("n") - F.col("s"))
+    tiled = box.select("area", F.explode(_tiles(F.col("w") - wide, F.col("s") - high, F.col("e") + wide, F.col("n") + high)).alias("tile"))
+    grid = written(geometries(grids), "geometries")
+    placed = lonlat_extents(grid).select("geometry", "crs", F.explode(_tiles(*map(F.col, ("west", "south", "east", "north")))).alias("tile"))
+    pairs = written(placed.join(tiled, "tile").select("geometry", "crs", "area").distinct(), "area-pairs")
+
+    known = pairs.select("crs", "area").distinct().join(edges, "area")
+    ends = computed_once(known, p=from_lonlat(F.col("crs"), F.col("lon1"), F.col("lat1")), q=from_lonlat(F.col("crs"), F.col("lon2"), F.col("lat2")))
+    lines = written(ends.select("crs", "area", "polygon", F.col("p.a").alias("x1"), F.col("p.b").alias("y1"), F.col("q.a").alias("x2"), F.col("q.b").alias("y2")), "edges")
+    reach = lines.groupBy("crs", "area").agg(
+        F.min("x1").alias("west"), F.max("x1").alias("east"), F.min("y1").alias("south"), F.max("y1").alias("north")
+    )
+    c, cs = F.col, F.col("cellsize")
+    top = c("yll") + cs * c("nrows")
+    windows = pairs.join(reach, ["crs", "area"]).join(grid, ["geometry", "crs"]).withColumns({
+        "col0": F.greatest(F.lit(0), F.floor((c("west") - c("xll")) / cs)).cast("int"),
+        "col1": F.least(c("ncols"), F.ceil((c("east") - c("xll")) / cs)).cast("int"),
+        "row0": F.greatest(F.lit(0), F.floor((top - c("north")) / cs)).cast("int"),
+        "row1": F.least(c("nrows"), F.ceil((top - c("south")) / cs)).cast("int"),
+    }).filter((c("row0") < c("row1")) & (c("col0") < c("col1")))
+    windows = windows.select(*_KEY, *GRID_COLUMNS[:5])
+    return written(windows.join(lines, ["crs", "area"]), "area-windows")
+
+
+_KEY = ["geometry", "crs", "area", "row0", "col0", "row1", "col1"]
+
+
+def _switches(windows: DataFrame) -> DataFrame:
+    """(window, polygon, row, col): from column ``col`` of a row on, cells change between outside and
+    inside. An edge is given only the rows that it crosses; it counts at its lower end, not at its
+    upper one. A cell belongs to what is left of its centre, so areas are half-open."""
     c = F.col
-    polygons = windows.select(*key, "xll", "yll", "cellsize", "nrows", F.posexplode("polygons").alias("polygon", "edges"))
-    edges = polygons.withColumn("e", F.explode("edges")).drop("edges")
     row_at = lambda y: c("nrows") - 0.5 - (y - c("yll")) / c("cellsize")
-    low, high = F.least("e.y1", "e.y2"), F.greatest("e.y1", "e.y2")
-    first = F.greatest(c("row0"), F.floor(row_at(high)).cast("int"))
-    last = F.least(c("row1") - 1, F.ceil(row_at(low)).cast("int"))
-    crossed = edges.withColumns({"first": first, "last": last}).filter(c("first") <= c("last")).withColumn(
+    first = F.greatest(c("row0"), F.floor(row_at(F.greatest("y1", "y2"))).cast("int"))
+    last = F.least(c("row1") - 1, F.ceil(row_at(F.least("y1", "y2"))).cast("int"))
+    crossed = windows.withColumns({"first": first, "last": last}).filter(c("first") <= c("last")).withColumn(
         "row", F.explode(F.sequence(c("first"), c("last")))
     )
     y = center_y(c("row"))
-    crossed = crossed.filter((c("e.y1") > y) != (c("e.y2") > y))
-    x = c("e.x1") + F.try_divide((y - c("e.y1")) * (c("e.x2") - c("e.x1")), c("e.y2") - c("e.y1"))
-    return crossed.groupBy(*key, "xll", "yll", "cellsize", "nrows", "polygon", "row").agg(F.array_sort(F.collect_list(x)).alias("xs"))
+    crossed = crossed.filter((c("y1") > y) != (c("y2") > y)).withColumn("x", c("x1") + F.try_divide((y - c("y1")) * (c("x2") - c("x1")), c("y2") - c("y1")))
+    near = F.ceil((c("x") - c("xll")) / c("cellsize") - 0.5).cast("int")
+    exact = F.when(center_x(c("near") - 1) >= c("x"), c("near") - 1).when(center_x(c("near")) < c("x"), c("near") + 1).otherwise(c("near"))
+    at = crossed.withColumn("near", near).withColumn("col", F.greatest(exact, c("col0"))).filter(c("col") < c("col1"))
+    counted = at.groupBy(*_KEY, "polygon", "row", "col").agg(F.count("*").alias("k"))
+    return counted.filter(c("k") % 2 == 1).drop("k")
+
+
+def area_spans(windows: DataFrame) -> DataFrame:
+    """(window, row, from, to): runs of columns inside any of an area's polygons, holes respected.
+    Runs of one row do not overlap."""
+    c = F.col
+    line = Window.partitionBy(*_KEY, "polygon", "row").orderBy("col")
+    runs = _switches(windows).withColumns({"n": F.row_number().over(line), "to": F.lead("col", 1).over(line)}).filter(c("n") % 2 == 1)
+    steps = runs.select(*_KEY, "row", F.inline(F.array(
+        F.struct(c("col"), F.lit(1).alias("step")), F.struct(F.coalesce("to", "col1").alias("col"), F.lit(-1).alias("step")),
+    )))
+    steps = steps.groupBy(*_KEY, "row", "col").agg(F.sum("step").alias("step"))
+    row = Window.partitionBy(*_KEY, "row").orderBy("col")
+    covered = steps.withColumns({"deep": F.sum("step").over(row), "to": F.lead("col").over(row)})
+    return covered.filter(c("deep") > 0).select(*_KEY, "row", c("col").alias("from"), "to")
+
+
+def area_rows(windows: DataFrame) -> DataFrame:
+    """Every row of every window: ``inside``, a flag per column from ``col0`` on, and the window
+    (``row0, col0, rows, cols``). As many rows as one map per area has, whatever the number of maps."""
+    c = F.col
+    lines = windows.select(*_KEY).distinct().withColumn("row", F.explode(F.sequence(c("row0"), c("row1") - 1)))
+    spans = area_spans(windows).groupBy(*_KEY, "row").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("spans"))
+    out = lines.join(spans, [*_KEY, "row"], "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<from: int, to: int>>")))
+    # a gap and a run for each span, and the gap behind the last
+    flags = F.transform(F.sequence(F.lit(0), F.size("spans")), lambda i: F.concat(
+        F.array_repeat(F.lit(False), F.coalesce(F.get("spans", i)["from"], c("col1")) - F.coalesce(F.get("spans", i - 1)["to"], c("col0"))),
+        F.array_repeat(F.lit(True), F.coalesce(F.get("spans", i)["to"] - F.get("spans", i)["from"], F.lit(0))),
+    ))
+    return out.select(
+        "geometry", "crs", "area", "row", F.flatten(flags).alias("inside"), "row0", "col0",
+        (c("row1") - c("row0")).alias("rows"), (c("col1") - c("col0")).alias("cols"),
+    )
 
 
 def area_cells(windows: DataFrame) -> DataFrame:
     """Every cell of every window with ``inside`` (its centre lies in one of the polygons,
-    holes respected) and the window (``row0, col0, rows, cols``).
+    holes respected) and the window (``row0, col0, rows, cols``)."""
+    out = area_rows(windows).select("geometry", "crs", "area", "row", "row0", "col0", "rows", "cols", F.posexplode("inside").alias("at", "inside"))
+    return out.select("geometry", "crs", "area", "row", (F.col("col0") + F.col("at")).cast("int").alias("col"), "inside", "row0", "col0", "rows", "cols")
 
-    The number of rows is that of one map per area, whatever the number of maps.
-    """
+
+_ROW_KEY = ["geometry", "crs", "row"]
+_CELL_KEY = [*_ROW_KEY, "col"]
+
+
+def mask_rows(rows: DataFrame, area: DataFrame) -> DataFrame:
+    """Rows of cells (``values`` from column ``col`` on, with ``geometry`` and ``crs``) cut to each
+    area's window: ``values`` and ``inside``, from column ``col`` on. Each area is kept apart. One
+    row of cells meets one row of an area (:func:`area_rows`); no cell travels alone."""
     c = F.col
-    key = ["geometry", "crs", "area", "row0", "col0", "row1", "col1"]
-    lines = windows.select(*key, F.explode(F.sequence(c("row0"), c("row1") - 1)).alias("row")).repartition("geometry", "area", "row")
-    x0, x1 = c("run.x0"), c("run.x1")
-    # crossings pair up: the cells between the 1st and 2nd, 3rd and 4th, ... are inside
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size("xs"), F.lit(2)),
-        lambda i: F.struct(F.try_element_at("xs", i).alias("x0"), F.try_element_at("xs", i + 1).alias("x1")),
-    )
-    spans = _row_crossings(windows, key).withColumn("run", F.explode(runs))
-    at = lambda x: F.ceil((x - c("xll")) / c("cellsize") - 0.5).cast("int")
-    spans = spans.withColumns({
-        "from": F.greatest(c("col0"), at(x0) - 1), "to": F.least(c("col1") - 1, at(x1)),
-    }).filter(c("from") <= c("to"))
-    inside = spans.withColumn("col", F.explode(F.sequence(c("from"), c("to")))).filter(
-        (center_x(c("col")) >= x0) & (center_x(c("col")) < x1)
-    )
-    every = lines.withColumn("col", F.explode(F.sequence(c("col0"), c("col1") - 1)))
-    marked = inside.select(*key, "row", "col", F.lit(True).alias("inside")).unionByName(
-        every.select(*key, "row", "col", F.lit(False).alias("inside"))
-    )
-    return marked.groupBy(*key, "row", "col").agg(F.bool_or("inside").alias("inside")).select(
-        "geometry", "crs", "area", "row", "col", "inside", "row0", "col0",
-        (c("row1") - c("row0")).alias("rows"), (c("col1") - c("col0")).alias("cols"),
+    met = rows.join(area, _ROW_KEY)
+    first = F.greatest(c("col"), c("col0"))
+    last = F.least(c("col") + F.size("values"), c("col0") + c("cols"))
+    cut = met.withColumns({"_first": first, "_n": last - first}).filter(c("_n") > 0)
+    return cut.withColumns({
+        "values": F.slice("values", c("_first") - c("col") + 1, c("_n")), "inside": F.slice("inside", c("_first") - c("col0") + 1, c("_n")),
+    }).withColumn("col", c("_first")).drop("_first", "_n")
+
+
+def masked_cells(masked: DataFrame, *keep: str) -> DataFrame:
+    """Cells of :func:`mask_rows`: ``keep``, ``area``, ``row``, ``col``, ``inside`` and ``value``, null
+    outside the area."""
+    cells = masked.select(*keep, "area", "row", F.col("col").alias("_first"), F.posexplode(F.arrays_zip("values", "inside")).alias("_at", "_c"))
+    return cells.select(
+        *keep, "area", "row", (F.col("_first") + F.col("_at")).alias("col"), F.col("_c.inside").alias("inside"),
+        F.when(F.col("_c.inside"), F.col("_c.values")).alias("value"),
     )
 
 
-_CELL_KEY = ["geometry", "crs", "row", "col"]
+def union_rows(rows: DataFrame, area: DataFrame) -> DataFrame:
+    """Rows of cells with ``inside``, a flag per value: in any of the areas. Areas of one row are put
+    together before a map's row meets them."""
+    c = F.col
+    spans = area.select(*_ROW_KEY, "col0", F.struct("col0", "inside").alias("part"))
+    parts = spans.groupBy(*_ROW_KEY).agg(F.collect_list("part").alias("parts"))
+    met = rows.join(parts, _ROW_KEY)
+    within = lambda at: F.exists("parts", lambda p: F.coalesce(F.get(p["inside"], F.when(at >= p["col0"], at - p["col0"])), F.lit(False)))
+    flags = F.transform(F.sequence(F.lit(0), F.size("values") - 1), lambda i: within(c("col") + i))
+    return met.withColumn("inside", flags).drop("parts")
 
 
 def mask(cells: DataFrame, area: DataFrame) -> DataFrame:
-    """Cells of each area's window, values outside the area null. Each area is kept apart.
-    ``cells`` need ``geometry`` and ``crs``; ``area`` is :func:`area_cells`."""
+    """Single cells of each area's window, values outside the area null. Each area is kept apart.
+    ``cells`` need ``geometry`` and ``crs``; ``area`` is :func:`area_cells`. Whole maps are better
+    masked by rows (:func:`mask_rows`)."""
     return cells.join(area, _CELL_KEY).withColumn("value", F.when(F.col("inside"), F.col("value")))
 
 
@@ -158,8 +244,13 @@ def union(cells: DataFrame, area: DataFrame) -> DataFrame:
     return cells.join(covered, _CELL_KEY, "left_semi")
 
 
-def skipped(maps: DataFrame, masked: DataFrame, names: list[str]) -> DataFrame:
-    """(map, area) pairs without a single value inside, so nothing to export."""
-    pairs = maps.select("raster_id", F.explode(F.array(*map(F.lit, names))).alias("area"))
-    filled = masked.filter(F.col("value").isNotNull()).select("raster_id", "area").distinct()
+def skipped(maps: DataFrame, masked: DataFrame, areas: DataFrame | list[str]) -> DataFrame:
+    """(map, area) pairs without a single value inside, so nothing to export. ``masked`` are rows of
+    :func:`mask_rows` with ``raster_id``; ``areas`` the names that were asked for."""
+    if isinstance(areas, list):
+        areas = maps.sparkSession.createDataFrame([(a,) for a in areas], "area string")
+    names = areas.select("area").distinct().agg(F.collect_list("area").alias("names")).scalar()
+    pairs = maps.select("raster_id", F.explode(names).alias("area"))
+    hit = F.exists(F.arrays_zip("values", "inside"), lambda z: z["inside"] & z["values"].isNotNull())
+    filled = masked.filter(hit).select("raster_id", "area").distinct()
     return pairs.join(filled, ["raster_id", "area"], "left_anti")

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ecolake.functions.geodesy import CANDIDATE_CRS, GEOGRAPHIC, WGS84, from_lonlat, known_crs, to_lonlat
-from ecolake.session import computed_once
-from ecolake.sources.grids import GRID_COLUMNS, center_x, center_y
+from ecolake.functions.geodesy import CANDIDATE_CRS, GEOGRAPHIC, WGS84, from_lonlat, known_crs, to_lonlat, told_crs
+from ecolake.session import computed_once, let
+from ecolake.sources.grids import GRID_COLUMNS, center_x, center_y, row_cells
 
 # --- fixed values -----------------------------------------------------------------------
 EDGE_POINTS = 21  # points added to each edge before it is projected
@@ -35,18 +35,22 @@ def with_crs(grids: DataFrame, map_crs: str | None = None, wkt: str = "crs_wkt")
     """Add ``crs`` and ``crs_status``. The user's ``map_crs`` beats the declared one
     (``wkt``, whose strings may be single-quoted), which beats WGS 84. Status ``mismatch``: a
     system in degrees with coordinates that cannot be degrees; ``unknown``: a system this
-    library has no projection for (never guessed)."""
-    clean = F.replace(F.col(wkt), F.lit("'"), F.lit('"'))
+    library has no projection for (never guessed). A code this library has is taken first, then
+    the declared projection and its parameters (``geodesy.told_crs``), then names."""
+    grids = computed_once(grids, _wkt=F.replace(F.col(wkt), F.lit("'"), F.lit('"')))
+    clean = F.col("_wkt")
     code = F.nullif(F.regexp_extract(clean, EPSG_IN_WKT, 1), F.lit(""))
     geographic = clean.startswith("GEOGCS") & clean.rlike(DEGREES_OF_WGS84)
-    declared = (
-        F.when(clean.isNull(), WGS84).when(code.isNotNull(), F.concat(F.lit("EPSG:"), code)).when(geographic, WGS84)
-        .when(clean.rlike(UTM_IN_WKT), F.concat(
-            F.when(F.upper(F.regexp_extract(clean, UTM_IN_WKT, 2)) == "S", "EPSG:327").otherwise("EPSG:326"),
-            F.lpad(F.regexp_extract(clean, UTM_IN_WKT, 1), 2, "0"),
-        ))
+    coded = F.concat(F.lit("EPSG:"), code)
+    zone = F.concat(
+        F.when(F.upper(F.regexp_extract(clean, UTM_IN_WKT, 2)) == "S", "EPSG:327").otherwise("EPSG:326"), F.lpad(F.regexp_extract(clean, UTM_IN_WKT, 1), 2, "0")
     )
-    crs = F.lit(map_crs) if map_crs else declared
+    declared = F.coalesce(
+        F.when(clean.isNull(), WGS84), let(coded, lambda c: F.when(known_crs(c), c)), let(clean, told_crs), coded,
+        F.when(geographic, WGS84), F.when(clean.rlike(UTM_IN_WKT), zone),
+    )
+    grids = computed_once(grids, crs=F.lit(map_crs) if map_crs else declared)
+    crs = F.col("crs")
     in_degrees = F.coalesce(crs.isin(*GEOGRAPHIC), F.lit(False))
     if not map_crs:
         in_degrees = in_degrees | F.coalesce(clean.startswith("GEOGCS"), F.lit(False))
@@ -54,20 +58,17 @@ def with_crs(grids: DataFrame, map_crs: str | None = None, wkt: str = "crs_wkt")
         F.when(in_degrees & ~_in_degrees(*bounds()), "mismatch")
         .when(~F.coalesce(known_crs(crs), F.lit(False)), "unknown").otherwise("ok")
     )
-    return grids.withColumns({"crs": crs, "crs_status": status})
+    return grids.withColumn("crs_status", status).drop("_wkt")
 
 
 def map_outcomes(grids: DataFrame) -> DataFrame:
-    """One row per parsed map with its coordinate system: ``outcome`` (``ok``, ``error``,
-    ``unknown``, ``mismatch``) and the ``reason`` why it is not used."""
+    """One row per map with its ``status``, ``fault`` and coordinate system: ``outcome`` (``ok``,
+    ``error``, ``unknown``, ``mismatch``) and the ``reason`` why it is not used."""
     xmin, ymin, xmax, ymax = bounds()
     span = lambda a, b: F.concat(F.format_number(a, 0), F.lit(" to "), F.format_number(b, 0))
     outcome = F.when(F.col("status") != "ok", "error").otherwise(F.col("crs_status"))
     reason = (
-        F.when(outcome == "error", F.concat(
-            F.size("cells").cast("string"), F.lit(" numbers for a grid of "), F.coalesce(F.col("ncols").cast("string"), F.lit("?")),
-            F.lit(" by "), F.coalesce(F.col("nrows").cast("string"), F.lit("?")),
-        )).when(outcome == "unknown", F.concat(F.lit("no projection for "), F.coalesce("crs", F.lit("the declared system"))))
+        F.when(outcome == "error", F.col("fault")).when(outcome == "unknown", F.concat(F.lit("no projection for "), F.coalesce("crs", F.lit("the declared system"))))
         .when(outcome == "mismatch", F.concat(F.lit("not degrees: x "), span(xmin, xmax), F.lit(", y "), span(ymin, ymax)))
     )
     return grids.withColumns({"outcome": outcome, "reason": reason})
@@ -162,6 +163,34 @@ def regrid_lookup(grids: DataFrame) -> DataFrame:
     return placed.filter(inside).select("geometry", "crs", "row", "col", "out_row", "out_col", "lon", "lat")
 
 
+def lookup_rows(lookup: DataFrame) -> DataFrame:
+    """:func:`regrid_lookup` with all target cells that take from one source row as one array."""
+    target = F.struct("col", "out_row", "out_col", "lon", "lat")
+    return lookup.groupBy("geometry", "crs", "row").agg(F.collect_list(target).alias("targets"))
+
+
+def regrid_rows(rows: DataFrame, lookup: DataFrame, *keep: str) -> DataFrame:
+    """Maps on the regular lon/lat grid: every value is copied from the source cell under the
+    target's centre, none is interpolated. Maps in degrees are on one and stay as they are.
+
+    ``rows`` are rows of cells (``values`` from column ``col`` on) with ``crs``, ``lookup`` is
+    :func:`lookup_rows`: one row of a map meets one row of its grid, and cells are made only then.
+    """
+    c = F.col
+    degrees = c("crs").isin(*GEOGRAPHIC)
+    met = rows.filter(~degrees).join(lookup, ["geometry", "crs", "row"])
+    inside = lambda t: (t["col"] >= c("col")) & (t["col"] < c("col") + F.size("values"))
+    taken = F.transform(F.filter("targets", inside), lambda t: F.struct(
+        t["out_row"].alias("out_row"), t["out_col"].alias("out_col"), t["lon"].alias("lon"), t["lat"].alias("lat"),
+        F.get("values", t["col"] - c("col")).alias("value"),
+    ))
+    copied = met.select(*keep, F.inline(taken))
+    same = row_cells(rows.filter(degrees), *keep).select(
+        *keep, c("row").alias("out_row"), c("col").alias("out_col"), c("x").alias("lon"), c("y").alias("lat"), "value"
+    )
+    return copied.unionByName(same)
+
+
 def regrid_nearest(cells: DataFrame, lookup: DataFrame) -> DataFrame:
     """Maps on the regular lon/lat grid: every value is copied from the source cell under the
     target's centre, none is interpolated. Maps in degrees are on one and stay as they are.

@@ -28,11 +28,13 @@ def export_csv(rows: DataFrame, path: str) -> None:
 
 
 def area_windows_as_arrays(area: DataFrame) -> DataFrame:
-    """:func:`ecolake.operators.areas.area_cells` with one row per (geometry, crs, area) and
-    the window's ``inside`` flags as an array, row by row. As long as one grid."""
-    flags = F.array_sort(F.collect_list(F.struct("row", "col", "inside")))
+    """:func:`ecolake.operators.areas.area_rows` (or ``area_cells``) with one row per (geometry, crs,
+    area) and the window's ``inside`` flags as an array, row by row. As long as one grid."""
+    by_row = area.schema["inside"].dataType.simpleString().startswith("array")
+    flags = F.array_sort(F.collect_list(F.struct("row", "inside") if by_row else F.struct("row", "col", "inside")))
+    inside = F.transform(flags, lambda s: s["inside"])
     return area.groupBy("geometry", "crs", "area", "row0", "col0", "rows", "cols").agg(
-        F.transform(flags, lambda s: s["inside"]).alias("inside")
+        (F.flatten(inside) if by_row else inside).alias("inside")
     )
 
 
