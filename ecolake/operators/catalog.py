@@ -9,17 +9,25 @@ from ecolake.functions.measures import category
 from ecolake.schema import SLICE
 
 
+def dimension_members(tidy: DataFrame) -> DataFrame:
+    """What each slice holds: a row per combination of dimension members (``group_id``, ``fleet_id``,
+    ``partner_id``, with a name each) and model name, its number of rows and its years. Map-side
+    combining shrinks the values to a handful of rows per task, and menus read only this table:
+    :func:`catalog_of_members` and :func:`list_dimension` take it in place of the values."""
+    return tidy.groupBy(*SLICE, "model_name", "group_id", "fleet_id", "partner_id").agg(
+        F.min("group_name").alias("group_name"), F.min("fleet_name").alias("fleet_name"), F.min("unit").alias("label"),
+        F.count("*").alias("n_rows"), F.min("year").alias("year_min"), F.max("year").alias("year_max"),
+    )
+
+
 def catalog_datasets(tidy: DataFrame) -> DataFrame:
-    """One row per (model, scenario, domain, variable, freq).
+    """One row per (model, scenario, domain, variable, freq)."""
+    return catalog_of_members(dimension_members(tidy))
 
-    Rows are first counted per combination of dimension members, which map-side combining
-    shrinks to a handful per task; distinct members are then counted on that small table.
-    """
+
+def catalog_of_members(members: DataFrame) -> DataFrame:
+    """The catalog from :func:`dimension_members`: distinct members are counted on that small table."""
     keys = SLICE
-    members = tidy.groupBy(*keys, "group_id", "fleet_id", "partner_id").agg(
-        F.min("model_name").alias("model_name"), F.min("unit").alias("label"),
-        F.count("*").alias("n_rows"), F.min("year").alias("year_min"), F.max("year").alias("year_max"),
-    )
     out = members.groupBy(*keys).agg(
         F.min("model_name").alias("model_name"), F.min("label").alias("label"),
         F.sum("n_rows").alias("n_rows"), F.min("year_min").alias("year_min"), F.max("year_max").alias("year_max"),
@@ -104,16 +112,17 @@ def variable_index(catalog: DataFrame) -> DataFrame:
 
 
 def list_dimension(
-    tidy: DataFrame, dimension: str, variables: list[str], freq: str = "annual",
+    members: DataFrame, dimension: str, variables: list[str], freq: str = "annual",
     scenarios: list[str] | None = None, names: DataFrame | None = None,
 ) -> DataFrame:
-    """Groups or fleets present in ``variables``: ``id``, ``name``, sorted ``variables``.
+    """Groups or fleets present in ``variables``: ``id``, ``name``, sorted ``variables``. ``members``
+    is the stored table of :func:`dimension_members`, or tidy rows where none is at hand.
 
     A group the files do not name takes the name its models' group tables give it
     (``names``: model_name, group_id, name); differing names are joined with " / ".
     """
     ident, name = f"{dimension}_id", f"{dimension}_name"
-    rows = tidy.filter(F.col("variable").isin(variables) & (F.col("freq") == freq) & F.col(ident).isNotNull())
+    rows = members.filter(F.col("variable").isin(variables) & (F.col("freq") == freq) & F.col(ident).isNotNull())
     if scenarios:
         rows = rows.filter(F.col("scenario").isin(scenarios))
     # one row per (id, variable, model) before anything is collected or joined
