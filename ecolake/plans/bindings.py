@@ -307,6 +307,46 @@ def grid_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), "/raw")
 
 
+def told_wkt() -> Column:
+    """A projected system without any code, as text, by ``vec_id``: transverse Mercator about a
+    meridian that is no zone's, with an origin of its own for some, and systems that must not be
+    guessed: another datum, feet, a projection that is not known."""
+    v = F.col("vec_id")
+    lon0 = (F.lit(9.25) + v % 7).cast("string")
+    datum = F.when(v % 11 == 3, 'GEOGCS["Pulkovo 1942",DATUM["Pulkovo_1942",SPHEROID["Krassowsky",6378245,298.3]]').otherwise(
+        'GEOGCS["WGS 84",DATUM["WGS_1984",SPHEROID["WGS 84",6378137,298.257223563]]'
+    )
+    kind = F.when(v % 11 == 5, "Polyconic").otherwise("Transverse_Mercator")
+    unit = F.when(v % 11 == 7, 'UNIT["US survey foot",0.304800609601219]').otherwise('UNIT["metre",1]')
+    return F.concat(
+        F.lit('PROJCS["Own strip",'), datum, F.lit(',PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433]],PROJECTION["'), kind,
+        F.lit('"],PARAMETER["latitude_of_origin",'), F.when(v % 3 == 0, "50").otherwise("0"), F.lit('],PARAMETER["central_meridian",'), lon0,
+        F.lit('],PARAMETER["scale_factor",0.9998],PARAMETER["false_easting",4500000],PARAMETER["false_northing",'),
+        F.when(v % 3 == 0, "3000000").otherwise("-2500000"), F.lit("],"), unit, F.lit("]"),
+    )
+
+
+def with_map_keys(grids: DataFrame) -> DataFrame:
+    """Maps of ``vec_id`` as those of models with three scenarios, a year each, on the model's one
+    grid; two years of three are biomass, the third habitat capacity."""
+    v = F.col("vec_id")
+    names = F.array(*map(F.lit, ["base", "low", "high"]))
+    year = F.floor(v / 12).cast("int")
+    return grids.withColumns({
+        "model": F.concat(F.lit("m"), (v % 4).cast("string")), "scenario": F.element_at(names, (F.floor(v / 4) % 3 + 1).cast("int")),
+        "year": 1998 + year, "variable": F.when(year % 3 == 2, "habitat_capacity").otherwise("biomass"),
+    })
+
+
+def ragged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide biomass files whose lines are as long as they like: of even years they end behind the
+    fourth group, of odd years they go on behind the last column."""
+    lines = _wide_lines(biomass(spark, sf_dir), _RUN, F.col("year"), "group_id", "year\\group")
+    cells = F.split("line", ",")
+    uneven = F.when(F.col("order") % 2 == 0, F.array_join(F.slice(cells, 1, 5), ",")).otherwise(F.concat("line", F.lit(",99,x,,98")))
+    return with_path_parts(_files(_text(lines.withColumn("line", uneven), _RUN, "Biomass"), F.col("model_name"), F.col("scenario"), "biomass_annual.csv"), "/raw")
+
+
 def map_names(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     """Output map names: variable by label (label 9 has a name no scan knows), scenario by
     id; scenario 1 ran in two folders, scenario 2 has no run description. Several steps fall

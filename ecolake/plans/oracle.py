@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from ecolake.functions.geodesy import CANDIDATE_CRS
 from ecolake.plans.bindings import DEGREES_WKT
 from ecolake.plans.queries import AREAS
@@ -142,9 +144,14 @@ SELECT {FLAT.replace('model_name', 't.model_name').replace('group_id', 't.group_
 FROM tidy t LEFT JOIN bases b ON t.model_name = b.model_name AND t.group_id = b.group_id"""
 ORACLE["relative_baseline"] = f"""{NAMED_TIDY} SELECT model, scenario, freq, date, t.group_id, round(value / nullif(baseline, 0), 6) AS ratio
 FROM (SELECT * FROM tidy WHERE variable = 'biomass') t LEFT JOIN bases b ON t.model_name = b.model_name AND t.group_id = b.group_id"""
-ORACLE["validate_source"] = """SELECT c AS "check", f AS found FROM (VALUES ('output_csv', true), ('output_map', false), ('trend_csv', false),
- ('input_map', false), ('recognised_input', false), ('trends: trend_csv', true), ('trends: input_map', false), ('trends: recognised_input', true)) v(c, f)
-WHERE (SELECT count(*) FROM lineitem) > 0 AND (SELECT count(*) FROM events) > 0"""
+# Series files hold return flags as scenarios, trend files event types: no name among them is a map's.
+_ANY = lambda table, name, like: f"EXISTS (SELECT 1 FROM {table} WHERE {name} LIKE '{like}')"
+ORACLE["validate_source"] = " UNION ALL ".join(f"SELECT '{check}' AS \"check\", {found} AS found" for check, found in [
+    ("output_csv", _ANY("lineitem", "l_returnflag", "_%")), ("output_map", _ANY("lineitem", "lower(l_returnflag) || '/biomass_annual.csv'", "%.asc")),
+    ("trend_csv", _ANY("lineitem", "'biomass_annual.csv'", "trend_%")), ("input_map", _ANY("lineitem", "'Biomass.csv'", "%.asc")),
+    ("recognised_input", _ANY("lineitem", "lower(l_returnflag)", "title%")), ("trends: trend_csv", _ANY("events", "'trend_' || event_type || '.csv'", "trend_%.csv")),
+    ("trends: input_map", _ANY("events", "'trend_' || event_type || '.csv'", "%.asc")), ("trends: recognised_input", _ANY("events", "'trend_' || event_type || '.csv'", "trend_%.csv")),
+])
 
 # --- scalar functions --------------------------------------------------------------------
 
@@ -475,3 +482,98 @@ SELECT kind, status, files FROM outcome WHERE files > 0"""
 ORACLE["materialize_files"] = ORACLE["materialize_cells"]
 ORACLE["export_ascii_files"] = ORACLE["export_ascii"]
 ORACLE["map_outcomes"] = f"""WITH {CELLS} SELECT raster_id, crs_status AS outcome, CASE WHEN crs_status = 'mismatch' THEN 'not degrees: x 4,535,378 to 4,567,378, y 3,432,716 to 3,464,716' END AS reason FROM g"""
+
+# --- ragged lines, stored index and members, maps opened on demand --------------------------
+
+ORACLE["read_ragged"] = f"WITH {LINES}, t AS ({BIOMASS}) SELECT {VALUES} FROM t WHERE year % 2 = 1 OR group_id <= 4"
+ORACLE["stored_rasters"] = f"""{INDEX} SELECT id, model, model_name, scenario, domain, variable, group_name, fleet_name, year, run_id, split_part(source_path, '/', -1) AS name
+ FROM idx WHERE domain = 'output'"""
+ORACLE["stored_members"] = f"""WITH {LINES}, t AS ({BIOMASS} UNION ALL {CATCH})
+SELECT scenario, variable, count(DISTINCT group_id) AS n_groups, CAST(count(*) AS BIGINT) AS n_rows FROM t WHERE variable <> 'biomass' OR scenario <> 'a' OR group_id <= 3 GROUP BY scenario, variable"""
+ORACLE["materialize_outcomes"] = f"""WITH {CELLS} SELECT raster_id, CASE WHEN vec_id % 12 IN (1, 5, 9) THEN 'error' ELSE 'ok' END AS outcome,
+ CASE vec_id % 12 WHEN 1 THEN '63 numbers for a grid of 8 by 8' WHEN 5 THEN chr(39) || 'land' || chr(39) || ' is not a number' WHEN 9 THEN 'gone' END AS reason,
+ CAST(CASE WHEN vec_id % 12 IN (1, 5, 9) THEN 0 ELSE 64 END AS BIGINT) AS cells FROM g"""
+
+# --- scenarios against a baseline, ensembles ------------------------------------------------
+
+
+def _paired(source: str, base: str) -> str:
+    same = lambda t: " AND ".join([f"{t}.{c} = k.{c}" for c in ("model", "variable", "year")] + [f"{t}.{c} IS NOT DISTINCT FROM k.{c}" for c in ("group_id", "fleet_id")])
+    return f"""WITH {LINES}, t AS ({source}), k AS (SELECT DISTINCT model, variable, year, group_id, fleet_id FROM t), s AS (SELECT DISTINCT model, scenario FROM t WHERE scenario <> '{base}'),
+p AS (SELECT k.*, s.scenario, v.value, b.value AS baseline FROM k JOIN s USING (model) LEFT JOIN t v ON {same('v')} AND v.scenario = s.scenario
+ LEFT JOIN t b ON {same('b')} AND b.scenario = '{base}' WHERE v.value IS NOT NULL OR b.value IS NOT NULL),
+e AS (SELECT *, CASE WHEN value IS NULL THEN 'no_scenario' WHEN baseline IS NULL THEN 'no_baseline' ELSE 'paired' END AS status FROM p)"""
+
+
+ORACLE["scenario_effect"] = _paired(f"{BIOMASS} UNION ALL {TOTAL} UNION ALL {CATCH}", "a") + """
+SELECT model, scenario, variable, year, group_id, fleet_id, status, value, baseline, value - baseline AS absolute,
+ CASE WHEN abs(baseline) > 1e-9 THEN round((value - baseline) / baseline * 100, 6) END AS percent,
+ CASE WHEN value >= 0 AND baseline >= 0 THEN round(ln((value + 1e-9) / (baseline + 1e-9)), 6) END AS log_ratio FROM e"""
+ORACLE["scenario_unmatched"] = _paired(CATCH, "n") + " SELECT scenario, status, count(*) AS keys FROM e WHERE status <> 'paired' GROUP BY scenario, status"
+ORACLE["ensemble_kinds"] = f"""WITH {RUN}, d AS (SELECT model, scenario, CASE WHEN n > 1 THEN dir END AS run_id FROM runs JOIN multi USING (model, scenario)
+ UNION ALL SELECT model, scenario, NULL FROM runs WHERE scenario = 'r' AND year = 1995), c AS (SELECT model, scenario, count(DISTINCT run_id) AS runs, bool_or(run_id IS NULL) AS bare FROM d GROUP BY model, scenario)
+SELECT model, scenario, runs, CASE WHEN bare AND runs > 0 THEN 'mixed' WHEN runs > 1 THEN 'ensemble' ELSE 'single' END AS kind FROM c"""
+ORACLE["quantile_bands"] = f"""WITH {RUN}, v AS (SELECT model, scenario, dir, year, group_id, sum(l_quantity) AS value FROM runs WHERE scenario IN ('a', 'r') GROUP BY ALL)
+SELECT model, scenario, year, group_id, count(*) AS runs, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.05), 6) AS q05, round(quantile_cont(value, 0.25), 6) AS q25,
+ round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75, round(quantile_cont(value, 0.95), 6) AS q95 FROM v GROUP BY model, scenario, year, group_id"""
+
+# --- systems told by parameters ---------------------------------------------------------------
+
+
+def _arc(lat: float) -> float:
+    """Meridian arc from the equator to a parallel, by Simpson's rule, scaled."""
+    e2, n = _F84 * (2 - _F84), 20_000
+    step = math.radians(lat) / n
+    f = lambda p: 6378137.0 * (1 - e2) / (1 - e2 * math.sin(p) ** 2) ** 1.5
+    return 0.9998 * step / 3 * sum((1 if k in (0, n) else 4 if k % 2 else 2) * f(k * step) for k in range(n + 1))
+
+
+_STRIP = _transverse("told", 0, 0.9998, 0, _F84).replace("(x - 500000)", "(x - 4500000)").replace("FROM pts", "FROM strip").replace("'told' AS crs, 0 + ", "raster_id, lon0 + ")
+_STRIP = _STRIP.replace("(SELECT xi", "(SELECT raster_id, lon0, xi").replace("(SELECT (y", "(SELECT raster_id, lon0, (y")
+ORACLE["crs_from_wkt"] = f"""WITH o AS (SELECT CAST(vec_id AS VARCHAR) AS raster_id, vec_id, 9.25::DOUBLE + vec_id % 7 AS lon0, 4535378::DOUBLE AS x,
+ 3432716::DOUBLE - CASE WHEN vec_id % 3 = 0 THEN 3000000 - {_arc(50)!r}::DOUBLE ELSE -2500000 END AS y FROM embeddings WHERE vec_id % 2 = 1),
+strip AS (SELECT * FROM o WHERE vec_id % 11 NOT IN (3, 5, 7)), t AS ({_STRIP})
+SELECT o.raster_id, CASE WHEN t.raster_id IS NULL THEN 'unknown' ELSE 'ok' END AS crs_status, round(t.lon, 7) AS lon, round(t.lat, 7) AS lat FROM o LEFT JOIN t USING (raster_id)"""
+
+# --- maps weighed by cell areas, paired over scenarios and years ------------------------------
+
+_KEYS = """keyed AS (SELECT CAST(vec_id AS VARCHAR) AS raster_id, 'm' || (vec_id % 4) AS model, CASE vec_id // 4 % 3 WHEN 0 THEN 'base' WHEN 1 THEN 'low' ELSE 'high' END AS scenario,
+ CAST(1998 + vec_id // 12 AS INT) AS year, CASE WHEN vec_id // 12 % 3 = 2 THEN 'habitat_capacity' ELSE 'biomass' END AS variable FROM embeddings)"""
+_CORNERS = _laea("pts")
+for _step in ("p1", "p2", "p3", "ll"):
+    _CORNERS = _CORNERS.replace(f"{_step} AS (", f"c{_step} AS (").replace(f"FROM {_step})", f"FROM c{_step})")
+_CORNERS = _CORNERS.replace("FROM p1", "FROM cp1").replace("FROM p2", "FROM cp2").replace("FROM p3", "FROM cp3")
+_KM = f"""pts AS (SELECT r, c AS k, 4535378 + 4000 * c::DOUBLE AS x, 3432716 + 4000 * (8 - r)::DOUBLE AS y FROM (SELECT unnest(range(9)) AS r), (SELECT unnest(range(9)) AS c)), {_CORNERS},
+corner AS (SELECT 'EPSG:3035' AS crs, r, k, lon, lat FROM cll UNION ALL SELECT 'EPSG:4326', r, k, 10 + 0.5::DOUBLE * k, 58 - 0.5::DOUBLE * r FROM pts),
+flat AS (SELECT corner.crs, r, k, radians(lon) AS px, 6378137.0::DOUBLE * 6378137 / 2 * (1 - kk.e2) * (sin(radians(lat)) / (1 - kk.e2 * sin(radians(lat)) * sin(radians(lat)))
+ + ln((1 + kk.e * sin(radians(lat))) / (1 - kk.e * sin(radians(lat)))) / (2 * kk.e)) AS py FROM corner, kk),
+km AS (SELECT a.crs, CAST(a.r AS INT) AS row, CAST(a.k AS INT) AS col, abs((a.px - d.px) * (b.py - e.py) - (b.px - e.px) * (a.py - d.py)) / 2e6 AS km2
+ FROM flat a JOIN flat b ON a.crs = b.crs AND a.r = b.r AND b.k = a.k + 1 JOIN flat d ON a.crs = d.crs AND d.r = a.r + 1 AND d.k = a.k + 1 JOIN flat e ON a.crs = e.crs AND e.r = a.r + 1 AND e.k = a.k)"""
+
+
+def _side(prefix: str, n: str, a: str, va: str) -> str:
+    return (
+        f"{n} AS {prefix}cells, CASE WHEN {n} > 0 THEN {a} ELSE 0 END AS {prefix}area_km2, CASE WHEN {n} > 0 AND variable = 'biomass' THEN {va} END AS {prefix}sum, "
+        f"CASE WHEN {n} > 0 THEN {va} / {a} END AS {prefix}mean"
+    )
+
+
+_IN = f"""{AREA}, {_KEYS}, {_KM}, inner_ AS (SELECT m.raster_id, area, count(value) AS n, coalesce(sum(km2) FILTER (value IS NOT NULL), 0) AS a, coalesce(sum(value * km2), 0) AS va
+ FROM masked m JOIN km ON m.crs = km.crs AND m.row = km.row AND m.col = km.col GROUP BY m.raster_id, area)"""
+ORACLE["zonal_summary"] = f"""{_IN}, s AS (SELECT keyed.*, CASE variable WHEN 'biomass' THEN 'density' ELSE 'fraction' END AS kind, area, {_side('', 'n', 'a', 'va')} FROM inner_ JOIN keyed USING (raster_id))
+SELECT * REPLACE (round(area_km2, 6) AS area_km2, round(sum, 6) AS sum, round(mean, 6) AS mean) FROM s"""
+_EFFECT = lambda side: (
+    f"round(s.{side}_mean, 6) AS {side}_mean, round(b.{side}_mean, 6) AS {side}_base, round(s.{side}_mean - b.{side}_mean, 6) AS {side}_absolute, "
+    f"CASE WHEN abs(b.{side}_mean) > 1e-9 THEN round((s.{side}_mean - b.{side}_mean) / b.{side}_mean * 100, 2) END AS {side}_percent, "
+    f"CASE WHEN s.{side}_mean >= 0 AND b.{side}_mean >= 0 THEN round(ln((s.{side}_mean + 1e-9) / (b.{side}_mean + 1e-9)), 6) END AS {side}_log_ratio"
+)
+ORACLE["inside_outside"] = f"""{_IN}, total AS (SELECT c.raster_id, count(value) AS tn, coalesce(sum(km2) FILTER (value IS NOT NULL), 0) AS ta, coalesce(sum(value * km2), 0) AS tva
+ FROM cells c JOIN km ON c.crs = km.crs AND c.row = km.row AND c.col = km.col WHERE crs_status = 'ok' GROUP BY c.raster_id),
+sides AS (SELECT keyed.*, area, {_side('inside_', 'n', 'a', 'va')}, {_side('outside_', '(tn - n)', '(ta - a)', '(tva - va)')} FROM inner_ JOIN total USING (raster_id) JOIN keyed USING (raster_id))
+SELECT s.model, s.variable, s.year, s.area, s.scenario, {_EFFECT('inside')}, {_EFFECT('outside')}, round((s.inside_mean - b.inside_mean) - (s.outside_mean - b.outside_mean), 6) AS contrast
+FROM sides s JOIN sides b ON s.model = b.model AND s.variable = b.variable AND s.year = b.year AND s.area = b.area AND b.scenario = 'base' WHERE s.scenario <> 'base'"""
+_KEYED_CELLS = f"WITH {CELLS}, {_KEYS}, v AS (SELECT keyed.*, row, col, value FROM cells JOIN keyed USING (raster_id) WHERE crs_status = 'ok')"
+ORACLE["map_difference"] = f"""{_KEYED_CELLS} SELECT s.model, s.variable, s.year, s.scenario, s.row, s.col, s.value - b.value AS difference, b.value AS baseline
+FROM v s JOIN v b ON s.model = b.model AND s.variable = b.variable AND s.year = b.year AND s.row = b.row AND s.col = b.col AND b.scenario = 'base' WHERE s.scenario <> 'base'"""
+ORACLE["cell_trend"] = f"""{_KEYED_CELLS} SELECT model, variable, scenario, row, col, count(*) AS years, round(regr_slope(value, year), 6) AS slope, round(regr_intercept(value, year), 6) AS intercept,
+ round(regr_r2(value, year), 6) AS r2 FROM v WHERE value IS NOT NULL GROUP BY ALL"""

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ecolake.functions import measures, naming, periods
-from ecolake.operators import areas, catalog, charts, crs, enrich, rasters, selection, trends
+from ecolake.operators import areas, catalog, charts, crs, effects, enrich, rasters, selection, trends, zonal
 from ecolake.plans import analysis, bindings, ingest, report
-from ecolake.schema import CELLS, SCENARIOS, TIDY
+from ecolake.schema import CELLS, RASTER_INDEX, SCENARIOS, TIDY
 from ecolake.session import scratch, written
 from ecolake.sinks import export, store
 from ecolake.sources import files as raw_files
@@ -99,6 +99,11 @@ def read_single(spark, sf_dir):
     return _layout(spark, sf_dir, "single")
 
 
+@query
+def read_ragged(spark, sf_dir):
+    return model_csv.read_layout(bindings.ragged_files(spark, sf_dir), "wide_by_id").select(*VALUES)
+
+
 @query
 def read_trend(spark, sf_dir):
     return model_csv.read_trends(bindings.trend_files(spark, sf_dir)).select(
@@ -106,9 +111,20 @@ def read_trend(spark, sf_dir):
     )
 
 
+def _grid_folder(spark, sf_dir) -> DataFrame:
+    """The test grids as real files, listed: ``path``, ``raster_id`` and what is declared of them."""
+    given = bindings.grid_files(spark, sf_dir)
+    folder = _folder(spark, given.select(F.concat(F.lit("/raw/grids/"), "raster_id", F.lit(".asc")).alias("path"), "text"))
+    named = given.select(F.concat("raster_id", F.lit(".asc")).alias("name"), "raster_id", "crs_wkt", "vec_id", "label")
+    listed = raw_files.list_files(spark, folder, "*.asc").select("name", "path").join(named, "name")
+    return written(listed.coalesce(1), "listed")  # one partition, as a small index has
+
+
 @query
 def read_grid_cells(spark, sf_dir):
-    return grids.grid_cells(grids.read_grids(bindings.grid_files(spark, sf_dir)), "raster_id")
+    """Grids read from files by ranges of 150 bytes."""
+    opened = grids.measured_grids(_grid_folder(spark, sf_dir), split_bytes=150)
+    return grids.row_cells(grids.grid_rows(opened, "raster_id"), "raster_id")
 
 
 @query
@@ -226,6 +242,27 @@ def ingest_input(spark, sf_dir):
     return ingest.ingest_input(spark, folder, scratch(spark, "store"), "drivers").select("kind", "status", "files")
 
 
+@query
+def stored_rasters(spark, sf_dir):
+    """The map index as ingest stores it."""
+    root = scratch(spark, "store")
+    ingest.ingest_output(spark, _output_folder(spark, sf_dir), root, "one")
+    index = store.read_table(spark, store.source_path(root, "rasters", "one"), RASTER_INDEX)
+    return index.select(*[c for c in INDEX if c not in ("path", "source_path")], F.substring_index("source_path", "/", -1).alias("name"))
+
+
+@query
+def stored_members(spark, sf_dir):
+    """Groups of the stored members after a rescan of some slices; the values are not read."""
+    root = scratch(spark, "store")
+    biomass = bindings.biomass(spark, sf_dir)
+    store.replace_source(biomass.unionByName(bindings.catch_fleet_group(spark, sf_dir)), root, "one")
+    ingest.save_catalog(spark, root, "one")
+    ingest.rescan_slices(biomass.filter((F.col("scenario") == "a") & (F.col("group_id") <= 3)), root, "one")
+    members = spark.read.parquet(store.source_path(root, "members", "one"))
+    return members.groupBy("scenario", "variable").agg(F.count_distinct("group_id").alias("n_groups"), F.sum("n_rows").alias("n_rows"))
+
+
 @query
 def stored_catalog(spark, sf_dir):
     root = scratch(spark, "store")
@@ -296,6 +333,30 @@ def materialize_cells(spark, sf_dir):
     return store.read_cells(spark, root, "e").select(*[f for f in CELLS.fieldNames() if f != "geometry"])
 
 
+@query
+def materialize_outcomes(spark, sf_dir):
+    """What became of maps opened on demand, a fourth of which are cut short, hold a word or are
+    gone; read by ranges of 300 bytes from an index of one partition."""
+    v = F.col("vec_id")
+    given = bindings.grid_files(spark, sf_dir)
+    short, word = F.regexp_replace("text", r"\s+\S+\s*$", "\n"), F.regexp_replace("text", r"(\S+)\s*$", "land\n")
+    text = F.when(v % 12 == 1, short).when(v % 12 == 5, word).otherwise(F.col("text"))
+    folder = _folder(spark, given.filter(v % 12 != 9).select(F.concat(F.lit("/raw/grids/"), "raster_id", F.lit(".asc")).alias("path"), text.alias("text")))
+    none = F.lit(None).cast("string")
+    index = given.select(
+        F.col("raster_id").alias("id"), none.alias("model"), F.lit("s").alias("scenario"), F.lit("output").alias("domain"), F.lit("biomass").alias("variable"),
+        F.concat(F.lit(f"{folder}/grids/"), "raster_id", F.lit(".asc")).alias("source_path"),
+    )
+    root = scratch(spark, "cells")
+    index = written(index.coalesce(1), "index")
+    for _ in range(2):  # maps that failed are tried again, the others are not
+        ingest.materialise_maps(index, root, "e", split_bytes=300)
+    stored = store.read_cells(spark, root, "e").groupBy("raster_id").agg(F.count("*").alias("cells"))
+    found = store.read_outcomes(spark, root, "e").join(stored, "raster_id", "left")
+    gone = F.contains("reason", F.lit("Failed to open"))
+    return found.select("raster_id", "outcome", F.when(gone, "gone").otherwise(F.col("reason")).alias("reason"), F.coalesce("cells", F.lit(0)).alias("cells"))
+
+
 @query
 def replace_source(spark, sf_dir):
     root = scratch(spark, "sources")
@@ -331,8 +392,7 @@ def _indexed_grids(spark, sf_dir):
 @query
 def export_ascii(spark, sf_dir):
     maps = _indexed_grids(spark, sf_dir)
-    cells = areas.area_cells(areas.area_windows(_grids_ok(spark, sf_dir), AREAS))
-    windows = written(export.area_windows_as_arrays(cells), "windows")
+    windows = written(export.area_windows_as_arrays(_area_rows(spark, sf_dir)), "windows")
     out = export.ascii_grids(maps, windows).unionByName(export.ascii_grids(maps))
     return out.filter(F.col("text").isNotNull()).select("folder", "file", "text")
 
@@ -340,8 +400,7 @@ def export_ascii(spark, sf_dir):
 @query
 def export_ascii_files(spark, sf_dir):
     maps, target = written(_indexed_grids(spark, sf_dir), "maps"), scratch(spark, "export + 1%")
-    cells = areas.area_cells(areas.area_windows(_grids_ok(spark, sf_dir), AREAS))
-    export.export_ascii(maps, target, written(export.area_windows_as_arrays(cells), "windows"), [n for n, _ in AREAS])
+    export.export_ascii(maps, target, written(export.area_windows_as_arrays(_area_rows(spark, sf_dir)), "windows"), [n for n, _ in AREAS])
     export.export_ascii(maps, target)
     return raw_files.read_texts(spark, target, "*.asc").select(F.col("parent").alias("folder"), F.col("name").alias("file"), "text")
 
@@ -430,6 +489,11 @@ def _stored_catalog(spark, sf_dir):
     return written(catalog.catalog_datasets(bindings.tidy(spark, sf_dir)), "catalog")
 
 
+def _stored_members(spark, sf_dir):
+    """Dimension members as ingest stores them."""
+    return written(catalog.dimension_members(bindings.tidy(spark, sf_dir)), "members")
+
+
 @query
 def list_datasets(spark, sf_dir):
     return catalog.list_datasets(_stored_catalog(spark, sf_dir), "a")
@@ -583,14 +647,14 @@ def variable_index(spark, sf_dir):
 @query
 def list_groups(spark, sf_dir):
     out = catalog.list_dimension(
-        bindings.tidy(spark, sf_dir), "group", ["biomass", "catch_fleet_group"], scenarios=["a", "n"], names=_names(spark, sf_dir)
+        _stored_members(spark, sf_dir), "group", ["biomass", "catch_fleet_group"], scenarios=["a", "n"], names=_names(spark, sf_dir)
     )
     return out.withColumn("variables", _text(F.col("variables")))
 
 
 @query
 def list_fleets(spark, sf_dir):
-    out = catalog.list_dimension(bindings.tidy(spark, sf_dir), "fleet", ["biomass", "catch_fleet_group"])
+    out = catalog.list_dimension(_stored_members(spark, sf_dir), "fleet", ["biomass", "catch_fleet_group"])
     return out.withColumn("variables", _text(F.col("variables")))
 
 
@@ -727,6 +791,42 @@ def analysis_per_series(spark, sf_dir):
     return out.withColumn("slope", F.round("slope", 6))
 
 
+# --- scenarios against a baseline, ensembles ----------------------------------------------
+
+@query
+def scenario_effect(spark, sf_dir):
+    rows = bindings.tidy(spark, sf_dir).filter((F.col("domain") == "output") & (F.col("freq") == "annual") & F.col("variable").isin("biomass", "totalcatch", "catch_fleet_group"))
+    out = effects.paired_effect(rows, "a")
+    return out.select(
+        "model", "scenario", "variable", "year", "group_id", "fleet_id", "status", "value", "baseline", "absolute",
+        F.round("percent", 6).alias("percent"), F.round("log_ratio", 6).alias("log_ratio"),
+    )
+
+
+@query
+def scenario_unmatched(spark, sf_dir):
+    rows = bindings.tidy(spark, sf_dir).filter(F.col("variable") == "catch_fleet_group")
+    return effects.unmatched(effects.paired_effect(rows, "n"))
+
+
+def _runs(spark, sf_dir):
+    rows = bindings.ensemble(spark, sf_dir)
+    return model_csv.assign_run_id(rows, written(model_csv.run_directories(rows), "run-directories"))
+
+
+@query
+def ensemble_kinds(spark, sf_dir):
+    rows = _runs(spark, sf_dir)
+    bare = rows.filter((F.col("scenario") == "r") & (F.col("year") == 1995)).withColumn("run_id", F.lit(None).cast("string"))
+    return effects.ensemble_kinds(rows.unionByName(bare))
+
+
+@query
+def quantile_bands(spark, sf_dir):
+    out = effects.quantile_bands(_runs(spark, sf_dir).filter(F.col("scenario").isin("a", "r")))
+    return out.select("model", "scenario", "year", "group_id", "runs", *[F.round(c, 6).alias(c) for c in ("mean", "q05", "q25", "q50", "q75", "q95")])
+
+
 # --- maps --------------------------------------------------------------------------------
 
 INDEX = ["id", "model", "model_name", "scenario", "domain", "variable", "group_name", "fleet_name", "year", "run_id", "path", "source_path"]
@@ -758,7 +858,8 @@ def _cells(spark, sf_dir):
 
 @query
 def raster_range(spark, sf_dir):
-    return rasters.raster_range(grids.grid_cells(_parsed_grids(spark, sf_dir), "raster_id"))
+    opened = grids.measured_grids(_grid_folder(spark, sf_dir))
+    return rasters.raster_range(grids.grid_rows(opened, "raster_id").select("raster_id", F.explode("values").alias("value")))
 
 
 @query
@@ -798,36 +899,107 @@ def cells_lonlat(spark, sf_dir):
 
 @query
 def regrid_nearest(spark, sf_dir):
-    lookup = written(crs.regrid_lookup(_grids_ok(spark, sf_dir)), "lookup")
-    out = crs.regrid_nearest(_cells(spark, sf_dir), lookup)
+    lookup = written(crs.lookup_rows(crs.regrid_lookup(_grids_ok(spark, sf_dir))), "lookup")
+    out = crs.regrid_rows(_rows(spark, sf_dir), lookup, "raster_id")
     return out.select("raster_id", "out_row", "out_col", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "value")
 
 
-def _area_cells(spark, sf_dir):
-    return written(areas.area_cells(areas.area_windows(_grids_ok(spark, sf_dir), AREAS)), "area-cells")
+def _rows(spark, sf_dir):
+    """The cells of the test maps, a row at a time."""
+    return grids.array_rows(crs.with_crs(_parsed_grids(spark, sf_dir)).filter(F.col("crs_status") == "ok"), "raster_id", "crs")
+
+
+def _areas(spark):
+    """The test areas as a table; no area is a literal of a plan."""
+    return written(areas.area_table(spark, AREAS), "areas")
+
+
+def _area_rows(spark, sf_dir):
+    return written(areas.area_rows(areas.area_windows(_grids_ok(spark, sf_dir), _areas(spark))), "area-rows")
+
+
+def _masked(spark, sf_dir):
+    return areas.mask_rows(_rows(spark, sf_dir), _area_rows(spark, sf_dir))
 
 
 @query
 def aoi_mask(spark, sf_dir):
-    out = areas.mask(_cells(spark, sf_dir), _area_cells(spark, sf_dir))
-    return out.select("raster_id", "area", "row", "col", "inside", "value")
+    return areas.masked_cells(_masked(spark, sf_dir), "raster_id")
 
 
 @query
 def aoi_crop(spark, sf_dir):
-    out = areas.crop(_cells(spark, sf_dir), _area_cells(spark, sf_dir))
-    return out.select("raster_id", "area", "row", "col", "rows", "cols", "value")
+    out = areas.masked_cells(_masked(spark, sf_dir), "raster_id", "row0", "col0", "rows", "cols")
+    at = {"row": F.col("row") - F.col("row0"), "col": F.col("col") - F.col("col0")}
+    return out.withColumns(at).select("raster_id", "area", "row", "col", "rows", "cols", "value")
 
 
 @query
 def aoi_skipped(spark, sf_dir):
-    masked = areas.mask(_cells(spark, sf_dir), _area_cells(spark, sf_dir))
-    return areas.skipped(_grids_ok(spark, sf_dir).select("raster_id"), masked, [n for n, _ in AREAS])
+    return areas.skipped(_grids_ok(spark, sf_dir).select("raster_id"), _masked(spark, sf_dir), _areas(spark))
 
 
 @query
 def aoi_union(spark, sf_dir):
-    return areas.union(_cells(spark, sf_dir), _area_cells(spark, sf_dir)).select("raster_id", "row", "col", "value")
+    out = areas.union_rows(_rows(spark, sf_dir), _area_rows(spark, sf_dir))
+    cells = out.select("raster_id", "row", F.posexplode(F.arrays_zip("values", "inside")).alias("col", "c"))
+    return cells.filter("c.inside").select("raster_id", "row", "col", F.col("c.values").alias("value"))
+
+
+@query
+def crs_from_wkt(spark, sf_dir):
+    """Systems told by their parameters, and where the south-west corner of each grid lies."""
+    headers = grids.grid_headers(bindings.grid_files(spark, sf_dir).filter(F.col("vec_id") % 2 == 1)).withColumn("crs_wkt", bindings.told_wkt())
+    placed = crs.cells_lonlat(crs.with_crs(headers).withColumns({"x": F.col("xll"), "y": F.col("yll")}))
+    return placed.select("raster_id", "crs_status", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
+
+
+MAP_KEY = ["raster_id", "model", "scenario", "variable", "year"]
+
+
+def _keyed_rows(spark, sf_dir):
+    """The test maps with the keys of models, scenarios and years, a row of cells at a time."""
+    parsed = bindings.with_map_keys(crs.with_crs(_parsed_grids(spark, sf_dir)).filter(F.col("crs_status") == "ok"))
+    return grids.array_rows(parsed, "crs", *MAP_KEY)
+
+
+def _weighed(spark, sf_dir, rows):
+    weights = written(zonal.cell_areas(_grids_ok(spark, sf_dir)), "weights")
+    return zonal.weighted_rows(zonal.with_kinds(rows), weights)
+
+
+def _rounded(df):
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query
+def zonal_summary(spark, sf_dir):
+    masked = areas.mask_rows(_keyed_rows(spark, sf_dir), _area_rows(spark, sf_dir))
+    return _rounded(zonal.zonal_summary(_weighed(spark, sf_dir, masked), MAP_KEY))
+
+
+@query
+def inside_outside(spark, sf_dir):
+    rows = _keyed_rows(spark, sf_dir)
+    whole = _weighed(spark, sf_dir, rows)
+    masked = _weighed(spark, sf_dir, areas.mask_rows(rows, _area_rows(spark, sf_dir)))
+    sides = zonal.inside_outside(whole, masked, MAP_KEY)
+    paired = zonal.paired_sides(sides, "base", ["model", "variable", "year"])
+    percents = {f"{s}_percent": F.round(f"{s}_percent", 2) for s in ("inside", "outside")}  # of baselines as small as 1e-5
+    return _rounded(paired.withColumns(percents))
+
+
+@query
+def map_difference(spark, sf_dir):
+    out = zonal.map_difference(_keyed_rows(spark, sf_dir), "base", ["model", "variable", "year"])
+    cells = out.select("model", "variable", "year", "scenario", "row", F.posexplode(F.arrays_zip("values", "baseline")).alias("col", "c"))
+    return cells.select("model", "variable", "year", "scenario", "row", "col", F.col("c.values").alias("difference"), F.col("c.baseline").alias("baseline"))
+
+
+@query
+def cell_trend(spark, sf_dir):
+    out = zonal.cell_trend(_keyed_rows(spark, sf_dir), ["model", "variable", "scenario"])
+    return _rounded(out.select("model", "variable", "scenario", "row", "col", "years", "slope", "intercept", "r2"))
 
 
 @query

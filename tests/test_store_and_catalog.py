@@ -4,10 +4,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ecolake.functions.naming import name_part, slugify
-from ecolake.operators import catalog, charts, selection, trends
+from ecolake.operators import catalog, charts, effects, selection, trends
 from ecolake.operators.enrich import annotate_names, group_names
 from ecolake.plans import analysis
-from ecolake.plans.ingest import ingest_input, ingest_output
+from ecolake.plans.ingest import ingest_input, ingest_output, rescan_slices
 from ecolake.plans.report import scan_warnings
 from ecolake.schema import CELLS, SCENARIOS, TIDY
 from ecolake.session import shared_folder
@@ -219,9 +219,9 @@ def test_gating(spark):
 
 
 def test_names(spark):
-    df = spark.createDataFrame([(" Baltic  Sea--Ökosystem_ż! ",), ("__",), ("Gulf / Bothnia",), ("Acartia sp.",)], "t string")
-    assert [r[0] for r in df.select(slugify(F.col("t"))).collect()] == ["baltic_sea_ökosystem_ż", "", "gulf_bothnia", "acartia_sp"]
-    assert [r[0] for r in df.select(name_part(F.col("t"))).collect()][1:] == ["x", "Gulf-Bothnia", "Acartia-sp"]
+    df = spark.createDataFrame([("  Fjord__No  7: Ærø? ",), ("--",), ("Reef (inner)",), ("Mysis cf. mixta",)], "t string")
+    assert [r[0] for r in df.select(slugify(F.col("t"))).collect()] == ["fjord__no_7_ærø", "", "reef_inner", "mysis_cf_mixta"]
+    assert [r[0] for r in df.select(name_part(F.col("t"))).collect()][1:] == ["x", "Reef-inner", "Mysis-cf.-mixta"]
 
 
 def test_scratch_is_local_only_in_local_mode(spark):
@@ -258,3 +258,60 @@ def test_a_removed_source_leaves_no_table(spark, tmp_path):
     ingest_output(spark, str(raw), root, "gone")
     store.remove_source(spark, root, "gone")
     assert not list((tmp_path / "store").rglob("source_id=gone"))
+
+
+def test_menus_are_stored_and_renewed_by_slice(spark, tmp_path):
+    raw, root = tmp_path / "raw", str(tmp_path / "store")
+    write(raw / "biomass_annual.csv", head() + BODY)
+    write(raw / "catch_annual.csv", head() + "Data,Catch\n\nyear\\group,1,2,9\n2004,0,0.5,0.25\n")
+    ingest_output(spark, str(raw), root, "one")
+    members = lambda: spark.read.parquet(f"{root}/members/source_id=one")
+    assert rows(catalog.list_dimension(members(), "group", ["biomass", "catch"]), "id") == [(1,), (2,), (3,), (9,)]
+    assert rows(catalog.catalog_of_members(members()), "variable", "n_rows") == rows(spark.read.parquet(f"{root}/catalog/source_id=one"), "variable", "n_rows") == [("biomass", 24), ("catch", 3)]
+    rescan_slices(tidy(spark, root).filter("variable = 'catch' and group_id < 9"), root, "one")
+    assert rows(catalog.list_dimension(members(), "group", ["catch"]), "id") == [(1,), (2,)]
+    assert rows(spark.read.parquet(f"{root}/catalog/source_id=one"), "variable", "n_rows", "n_groups") == [("biomass", 24, 3), ("catch", 2, 2)]
+    assert store.scan_sources(spark, root).count() == 26
+
+
+def test_results_come_in_query_order(spark):
+    """The order a table is shown in, missing values last, whatever the partitions."""
+    keys = selection.QUERY_ORDER
+    data = tidy_rows(spark, [("n", 2004, 2), ("n", 2003, None), ("a", 2004, 1), (None, 2001, 3), ("a", 2004, None), ("n", 2003, 1)])
+    got = [tuple(r[k] for k in keys) for r in selection.in_query_order(data.repartition(5)).collect()]
+    assert len(got) == 6 and got == sorted(got, key=lambda row: [(v is None, v or 0) if not isinstance(v, str) else (False, v) for v in row])
+    assert got[0][keys.index("scenario")] == "a" and got[-1][keys.index("scenario")] is None
+
+
+def tidy_rows(spark, members):
+    made = spark.createDataFrame([(s, y, g, 1.0) for s, y, g in members], "scenario string, year int, group_id int, value double")
+    return store.conform(made, TIDY)
+
+
+SERIES = "model string, scenario string, variable string, year int, group_id int, run_id string, value double"
+
+
+def test_paired_effects(spark):
+    row = lambda s, y, g, v: ("m", s, "b", y, g, None, v)
+    data = spark.createDataFrame([row("base", 1, 1, 2.0), row("a", 1, 1, 3.0), row("a", 2, 1, 5.0), row("base", 3, None, 0.0), row("a", 3, None, 4.0), row("base", 4, 1, 1.0), row("z", 1, 1, -2.0)], SERIES)
+    got = {(r["scenario"], r["year"]): r for r in effects.paired_effect(data, "base").collect()}
+    assert {k: r["status"] for k, r in got.items()} == {
+        ("a", 1): "paired", ("a", 2): "no_baseline", ("a", 3): "paired", ("a", 4): "no_scenario", ("z", 1): "paired", ("z", 3): "no_scenario", ("z", 4): "no_scenario",
+    }
+    assert (got["a", 1]["absolute"], got["a", 1]["percent"]) == (1.0, 50.0) and got["a", 1]["log_ratio"] == pytest.approx(0.405465108)
+    assert got["a", 3]["percent"] is None and got["z", 1]["log_ratio"] is None
+    assert rows(effects.unmatched(effects.paired_effect(data, "base")), "scenario", "status", "keys") == [("a", "no_baseline", 1), ("a", "no_scenario", 1), ("z", "no_scenario", 2)]
+    with pytest.raises(PySparkException, match="two values"):
+        effects.paired_effect(data.union(data), "base").collect()
+
+
+def test_bands_need_an_ensemble(spark):
+    data = spark.createDataFrame([("m", "s", "b", 1, 1, f"r{k}", float(k)) for k in range(5)] + [("m", "s", "b", 2, 1, "r0", 9.0)], SERIES)
+    got = {r["year"]: r for r in effects.quantile_bands(data, [0.0, 0.5, 0.9]).collect()}
+    assert (got[1]["runs"], got[1]["mean"], got[1]["q00"], got[1]["q50"], got[1]["q90"]) == (5, 2.0, 0.0, 2.0, 3.6)
+    assert (got[2]["runs"], got[2]["q50"]) == (1, 9.0)
+    for bad in (data.filter("run_id = 'r0'"), data.withColumn("run_id", F.nullif("run_id", F.lit("r1"))), data.limit(0)):
+        with pytest.raises(ValueError, match="ensemble"):
+            effects.quantile_bands(bad)
+    with pytest.raises(PySparkException, match="two values"):
+        effects.quantile_bands(data.union(data)).collect()
