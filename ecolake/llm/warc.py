@@ -4,7 +4,8 @@ A reading task owns the records that start inside its range. It looks for the gz
 takes a candidate if what it inflates to begins with a WARC header, and then follows members
 from one to the next. Bytes inside a record can look like a record themselves (an archive in
 an archive); such a chain ends off the rails. So each range reports where its chain starts and
-ends, and ranges that do not meet are read again from where the one before them ended.
+ends, and ranges that do not meet are read again from where the one before them ended. Where a
+member is damaged, reading goes on at the next one that is whole, and the bytes between are told.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from ecolake.llm.common import scratch, written
 # --- fixed values -----------------------------------------------------------------------
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
+ANY_VERSION = b"WARC/1."
+DAMAGED = "damaged"  # record type of bytes that were passed over
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 # ----------------------------------------------------------------------------------------
 DATE = "2020-01-01T00:00:00Z"
@@ -156,7 +159,7 @@ class _Window:
 def _begins(window: _Window, offset: int) -> bool:
     """Does a gzip member begin here that holds a WARC header?"""
     try:
-        return zlib.decompressobj(31).decompress(window.piece(offset, PIECE), len(VERSION)) == VERSION
+        return zlib.decompressobj(31).decompress(window.piece(offset, PIECE), len(ANY_VERSION)) == ANY_VERSION
     except zlib.error:
         return False
 
@@ -176,31 +179,42 @@ def _member(window: _Window, offset: int) -> tuple[bytes, int] | None:
     return b"".join(out), at
 
 
-def chain(window: _Window, start: int, end: int, trusted: bool = False) -> Iterator[tuple[int, int, bytes]]:
+def _next_record(window: _Window, at: int) -> int:
+    """Where the next whole record begins, or the end of the file."""
+    while True:
+        at = window.find(at, window.size)
+        if at < 0:
+            return window.size
+        if _begins(window, at) and _member(window, at) is not None:
+            return at
+        at += 1
+
+
+def chain(window: _Window, start: int, end: int, trusted: bool = False) -> Iterator[tuple[int, int, bytes | None]]:
     """(offset, next offset, content) of the records that start in [start, end). ``trusted``:
-    ``start`` is known to be a record's start. Otherwise candidates are tried in turn, and a
-    chain counts only if it reaches the end of the range or of the file."""
+    ``start`` is known to be where a record should be; one that is damaged has null content, and the
+    next whole one follows. Otherwise candidates are tried in turn, and a chain counts only if it
+    reaches the end of the range or of the file."""
     at = start
-    while at < min(end, window.size):
-        if not trusted:
-            at = window.find(at, end)
-            if at < 0:
-                return
-            if not _begins(window, at):
-                at += 1
-                continue
+    while trusted and at < min(end, window.size):
+        got = _member(window, at) if _begins(window, at) else None
+        content, after = got or (None, _next_record(window, at + 1))
+        yield at, after, content
+        at = after
+    while not trusted and at < min(end, window.size):
+        at = window.find(at, end)
+        if at < 0:
+            return
+        if not _begins(window, at):
+            at += 1
+            continue
         held, here = [], at
         while here < min(end, window.size) and _begins(window, here):
             got = _member(window, here)
             if got is None:
                 break
-            if trusted:
-                yield here, got[1], got[0]
-            else:
-                held.append((here, got[1], b""))
+            held.append((here, got[1], b""))
             here = got[1]
-        if trusted:
-            return
         if here >= min(end, window.size):
             yield from held
             return
@@ -259,15 +273,18 @@ def read_archives(archives: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
     """One row per record of ``archives`` (path, bytes): page_id (as text), url, record_type,
     payload_bytes and payload_digest of the full payload, refers_to (as text), payload, path,
     offset. A response's digest and length are taken from its payload, a revisit's from its
-    header. An empty table of archives gives no records."""
+    header; records of other types have neither. Any WARC 1 version is read. Bytes that hold no
+    whole record are a row too, of type ``damaged``, with their number as payload_bytes. An empty
+    table of archives gives no records."""
 
     def read(batches: Iterable[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
         for frame in batches:
             for path, start, end in zip(*(frame.column(k).to_pylist() for k in range(3))):
                 rows, held = [], 0
-                for offset, _, content in chain(_Window(path), start, end, trusted=True):
-                    rows.append((*parse_record(content), path, offset))
-                    held += len(content)
+                for offset, after, content in chain(_Window(path), start, end, trusted=True):
+                    found = parse_record(content) if content is not None else (None, None, DAMAGED, after - offset, None, None, None)
+                    rows.append((*found, path, offset))
+                    held += len(content or b"")
                     if held > 16 << 20:
                         yield _record_batch(rows)
                         rows, held = [], 0
@@ -289,14 +306,17 @@ def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
 def parse_record(content: bytes) -> tuple:
     """page_id, url, type, payload length and digest, refers_to, payload of a record."""
     head, _, rest = content.partition(b"\r\n\r\n")
-    fields = dict(re.findall(r"^([\w-]+): (.*?)\r?$", head.decode("utf-8", "replace"), re.M))
-    block = rest[: int(fields["Content-Length"])]
-    payload = block.partition(b"\r\n\r\n")[2]
-    if fields["WARC-Type"] == "response":
+    fields = {k.lower(): v for k, v in re.findall(r"^([\w-]+):[ \t]*(.*?)\r?$", head.decode("utf-8", "replace"), re.M)}
+    length, kind = fields.get("content-length", ""), fields.get("warc-type", "").lower()
+    block = rest[: int(length)] if length.isdigit() else rest
+    size = digest = payload = None
+    if kind == "response":
+        payload = block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
         size, digest = len(payload), hashlib.sha256(payload).hexdigest()
-    else:
-        size, digest, payload = int(fields["WARC-Payload-Length"]), fields["WARC-Payload-Digest"].partition(":")[2], None
-    return fields.get("WARC-Page-ID"), fields.get("WARC-Target-URI"), fields["WARC-Type"], size, digest, fields.get("WARC-Refers-To-Page-ID"), payload
+    elif kind == "revisit":
+        told = fields.get("warc-payload-length", "")
+        size, digest = int(told) if told.isdigit() else None, fields.get("warc-payload-digest", "").partition(":")[2] or None
+    return fields.get("warc-page-id"), fields.get("warc-target-uri"), kind or None, size, digest, fields.get("warc-refers-to-page-id"), payload
 
 
 def archived_pages(spark: SparkSession, pages: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
