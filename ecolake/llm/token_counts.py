@@ -12,6 +12,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,9 @@ from ecolake.llm.common import extended, written
 # --- fixed values -----------------------------------------------------------------------
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # ----------------------------------------------------------------------------------------
+LONG = 20_000  # characters of one kind in a row that the encoder's own pattern search may not survive
+_PATTERN = regex.compile(PATTERN)
+_LONG = regex.compile(rf"\p{{L}}{{{LONG},}}+|\p{{N}}{{{LONG},}}+|\s{{{LONG},}}+|[^\s\p{{L}}\p{{N}}]{{{LONG},}}+")
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PAGE = 512
 
@@ -36,6 +40,16 @@ def encoding(vocabulary: bytes) -> tiktoken.Encoding:
     return _encodings[key]
 
 
+def token_count(text: str, vocabulary: tiktoken.Encoding) -> int:
+    """Number of tokens of a text, special tokens being ordinary text. The encoder cuts a text by a
+    recursive search, which a very long run of letters, digits, signs or blanks overflows; a text
+    with such a run is cut by the same pattern elsewhere, and its pieces encoded one by one."""
+    if len(text) < LONG or _LONG.search(text) is None:
+        return len(vocabulary.encode_to_numpy(text, disallowed_special=()))
+    clean = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")  # as the encoder does
+    return sum(len(vocabulary._encode_single_piece(m.group())) for m in _PATTERN.finditer(clean))
+
+
 def length_histogram(docs: DataFrame, by: str = "source", vocabulary: str = VOCABULARY) -> DataFrame:
     """(``by``, n_tokens, n_docs): documents of each encoded length. The vocabulary is a file of
     a public tokenizer that the driver reads and sends to the tasks (under a megabyte).
@@ -47,9 +61,9 @@ def length_histogram(docs: DataFrame, by: str = "source", vocabulary: str = VOCA
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(sent.value).encode_to_numpy
+        known = encoding(sent.value)
         for batch in batches:
-            lengths = [len(encode(t, disallowed_special=())) if t else 0 for t in batch.column(1).to_pylist()]
+            lengths = [token_count(t, known) if t else 0 for t in batch.column(1).to_pylist()]
             found = Counter(zip(batch.column(0).to_pylist(), lengths))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in found], batch.column(0).type), pa.array([k[1] for k in found], pa.int64()), pa.array(list(found.values()), pa.int64())],
