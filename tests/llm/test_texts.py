@@ -126,7 +126,8 @@ def test_odd_texts_are_scored(spark):
     assert max(r["predicted"] for r in got if r["doc_id"] == 302) == 1
     assert [r["held_out"] for r in got if r["doc_id"] is None] == [False]
     assert toxicity.toxic_scores(docs.limit(0), labels).count() == 0
-    assert len({r["score"] for r in toxicity.toxic_scores(docs, labels.limit(0)).collect()}) == 1
+    unknown = toxicity.toxic_scores(docs, labels.limit(0)).collect()
+    assert len({r["score"] for r in unknown}) == 1 and not any(r["predicted"] or r["rejected"] for r in unknown)
 
 
 def test_stretches_do_not_change_the_maximum(monkeypatch):
@@ -165,6 +166,26 @@ def test_totals_for_every_limit(spark):
     assert token_counts.suffix_answers(token_counts.length_histogram(docs.limit(0))).count() == 0
 
 
+def test_long_runs_are_counted_as_short_ones_are(monkeypatch):
+    """Texts cut by the pattern elsewhere have the encoder's tokens; runs that overflow it are counted."""
+    import random
+
+    with open(token_counts.VOCABULARY, "rb") as f:
+        known = token_counts.encoding(f.read())
+    rng = random.Random(2)
+    parts = ["a" * 30, "é" * 21, "7" * 25, "%$" * 15, " " * 40, "\n" * 23, " \t\u00a0\u2003" * 9, "it's", " we'll", "\x1c\x85", "𝔘ß", "\u0301", " x", "."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    plain = [token_counts.token_count(t, known) for t in texts]
+    assert plain == [len(known.encode(t, disallowed_special=())) for t in texts]
+    monkeypatch.setattr(token_counts, "LONG", 1)
+    monkeypatch.setattr(token_counts, "_LONG", token_counts.regex.compile("(?s)."))
+    assert [token_counts.token_count(t, known) for t in texts] == plain
+    monkeypatch.undo()
+    one = known._encode_single_piece("a" * 1000)
+    assert token_counts.token_count("a" * 1_000_000, known) == len(known._encode_single_piece("a" * 1_000_000)) > len(one)
+    assert token_counts.token_count("x" + " " * 1_000_000 + "y", known) >= 3
+
+
 # --- HTML -------------------------------------------------------------------------------
 
 PAGE = (

@@ -61,6 +61,33 @@ def test_archive_inside_a_record(spark, tmp_path, split_bytes):
     assert got == [("0", 2), ("1", len(inner)), ("2", 2), ("3", 2)]
 
 
+@pytest.mark.parametrize("split_bytes", [90, 700, 1 << 20])
+def test_archives_of_others(spark, tmp_path, split_bytes):
+    """Records of any type and WARC version; behind a damaged one reading goes on, and it is told."""
+    import zlib
+
+    def member(version, kind, block, *fields):
+        lines = [f"WARC-Type: {kind}", *fields, f"Content-Length: {len(block)}"]
+        return gzip.compress(version + b"\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    records = [member(b"WARC/1.0", "warcinfo", b"software: x\r\n"), member(b"WARC/1.0", "request", b"GET / HTTP/1.1\r\n\r\n"), member(b"WARC/1.1", "response", b"dns answer", "Content-Type: text/dns")]
+    records += [member(b"WARC/1.0", "response", b"HTTP/1.1 200 OK\r\n\r\nbody %d" % k, f"WARC-Target-URI: http://h/{k}") for k in range(40)]
+    broken = bytearray(records[20])
+    broken[25:40] = bytes(15)
+    with pytest.raises(zlib.error):
+        zlib.decompress(bytes(broken), 31)
+    records[20] = bytes(broken)
+    file = tmp_path / "others.warc.gz"
+    file.write_bytes(b"".join(records))
+    archives = spark.createDataFrame([(f"file://{file}", file.stat().st_size)], "path string, bytes long")
+    got = warc.read_archives(archives, split_bytes).collect()
+    assert sorted(r["url"] for r in got if r["url"]) == sorted(f"http://h/{k}" for k in range(40) if k != 17)
+    assert {(r["record_type"], r["payload_bytes"], r["payload_digest"]) for r in got if r["record_type"] in ("warcinfo", "request")} == {("warcinfo", None, None), ("request", None, None)}
+    assert [bytes(r["payload"]) for r in got if r["payload"] == b"dns answer"] == [b"dns answer"]
+    assert [(r["offset"], r["payload_bytes"]) for r in got if r["record_type"] == "damaged"] == [(sum(map(len, records[:20])), len(broken))]
+    assert len(got) == 43
+
+
 # --- pipeline ---------------------------------------------------------------------------
 
 
