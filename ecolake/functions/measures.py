@@ -6,7 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-# --- fixed values -----------------------------------------------------------------------
+# --- fixed values: what counts as a number, and the kinds of output variables -----------
+PREY_WITH_PREDATORS = "prey_with_predators"
+PREDATORS_WITH_PREY = "predators_with_prey"
+FLEETS_WITH_PREY = "fleets_with_prey"
+FLEETS_ONLY = "fleets_only"
+FUNCTIONAL_GROUPS = "functional_groups"
+INDICATORS = "indicators"
 NUMBER = r"(?i)^\s*[-+]?(?:\d+\.?\d*(?:e[-+]?\d+)?|\.\d+(?:e[-+]?\d+)?|inf|infinity)\s*$"
 # ----------------------------------------------------------------------------------------
 
@@ -30,11 +36,11 @@ def category(variable: Column, domain: Column, groups: Column, fleets: Column, p
     """Kind of output variable, from its name and the number of members per dimension."""
     return (
         F.when(domain != "output", F.lit(None))
-        .when(variable == "predation", "prey_with_predators")
-        .when(variable == "prey", "predators_with_prey")
-        .when((fleets > 0) & (groups > 0), "fleets_with_prey")
-        .when(fleets > 0, "fleets_only")
-        .when(partners > 0, "predators_with_prey")
-        .when(groups > 0, "functional_groups")
-        .otherwise("indicators")
+        .when(variable == "predation", PREY_WITH_PREDATORS)
+        .when(variable == "prey", PREDATORS_WITH_PREY)
+        .when((fleets > 0) & (groups > 0), FLEETS_WITH_PREY)
+        .when(fleets > 0, FLEETS_ONLY)
+        .when(partners > 0, PREDATORS_WITH_PREY)
+        .when(groups > 0, FUNCTIONAL_GROUPS)
+        .otherwise(INDICATORS)
     )

@@ -338,6 +338,14 @@ def with_map_keys(grids: DataFrame) -> DataFrame:
     })
 
 
+def large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few and long wide files: a line per order, a column per line number; one file per state."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_linestatus", "l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("value"))
+    lines = _wide_lines(rows, ["l_linestatus"], F.col("l_orderkey"), "l_linenumber", "timestep\\group")
+    keyed = lines.select(F.concat(F.lit("Model "), "l_linestatus").alias("model_name"), F.lit("all").alias("scenario"), "order", "line", "header")
+    return _files(_text(keyed, _RUN, "Biomass"), F.col("model_name"), "biomass_monthly.csv")
+
+
 def ragged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide biomass files whose lines are as long as they like: of even years they end behind the
     fourth group, of odd years they go on behind the last column."""

@@ -577,3 +577,6 @@ ORACLE["map_difference"] = f"""{_KEYED_CELLS} SELECT s.model, s.variable, s.year
 FROM v s JOIN v b ON s.model = b.model AND s.variable = b.variable AND s.year = b.year AND s.row = b.row AND s.col = b.col AND b.scenario = 'base' WHERE s.scenario <> 'base'"""
 ORACLE["cell_trend"] = f"""{_KEYED_CELLS} SELECT model, variable, scenario, row, col, count(*) AS years, round(regr_slope(value, year), 6) AS slope, round(regr_intercept(value, year), 6) AS intercept,
  round(regr_r2(value, year), 6) AS r2 FROM v WHERE value IS NOT NULL GROUP BY ALL"""
+
+ORACLE["read_grid_files"] = ORACLE["read_grid_ranges"] = ORACLE["read_grid_cells"]
+ORACLE["raster_range_files"] = ORACLE["raster_range"]

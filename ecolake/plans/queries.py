@@ -122,7 +122,19 @@ def _grid_folder(spark, sf_dir) -> DataFrame:
 
 @query
 def read_grid_cells(spark, sf_dir):
-    """Grids read from files by ranges of 150 bytes."""
+    return grids.grid_cells(grids.read_grids(bindings.grid_files(spark, sf_dir)), "raster_id")
+
+
+@query
+def read_grid_files(spark, sf_dir):
+    """The same from files, dealt to tasks by their bytes."""
+    opened = grids.measured_grids(_grid_folder(spark, sf_dir))
+    return grids.row_cells(grids.grid_rows(opened, "raster_id"), "raster_id")
+
+
+@query
+def read_grid_ranges(spark, sf_dir):
+    """The same from files cut into ranges of 150 bytes: no grid is in one range."""
     opened = grids.measured_grids(_grid_folder(spark, sf_dir), split_bytes=150)
     return grids.row_cells(grids.grid_rows(opened, "raster_id"), "raster_id")
 
@@ -858,7 +870,12 @@ def _cells(spark, sf_dir):
 
 @query
 def raster_range(spark, sf_dir):
-    opened = grids.measured_grids(_grid_folder(spark, sf_dir))
+    return rasters.raster_range(grids.grid_cells(_parsed_grids(spark, sf_dir), "raster_id"))
+
+
+@query
+def raster_range_files(spark, sf_dir):
+    opened = grids.measured_grids(_grid_folder(spark, sf_dir), split_bytes=150)
     return rasters.raster_range(grids.grid_rows(opened, "raster_id").select("raster_id", F.explode("values").alias("value")))
 
 

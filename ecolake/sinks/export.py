@@ -18,7 +18,6 @@ from ecolake.sources.files import open_path
 # --- fixed values -----------------------------------------------------------------------
 FULL_AREA = "full-area"
 NUMBER_FORMAT = "%.15g"
-KEY_PARTS = 16
 # ----------------------------------------------------------------------------------------
 
 
@@ -86,9 +85,11 @@ def ascii_grids(grids: DataFrame, windows: DataFrame | None = None) -> DataFrame
             "cols": F.col("ncols"), "inside": F.lit(None).cast("array<boolean>"),
         })
     else:
-        # all maps of a model share one grid, so the key is split and the few windows are repeated
-        dealt = windows.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(KEY_PARTS - 1))))
-        part = F.pmod(F.xxhash64("raster_id"), F.lit(KEY_PARTS)).cast("int")
+        # all maps of a model share one grid, so the key is split as often as there are tasks, and
+        # the few windows are repeated
+        parts = int(grids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = windows.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        part = F.pmod(F.xxhash64("raster_id"), F.lit(parts)).cast("int")
         full = grids.withColumn("_part", part).join(dealt, ["geometry", "crs", "_part"]).drop("_part")
     stem = _stem(full)
     text = _grid_text(*[F.col(c) for c in (
