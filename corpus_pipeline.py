@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns the
 columns of ``documents``; the last adds shard and slot. Rows with null columns, empty and very
 long texts, ties and repeated rows pass like others, an empty table gives an empty table, and
-further columns of ``docs`` stay unless they bear the name of one that a stage adds.
+further columns of ``docs`` stay unless they bear the name of one that a stage adds: shard and slot
+at the end, and in between names that begin with two underscores, which are taken.
 
 A stage's scratch tables lie in a folder of their own in the shared folder and are deleted when
 the next stage begins: by then its result must have been written, as ``run`` does.
@@ -11,6 +12,7 @@ the next stage begins: by then its result must have been written, as ``run`` doe
 
 from __future__ import annotations
 
+import contextvars
 import functools
 import uuid
 from collections.abc import Callable
@@ -26,23 +28,23 @@ SHARDS = 40
 WIDTH = 5  # words of a shingle
 
 
-_scratch: str | None = None
+# of the stage before, in this run: runs in other threads of the driver have their own
+_scratch: contextvars.ContextVar[str | None] = contextvars.ContextVar("stage", default=None)
 
 
 def _clear(spark: SparkSession) -> None:
-    global _scratch
-    if _scratch is not None:
-        delete_path(spark, _scratch)
-        _scratch = None
+    if (before := _scratch.get()) is not None:
+        delete_path(spark, before)
+        _scratch.set(None)
 
 
 def _stage(fn: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     @functools.wraps(fn)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        global _scratch
         _clear(spark)
-        _scratch = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex[:12]}"
-        with scratch_in(_scratch):
+        folder = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex[:12]}"
+        _scratch.set(folder)
+        with scratch_in(folder):
             return fn(spark, docs, sf_dir)
 
     return run_stage
