@@ -6,6 +6,7 @@ the same way; the operators themselves return real arrays and structs.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -16,7 +17,7 @@ from ecolake.functions import measures, naming, periods
 from ecolake.operators import areas, catalog, charts, crs, effects, enrich, rasters, selection, trends, zonal
 from ecolake.plans import analysis, bindings, ingest, report
 from ecolake.schema import CELLS, RASTER_INDEX, SCENARIOS, TIDY
-from ecolake.session import scratch, written
+from ecolake.session import delete_path, scratch, scratch_in, written
 from ecolake.sinks import export, store
 from ecolake.sources import files as raw_files
 from ecolake.sources import grids, identify, model_csv
@@ -26,8 +27,21 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    """Register a query. What it writes to scratch lies in a folder of its own, which its result
+    reads; a later call of the same query in the session deletes the folder of the one before."""
+    before: dict[str, str] = {}
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        session = spark.sparkContext.applicationId
+        if session in before:
+            delete_path(spark, before.pop(session))
+        before[session] = scratch(spark, f"query-{fn.__name__}")
+        with scratch_in(before[session]):
+            return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def _text(items: Column) -> Column:
