@@ -129,16 +129,7 @@ def bucket_edges(rows: DataFrame, codes: list[str], near: Callable[[np.ndarray,
     that many, every two parts meet in a task of their own, and no task holds more than two
     parts. Only a spanning forest of what is near leaves a task: fewer links than rows.
     """
-    large = rows.groupBy("bucket").count().filter(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).cast("int").alias("parts"))
-    large = few_files(large, "buckets")
-    rows = rows.join(large, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = rows.select("bucket", "id", *codes, part.alias("part"), other.alias("other")).select(
-        "bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "id", *codes
-    )
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    dealt = in_parts(rows, codes, block)
 
     def stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, ids, cols in whole_groups(batches, ["bucket", "lo", "hi"], "id", codes):
@@ -159,9 +150,30 @@ def bucket_edges(rows: DataFrame, codes: list[str], near: Callable[[np.ndarray,
     return dealt.mapInArrow(stars, "a long, b long")
 
 
+def in_parts(rows: DataFrame, columns: list[str], block: int) -> DataFrame:
+    """``rows`` (bucket, id and ``columns``) with ``lo`` and ``hi``, dealt to tasks and sorted by
+    (bucket, lo, hi): a bucket of more than ``block`` rows is parted, and every two parts meet."""
+    large = rows.groupBy("bucket").count().filter(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).cast("int").alias("parts"))
+    large = few_files(large, "buckets")
+    rows = rows.join(large, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = rows.select("bucket", "id", *columns, part.alias("part"), other.alias("other")).select(
+        "bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "id", *columns
+    )
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+
+
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], id_name: str, codes: list[str], rows: int = 100_000):
     """Rows sorted by ``keys`` as (group numbers, ids, codes): as many whole groups at once as
     come to about ``rows`` rows."""
+    for group, table in whole_tables(batches, keys, rows):
+        yield group, table.column(id_name).to_numpy(), np.stack([table.column(c).to_numpy() for c in codes], axis=1)
+
+
+def whole_tables(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """Rows sorted by ``keys`` as (group numbers, table), whole groups of about ``rows`` rows."""
     held: list[pa.RecordBatch] = []
     count = 0
     for batch in itertools.chain(batches, [None]):
@@ -180,10 +192,9 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], id_name: st
         starts = np.flatnonzero(at)
         end = len(table) if batch is None else (int(starts[-1]) if len(starts) else 0)
         if end:
-            group = np.cumsum(at)[:end]
-            yield group, table.column(id_name).to_numpy()[:end], np.stack([table.column(c).to_numpy()[:end] for c in codes], axis=1)
+            yield np.cumsum(at)[:end], table.slice(0, end)
         held = table.slice(end).to_batches() if end < len(table) else []
         count = len(table) - end
 
 
-__all__ = ["bucket_edges", "components", "drop_written", "few_files", "local_labels", "mixed", "numbered", "scratch", "task_number", "utf8", "whole_groups", "words", "written"]
+__all__ = ["bucket_edges", "components", "drop_written", "few_files", "in_parts", "local_labels", "mixed", "numbered", "scratch", "task_number", "utf8", "whole_groups", "whole_tables", "words", "written"]

@@ -19,7 +19,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ecolake.llm.common import bucket_edges, components, drop_written, extended, mixed, utf8, words, written
+from ecolake.llm.common import (
+    bucket_edges,
+    components,
+    drop_written,
+    extended,
+    in_parts,
+    mixed,
+    utf8,
+    whole_groups,
+    whole_tables,
+    words,
+    written,
+)
 from ecolake.llm.decontamination import needed, shingle_hashes
 
 BLOCKS = (13, 13, 13, 13, 12)  # bits of the fingerprint, from the lowest
@@ -138,8 +150,8 @@ def simhash_classes(docs: DataFrame, width: int = 3) -> DataFrame:
 WORDS_LONG = 4  # 64-bit words of a long fingerprint
 TABLES_LONG = [(i, (i + 1) % 32) for i in range(32)] + [(i, (i + 7) % 32) for i in range(32)]  # pairs of bytes
 NEAR_LONG = 58  # of 256 bits; texts that share 0.8 of their shingles differ in 36 on average
-PART = 256  # texts of a group that are compared in one task
-PARITY_WORDS = 16  # 64-bit words of a set's parities
+PART = 256  # partners of a text that are compared with it in one task
+BLOCK = 2048  # rows of a bucket that meet in one task
 SLOTS = 1 << 20  # counters of common shingles
 
 
@@ -218,36 +230,55 @@ def _plane_pairs(codes: np.ndarray, group: np.ndarray, radius: int, cells: int =
         done = upto
 
 
-def parities(hashes: np.ndarray, n_words: int = PARITY_WORDS) -> np.ndarray:
-    """Bits, as signed longs, that tell whether an odd number of the set's hashes falls on each.
+def parities(hashes: np.ndarray, n_words: int | None = None) -> np.ndarray:
+    """Bits, as signed longs, that tell whether an odd number of the set's hashes falls on each: a
+    power of two of them, at least as many as the set has members if ``n_words`` is not given.
     Two sets differ in at least as many members as their parities in bits."""
-    bits = 64 * n_words
+    bits = 64 * n_words if n_words else max(64, 1 << (len(hashes) - 1).bit_length() if len(hashes) else 64)
     count = np.bincount((hashes >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits)
     return np.packbits((count & 1).astype(np.uint8), bitorder="little").view("<i8")
 
 
-def may_be_similar(size: np.ndarray, odd: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+def halved(odd: np.ndarray) -> np.ndarray:
+    """The parities in half as many bits, row by row: two neighbours fall on one."""
+    bits = np.unpackbits(np.ascontiguousarray(odd).view(np.uint8), axis=1, bitorder="little")
+    return np.packbits(bits[:, ::2] ^ bits[:, 1::2], axis=1, bitorder="little").view(np.uint64)
+
+
+def may_be_similar(size: np.ndarray, odd: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float, row: np.ndarray | None = None) -> np.ndarray:
     """Those of the pairs (i, j), as places in them, whose sizes and parities allow the similarity:
     sets with a Jaccard similarity of s differ in at most (1-s)/(1+s) of their added sizes. No
-    similar pair is lost."""
+    similar pair is lost. ``row``: where in ``odd`` a set's parities are, if not at its index."""
     small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
     left = np.flatnonzero((small >= similarity * large - 1e-9) & (small > 0))
     most = (small + large)[left] * ((1 - similarity) / (1 + similarity)) + 1e-6
     apart = np.zeros(len(left), np.int64)
+    x, y = (i, j) if row is None else (row[i], row[j])
     for k in range(odd.shape[1]):
-        apart += np.bitwise_count(odd[i[left], k] ^ odd[j[left], k])
+        apart += np.bitwise_count(odd[x[left], k] ^ odd[y[left], k])
         if k % 4 == 3:
             near = apart <= most
             left, most, apart = left[near], most[near], apart[near]
+            if not len(left):
+                return left
     return left[apart <= most]
 
 
-def near_sets(codes: np.ndarray, group: np.ndarray, similarity: float, cells: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i < j, same group) of sets that may be similar; ``codes``: size, parities."""
-    size, odd, n = codes[:, 0], np.ascontiguousarray(codes[:, 1:]).view(np.uint64), len(codes)
+def set_pairs(size: np.ndarray, component: np.ndarray, odd: list[bytes], group: np.ndarray, similarity: float, cells: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) of one group and of two components whose sizes and parities allow the
+    similarity. Parities of two lengths are compared in the shorter one."""
+    n, words = len(size), np.array([len(x) // 8 for x in odd])
+    tables = {}
+    for w in np.unique(words):  # rows of ``w`` words, and those of twice as many, halved
+        own, longer = np.flatnonzero(words == w), np.flatnonzero(words == 2 * w)
+        rows = [np.frombuffer(b"".join(odd[k] for k in own), np.uint64).reshape(-1, w)]
+        if len(longer):
+            rows.append(halved(np.frombuffer(b"".join(odd[k] for k in longer), np.uint64).reshape(-1, 2 * w)))
+        at = np.full(n, -1)
+        at[own], at[longer] = np.arange(len(own)), len(own) + np.arange(len(longer))
+        tables[int(w)] = np.concatenate(rows), at
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    ends = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n]))
-    after = ends - np.arange(n) - 1
+    after = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n])) - np.arange(n) - 1
     sums = np.cumsum(after)
     done = 0
     while done < n:
@@ -255,9 +286,15 @@ def near_sets(codes: np.ndarray, group: np.ndarray, similarity: float, cells: in
         upto = max(done + 1, int(np.searchsorted(sums, before + cells, "right")))
         i = np.repeat(np.arange(done, upto), after[done:upto])
         j = i + 1 + np.arange(len(i)) - np.repeat(sums[done:upto] - after[done:upto] - before, after[done:upto])
-        left = may_be_similar(size, odd, i, j, similarity)
-        if len(left):
-            yield i[left], j[left]
+        left = (component[i] != component[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+        i, j = i[left], j[left]
+        least = np.minimum(words[i], words[j])
+        for w in np.unique(least):
+            rows, at = tables[int(w)]
+            a, b = i[least == w], j[least == w]
+            near = may_be_similar(size, rows, a, b, similarity, at)
+            if len(near):
+                yield a[near], b[near]
         done = upto
 
 
@@ -286,82 +323,148 @@ def near_copy_classes(rows: DataFrame, width: int = 5, similarity: float = 0.8)
     its group. Texts are linked whose sets of ``width``-word shingles have a Jaccard similarity
     of ``similarity`` or more; texts of equal words (none too) are one class before.
 
-    Long fingerprints are filed in tables keyed by 16 of their bits, and those that meet in a
-    table within ``NEAR_LONG`` bits become candidates. What they miss is found by an equi-join:
-    of n shingles at most floor(0.2 n) are not in a similar text, so of the first
-    floor(0.2 n) + 1 in one order of all shingles two similar texts share one. The order is by
-    counted slots of hashes, the rare first; any order would do for the result. Texts that share
-    such a shingle and may be similar by size and parities are candidates too. The texts of
-    connected candidates meet once, ``PART`` by ``PART``, to have their shingles compared, so no
-    pair is lost and none is linked below the similarity.
+    1. Long fingerprints are filed in tables keyed by 16 of their bits. Of those that meet within
+       ``NEAR_LONG`` bits, each text is compared with the nearest one before it, and then the
+       nearest pair of every two groups. This links nearly all there is, at two texts a link.
+    2. What is left is found by an equi-join: of n shingles at most floor(0.2 n) are not in a
+       similar text, so of the first floor(0.2 n) + 1 in one order of all shingles two similar
+       texts share one. The order is by counted slots of hashes, the rare first; any order would
+       do for the result. Where such a shingle is only in one group nothing is left to find, and
+       of shingles that the same texts share one is enough. Pairs of different groups that meet
+       are held against their sizes and parities, whose number grows with the text, and only
+       pairs that pass send their texts.
+
+    Every link is a comparison of the shingles of two texts, so no pair is lost and none is linked
+    below the similarity.
     """
     names = [f"c{k}" for k in range(WORDS_LONG)]
-    odd = [f"p{k}" for k in range(PARITY_WORDS)]
-    columns = ["row_id", "d0", "d1", "n", *names, *odd]
+    columns = ["row_id", "d0", "d1", "n", *names, "odd"]
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, counts = _WordHashes(), np.zeros(SLOTS, np.int64)
         for batch in batches:
-            digests, codes = [], []
+            digests, codes, odd = [], [], []
             for t in utf8(batch.column(1)):
                 tokens = words(t)
                 digests.append(xxhash.xxh3_128_digest(b" ".join(tokens)))
                 shingles = np.unique(text_shingles(tokens, width, seen))
                 np.add.at(counts, _slots(shingles), 1)
-                codes.append(np.r_[len(shingles), long_fingerprint(shingles), parities(shingles)])
-            d, c = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2), np.array(codes, np.int64).reshape(-1, 1 + WORDS_LONG + PARITY_WORDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in (*d.T.copy(), *c.T.copy()))], names=columns)
+                codes.append(np.r_[len(shingles), long_fingerprint(shingles)])
+                odd.append(parities(shingles).tobytes())
+            d, c = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2), np.array(codes, np.int64).reshape(-1, 1 + WORDS_LONG)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in (*d.T.copy(), *c.T.copy())), pa.array(odd, pa.binary())], names=columns)
         common = np.flatnonzero(counts > max(8.0, 4 * counts.mean()))  # rows without a row_id: slot and count
-        none = pa.nulls(len(common), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.array(common), pa.array(counts[common]), *[none] * (len(columns) - 3)], names=columns)
+        none = [pa.nulls(len(common), pa.int64())] * (len(columns) - 4)
+        yield pa.RecordBatch.from_arrays([none[0], pa.array(common), pa.array(counts[common]), *none, pa.nulls(len(common), pa.binary())], names=columns)
 
-    coded = written(rows.select("row_id", "text").mapInArrow(encode, ", ".join(f"{c} long" for c in columns)), "fingerprints")
+    coded = written(rows.select("row_id", "text").mapInArrow(encode, ", ".join(f"{c} long" for c in columns[:-1]) + ", odd binary"), "fingerprints")
     common = coded.filter("row_id is null").groupBy("d0").agg(F.sum("d1").alias("count")).toArrow()
     level = np.zeros(SLOTS, np.uint8)
     level[common.column("d0").to_numpy()] = np.log2(common.column("count").to_numpy()) + 1
     coded = coded.filter("row_id is not null")
-    codes = [F.min(c).alias(c) for c in ("n", *names, *odd)]
-    classes = written(coded.groupBy("d0", "d1").agg(F.min("row_id").alias("id"), *codes), "classes")
-
-    byte = lambda i: F.shiftrightunsigned(names[i // 8], 8 * (i % 8)).bitwiseAND(F.lit(255))
-    keys = [F.lit(t << 16).cast("long") + F.shiftleft(byte(i), 8) + byte(j) for t, (i, j) in enumerate(TABLES_LONG)]
-    tabled = classes.select(F.explode(F.array(*keys)).alias("bucket"), "id", *names)
-    first = written(bucket_edges(tabled, names, lambda c, g: near_planes(c, g, NEAR_LONG)), "candidates")
-    shared = _shared_rare(rows, classes.select("id"), width, similarity, level).join(classes.select("id", "n", *odd), "id")
-    rest = written(bucket_edges(shared, ["n", *odd], lambda c, g: near_sets(c, g, similarity)), "candidates")
-    meet = components(first.union(rest))
-    sizes = meet.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    placed = written(meet.join(sizes, "component"), "meetings")
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    dealt = placed.select("component", F.col("node").alias("id"), part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select(F.col("component").alias("meet"), F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id")
-    dealt = dealt.join(rows.select("row_id", "text"), F.col("id") == F.col("row_id")).select("meet", "lo", "hi", "part", "id", "text")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "meet", "lo", "hi").sortWithinPartitions("meet", "lo", "hi")
-
-    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _WordHashes()
-        for key, group in itertools.groupby(_streamed(batches), key=lambda r: r[:3]):
-            ids, parts, sets = [], [], []
-            for *_, p, i, text in group:
-                ids.append(i), parts.append(p), sets.append(np.unique(text_shingles(words((text or "").encode()), width, seen)))
-            label = _similar(sets, np.array(parts), key[1] != key[2], similarity)
-            linked = [k for k, r in enumerate(label) if r != k]
-            if linked:
-                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in linked], pa.int64()), pa.array([ids[label[k]] for k in linked], pa.int64())], names=["a", "b"])
-
-    linked = components(written(dealt.mapInArrow(verify, "a long, b long"), "links"))
-    ordered = coded.join(classes.select("d0", "d1", "id"), ["d0", "d1"]).join(linked, F.col("id") == F.col("node"), "left")
+    firsts = written(coded.groupBy("d0", "d1").agg(F.min("row_id").alias("id")), "firsts")
+    classes = written(coded.select(F.col("row_id").alias("id"), *columns[3:]).join(firsts.select("id"), "id", "left_semi"), "classes")
+    texts = rows.select(F.col("row_id").alias("id"), "text")
+
+    near = written(_near_fingerprints(classes, names), "candidates")
+    nearest = near.groupBy("b").agg(F.min(F.struct("apart", "a"))["a"].alias("a")).select("a", "b")
+    nearest = written(nearest, "nearest")
+    links = written(_similar(nearest, texts, width, similarity), "links")
+    apart = _across(near, components(links))
+    second = apart.groupBy(F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")).agg(F.min(F.struct("apart", "a", "b")).alias("p"))
+    second = written(second.select("p.a", "p.b"), "nearest")
+    links = links.union(written(_similar(second, texts, width, similarity), "links"))
+    drop_written(near)
+
+    groups = written(components(links), "groups")
+    shared = _shared_rare(texts, classes, groups, width, similarity, level)
+    pairs = _set_pairs(shared.join(classes.select("id", "n", "odd"), "id"), similarity).distinct()
+    pairs = written(pairs.join(nearest.union(second), ["a", "b"], "left_anti"), "pairs")
+    drop_written(shared)
+    links = links.union(written(_similar(pairs, texts, width, similarity), "links"))
+
+    linked = components(links)
+    ordered = coded.select("row_id", "d0", "d1").join(firsts, ["d0", "d1"]).join(linked, F.col("id") == F.col("node"), "left")
     ordered = ordered.select("row_id", F.coalesce("component", "id").alias("component"))
     ordered = written(ordered.join(rows.select("row_id", "doc_id"), "row_id"), "members")
     lowest = ordered.groupBy("component").agg(F.min("doc_id").alias("first"))
     return ordered.join(lowest, "component").select("row_id", "first")
 
 
-def _shared_rare(rows: DataFrame, classes: DataFrame, width: int, similarity: float, level: np.ndarray) -> DataFrame:
-    """(bucket, id): the rarest shingles of each text of ``classes``, as many as a similar text
-    must share one of, where another text has it among its own. ``level`` orders the slots."""
-    levels = rows.sparkSession.sparkContext.broadcast(level)
+def _near_fingerprints(classes: DataFrame, names: list[str]) -> DataFrame:
+    """(a, b, apart): in each table's buckets, every text with the nearest one before it."""
+    byte = lambda i: F.shiftrightunsigned(names[i // 8], 8 * (i % 8)).bitwiseAND(F.lit(255))
+    keys = [F.lit(t << 16).cast("long") + F.shiftleft(byte(i), 8) + byte(j) for t, (i, j) in enumerate(TABLES_LONG)]
+    dealt = in_parts(classes.select(F.explode(F.array(*keys)).alias("bucket"), "id", *names), names, 8192)
+
+    def nearest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, ids, codes in whole_groups(batches, ["bucket", "lo", "hi"], "id", names):
+            order = np.lexsort((ids, group))
+            group, ids, codes = group[order], ids[order], codes[order]
+            best = np.full(len(ids), np.iinfo(np.int64).max)
+            for i, j in near_planes(codes, group, NEAR_LONG):
+                apart = np.bitwise_count((codes[i] ^ codes[j]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                np.minimum.at(best, j, (apart << 40) + i)
+            b = np.flatnonzero(best != np.iinfo(np.int64).max)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best[b] & ((1 << 40) - 1)]), pa.array(ids[b]), pa.array(best[b] >> 40)], names=["a", "b", "apart"])
+
+    return dealt.mapInArrow(nearest, "a long, b long, apart long").distinct()
+
+
+def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) whose ends are in different groups (node, component), with these as ca, cb."""
+    for end in ("a", "b"):
+        named = groups.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        pairs = pairs.join(named, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    return pairs.filter("ca != cb")
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the distinct ``pairs`` (a, b) whose texts are similar. A text meets its partners
+    ``PART`` at a time, and a task holds the shingles of two texts."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("id"))
+    dealt = written(dealt.union(dealt.select("a", "part", F.col("a").alias("id")).distinct()), "meetings")
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = dealt.join(texts, "id").select("a", "part", (F.col("id") != F.col("a")).alias("partner"), "id", "text")
+    met = met.repartition(n, "a", "part").sortWithinPartitions("a", "part", "partner")
+
+    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, key, own, found = _WordHashes(), None, np.zeros(0, np.uint64), []
+        for a, part, partner, b, text in _streamed(batches):
+            shingles = np.unique(text_shingles(words((text or "").encode()), width, seen))
+            if not partner:
+                key, own = (a, part), shingles
+            elif key == (a, part):
+                common = len(own) + len(shingles) - len(np.union1d(own, shingles))
+                if common >= similarity * (len(own) + len(shingles) - common) - 1e-9:
+                    found.append((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    return met.mapInArrow(verify, "a long, b long")
+
+
+def _set_pairs(shared: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs that meet in a bucket of ``shared`` (bucket, id, component, n, odd), come from
+    two components and may be similar by size and parities."""
+    dealt = in_parts(shared, ["component", "n", "odd"], BLOCK)
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, table in whole_tables(batches, ["bucket", "lo", "hi"], 20_000):
+            order = np.lexsort((table.column("id").to_numpy(), group))
+            ids, component, size = (table.column(c).to_numpy()[order] for c in ("id", "component", "n"))
+            odd = table.column("odd").to_pylist()
+            for i, j in set_pairs(size, component, [odd[k] for k in order], group[order], similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
+
+    return dealt.mapInArrow(meet, "a long, b long")
+
+
+def _shared_rare(texts: DataFrame, classes: DataFrame, groups: DataFrame, width: int, similarity: float, level: np.ndarray) -> DataFrame:
+    """(bucket, id, component): the rarest shingles of each text of ``classes``, as many as a
+    similar text must share one of, where texts of two ``groups`` have it. Of buckets with the
+    same members one is kept. ``level`` orders the slots."""
+    levels = texts.sparkSession.sparkContext.broadcast(level)
 
     def rarest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, rank = _WordHashes(), levels.value
@@ -376,9 +479,12 @@ def _shared_rare(rows: DataFrame, classes: DataFrame, width: int, similarity: fl
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "keys"])
 
-    found = rows.select("row_id", "text").mapInArrow(rarest, "id long, keys array<long>").join(classes, "id", "left_semi")
-    filed = written(found.select(F.explode("keys").alias("bucket"), "id"), "filed")
-    several = filed.groupBy("bucket").count().filter("count > 1").select("bucket")
+    found = texts.mapInArrow(rarest, "id long, keys array<long>").join(classes.select("id"), "id", "left_semi")
+    found = found.join(groups, F.col("id") == F.col("node"), "left").select("id", "keys", F.coalesce("component", "id").alias("component"))
+    filed = written(found.select(F.explode("keys").alias("bucket"), "id", "component"), "filed")
+    member = [F.bit_xor(F.xxhash64("id")), F.sum(F.xxhash64(F.lit(1), "id").bitwiseAND(F.lit((1 << 32) - 1)))]
+    buckets = filed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows"), *[m.alias(f"m{k}") for k, m in enumerate(member)])
+    several = buckets.filter("lo != hi").groupBy("rows", "m0", "m1").agg(F.min("bucket").alias("bucket")).select("bucket")
     shared = written(filed.join(several, "bucket", "left_semi"), "shared")
     drop_written(filed)
     return shared
@@ -387,37 +493,3 @@ def _shared_rare(rows: DataFrame, classes: DataFrame, width: int, similarity: fl
 def _streamed(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         yield from zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)))
-
-
-def _similar(sets: list[np.ndarray], parts: np.ndarray, across: bool, similarity: float) -> list[int]:
-    """Smallest linked index of each set. Pairs of nearest fingerprints come first and pairs that
-    are connected already are passed over. ``across``: pairs inside a part meet elsewhere."""
-    n = len(sets)
-    label = list(range(n))
-    if n < 2:
-        return label
-
-    def root(k: int) -> int:
-        while label[k] != k:
-            label[k] = label[label[k]]
-            k = label[k]
-        return k
-
-    size = np.array([len(s) for s in sets])
-    codes = np.stack([long_fingerprint(s) for s in sets]).view(np.uint64)
-    i, j = np.triu_indices(n, 1)
-    if across:
-        i, j = i[parts[i] != parts[j]], j[parts[i] != parts[j]]
-    n_words = min(256, max(PARITY_WORDS, 1 << (int(size.max()) // 16).bit_length()))
-    maybe = may_be_similar(size, np.stack([parities(s, n_words) for s in sets]).view(np.uint64), i, j, similarity)
-    i, j = i[maybe], j[maybe]
-    apart = sum(np.bitwise_count(codes[i, k] ^ codes[j, k]).astype(np.int64) for k in range(WORDS_LONG))
-    for p in np.argsort(apart, kind="stable"):
-        a, b = root(int(i[p])), root(int(j[p]))
-        if a == b:
-            continue
-        x, y = sets[i[p]], sets[j[p]]
-        common = np.isin(x, y, assume_unique=True).sum() if len(x) * 16 < len(y) else len(x) + len(y) - len(np.union1d(x, y))
-        if common >= similarity * (len(x) + len(y) - common) - 1e-9:
-            label[max(a, b)] = min(a, b)
-    return [root(k) for k in range(n)]

@@ -190,3 +190,21 @@ def test_items_without_a_shingle_are_told(spark):
     items = spark.createDataFrame(rows, "item_id long, text string")
     assert sorted(((r["item_id"] or 0), r["text"]) for r in decontamination.unsearched_items(items).collect() if r["text"]) == [(0, "a-b"), (1, "one two three four")]
     assert decontamination.unsearched_items(items).count() == 4
+
+
+def test_long_texts_that_share_a_line_are_told_apart():
+    """Three thousand sets of five thousand shingles with a line in common: sizes and parities, which
+    grow with the sets, leave the similar pairs alone, also where parities of two lengths meet."""
+    rng = np.random.default_rng(3)
+    line = rng.integers(0, 2**64, 12, np.uint64)
+    sets = [np.r_[line, rng.integers(0, 2**64, 5_000, np.uint64)] for _ in range(3_000)]
+    sets[7] = np.r_[sets[5][:4_600], rng.integers(0, 2**64, 400, np.uint64)]
+    base = rng.integers(0, 2**64, 4_200, np.uint64)
+    sets[20], sets[21] = base, base[:4_000]  # 8,192 and 4,096 bits
+    odd = [simhash.parities(s).tobytes() for s in sets]
+    assert {len(odd[20]), len(odd[21])} == {1024, 512}
+    assert np.array_equal(simhash.halved(np.frombuffer(odd[20], np.uint64)[None])[0], simhash.parities(sets[20], 64).view(np.uint64))
+    size, component = np.array([len(s) for s in sets]), np.arange(len(sets))
+    met = lambda c: {(int(i), int(j)) for a, b in simhash.set_pairs(size, c, odd, np.zeros(len(sets), int), 0.8) for i, j in zip(a, b)}
+    assert met(component) == {(5, 7), (20, 21)}
+    assert met(np.where(component == 7, 5, component)) == {(20, 21)}
