@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ecolake.llm.common import (
+    batches_of,
     bucket_edges,
     components,
     drop_written,
@@ -153,6 +154,7 @@ NEAR_LONG = 58  # of 256 bits; texts that share 0.8 of their shingles differ in
 PART = 256  # partners of a text that are compared with it in one task
 BLOCK = 2048  # rows of a bucket that meet in one task
 SLOTS = 1 << 20  # counters of common shingles
+TEXTS = 512  # texts that go to Python at a time
 
 
 def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
@@ -304,7 +306,7 @@ def _slots(hashes: np.ndarray) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 100_000:
+        if len(self) > 50_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -357,7 +359,8 @@ def near_copy_classes(rows: DataFrame, width: int = 5, similarity: float = 0.8)
         none = [pa.nulls(len(common), pa.int64())] * (len(columns) - 4)
         yield pa.RecordBatch.from_arrays([none[0], pa.array(common), pa.array(counts[common]), *none, pa.nulls(len(common), pa.binary())], names=columns)
 
-    coded = written(rows.select("row_id", "text").mapInArrow(encode, ", ".join(f"{c} long" for c in columns[:-1]) + ", odd binary"), "fingerprints")
+    with batches_of(rows.sparkSession, TEXTS):
+        coded = written(rows.select("row_id", "text").mapInArrow(encode, ", ".join(f"{c} long" for c in columns[:-1]) + ", odd binary"), "fingerprints")
     common = coded.filter("row_id is null").groupBy("d0").agg(F.sum("d1").alias("count")).toArrow()
     level = np.zeros(SLOTS, np.uint8)
     level[common.column("d0").to_numpy()] = np.log2(common.column("count").to_numpy()) + 1
@@ -369,11 +372,11 @@ def near_copy_classes(rows: DataFrame, width: int = 5, similarity: float = 0.8)
     near = written(_near_fingerprints(classes, names), "candidates")
     nearest = near.groupBy("b").agg(F.min(F.struct("apart", "a"))["a"].alias("a")).select("a", "b")
     nearest = written(nearest, "nearest")
-    links = written(_similar(nearest, texts, width, similarity), "links")
+    links = _similar(nearest, texts, width, similarity)
     apart = _across(near, components(links))
     second = apart.groupBy(F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")).agg(F.min(F.struct("apart", "a", "b")).alias("p"))
     second = written(second.select("p.a", "p.b"), "nearest")
-    links = links.union(written(_similar(second, texts, width, similarity), "links"))
+    links = links.union(_similar(second, texts, width, similarity))
     drop_written(near)
 
     groups = written(components(links), "groups")
@@ -381,7 +384,7 @@ def near_copy_classes(rows: DataFrame, width: int = 5, similarity: float = 0.8)
     pairs = _set_pairs(shared.join(classes.select("id", "n", "odd"), "id"), similarity).distinct()
     pairs = written(pairs.join(nearest.union(second), ["a", "b"], "left_anti"), "pairs")
     drop_written(shared)
-    links = links.union(written(_similar(pairs, texts, width, similarity), "links"))
+    links = links.union(_similar(pairs, texts, width, similarity))
 
     linked = components(links)
     ordered = coded.select("row_id", "d0", "d1").join(firsts, ["d0", "d1"]).join(linked, F.col("id") == F.col("node"), "left")
@@ -420,8 +423,8 @@ def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of the distinct ``pairs`` (a, b) whose texts are similar. A text meets its partners
-    ``PART`` at a time, and a task holds the shingles of two texts."""
+    """Those of the distinct ``pairs`` (a, b) whose texts are similar, as a written table. A text
+    meets its partners ``PART`` at a time, and a task holds the shingles of two texts."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("id"))
     dealt = written(dealt.union(dealt.select("a", "part", F.col("a").alias("id")).distinct()), "meetings")
@@ -441,7 +444,8 @@ def _similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
                     found.append((a, b))
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], names=["a", "b"])
 
-    return met.mapInArrow(verify, "a long, b long")
+    with batches_of(pairs.sparkSession, TEXTS):
+        return written(met.mapInArrow(verify, "a long, b long"), "links")
 
 
 def _set_pairs(shared: DataFrame, similarity: float) -> DataFrame:
@@ -481,7 +485,8 @@ def _shared_rare(texts: DataFrame, classes: DataFrame, groups: DataFrame, width:
 
     found = texts.mapInArrow(rarest, "id long, keys array<long>").join(classes.select("id"), "id", "left_semi")
     found = found.join(groups, F.col("id") == F.col("node"), "left").select("id", "keys", F.coalesce("component", "id").alias("component"))
-    filed = written(found.select(F.explode("keys").alias("bucket"), "id", "component"), "filed")
+    with batches_of(texts.sparkSession, TEXTS):
+        filed = written(found.select(F.explode("keys").alias("bucket"), "id", "component"), "filed")
     member = [F.bit_xor(F.xxhash64("id")), F.sum(F.xxhash64(F.lit(1), "id").bitwiseAND(F.lit((1 << 32) - 1)))]
     buckets = filed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows"), *[m.alias(f"m{k}") for k, m in enumerate(member)])
     several = buckets.filter("lo != hi").groupBy("rows", "m0", "m1").agg(F.min("bucket").alias("bucket")).select("bucket")
