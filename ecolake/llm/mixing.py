@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,9 +60,9 @@ def schedule(spark, blocks: np.ndarray) -> DataFrame:
     total = int(blocks.sum())
     ends = np.cumsum(blocks) / max(1, total)
 
-    def draw(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for chunk in frame["id"]:
+    def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in batch.column(0).to_pylist():
                 slot = np.arange(chunk * CHUNK, min(total, (chunk + 1) * CHUNK), dtype=np.int64)
                 point = ((slot + 1).astype(np.uint64) * np.uint64(GOLDEN)) / 2.0**64
                 source = np.minimum(np.searchsorted(ends, point, "right"), len(ends) - 1)
@@ -71,10 +70,12 @@ def schedule(spark, blocks: np.ndarray) -> DataFrame:
                 s = source[order]
                 starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
                 rank = np.arange(len(s)) - np.repeat(starts, np.diff(np.r_[starts, len(s)]))
-                yield pd.DataFrame({"chunk": np.int64(chunk), "slot": slot[order], "source_no": s.astype(np.int64), "rank": rank.astype(np.int64)})
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x.astype(np.int64)) for x in (np.full(len(s), chunk), slot[order], s, rank)], names=["chunk", "slot", "source_no", "rank"]
+                )
 
     chunks = -(-total // CHUNK)
-    drawn = written(spark.range(chunks).repartition(max(1, min(chunks, 2000))).mapInPandas(draw, "chunk long, slot long, source_no long, rank long"), "slots")
+    drawn = written(spark.range(chunks).repartition(max(1, min(chunks, 2000))).mapInArrow(draw, "chunk long, slot long, source_no long, rank long"), "slots")
     per_chunk = drawn.groupBy("source_no", "chunk").count()
     before = per_chunk.select("source_no", "chunk", (F.sum("count").over(Window.partitionBy("source_no").orderBy("chunk")) - F.col("count")).alias("before"))
     got = np.zeros(len(blocks), np.int64)
@@ -83,17 +84,17 @@ def schedule(spark, blocks: np.ndarray) -> DataFrame:
     surplus, lack = np.maximum(got - blocks, 0), np.maximum(blocks - got, 0)
     first_surplus, lack_ends = np.cumsum(surplus) - surplus, np.cumsum(lack)
 
-    def settle(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            s, rank = f["source_no"].to_numpy().copy(), f["rank"].to_numpy().copy()
+    def settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, rank = batch.column(1).to_numpy().copy(), batch.column(2).to_numpy().copy()
             over = rank >= blocks[s]
             k = first_surplus[s[over]] + rank[over] - blocks[s[over]]
             to = np.searchsorted(lack_ends, k, "right")
             s[over], rank[over] = to, got[to] + k - (lack_ends - lack)[to]
-            yield pd.DataFrame({"slot": f["slot"], "source_no": s, "rank": rank})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array(rank)], names=["slot", "source_no", "rank"])
 
     ranked = drawn.join(before, ["source_no", "chunk"]).select("slot", "source_no", (F.col("rank") + F.col("before")).alias("rank"))
-    return ranked.mapInPandas(settle, "slot long, source_no long, rank long")
+    return ranked.mapInArrow(settle, "slot long, source_no long, rank long")
 
 
 def mix(sized: DataFrame, share: float = 1.5, repeats: float = 2.0, block_words: int = 4096, seed: int = 17, bucket_rows: int = 2_000) -> tuple[DataFrame, DataFrame]:
