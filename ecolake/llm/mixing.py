@@ -107,7 +107,9 @@ def mix(sized: DataFrame, share: float = 1.5, repeats: float = 2.0, block_words:
     Null sources are one source, the last. Documents without words are in no segment. A null or
     repeated doc_id only orders the shuffle: equal ids are taken in the order of their size.
     A hot source is cut into buckets of about ``bucket_rows`` documents by shuffled position, and
-    only counts of buckets are added up per source. Empty tables give empty results.
+    only counts of buckets are added up per source. Where one doc_id (or none) is on so many rows
+    that its bucket is more than four times as large, that bucket is dealt into parts by row
+    number: its rows' order then follows how the table was read. Empty tables give empty results.
     """
     spark = sized.sparkSession
     rows = numbered(sized.withColumn("__h", F.xxhash64(F.lit(seed), "doc_id")), "sized")
@@ -123,10 +125,15 @@ def mix(sized: DataFrame, share: float = 1.5, repeats: float = 2.0, block_words:
     )
     rows = rows.join(names.withColumnRenamed("source", "__name"), F.col("source").eqNullSafe(F.col("__name"))).drop("__name")
     rows = rows.withColumn("__bucket", F.shiftrightunsigned("__h", 64 - bits) if bits else F.lit(0).cast("long"))
-    keys = ["source_no", "__bucket"]
+    many = rows.groupBy("source_no", "__bucket").count().filter(F.col("count") > 4 * bucket_rows)
+    many = written(many.select("source_no", "__bucket", F.ceil(F.col("count") / bucket_rows).alias("__parts")), "hot")
+    rows = rows.join(many, ["source_no", "__bucket"], "left")
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64("row_id"), F.coalesce("__parts", F.lit(1)))).drop("__parts")
+    keys = ["source_no", "__bucket", "__part"]
     per_bucket = rows.groupBy(*keys).agg(F.sum("size").alias("n"))
     # written, or Spark would deal the documents as the window deals the sums: by source alone
-    offsets = written(per_bucket.select(*keys, (F.sum("n").over(Window.partitionBy("source_no").orderBy("__bucket")) - F.col("n")).alias("__base")), "offsets")
+    before = F.sum("n").over(Window.partitionBy("source_no").orderBy("__bucket", "__part"))
+    offsets = written(per_bucket.select(*keys, (before - F.col("n")).alias("__base")), "offsets")
     in_bucket = Window.partitionBy(*keys).orderBy("__h", "doc_id", "size", "row_id").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.join(offsets, keys).withColumn("at", F.col("__base") + F.sum("size").over(in_bucket) - F.col("size"))
     b = F.lit(block_words)
@@ -141,7 +148,7 @@ def mix(sized: DataFrame, share: float = 1.5, repeats: float = 2.0, block_words:
     start = F.greatest("lo", F.col("rank") * b)
     cut = cut.select("source_no", "rank", "row_id", (start - F.col("lo")).alias("start"), (F.least("hi", (F.col("rank") + 1) * b) - start).alias("n_words"))
     segments = schedule(spark, blocks).join(cut, ["source_no", "rank"]).select("slot", "source_no", "rank", "row_id", "start", "n_words")
-    return rows.drop("__h", "__bucket", "source_no", "wanted"), segments
+    return rows.drop("__h", "__bucket", "__part", "source_no", "wanted"), segments
 
 
 def mixed_counts(df: DataFrame, **options) -> DataFrame:

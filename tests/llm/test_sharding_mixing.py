@@ -112,3 +112,16 @@ def test_odd_mixes(spark):
     assert mixed_counts(df.limit(0)).count() == 0
     again = mixed_counts(df.repartition(4)).collect()
     assert sorted((r["doc_id"] or 0, r["size"], r["taken"]) for r in got) == sorted((r["doc_id"] or 0, r["size"], r["taken"]) for r in again)
+
+
+def test_rows_without_an_id_are_dealt_into_parts(spark):
+    """Nine rows in ten without a doc_id, buckets of 20 rows: the target is met to the word."""
+    rows = [(k if k % 10 == 0 else None, "w " * (1 + k % 7), "x" if k % 3 else "y") for k in range(3_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = mixed_counts(df, block_words=64, bucket_rows=20).collect()
+    assert len(got) == 3_000 and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[k] - target[k]) <= 0.5 for k in target)
