@@ -192,6 +192,30 @@ def test_items_without_a_shingle_are_told(spark):
     assert decontamination.unsearched_items(items).count() == 4
 
 
+def test_short_items_and_sql(spark, tmp_path):
+    """Items of one to four words are found as whole runs; the SQL twin agrees on the same rows."""
+    import duckdb
+
+    from ecolake.llm import queries
+
+    filler = " ".join(f"w{k}" for k in range(400))
+    docs = [(1, f"{filler} The Answer, is: 42 {filler}"), (2, "answer is"), (3, filler), (4, None), (5, "the answer was is 42"), (6, "quux"), (6, "quux"), (None, "a quux b"), (7, "quuxes"), (8, "")]
+    items = [(1, "answer is 42"), (2, "QUUX"), (3, ""), (4, None), (5, "?!"), (6, "the answer is 42"), (None, "answer is"), (7, "quux "), (8, "w1 w2 w3 w4 w5 w6 w7 w8")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame, bench = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r["doc_id"] or -1, r["item_id"] or -1, r["shared"], r["n_shingles"], r["containment"]) for r in decontamination.contained_items(frame, bench, short_items=True).collect())
+    long = [(d, 8, 4, 4, 1.0) for d in (1, 3)]
+    assert got == sorted([(1, 1, 1, 1, 1.0), (1, 6, 1, 1, 1.0), (1, -1, 1, 1, 1.0), (2, -1, 1, 1, 1.0), *long, *((d, i, 1, 1, 1.0) for d in (6, 6, -1) for i in (2, 7))])
+    kept = decontamination.without_items(frame, bench, short_items=True).collect()
+    assert sorted(r["doc_id"] for r in kept) == [4, 5, 7, 8]
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'" + (" WHERE doc_id IS NOT NULL" if t == "documents" else " WHERE item_id IS NOT NULL"))
+    told = set(con.sql(queries.ORACLE["op2_decontamination"]).fetchall())
+    assert told == {g for g in got if g[0] != -1 and g[1] != -1}
+
+
 def test_long_texts_that_share_a_line_are_told_apart():
     """Three thousand sets of five thousand shingles with a line in common: sizes and parities, which
     grow with the sets, leave the similar pairs alone, also where parities of two lengths meet."""
