@@ -73,8 +73,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 @_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold less than 0.8 of the five-word shingles of every benchmark item."""
-    return decontamination.without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), WIDTH)
+    """Documents that hold less than 0.8 of the five-word shingles of every benchmark item, and no
+    item of fewer than five words as a run of all its words."""
+    return decontamination.without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), WIDTH, short_items=True)
 
 
 @_stage
