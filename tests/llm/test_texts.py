@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ecolake.llm import html_extract, lm_scoring, token_counts, toxicity
 
@@ -113,6 +114,21 @@ def test_held_out_accuracy(spark):
     assert hit >= 0.85 * sum(r["toxic"] for r in rows) and hit >= 0.9 * sum(r["predicted"] for r in rows)
 
 
+def test_all_labelled_rows_are_learnt_from(spark):
+    """A word that only the labelled rows of largest hash hold: a sample of the smallest misses it."""
+    ids = spark.range(11_000).select(F.col("id").alias("doc_id"), (F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0).alias("out"))
+    late = [r[0] for r in ids.filter("not out").orderBy(F.xxhash64(F.lit(5), "doc_id").desc()).limit(600).collect()]
+    out = [r[0] for r in ids.filter("out").limit(200).collect()]
+    toxic = set(late) | set(out[:100])
+    kept = [r[0] for r in ids.filter("not out").collect()] + out
+    assert len(kept) - len(out) - len(late) > 8_000
+    docs = spark.createDataFrame([(k, f"some {'grumble' if k in toxic else 'plain'} words number{k}", "en") for k in kept], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k in toxic)) for k in kept], "doc_id long, toxic int")
+    assert toxicity.labelled_rows(docs, labels).count() == len(kept) - len(out)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxic_scores(docs, labels).filter("held_out").collect()}
+    assert all(got[k] == 1 for k in out[:100]) and not any(got[k] for k in out[100:])
+
+
 def test_odd_texts_are_scored(spark):
     rows = [(k, "you idiot " * 3 + f"filler{k}", "en", k) for k in range(60)] + [(100 + k, f"fine words filler{k} here", "en", k) for k in range(60)]
     rows += [(300, None, None, 0), (301, "", "xx", 0), (None, "idiot", "en", 0), (302, "unseen tokens " * 40_000 + "idiot", "en", 0), (302, "fine", "en", 0)]
