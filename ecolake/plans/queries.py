@@ -130,8 +130,7 @@ def _grid_folder(spark, sf_dir) -> DataFrame:
     given = bindings.grid_files(spark, sf_dir)
     folder = _folder(spark, given.select(F.concat(F.lit("/raw/grids/"), "raster_id", F.lit(".asc")).alias("path"), "text"))
     named = given.select(F.concat("raster_id", F.lit(".asc")).alias("name"), "raster_id", "crs_wkt", "vec_id", "label")
-    listed = raw_files.list_files(spark, folder, "*.asc").select("name", "path").join(named, "name")
-    return written(listed.coalesce(1), "listed")  # one partition, as a small index has
+    return written(raw_files.list_files(spark, folder, "*.asc").select("name", "path").join(named, "name"), "listed")
 
 
 @query
@@ -362,7 +361,7 @@ def materialize_cells(spark, sf_dir):
 @query
 def materialize_outcomes(spark, sf_dir):
     """What became of maps opened on demand, a fourth of which are cut short, hold a word or are
-    gone; read by ranges of 300 bytes from an index of one partition."""
+    gone; read by ranges of 300 bytes."""
     v = F.col("vec_id")
     given = bindings.grid_files(spark, sf_dir)
     short, word = F.regexp_replace("text", r"\s+\S+\s*$", "\n"), F.regexp_replace("text", r"(\S+)\s*$", "land\n")
@@ -374,7 +373,7 @@ def materialize_outcomes(spark, sf_dir):
         F.concat(F.lit(f"{folder}/grids/"), "raster_id", F.lit(".asc")).alias("source_path"),
     )
     root = scratch(spark, "cells")
-    index = written(index.coalesce(1), "index")
+    index = written(index, "index")
     for _ in range(2):  # maps that failed are tried again, the others are not
         ingest.materialise_maps(index, root, "e", split_bytes=300)
     stored = store.read_cells(spark, root, "e").groupBy("raster_id").agg(F.count("*").alias("cells"))
