@@ -158,10 +158,16 @@ def grid_rows(grids: MeasuredGrids, *keep: str) -> DataFrame:
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = [batch.column(batch.schema.names.index(c)).to_pylist() for c in ("_map", "_first", "ncols", "nodata", "path", "_start", "_end", "bytes", "_skip")]
+            held, count = [], 0
             for map_, first, ncols, nodata, *where in zip(*cells):
                 for values, _ in _range_numbers(*where):
-                    yield from _row_parts(map_, first, ncols, nodata, values)
-                    first += len(values)
+                    held.append(_row_parts(map_, first, ncols, nodata, values))
+                    first, count = first + len(values), count + len(values)
+                    if count >= ROW_PART:
+                        yield _row_batch(held)
+                        held, count = [], 0
+            if held:
+                yield _row_batch(held)
 
     parts = dealt.mapInArrow(read, "_map long, row int, col int, values array<double>")
     return parts.join(grids.maps.select("_map", "geometry", *GRID_COLUMNS, *keep), "_map").drop("_map")
@@ -182,16 +188,20 @@ def row_cells(rows: DataFrame, *keep: str) -> DataFrame:
     return cells.select(*keep, "geometry", "row", "col", center_x(F.col("col")).alias("x"), center_y(F.col("row")).alias("y"), "value")
 
 
-def _row_parts(map_: int, first: int, ncols: int, nodata: float, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Consecutive cells from number ``first`` on, cut where a grid row or ``ROW_PART`` ends."""
-    known = pa.array(values, mask=np.isnan(values) | (values == nodata))
+def _row_parts(map_: int, first: int, ncols: int, nodata: float, values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Consecutive cells from number ``first`` on, cut where a grid row or ``ROW_PART`` ends: map, row,
+    first column and number of cells of each part, the values, and which of them are missing."""
     ends = np.union1d(np.arange(ncols - first % ncols, len(values), ncols), np.arange(ROW_PART, len(values), ROW_PART))
     bounds = np.r_[0, ends, len(values)].astype(np.int64)
     at = first + bounds[:-1]
-    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), known)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(at), map_)), pa.array((at // ncols).astype(np.int32)), pa.array((at % ncols).astype(np.int32)), lists], names=["_map", "row", "col", "values"],
-    )
+    return np.full(len(at), map_), (at // ncols).astype(np.int32), (at % ncols).astype(np.int32), np.diff(bounds), values, np.isnan(values) | (values == nodata)
+
+
+def _row_batch(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """The parts of several ranges as one batch: a range may hold a few cells only."""
+    map_, row, col, size, values, missing = (np.concatenate(p) for p in zip(*parts))
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(values, mask=missing))
+    return pa.RecordBatch.from_arrays([pa.array(map_), pa.array(row), pa.array(col), lists], names=["_map", "row", "col", "values"])
 
 
 def _counted(path: str, start: int, end: int, size: int, skip: int) -> tuple[int, str | None, str | None]:
