@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import itertools
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-from ecolake.session import scratch, written
+from ecolake.session import batches_of, scratch, written
 
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -73,19 +72,6 @@ def local_labels(n: int, a: np.ndarray, b: np.ndarray, start: np.ndarray | None
     return label
 
 
-@contextlib.contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """What is executed inside sends its rows to Python that many at a time: whole texts are large
-    rows, and a batch is held by the JVM and by Python."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def drop_written(df: DataFrame) -> None:
     """Delete the files of a table made by ``written`` that nothing needs any more."""
     spark = df.sparkSession

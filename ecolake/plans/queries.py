@@ -17,7 +17,7 @@ from ecolake.functions import measures, naming, periods
 from ecolake.operators import areas, catalog, charts, crs, effects, enrich, rasters, selection, trends, zonal
 from ecolake.plans import analysis, bindings, ingest, report
 from ecolake.schema import CELLS, RASTER_INDEX, SCENARIOS, TIDY
-from ecolake.session import delete_path, scratch, scratch_in, written
+from ecolake.session import batches_of, delete_path, scratch, scratch_in, written
 from ecolake.sinks import export, store
 from ecolake.sources import files as raw_files
 from ecolake.sources import grids, identify, model_csv
@@ -231,7 +231,8 @@ def _folder(spark, files: DataFrame) -> str:
     parts = files.select(
         F.regexp_replace(F.substring_index("path", "/raw/", -1), "/[^/]*$", "").alias("folder"), F.substring_index("path", "/", -1).alias("file"), "text",
     )
-    export.write_named_texts(parts.repartition(spark.sparkContext.defaultParallelism), root).write.format("noop").mode("overwrite").save()
+    with batches_of(spark, export.TEXTS_AT_ONCE):
+        export.write_named_texts(parts.repartition(spark.sparkContext.defaultParallelism), root).write.format("noop").mode("overwrite").save()
     return root
 
 

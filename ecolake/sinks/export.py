@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ecolake.functions.naming import file_stem, name_part
+from ecolake.session import batches_of
 from ecolake.sources.files import open_path
 
 # --- fixed values -----------------------------------------------------------------------
 FULL_AREA = "full-area"
 NUMBER_FORMAT = "%.15g"
+TEXTS_AT_ONCE = 256  # maps that a Python worker holds: their cells, flags and texts
 # ----------------------------------------------------------------------------------------
 
 
@@ -107,10 +109,13 @@ def write_named_texts(texts: DataFrame, target: str) -> DataFrame:
     again leaves no half-written file."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = set()
         for pdf in batches:
             for folder, name, text in zip(pdf["folder"], pdf["file"], pdf["text"]):
                 filesystem, base = open_path(posixpath.join(target, folder))
-                filesystem.create_dir(base, recursive=True)
+                if base not in made:
+                    filesystem.create_dir(base, recursive=True)
+                    made.add(base)
                 temporary = posixpath.join(base, f".{uuid.uuid4().hex}")
                 with filesystem.open_output_stream(temporary) as out:
                     out.write(text.encode("utf-8"))
@@ -130,8 +135,9 @@ def export_ascii(grids: DataFrame, target: str, windows: DataFrame | None = None
     if twice is not None:
         raise ValueError(f"{twice['count']} maps would be written as {twice['folder']}/{twice['file']}")
     done = write_named_texts(texts, target)
-    done.write.mode("overwrite").parquet(f"{target}/_manifest/written")
     spark = grids.sparkSession
+    with batches_of(spark, TEXTS_AT_ONCE):
+        done.write.mode("overwrite").parquet(f"{target}/_manifest/written")
     wrote = spark.read.parquet(f"{target}/_manifest/written")
     if areas is None:
         return {"files": wrote.count(), "skipped": 0}
