@@ -23,12 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ecolake.llm.common import drop_written, mixed, utf8, written
+from ecolake.llm.common import among, drop_written, filter_bits, mixed, utf8, written
 
 WORDS = 5  # words of the longest phrase, and depth of the trees
 BUDGET = 1 << 18  # suffix rows of a group
 HELD = 1 << 18  # words whose suffixes a task counts at once
-MOST_BITS = 26  # of a filter that travels to the tasks: 8 MB
 
 _CUT = bytes.maketrans(b".,;:!?\x0b\x0c\r" + bytes(range(65, 91)), b"\n" * 9 + bytes(range(97, 123)))
 _NAMES = [f"w{k}" for k in range(WORDS)]
@@ -89,23 +88,6 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
     return made.groupBy("lang", "word", "id").agg(F.sum("n").alias("n"))
 
 
-def filter_bits(ids: DataFrame, name: str, n: int) -> np.ndarray:
-    """A bit for each value of ``ids.name`` in a table of at most 2**MOST_BITS bits; a value whose
-    bit is unset is not among them. The driver gets the table, never the values."""
-    bits = min(MOST_BITS, max(16, (32 * n).bit_length()))
-    slots = ids.select(F.shiftrightunsigned(name, 64 - bits).alias("slot"))
-    found = slots.select(F.shiftright("slot", 6).alias("at"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit"))
-    table = found.groupBy("at").agg(F.bit_or("bit").alias("word")).toArrow()
-    words = np.zeros(1 << (bits - 6), np.int64)
-    words[table.column("at").to_numpy()] = table.column("word").to_numpy()
-    return words.view(np.uint64)
-
-
-def _among(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    slot = ids >> np.uint64(64 - (len(table).bit_length() - 1 + 6))
-    return (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-
-
 def pair_number(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A 64-bit number of two words in a row, for filters only."""
     return mixed(mixed(a) + b)
@@ -113,7 +95,7 @@ def pair_number(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _counted_pairs(ids: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
     """Pairs of frequent words in a row, and how often they occur in ``ids``."""
-    ok = (ids != 0) & _among(frequent, ids)
+    ok = (ids != 0) & among(frequent, ids)
     at = np.flatnonzero(ok[:-1] & ok[1:])
     return _counted(np.stack([ids[at], ids[at + 1]], axis=1))
 
@@ -123,7 +105,7 @@ def _counted_suffixes(ids: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, .
     three words at least, and how often they occur in ``ids``."""
     ids = np.r_[ids, np.zeros(WORDS, np.uint64)]
     link = np.zeros(len(ids), np.int64)
-    link[:-1] = (ids[:-1] != 0) & (ids[1:] != 0) & _among(pairs, pair_number(ids[:-1], ids[1:]))
+    link[:-1] = (ids[:-1] != 0) & (ids[1:] != 0) & among(pairs, pair_number(ids[:-1], ids[1:]))
     reach, rows = link.copy(), np.zeros((len(ids), WORDS), np.uint64)
     rows[:, 0] = ids
     for d in range(1, WORDS):

@@ -15,6 +15,7 @@ from pyspark.sql.types import DataType, StructField, StructType
 from ecolake.session import batches_of, scratch, written
 
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
+MOST_BITS = 26  # of a filter that travels to the tasks: 8 MB
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -72,6 +73,24 @@ def local_labels(n: int, a: np.ndarray, b: np.ndarray, start: np.ndarray | None
     return label
 
 
+def filter_bits(ids: DataFrame, name: str, n: int) -> np.ndarray:
+    """A bit for each value of ``ids.name`` in a table of at most 2**MOST_BITS bits; a value whose
+    bit is unset is not among them. The driver gets the table, never the values."""
+    bits = min(MOST_BITS, max(16, (32 * n).bit_length()))
+    slots = ids.select(F.shiftrightunsigned(name, 64 - bits).alias("slot"))
+    found = slots.select(F.shiftright("slot", 6).alias("at"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit"))
+    table = found.groupBy("at").agg(F.bit_or("bit").alias("word")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.int64)
+    words[table.column("at").to_numpy()] = table.column("word").to_numpy()
+    return words.view(np.uint64)
+
+
+def among(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which of the unsigned ``ids`` have their bit set in a table of :func:`filter_bits`."""
+    slot = ids >> np.uint64(64 - (len(table).bit_length() - 1 + 6))
+    return (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files of a table made by ``written`` that nothing needs any more."""
     spark = df.sparkSession
@@ -197,4 +216,4 @@ def whole_tables(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int)
         count = len(table) - end
 
 
-__all__ = ["batches_of", "bucket_edges", "components", "drop_written", "few_files", "in_parts", "local_labels", "mixed", "numbered", "scratch", "task_number", "utf8", "whole_groups", "whole_tables", "words", "written"]
+__all__ = ["among", "batches_of", "bucket_edges", "components", "drop_written", "few_files", "filter_bits", "in_parts", "local_labels", "mixed", "numbered", "scratch", "task_number", "utf8", "whole_groups", "whole_tables", "words", "written"]

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ecolake.llm.common import batches_of, drop_written, extended
+from ecolake.llm.common import among, batches_of, drop_written, extended, filter_bits
 from ecolake.session import written
 
 _WORD = re.compile(r"[^\W_]+")
@@ -383,13 +383,30 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, seed: int = 5) -> DataFram
     """``h`` (a hash), ``text``, ``toxic``, ``lang`` and ``held`` (a fifth, held back) of every labelled
     row whose crc32(doc_id as text) mod 5 is not 0. Labels other than 0 and 1 and repeated labels of a
     document that disagree (the larger counts) are settled before, and of rows with one doc_id the
-    text of smallest hash is taken."""
-    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    text of smallest hash is taken. Rows are dealt by doc_id to tasks of about ``FILE_ROWS`` rows and
+    sorted by ``h``.
+
+    A filter of the labelled ids goes to the tasks, so that texts without a label stay where they
+    are, and the others are shuffled once; the join decides."""
+    own = F.col("doc_id").try_cast(docs.schema["doc_id"].dataType)
+    known = labels.filter(F.col("toxic").isin(0, 1)).select(own.alias("doc_id"), "toxic").filter("doc_id is not null")
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = written(known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0), "known-labels")
+    n = known.count()
+    sent = docs.sparkSession.sparkContext.broadcast(filter_bits(known.select(F.xxhash64("doc_id").alias("id")), "id", n))
+
+    @F.arrow_udf("boolean")
+    def may_be_known(ids: pa.Array) -> pa.Array:
+        return pa.array(among(sent.value, ids.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    files = max(1, -(-n // FILE_ROWS))
     one = F.min(F.struct(F.xxhash64("text", "lang"), "text", "lang")).alias("one")
-    rows = docs.select("doc_id", "text", "lang").join(known, "doc_id").groupBy("doc_id", "toxic").agg(one)
+    found = docs.select("doc_id", "text", "lang").filter(may_be_known(F.xxhash64("doc_id"))).repartition(files, "doc_id")
+    rows = found.join(known.repartition(files, "doc_id"), "doc_id").groupBy("doc_id", "toxic").agg(one)
     h = F.xxhash64(F.lit(seed), "doc_id")
-    return rows.select(h.alias("h"), "one.text", "toxic", "one.lang", (F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(5)) == 0).alias("held"))
+    return rows.select(
+        h.alias("h"), "one.text", "toxic", "one.lang", (F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(5)) == 0).alias("held"),
+    ).sortWithinPartitions("h")
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, seed: int = 5) -> Model:
@@ -398,11 +415,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, seed: int = 5) -> Model:
     and the cores.
     With no labels at all the model gives every text the score ``UNKNOWN``, which rejects none."""
     spark = docs.sparkSession
-    found = labelled_rows(docs, labels, seed)
-    # as many rows as there can be: the files follow the labels, the texts are not counted first
-    count = labels.count()
-    files = max(1, -(-count // FILE_ROWS))
-    rows = written(found.repartition(files, "h").sortWithinPartitions("h"), "labelled")
+    rows = written(labelled_rows(docs, labels, seed), "labelled")
     n, share = rows.filter("not held").agg(F.count("*"), F.avg("toxic")).first()
     state = begin(share or 0.0, seed)
     if not n:  # nothing is known of any text, so none is called toxic

@@ -129,6 +129,25 @@ def test_all_labelled_rows_are_learnt_from(spark):
     assert all(got[k] == 1 for k in out[:100]) and not any(got[k] for k in out[100:])
 
 
+def test_texts_without_a_label_are_not_shuffled(spark, tmp_path):
+    """Of many texts few are labelled: texts go through one exchange, and only those of labelled rows."""
+    spark.range(4_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("en").alias("lang")).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    labels = spark.range(0, 8_000, 40).select(F.col("id").cast("int").alias("doc_id"), (F.col("id") % 80 == 0).cast("int").alias("toxic"))
+    expected = {r[0] for r in docs.join(labels, "doc_id").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).select("text").collect()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = toxicity.labelled_rows(docs, labels)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        texts = [r["text"] for r in found.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert set(texts) == expected and len(texts) == len(expected)
+    dealt = plan.split("Exchange ")[1:]  # the texts' and the labels'
+    assert len(dealt) == 2 and "ArrowEvalPython [may_be_known" in dealt[0]
+
+
 def test_odd_texts_are_scored(spark):
     rows = [(k, "you idiot " * 3 + f"filler{k}", "en", k) for k in range(60)] + [(100 + k, f"fine words filler{k} here", "en", k) for k in range(60)]
     rows += [(300, None, None, 0), (301, "", "xx", 0), (None, "idiot", "en", 0), (302, "unseen tokens " * 40_000 + "idiot", "en", 0), (302, "fine", "en", 0)]
