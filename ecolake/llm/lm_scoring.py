@@ -11,6 +11,7 @@ words, so that the model is a proper distribution over word sequences.
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -30,6 +31,8 @@ HEAD_WORDS = 250_000  # most frequent words that every scoring task holds
 PRIOR_PIECES = 2_000.0  # weight of the vocabulary's own scores, in pieces
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _TABLE_BITS = 20
+WORDS_AT_ONCE, WORD_BYTES = 60_000, 8 << 20  # that a task cuts into pieces
+LEAST_LOG = -600.0  # of a probability that is summed as it is
 
 
 @dataclass
@@ -44,12 +47,15 @@ class Lattice:
     log_p: np.ndarray  # natural logarithm by piece
     log_stop: float
     log_go: float
+    starts: list[np.ndarray]  # hashes of all beginnings of first and of inner pieces, whole ones too
 
     def tables(self) -> list[np.ndarray]:
+        """By the first bits of a hash: 1 if a piece may begin so, 2 more if it may be one."""
         out = []
-        for h in self.hashes:
-            t = np.zeros(1 << _TABLE_BITS, bool)
-            t[h >> np.uint64(64 - _TABLE_BITS)] = True
+        for h, starts in zip(self.hashes, self.starts):
+            t = np.zeros(1 << _TABLE_BITS, np.uint8)
+            t[starts >> np.uint64(64 - _TABLE_BITS)] = 1
+            t[h >> np.uint64(64 - _TABLE_BITS)] = 3
             out.append(t)
         return out
 
@@ -90,17 +96,19 @@ def vocabulary_lattice(path: str = VOCABULARY) -> Lattice:
     if bare < 0:
         bare = n + extra
     scores = np.concatenate([scores, np.full(n + extra + 1 - n, scores.min())])
-    hashes, ids, longest = [], [], []
+    hashes, ids, longest, starts = [], [], [], []
     for group in groups:
-        h, k = [], []
+        h, k, begun = [], [], [np.zeros(0, np.uint64)]
         for length in sorted({len(b) for b, _ in group}):
             same = [(b, i) for b, i in group if len(b) == length]
-            h.append(_hash(np.stack([_points(b) for b, _ in same])))
+            points = np.stack([_points(b) for b, _ in same])
+            h.append(_hash(points))
+            begun += [_hash(points[:, :size]) for size in range(1, length + 1)]
             k += [i for _, i in same]
         h, k = np.concatenate(h) if h else np.zeros(0, np.uint64), np.array(k, np.int64)
         order = np.argsort(h)
-        hashes.append(h[order]), ids.append(k[order]), longest.append(max((len(b) for b, _ in group), default=1))
-    lattice = Lattice(hashes, ids, longest, byte_ids, bare, scores, np.log(0.3), np.log(0.7))
+        hashes.append(h[order]), ids.append(k[order]), longest.append(max((len(b) for b, _ in group), default=1)), starts.append(np.unique(np.concatenate(begun)))
+    lattice = Lattice(hashes, ids, longest, byte_ids, bare, scores, np.log(0.3), np.log(0.7), starts)
     lattice.log_p = _normalised(lattice, np.exp(scores - scores.max()))
     return lattice
 
@@ -116,36 +124,107 @@ def _normalised(lattice: Lattice, weight: np.ndarray) -> np.ndarray:
 
 
 def _edges(lattice: Lattice, tables: list[np.ndarray], points: np.ndarray, kind: int, i: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, words, pieces) of the pieces that start at position ``i``."""
-    h = np.full(len(points), 7, np.uint64)
-    for length in range(1, min(lattice.longest[kind], points.shape[1] - i) + 1):
-        h = h * _FACTOR + points[:, i + length - 1].astype(np.uint64) + np.uint64(1)
+    """(length, words, pieces) of the pieces that start at position ``i``. ``points`` has a row per
+    position; words are followed as long as a piece may begin like them."""
+    rows, h = np.arange(points.shape[1]), np.full(points.shape[1], 7, np.uint64)
+    for length in range(1, min(lattice.longest[kind], len(points) - i) + 1):
+        at = points[i + length - 1]
+        h = h * _FACTOR + (at if len(rows) == len(at) else at[rows]) + np.uint64(1)
         full = mixed(h)
-        maybe = np.flatnonzero(tables[kind][full >> np.uint64(64 - _TABLE_BITS)])
+        found = tables[kind][full >> np.uint64(64 - _TABLE_BITS)]
+        maybe = np.flatnonzero(found == 3)
         if len(maybe):
-            at = np.minimum(np.searchsorted(lattice.hashes[kind], full[maybe]), len(lattice.hashes[kind]) - 1)
-            hit = lattice.hashes[kind][at] == full[maybe]
+            wanted = full[maybe]
+            at = np.minimum(np.searchsorted(lattice.hashes[kind], wanted), len(lattice.hashes[kind]) - 1)
+            hit = lattice.hashes[kind][at] == wanted
             if hit.any():
-                yield length, maybe[hit], lattice.ids[kind][at[hit]]
+                yield length, rows[maybe[hit]], lattice.ids[kind][at[hit]]
+        left = np.flatnonzero(found)
+        if not len(left):
+            return
+        if len(left) < len(rows):
+            rows, h = rows[left], h[left]
 
 
-def _byte_log_p(lattice: Lattice, points: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+def _byte_log_p(lattice: Lattice, points: np.ndarray) -> np.ndarray:
     """Log probability of each character spelt by bytes, with a step between its bytes."""
-    found, where = np.unique(points, return_inverse=True)
-    spelt = [[int(lattice.byte_ids[b]) for b in chr(int(c)).encode("utf-8", "surrogatepass")] for c in found]
-    value = np.array([lattice.log_p[s].sum() + (len(s) - 1) * lattice.log_go for s in spelt])
-    return value[where].reshape(points.shape), spelt
+    value = np.zeros(int(points.max(initial=0)) + 1)
+    for c in np.flatnonzero(np.bincount(points.ravel())):
+        spelt = lattice.byte_ids[list(chr(int(c)).encode("utf-8", "surrogatepass"))]
+        value[c] = lattice.log_p[spelt].sum() + (len(spelt) - 1) * lattice.log_go
+    return value[points]
 
 
 def forward(lattice: Lattice, tables: list[np.ndarray], points: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
     """Natural logarithm of the probability of words of equal length, one per row of code points,
     summed over all segmentations. With ``counts`` (by piece) the expected uses of each piece are
-    added to it from a backward recursion."""
+    added to it from a backward recursion.
+
+    Sums are taken of probabilities, and of their logarithms where a word's could come near the
+    smallest numbers: being spelt by bytes is one of the segmentations, so no sum is below that."""
+    byte_p = _byte_log_p(lattice, points)
+    least = byte_p.sum(axis=1) + points.shape[1] * lattice.log_go + lattice.log_p[lattice.bare] + lattice.log_stop
+    total = np.empty(len(points))
+    for rows, summed in ((least > LEAST_LOG, _summed_plain), (least <= LEAST_LOG, _summed_logs)):
+        if rows.all():
+            return summed(lattice, tables, points, byte_p, counts)
+        if rows.any():
+            total[rows] = summed(lattice, tables, points[rows], byte_p[rows], counts)
+    return total
+
+
+def _summed_plain(lattice: Lattice, tables: list[np.ndarray], points: np.ndarray, byte_p: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
+    """:func:`forward` of words whose probabilities are far from the smallest numbers."""
+    n, length = points.shape
+    p, go, spelt = np.exp(lattice.log_p), np.exp(lattice.log_go), np.exp(byte_p.T)
+    alpha, across = np.zeros((length + 1, n)), np.ascontiguousarray(points.T, np.uint64)
+    kept: list[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(length + 1)]  # by position, the first pieces last
+    for size, rows, pieces in _edges(lattice, tables, across, 0, 0):
+        alpha[size, rows] += p[pieces]
+        if counts is not None:
+            kept[-1].append((size, rows, pieces, p[pieces]))
+    alpha[0] = p[lattice.bare]
+    for i in range(length):
+        step = alpha[i] * go
+        alpha[i + 1] += step * spelt[i]
+        for size, rows, pieces in _edges(lattice, tables, across, 1, i):
+            own = p[pieces]
+            alpha[i + size, rows] += step[rows] * own
+            if counts is not None:
+                kept[i].append((size, rows, pieces, own * go))
+    stop = np.exp(lattice.log_stop)
+    total = alpha[length] * stop
+    if counts is not None:
+        beta = np.zeros((length + 1, n))
+        beta[length] = stop / total
+        for i in range(length - 1, -1, -1):
+            spelt[i] *= go * beta[i + 1]
+            beta[i] = spelt[i]
+            for size, rows, pieces, own in kept[i]:
+                after = own * beta[i + size, rows]
+                beta[i, rows] += after
+                counts += np.bincount(pieces, alpha[i, rows] * after, len(counts))
+        for size, rows, pieces, own in kept[-1]:
+            counts += np.bincount(pieces, own * beta[size, rows], len(counts))
+        counts[lattice.bare] += (p[lattice.bare] * beta[0]).sum()
+        _count_bytes(lattice, points, (alpha[:length] * spelt).T, counts)
+    return np.log(total)
+
+
+def _count_bytes(lattice: Lattice, points: np.ndarray, used: np.ndarray, counts: np.ndarray) -> None:
+    """Add the uses of each place's character, spelt by bytes, to the counts of the bytes."""
+    uses = np.bincount(points.ravel(), used.ravel())
+    for c in np.flatnonzero(uses):
+        for b in chr(int(c)).encode("utf-8", "surrogatepass"):
+            counts[lattice.byte_ids[b]] += uses[c]
+
+
+def _summed_logs(lattice: Lattice, tables: list[np.ndarray], points: np.ndarray, byte_p: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
+    """:func:`forward` of any words, in logarithms."""
     n, length = points.shape
-    byte_p, _ = _byte_log_p(lattice, points)
-    alpha = np.full((length + 1, n), -np.inf)
+    alpha, across = np.full((length + 1, n), -np.inf), np.ascontiguousarray(points.T, np.uint64)
     kept: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-    for size, rows, pieces in _edges(lattice, tables, points, 0, 0):
+    for size, rows, pieces in _edges(lattice, tables, across, 0, 0):
         alpha[size, rows] = np.logaddexp(alpha[size, rows], lattice.log_p[pieces])
         if counts is not None:
             kept.append((-1, size, rows, pieces))
@@ -153,7 +232,7 @@ def forward(lattice: Lattice, tables: list[np.ndarray], points: np.ndarray, coun
     for i in range(length):
         step = alpha[i] + lattice.log_go
         alpha[i + 1] = np.logaddexp(alpha[i + 1], step + byte_p[:, i])
-        for size, rows, pieces in _edges(lattice, tables, points, 1, i):
+        for size, rows, pieces in _edges(lattice, tables, across, 1, i):
             alpha[i + size, rows] = np.logaddexp(alpha[i + size, rows], step[rows] + lattice.log_p[pieces])
             if counts is not None:
                 kept.append((i, size, rows, pieces))
@@ -171,10 +250,7 @@ def forward(lattice: Lattice, tables: list[np.ndarray], points: np.ndarray, coun
             counts += np.bincount(pieces, np.exp(before + lattice.log_p[pieces] + beta[max(at, 0) + size, rows] - total[rows]), len(counts))
         counts[lattice.bare] += np.exp(lattice.log_p[lattice.bare] + beta[0] - total).sum()
         used = np.exp(alpha[:length].T + lattice.log_go + byte_p + beta[1:].T - total[:, None])
-        found, where = np.unique(points, return_inverse=True)
-        for c, uses in zip(found, np.bincount(where.ravel(), used.ravel())):
-            for b in chr(int(c)).encode("utf-8", "surrogatepass"):
-                counts[lattice.byte_ids[b]] += uses
+        _count_bytes(lattice, points, used, counts)
     return total
 
 
@@ -191,6 +267,19 @@ def by_length(texts: list[str], most: int = 1 << 21) -> Iterator[tuple[np.ndarra
         lo = hi
 
 
+def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of words joined to ``WORDS_AT_ONCE`` rows or ``WORD_BYTES``, so that words of equal
+    length are many."""
+    held, count, size = [], 0, 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+            count, size = count + batch.num_rows, size + batch.nbytes
+        if held and (batch is None or count >= WORDS_AT_ONCE or size >= WORD_BYTES):
+            yield pa.concat_batches(held)
+            held, count, size = [], 0, 0
+
+
 def word_table(docs: DataFrame, train: str = "train") -> DataFrame:
     """(word, c, n): uses of each word in rows where ``train`` holds, and in all. Tasks count
     before the shuffle and hand on what they have whenever it comes to 200,000 words."""
@@ -229,7 +318,7 @@ def fit_lattice(lattice: Lattice, vocabulary: DataFrame, rounds: int = 2) -> Lat
         def expect(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = sent.value
             tables, counts, n = own.tables(), np.zeros(len(own.log_p)), 0
-            for batch in batches:
+            for batch in _gathered(batches):
                 texts = batch.column(0).to_pylist()
                 n += len(texts)
                 for _, points in by_length(texts):
@@ -247,7 +336,7 @@ def fit_lattice(lattice: Lattice, vocabulary: DataFrame, rounds: int = 2) -> Lat
                 weight[r["piece"]] = r["uses"]
         pieces = weight.sum()
         stop = (n_words + 30) / (pieces + 100) if pieces else 0.3
-        lattice = Lattice(lattice.hashes, lattice.ids, lattice.longest, lattice.byte_ids, lattice.bare, lattice.log_p, float(np.log(stop)), float(np.log1p(-stop)))
+        lattice = Lattice(lattice.hashes, lattice.ids, lattice.longest, lattice.byte_ids, lattice.bare, lattice.log_p, float(np.log(stop)), float(np.log1p(-stop)), lattice.starts)
         lattice.log_p = _normalised(lattice, weight + PRIOR_PIECES * prior + 1e-3)
     return lattice
 
@@ -260,7 +349,7 @@ def lattice_scores(df: DataFrame, lattice: Lattice, column: str = "lattice") ->
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         tables = own.tables()
-        for batch in batches:
+        for batch in _gathered(batches):
             texts = batch.column(at).to_pylist()
             out = np.zeros(len(texts))
             for rows, points in by_length(texts):
@@ -270,6 +359,13 @@ def lattice_scores(df: DataFrame, lattice: Lattice, column: str = "lattice") ->
     return df.mapInArrow(score, extended(df.schema, (column, "double")))
 
 
+class _Places(dict):
+    """Numbers of the words that every task holds, -1 of all others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 def document_scores(docs: DataFrame, vocabulary: str = VOCABULARY, head_words: int = HEAD_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
@@ -314,7 +410,7 @@ def document_scores(docs: DataFrame, vocabulary: str = VOCABULARY, head_words: i
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, known, base, score, end, end_known = sent.value
-        place = {w: k for k, w in enumerate(names)}
+        place = _Places((w, k) for k, w in enumerate(names))
         known, base, score = np.r_[known, False], np.r_[base, 0.0], np.r_[score, 0.0]
         row = task_number()
         for batch in batches:
@@ -323,14 +419,15 @@ def document_scores(docs: DataFrame, vocabulary: str = VOCABULARY, head_words: i
             for t in utf8(batch.column(2)):
                 own = words(t)
                 uses = Counter(own)
-                at = np.fromiter((place.get(w, -1) for w in uses), np.int64, len(uses))
+                at = np.fromiter(map(place.__getitem__, uses), np.int64, len(uses))
                 k = np.fromiter(uses.values(), np.int64, len(uses))
                 ids.append(row), tokens.append(len(own) + 1)
                 sums_known.append(int((k * known[at]).sum()) + end_known), sums_base.append(float((k * base[at]).sum()) + end[0]), sums_score.append(float((k * score[at]).sum()) + end[1])
-                rest = [w for w, a in zip(uses, at) if a < 0]
-                tail_row += [row] * len(rest)
-                tail_word += rest
-                tail_uses += [uses[w] for w in rest]
+                if (rest := at < 0).any():
+                    own = list(itertools.compress(uses, rest.tolist()))
+                    tail_row += [row] * len(own)
+                    tail_word += own
+                    tail_uses += map(uses.__getitem__, own)
                 row += 1
             n, m = len(ids), len(tail_row)
             yield pa.RecordBatch.from_arrays(

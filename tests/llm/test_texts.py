@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,25 @@ def test_model_is_a_distribution():
     assert 0 < total < 1
 
 
+def test_words_are_followed_as_long_as_a_piece_may_begin_like_them():
+    """Both ways of summing agree, in totals and in expected counts, and no piece is looked for
+    behind the longest beginning of one."""
+    lattice = lm_scoring.vocabulary_lattice()
+    tables = lattice.tables()
+    words = ["wordwordword", "information", "xqzjvkwpyfbd", "\u6f22\u5b57" * 5, "na\u00efvet\u00e9sse", "\U0001f600" * 30, "x" * 200]
+    for _, points in lm_scoring.by_length(words):
+        byte_p = lm_scoring._byte_log_p(lattice, points)
+        counts = [np.zeros(len(lattice.log_p)) for _ in range(3)]
+        total = lm_scoring.forward(lattice, tables, points, counts[0])
+        logs = lm_scoring._summed_logs(lattice, tables, points, byte_p, counts[1])
+        assert np.allclose(total, logs, rtol=1e-12) and np.allclose(counts[0], counts[1], rtol=1e-9, atol=1e-9)
+        if (byte_p.sum(axis=1) > -500).all():
+            assert np.allclose(lm_scoring._summed_plain(lattice, tables, points, byte_p, counts[2]), logs, rtol=1e-12)
+    assert [a.all() for a in (np.isin(h, s) for h, s in zip(lattice.hashes, lattice.starts))] == [True, True]
+    rows = pa.RecordBatch.from_arrays([pa.array(["a"] * 10)], names=["word"])
+    assert [b.num_rows for b in lm_scoring._gathered([rows] * 7)] == [70]
+
+
 # --- toxicity ---------------------------------------------------------------------------
 
 
