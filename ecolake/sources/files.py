@@ -32,6 +32,7 @@ DATA_MARK = re.compile(r'[ \t]*"?[ \t]*Data[ \t]*"?[ \t]*(?:,|\r|\n|$)')
 EOL_BYTES = re.compile(rb"\r\n|\n|\r")
 # ----------------------------------------------------------------------------------------
 TEXTS_AT_ONCE = 64
+LISTING_TASKS = 4  # per core
 READ_BYTES = 1 << 20
 SPLIT_BYTES = 64 << 20
 
@@ -69,7 +70,9 @@ def _root(path: str) -> str:
 
 def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """Names and sizes of all files below ``root``; contents are not opened (the binary
-    source reads a file only when its ``content`` column is asked for)."""
+    source reads a file only when its ``content`` column is asked for). Spark reads some 32 files in
+    a task; a listing is a few rows for each, so it is put together to a few tasks per core, and
+    written down it is as few files, whatever the folder."""
     root = _root(root)
     listed = (
         spark.read.format("binaryFile")
@@ -77,6 +80,7 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
         .option("pathGlobFilter", glob)
         .load(root)
         .select(_decoded(F.col("_metadata.file_path")).alias("path"), F.col("length").alias("bytes"))
+        .coalesce(LISTING_TASKS * spark.sparkContext.defaultParallelism)
     )
     return with_path_parts(listed, root)
 
