@@ -372,21 +372,18 @@ def near_copy_classes(rows: DataFrame, width: int = 5, similarity: float = 0.8)
     near = written(_near_fingerprints(classes, names), "candidates")
     nearest = near.groupBy("b").agg(F.min(F.struct("apart", "a"))["a"].alias("a")).select("a", "b")
     nearest = written(nearest, "nearest")
-    links = _similar(nearest, texts, width, similarity)
-    apart = _across(near, components(links))
+    groups = written(components(_similar(nearest, texts, width, similarity)), "groups")
+    apart = _across(near, groups)
     second = apart.groupBy(F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")).agg(F.min(F.struct("apart", "a", "b")).alias("p"))
     second = written(second.select("p.a", "p.b"), "nearest")
-    links = links.union(_similar(second, texts, width, similarity))
+    groups = written(_merged(groups, _similar(second, texts, width, similarity)), "groups")
     drop_written(near)
 
-    groups = written(components(links), "groups")
     shared = _shared_rare(texts, classes, groups, width, similarity, level)
     pairs = _set_pairs(shared.join(classes.select("id", "n", "odd"), "id"), similarity).distinct()
     pairs = written(pairs.join(nearest.union(second), ["a", "b"], "left_anti"), "pairs")
     drop_written(shared)
-    links = links.union(_similar(pairs, texts, width, similarity))
-
-    linked = components(links)
+    linked = _merged(groups, _similar(pairs, texts, width, similarity))
     ordered = coded.select("row_id", "d0", "d1").join(firsts, ["d0", "d1"]).join(linked, F.col("id") == F.col("node"), "left")
     ordered = ordered.select("row_id", F.coalesce("component", "id").alias("component"))
     ordered = written(ordered.join(rows.select("row_id", "doc_id"), "row_id"), "members")
@@ -422,6 +419,17 @@ def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs.filter("ca != cb")
 
 
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups`` (node, component) with the texts that further ``links`` (a, b) join to them. What
+    the groups are made of is not gone through again: only links between groups are drawn to stars."""
+    between = written(_across(links, groups).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "between")
+    new = written(components(between).select(F.col("node").alias("component"), F.col("component").alias("to")), "joined")
+    kept = groups.join(new, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    # a text that was in no group is an end of a link itself
+    alone = new.join(groups, F.col("node") == new["component"], "left_anti").select(new["component"].alias("node"), F.col("to").alias("component"))
+    return kept.union(alone)
+
+
 def _similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) whose texts are similar, as a written table. A text
     meets its partners ``PART`` at a time, and a task holds the shingles of two texts."""

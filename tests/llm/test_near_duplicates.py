@@ -34,6 +34,21 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_groups_take_in_further_links(spark):
+    """Groups with further links are the components of all links; only links between groups are drawn anew."""
+    rng = np.random.default_rng(3)
+    first = [(int(a), int(b)) for a, b in rng.integers(0, 300, (150, 2)) if a != b]
+    more = [(int(a), int(b)) for a, b in rng.integers(0, 400, (60, 2)) if a != b]
+    frame = lambda links: spark.createDataFrame(links, "a long, b long")
+    groups = common.written(common.components(frame(first)), "groups")
+    got = [(r["node"], r["component"]) for r in simhash._merged(groups, frame(more)).collect()]
+    want = _components(400, first + more)
+    ends = {x for link in first for x in link} | {x for a, b in more for x in (a, b)}
+    assert len(got) == len(dict(got)) and set(dict(got)) == ends and all(want[n] == c for n, c in got)
+    same = simhash._merged(groups, frame(first)).collect()
+    assert sorted(map(tuple, same)) == sorted(map(tuple, groups.collect()))
+
+
 def _plain_fingerprint(text):
     w = (text or "").encode().lower().split()
     h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
