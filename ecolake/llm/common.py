@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
@@ -170,18 +170,23 @@ def bucket_edges(rows: DataFrame, codes: list[str], near: Callable[[np.ndarray,
 
 
 def in_parts(rows: DataFrame, columns: list[str], block: int) -> DataFrame:
-    """``rows`` (bucket, id and ``columns``) with ``lo`` and ``hi``, dealt to tasks and sorted by
-    (bucket, lo, hi): a bucket of more than ``block`` rows is parted, and every two parts meet."""
-    large = rows.groupBy("bucket").count().filter(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).cast("int").alias("parts"))
+    """``parted`` rows, dealt to tasks and sorted by (bucket, lo, hi)."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parted(rows, columns, block).repartition(n, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+
+
+def parted(rows: DataFrame, columns: list[str], block: int, weight: Column | None = None) -> DataFrame:
+    """``rows`` (bucket, id and ``columns``) with ``lo`` and ``hi``: a bucket of more than ``block``
+    rows, or of more ``weight`` than that, is parted, and every two parts meet."""
+    count = F.count("*") if weight is None else F.sum(weight)
+    large = rows.groupBy("bucket").agg(count.alias("count")).filter(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).cast("int").alias("parts"))
     large = few_files(large, "buckets")
     rows = rows.join(large, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = rows.select("bucket", "id", *columns, part.alias("part"), other.alias("other")).select(
+    return rows.select("bucket", "id", *columns, part.alias("part"), other.alias("other")).select(
         "bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "id", *columns
     )
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], id_name: str, codes: list[str], rows: int = 100_000):
@@ -216,4 +221,4 @@ def whole_tables(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int)
         count = len(table) - end
 
 
-__all__ = ["among", "batches_of", "bucket_edges", "components", "drop_written", "few_files", "filter_bits", "in_parts", "local_labels", "mixed", "numbered", "scratch", "task_number", "utf8", "whole_groups", "whole_tables", "words", "written"]
+__all__ = ["among", "batches_of", "bucket_edges", "components", "drop_written", "few_files", "filter_bits", "in_parts", "local_labels", "mixed", "numbered", "parted", "scratch", "task_number", "utf8", "whole_groups", "whole_tables", "words", "written"]

@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,9 @@ from ecolake.llm.common import (
     drop_written,
     extended,
     in_parts,
+    local_labels,
     mixed,
+    parted,
     utf8,
     whole_groups,
     whole_tables,
@@ -153,6 +156,8 @@ TABLES_LONG = [(i, (i + 1) % 32) for i in range(32)] + [(i, (i + 7) % 32) for i
 NEAR_LONG = 58  # of 256 bits; texts that share 0.8 of their shingles differ in 36 on average
 PART = 256  # partners of a text that are compared with it in one task
 BLOCK = 2048  # rows of a bucket that meet in one task
+SHARE = 256  # shingles that a row counts for besides its own, where rows and shingles are bounded at once
+EARLIER = 8  # of the buckets a row is in, so many travel with it
 SLOTS = 1 << 20  # counters of common shingles
 TEXTS = 512  # texts that go to Python at a time
 
@@ -332,9 +337,10 @@ def near_copy_classes(rows: DataFrame, width: int = 5, similarity: float = 0.8)
        similar text, so of the first floor(0.2 n) + 1 in one order of all shingles two similar
        texts share one. The order is by counted slots of hashes, the rare first; any order would
        do for the result. Where such a shingle is only in one group nothing is left to find, and
-       of shingles that the same texts share one is enough. Pairs of different groups that meet
-       are held against their sizes and parities, whose number grows with the text, and only
-       pairs that pass send their texts.
+       of shingles that the same texts share one is enough. Texts of different groups that meet
+       are held against each other's sizes and parities, whose number grows with the text, and a
+       text that passes with another is sent to their bucket once, whatever the number of the
+       others. There all such pairs are compared, and a forest of the links leaves the task.
 
     Every link is a comparison of the shingles of two texts, so no pair is lost and none is linked
     below the similarity.
@@ -380,10 +386,9 @@ def near_copy_classes(rows: DataFrame, width: int = 5, similarity: float = 0.8)
     drop_written(near)
 
     shared = _shared_rare(texts, classes, groups, width, similarity, level)
-    pairs = _set_pairs(shared.join(classes.select("id", "n", "odd"), "id"), similarity).distinct()
-    pairs = written(pairs.join(nearest.union(second), ["a", "b"], "left_anti"), "pairs")
+    meeting = written(_may_link(shared, classes, similarity), "meeting")
     drop_written(shared)
-    linked = _merged(groups, _similar(pairs, texts, width, similarity))
+    linked = _merged(groups, _set_links(meeting, texts, width, similarity))
     ordered = coded.select("row_id", "d0", "d1").join(firsts, ["d0", "d1"]).join(linked, F.col("id") == F.col("node"), "left")
     ordered = ordered.select("row_id", F.coalesce("component", "id").alias("component"))
     ordered = written(ordered.join(rows.select("row_id", "doc_id"), "row_id"), "members")
@@ -456,20 +461,110 @@ def _similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
         return written(met.mapInArrow(verify, "a long, b long"), "links")
 
 
-def _set_pairs(shared: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs that meet in a bucket of ``shared`` (bucket, id, component, n, odd), come from
-    two components and may be similar by size and parities."""
-    dealt = in_parts(shared, ["component", "n", "odd"], BLOCK)
+def earlier_buckets(lists: pa.ChunkedArray | pa.Array, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted lists of at most ``EARLIER`` buckets as the rows of a table, and how many of each come
+    before the row's own ``bucket``."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    used = np.arange(EARLIER) < pc.list_value_length(lists).to_numpy(zero_copy_only=False)[:, None]
+    keys = np.zeros((len(lists), EARLIER), np.int64)
+    keys[used] = lists.flatten().to_numpy()
+    return keys, (used & (keys < bucket[:, None])).sum(axis=1)
+
+
+def first_meeting(keys: np.ndarray, count: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) have no earlier bucket in common among those that travel with the
+    two rows (of :func:`earlier_buckets`): always so in the first bucket they share."""
+    met = np.zeros(len(i), bool)
+    for k in range(int(count[i].max(initial=0))):
+        for m in range(int(count[j].max(initial=0))):
+            met |= (keys[i, k] == keys[j, m]) & (k < count[i]) & (m < count[j])
+    return ~met
+
+
+def _may_link(shared: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, id, component, n, earlier): the rows of ``shared`` (bucket, id, component) that meet
+    in their bucket, and in none before it, a row of another component that may be similar by size
+    and parities. No more than there are in ``shared``, however many pairs they make."""
+    columns = ["component", "n", "earlier"]
+    held = shared.groupBy("id", "component").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))
+    held = held.join(classes.select("id", "n", "odd"), "id")
+    rows = held.select(F.explode("buckets").alias("bucket"), "id", "component", "n", F.slice("buckets", 1, EARLIER).alias("earlier"), "odd")
+    dealt = in_parts(rows, [*columns, "odd"], BLOCK)
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, table in whole_tables(batches, ["bucket", "lo", "hi"], 20_000):
-            order = np.lexsort((table.column("id").to_numpy(), group))
-            ids, component, size = (table.column(c).to_numpy()[order] for c in ("id", "component", "n"))
-            odd = table.column("odd").to_pylist()
-            for i, j in set_pairs(size, component, [odd[k] for k in order], group[order], similarity):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
+            component, size = (table.column(c).to_numpy() for c in ("component", "n"))
+            keys, count = earlier_buckets(table.column("earlier"), table.column("bucket").to_numpy())
+            some = np.zeros(len(table), bool)
+            for i, j in set_pairs(size, component, table.column("odd").to_pylist(), group, similarity):
+                here = first_meeting(keys, count, i, j)
+                some[i[here]] = some[j[here]] = True
+            yield from table.filter(pa.array(some)).select(["bucket", "id", *columns]).to_batches()
+
+    return dealt.mapInArrow(meet, "bucket long, id long, component long, n long, earlier array<long>").distinct()
+
+
+def similar_sets(members: np.ndarray, ends: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the pairs (i, j), sorted by i, of sets are similar. Set k is ``members`` (small
+    numbers, distinct within it) up to ``ends[k]``. One set is marked at a time and the others are
+    looked up in the marks."""
+    near = np.zeros(len(i), bool)
+    size = np.diff(ends, prepend=0)
+    mark = np.zeros(int(members.max(initial=0)) + 1, bool)
+    bounds = np.flatnonzero(np.r_[True, i[1:] != i[:-1], True]) if len(i) else np.zeros(0, int)
+    for lo, hi in itertools.pairwise(bounds.tolist()):
+        own, others = i[lo], j[lo:hi]
+        marked = members[ends[own] - size[own] : ends[own]]
+        mark[marked] = True
+        n = size[others]
+        upto = np.cumsum(n)
+        at = np.repeat(ends[others] - upto, n) + np.arange(upto[-1])
+        common = np.add.reduceat(mark[members[at]], upto - n, dtype=np.int64)
+        near[lo:hi] = common >= similarity * (size[own] + n - common) - 1e-9
+        mark[marked] = False
+    return near
+
+
+def _set_links(meeting: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b), a written table: links between components of ``meeting`` (bucket, id, component, n,
+    earlier) that similar texts in a bucket make. A bucket is dealt into parts by its rows and
+    shingles, so a task holds the shingles of two parts (or of two texts, if longer), and only a
+    forest of the links it finds leaves it."""
+    most = SHARE * BLOCK
+    dealt = written(parted(meeting, ["component", "earlier"], most, F.col("n") + SHARE), "meetings")
+    n = int(meeting.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = dealt.join(texts, "id").select("bucket", "lo", "hi", "component", "earlier", "text")
+    met = met.repartition(n, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+
+    def links(held: list[tuple]) -> pa.RecordBatch:
+        at, component, earlier, sets = zip(*held)
+        group = np.cumsum([x != y for x, y in zip(at, (at[0], *at))])
+        keys, count = earlier_buckets(pa.array(earlier, pa.list_(pa.int64())), np.array([x[0] for x in at]))
+        nodes, node = np.unique(np.array(component), return_inverse=True)
+        label = np.arange(len(nodes))
+        size = np.array([len(s) for s in sets])
+        members, ends = np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(size)
+        for i, j in set_pairs(size, node, [parities(s).tobytes() for s in sets], group, similarity):
+            left = (label[node[i]] != label[node[j]]) & first_meeting(keys, count, i, j)
+            i, j = i[left], j[left]
+            near = similar_sets(members, ends, i, j, similarity)
+            label = local_labels(len(nodes), node[i[near]], node[j[near]], label)
+        linked = np.flatnonzero(label != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[label[linked]]), pa.array(nodes[linked])], names=["a", "b"])
 
-    return dealt.mapInArrow(meet, "a long, b long")
+    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held, weight = _WordHashes(), [], 0
+        for *at, component, earlier, text in _streamed(batches):
+            if weight >= most and at != held[-1][0]:
+                yield links(held)
+                held, weight = [], 0
+            held.append((at, component, earlier, np.unique(text_shingles(words((text or "").encode()), width, seen))))
+            weight += len(held[-1][-1]) + SHARE
+        if held:
+            yield links(held)
+
+    with batches_of(meeting.sparkSession, TEXTS):
+        return written(met.mapInArrow(verify, "a long, b long"), "links")
 
 
 def _shared_rare(texts: DataFrame, classes: DataFrame, groups: DataFrame, width: int, similarity: float, level: np.ndarray) -> DataFrame:
