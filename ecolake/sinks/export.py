@@ -146,6 +146,7 @@ def export_ascii(grids: DataFrame, target: str, windows: DataFrame | None = None
     asked = asked.select(
         name_part(F.col("area")).alias("folder"), F.concat(stem, F.lit(".asc")).alias("file"),
     )
-    missing = asked.join(wrote, ["folder", "file"], "left_anti").withColumn("reason", F.lit("the area holds no value of this map"))
+    # names are many and pack well: by the size of their table alone the driver would collect them
+    missing = asked.join(wrote.hint("merge"), ["folder", "file"], "left_anti").withColumn("reason", F.lit("the area holds no value of this map"))
     missing.write.mode("overwrite").parquet(f"{target}/_manifest/skipped")
     return {"files": wrote.count(), "skipped": spark.read.parquet(f"{target}/_manifest/skipped").count()}

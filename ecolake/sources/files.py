@@ -12,6 +12,7 @@ import itertools
 import os
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from urllib.parse import urlparse
 
 import pandas as pd
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ecolake.functions.naming import stem
+from ecolake.session import dealt_by_weight, spread, written
 
 # --- fixed values -----------------------------------------------------------------------
 FIRST_LINES = 6  # with content, that tell a table of fitting series
@@ -30,9 +32,13 @@ GRID_FIELDS = ("ncols", "nrows", "xllcorner", "yllcorner", "xllcenter", "yllcent
 END_MARK = re.compile(r"<HEADER[^\r\n]*end")
 DATA_MARK = re.compile(r'[ \t]*"?[ \t]*Data[ \t]*"?[ \t]*(?:,|\r|\n|$)')
 EOL_BYTES = re.compile(rb"\r\n|\n|\r")
+_LISTED_PATH = re.compile(r"(?s)(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/]*))?(/.*)")
 # ----------------------------------------------------------------------------------------
 TEXTS_AT_ONCE = 64
+NAMES_AT_ONCE = 4096
 LISTING_TASKS = 4  # per core
+OPEN_BYTES = 4 << 10  # a small file weighs these more
+TEXTS_BYTES = 8 << 20
 READ_BYTES = 1 << 20
 SPLIT_BYTES = 64 << 20
 
@@ -86,14 +92,110 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 
 def read_texts(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
-    """Files below ``root`` as one text each, for files that are known to be small. Folders of
-    any size go through :func:`with_heads` and :func:`with_lines`."""
+    """Files below ``root`` as one text each, for files that are known to be small, however many they
+    are: they are listed and read by tasks, and the driver holds no name. Files that are large go
+    through :func:`with_heads` and :func:`with_lines`. A store that Arrow does not reach is read by
+    Spark's own reader, for which the driver lists all files."""
     root = _root(root)
-    texts = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
-        .select(_decoded(F.col("_metadata.file_path")).alias("path"), F.regexp_replace("value", "^﻿", "").alias("text"))
-    )
-    return with_path_parts(texts, root)
+    found = _found(spark, root)
+    if found is None:
+        whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
+        texts = whole.select(_decoded(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
+    else:
+        texts = _texts(_below(spark, found, glob))
+    return with_path_parts(texts.withColumn("text", F.regexp_replace("text", "^﻿", "")), root)
+
+
+def _found(spark: SparkSession, root: str) -> list[tuple[str, bool, int]] | None:
+    """(path, is a folder, bytes) of ``root``, or of what it stands for as a pattern; None if there is
+    nothing or Arrow does not reach it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    filesystem = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [(s.getPath().toString(), s.isDirectory(), s.getLen()) for s in filesystem.globStatus(path) or []]
+    try:
+        for at, _, _ in found:
+            _open_listed(at)
+    except (OSError, ValueError, NotImplementedError):
+        return None
+    return found or None
+
+
+def _below(spark: SparkSession, found: list[tuple[str, bool, int]], glob: str) -> DataFrame:
+    """``path`` of the files with content in and below ``found`` whose names ``glob`` fits, hidden ones
+    left out as Spark's readers do; a written table, dealt to tasks by files and bytes. Tasks list
+    the folders, all of one depth at a time."""
+    schema = "path string, folder boolean, bytes long"
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                listed = ((f"{folder.rstrip('/')}/{name}", *rest) for name, *rest in _listed(folder) if not _hidden(name))
+                while some := list(itertools.islice(listed, NAMES_AT_ONCE)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), (pa.string(), pa.bool_(), pa.int64()))], names=["path", "folder", "bytes"])
+
+    level = spark.createDataFrame(found, schema)
+    levels = [level]
+    while not (folders := level.filter("folder").select("path")).isEmpty():
+        level = written(spread(folders).mapInArrow(entries, schema), "listing")
+        levels.append(level)
+    fits = f"(?s)\\A(?:{spark._jvm.org.apache.hadoop.fs.GlobPattern.compile(glob).pattern()})\\z"
+    named = F.substring_index("path", "/", -1).rlike(fits)
+    files = reduce(DataFrame.unionByName, levels).filter(~F.col("folder") & (F.col("bytes") > 0) & named)
+    weighed = files.select("path", (F.col("bytes") + OPEN_BYTES).alias("_weight"))
+    return written(dealt_by_weight(weighed, "_weight", TEXTS_BYTES).select("path"), "listed-texts")
+
+
+def _texts(files: DataFrame) -> DataFrame:
+    """``path`` and ``text`` of each listed file, read whole and, if its name says so, uncompressed."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for path in itertools.chain.from_iterable(batch.column(0).to_pylist() for batch in batches):
+            filesystem, inner = _open_listed(path)
+            with filesystem.open_input_stream(inner) as stream:
+                held.append((path, stream.read()))
+            size += len(held[-1][1]) + OPEN_BYTES
+            if size >= READ_BYTES:
+                yield _text_batch(held)
+                held, size = [], 0
+        if held:
+            yield _text_batch(held)
+
+    # bytes that are no UTF-8 are left to Spark
+    return files.mapInArrow(read, "path string, text binary").withColumn("text", F.col("text").cast("string"))
+
+
+def _text_batch(texts: list[tuple[str, bytes]]) -> pa.RecordBatch:
+    paths, contents = zip(*texts)
+    return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "text"])
+
+
+def _listed(folder: str) -> Iterator[tuple[str, bool, int]]:
+    """(name, is a folder, bytes) of what lies in a folder; a local one is gone through entry by entry."""
+    from pyarrow import fs
+
+    filesystem, inner = _open_listed(folder)
+    if not isinstance(filesystem, fs.LocalFileSystem):
+        for info in filesystem.get_file_info(fs.FileSelector(inner)):
+            yield info.base_name, info.type == fs.FileType.Directory, info.size or 0
+        return
+    with os.scandir(inner) as found:
+        for entry in found:
+            try:
+                yield entry.name, entry.is_dir(), entry.stat().st_size
+            except FileNotFoundError:  # gone since, or a link to nothing
+                continue
+
+
+def _hidden(name: str) -> bool:
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _open_listed(path: str):
+    """:func:`open_path` of a path as Hadoop writes it: not percent-encoded, any character in a name."""
+    scheme, store, inner = _LISTED_PATH.fullmatch(path).groups()
+    filesystem, top = open_path(f"{scheme or 'file'}://{store or ''}/")
+    return filesystem, top.rstrip("/") + inner
 
 
 def with_heads(files: DataFrame, part: str = "header") -> DataFrame:

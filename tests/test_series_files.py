@@ -1,7 +1,9 @@
+import gzip
 import io
 
 import pytest
 from conftest import head, rows, write
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ecolake.session import written
@@ -84,6 +86,33 @@ def test_head_only_reading_finds_the_same_runs(spark, folder):
     assert rows(discover_output(heads), "model", "scenario", "n_files", "n_dirs") == whole == [("test_model", "test_scenario", 11, 2)]
 
 
+def test_many_texts_are_listed_by_tasks(spark, tmp_path):
+    """The driver holds no name of a file, and those are read that Spark's own reader would read."""
+    root = tmp_path / "many + %20#x"
+    texts = {f"f{i % 3}/deep/t{i}.asc": f"text {i}\n" for i in range(200)} | {"top#1.asc": "a\r\nb", "_k=1/v.asc": "1", "mark.asc": "\ufeffmarked"}
+    for name, text in texts.items():
+        write(root / name, text)
+    for name in ("_no.asc", ".no.asc", "_no/a.asc", ".no/a.asc", "no.csv", "f0/no.ASC"):
+        write(root / name, "no")
+    write(root / "empty.asc", "")
+    (root / "bytes.asc").write_bytes(b"\xffa")
+    (root / "zip.asc.gz").write_bytes(gzip.compress(b"zipped"))
+    found = read_texts(spark, str(root), "*.{asc,asc.gz}")
+    assert not [f for f in found.inputFiles() if ".asc" in f]
+    got = {r["path"].split("#x/")[1]: r["text"] for r in found.select("path", "text").collect()}
+    assert got == texts | {"mark.asc": "marked", "bytes.asc": "\ufffda", "zip.asc.gz": "zipped"}
+    assert found.count() == len(got)
+    places = rows(found.filter("name in ('t7.asc', 'top#1.asc')"), "name", "stem", "parent", "grandparent")
+    assert places == [("t7.asc", "t7", "deep", "f1"), ("top#1.asc", "top#1", root.name, tmp_path.name)]
+    spark_reads = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{asc,asc.gz}").text(str(root), wholetext=True)
+    assert spark_reads.count() == len(got)
+    assert rows(read_texts(spark, f"{tmp_path}/many*/f2", "t*.asc"), "name") == sorted((f"t{i}.asc",) for i in range(2, 200, 3))
+    assert rows(read_texts(spark, str(root / "top#1.asc"), "*"), "name", "text") == [("top#1.asc", "a\r\nb")]
+    assert read_texts(spark, str(root), "*.none").isEmpty()
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        read_texts(spark, str(root / "nowhere"))
+
+
 def test_last_header_value_wins(spark):
     text = head() + ""
     text = text.replace("StartYear,1998", "StartYear,1998\nStartYear, 2001 ")
